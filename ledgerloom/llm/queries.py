@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, media, packing, token_count, toxicity
+from . import bpe_codec, media, packing, secret_scan, token_count, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.codec_digest(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_query(_docs(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media": op1_media,
@@ -42,8 +46,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_packing": op4_packing,
         "op5_toxicity": op5_toxicity,
         "op6_bpe_codec": op6_bpe_codec,
+        "op8_secret_scan": op8_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_secret_scan": secret_scan.oracle()}

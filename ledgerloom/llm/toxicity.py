@@ -2,8 +2,8 @@
 
 P(grade > k) = sigmoid(score - threshold_k) with one weight per word for all thresholds.  Grade 0
 is not toxic.  The labels say only whether a document is toxic, so the grades above 0 come from the
-text: toxic documents are split at quantiles of their evidence rate, the share of their words that
-mark toxic documents in the labelled sample.  A document is rejected when P(grade > 0) exceeds 0.5.
+text: toxic documents are split at quantiles of how many different words they hold that mark toxic
+documents in the labelled sample; such words (and word beginnings) are the features.  A document is rejected when P(grade > 0) exceeds 0.5.
 
 Fitting uses a bounded sample: the ``sample`` labelled rows with the smallest hash of their id, so
 the same rows at every run.  Everything else covers all documents and whole texts.
@@ -27,20 +27,27 @@ from .batches import map_slices
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE = 8_000
 #: Words in fewer sampled documents are no features.
-MIN_DOCS = 12
+MIN_DOCS = 6
+#: Features are words that toxic documents hold so many times as often as expected.
+LIFT = 2.0
 #: Grades of toxic documents.
 GRADES = 3
 #: Weight of the absolute-value penalty.
-PENALTY = 2e-3
-ROUNDS = 250
+PENALTY = 1e-4
+ROUNDS = 300
+
+#: Lengths of word beginnings that are features beside whole words: inflected forms share them.
+STEMS = (4, 5, 7)
 
 # What is cut off from both ends of a word.
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def features(text: str) -> set[str]:
-    """Different lower-case words of a text without edge punctuation."""
-    return {w.strip(EDGES) for w in set(text.lower().split())} - {""}
+    """Different lower-case words of a text without edge punctuation, and their beginnings (marked by *)."""
+    words = {w.strip(EDGES) for w in set(text.lower().split())}
+    words.discard("")
+    return words.union(*({w[:n] + "*" for w in words if len(w) > n} for n in STEMS))
 
 
 @dataclass
@@ -120,36 +127,45 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, min_docs: int
     coded = lists.flatten().dictionary_encode()
     del table, lists
     code, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
-    # a feature order that doesn't depend on the order in which rows arrived
+    # an order of features that doesn't depend on the order in which rows arrived
     order = pc.sort_indices(names).to_numpy()
     counts = np.bincount(code, minlength=len(names))
     order = order[counts[order] >= min_docs]
-    new = np.full(len(names), -1)
-    new[order] = np.arange(len(order))
-    seen = new[code] >= 0
-    sizes = np.bincount(rows, minlength=len(toxic))
-    rows, words_at = rows[seen], new[code[seen]]
+    rows, code, order = _selected(rows, code, len(names), order)
+    strong = marks(rows, code, len(order), toxic)
+    rows, code, order = _selected(rows, code, len(order), np.flatnonzero(strong), order)
     vocabulary = names.take(pa.array(order)).to_pylist()
-    grades = severity_grades(rows, words_at, len(order), toxic, sizes)
-    w, theta = fit_ordinal(rows, words_at, len(order), grades, GRADES + 1)
+    w, theta = fit_ordinal(rows, code, len(order), severity_grades(rows, toxic), GRADES + 1)
     if not (toxic > 0).any():
         w[:] = 0
         theta[:] = 60.0
     return Model({vocabulary[i]: float(w[i]) for i in np.flatnonzero(w)}, theta)
 
 
-def severity_grades(rows: np.ndarray, words: np.ndarray, n_words: int, toxic: np.ndarray, sizes: np.ndarray, grades: int = GRADES) -> np.ndarray:
-    """0 for documents that are not toxic; 1 and up by quantiles of the evidence rate of toxic ones."""
+def _selected(rows: np.ndarray, code: np.ndarray, n: int, kept: np.ndarray, names: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coordinates of the kept features alone, numbered in the order of ``kept``."""
+    new = np.full(n, -1)
+    new[kept] = np.arange(len(kept))
+    seen = new[code] >= 0
+    return rows[seen], new[code[seen]], kept if names is None else names[kept]
+
+
+def marks(rows: np.ndarray, words: np.ndarray, n_words: int, toxic: np.ndarray, lift: float = LIFT) -> np.ndarray:
+    """Which features stand in toxic documents at least ``lift`` times as often as expected, less 1.5 standard errors."""
+    hit, total = np.bincount(words, (toxic[rows] > 0).astype(float), n_words), np.bincount(words, minlength=n_words)
+    return hit - 1.5 * np.sqrt(hit) >= lift * (toxic > 0).mean() * total if len(toxic) else np.zeros(n_words, bool)
+
+
+def severity_grades(rows: np.ndarray, toxic: np.ndarray, grades: int = GRADES) -> np.ndarray:
+    """0 for documents that are not toxic; 1 and up by quantiles of the number of marks in toxic ones.
+
+    ``rows`` has a document's number once for each of its marks.
+    """
     bad = toxic > 0
     out = np.zeros(len(toxic), np.int64)
-    if not bad.any():
-        return out
-    hit, total = np.bincount(words, bad[rows].astype(float), n_words), np.bincount(words, minlength=n_words)
-    odds = (hit + 0.5) / (total - hit + 0.5) * ((~bad).sum() + 1) / (bad.sum() + 1)
-    marks = odds > 20
-    rate = np.bincount(rows, marks[words].astype(float), len(toxic)) / np.maximum(sizes, 1)
-    cuts = np.quantile(rate[bad], np.arange(1, grades) / grades)
-    out[bad] = 1 + np.searchsorted(cuts, rate[bad], side="left")
+    if bad.any():
+        count = np.bincount(rows, minlength=len(toxic))
+        out[bad] = 1 + np.searchsorted(np.quantile(count[bad], np.arange(1, grades) / grades), count[bad], side="left")
     return out
 
 
