@@ -12,6 +12,7 @@ each on their own and get sequences of their own.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import zlib
 from collections.abc import Iterable, Iterator
@@ -25,9 +26,9 @@ from .batches import narrow, slices
 
 LIMIT = 2048
 #: Encodings of so many different pre-tokens stay in each Python worker; beyond, they are computed anew.
-REMEMBERED = 250_000
+REMEMBERED = 800_000
 
-_known: dict[str, dict[str, np.ndarray]] = {}
+_known: dict[str, dict[str, bytes]] = {}
 
 
 @functools.cache
@@ -41,19 +42,20 @@ def _library(path: str):
     return own
 
 
-def encode_texts(path: str, texts: list[str]) -> list[np.ndarray]:
-    """The library's ids of each whole text; each different pre-token of a batch is encoded once."""
+def encode_texts(path: str, texts: list[str]) -> list[bytes]:
+    """The library's ids of each whole text, as little-endian 32-bit numbers; each different pre-token of a batch is encoded once."""
     voc = V.load(path)
     known = _known.setdefault(path, {})
     if len(known) > REMEMBERED:
         known.clear()
-    known.update({t: np.array([i], np.uint32) for t, i in voc.special.items()})
+    known.update({t: np.array([i], "<u4").tobytes() for t, i in voc.special.items()})
     words = [voc.words(t) for t in texts]
     fresh = list(set().union(*words) - known.keys())
-    for w, e in zip(fresh, _library(path).encode_batch(fresh, add_special_tokens=False), strict=True):
-        known[w] = np.array(e.ids, np.uint32)
-    none = np.zeros(0, np.uint32)
-    return [np.concatenate([known[w] for w in ws]) if ws else none for ws in words]
+    encoded = [e.ids for e in _library(path).encode_batch_fast(fresh, add_special_tokens=False)]
+    flat = np.fromiter(itertools.chain.from_iterable(encoded), "<u4").tobytes()
+    ends = [4 * n for n in itertools.accumulate(map(len, encoded))]
+    known.update(zip(fresh, [flat[a:b] for a, b in zip([0, *ends[:-1]], ends)]))  # noqa: B905
+    return [b"".join(map(known.__getitem__, ws)) for ws in words]
 
 
 def decompose(n: int, limit: int = LIMIT) -> list[int]:
@@ -73,6 +75,7 @@ def pack(docs: DataFrame, path: str, end_id: int, limit: int = LIMIT, id_col: st
         raise ValueError("limit is no power of two")
     src = narrow(docs, id_col, text_col)
     fields = [pa.field("id", _arrow(src.schema["id"].dataType))] + [pa.field(n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens")]
+    end = np.array([end_id], "<u4").tobytes()
     out = pa.schema(fields + [pa.field("ids", pa.list_(pa.int64()))] * with_ids)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,14 +83,14 @@ def pack(docs: DataFrame, path: str, end_id: int, limit: int = LIMIT, id_col: st
             for piece in slices(batch):
                 owner, columns, parts = [], [], []
                 for row, ids in enumerate(encode_texts(path, piece.column("text").to_pylist())):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    start = 0
-                    for n in decompose(len(ids), limit):
-                        part = ids[start : start + n]
+                    ids += end
+                    total, start = len(ids) // 4, 0
+                    for n in decompose(total, limit):
+                        part = ids[4 * start : 4 * (start + n)]
                         owner.append(row)
-                        columns.append((start, n, zlib.crc32(part), len(ids)))
+                        columns.append((start, n, zlib.crc32(part), total))
                         if with_ids:
-                            parts.append(part.astype(np.int64))
+                            parts.append(np.frombuffer(part, "<u4").astype(np.int64))
                         start += n
                 made = [piece.column("id").take(pa.array(owner, pa.int64()))] + [pa.array(c, pa.int64()) for c in np.array(columns, np.int64).reshape(-1, 4).T]
                 if with_ids:

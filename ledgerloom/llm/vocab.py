@@ -63,7 +63,11 @@ class Vocabulary:
     def _normal(self, text: str) -> str:
         if not self.lower:
             return text
-        return text.lower() if text.isascii() else _normalizer().normalize_str(text)
+        try:  # up to U+00FF every letter is composed and has one lower-case form
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return _normalizer().normalize_str(text)
+        return text.lower()
 
     def words(self, text: str) -> list[str]:
         """Pre-tokens in order; special strings stand alone."""
