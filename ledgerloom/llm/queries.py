@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, media, minhash_dedup, packing, secret_scan, token_count, toxicity
+from . import bpe_codec, media, minhash_dedup, packing, secret_scan, suffix_dedup, token_count, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_query(_docs(spark, sf_dir))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_query(_docs(spark, sf_dir))
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_docs(spark, sf_dir))
 
@@ -51,9 +55,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_toxicity": op5_toxicity,
         "op6_bpe_codec": op6_bpe_codec,
         "op8_secret_scan": op8_secret_scan,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_minhash_dedup": op10_minhash_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_secret_scan": secret_scan.oracle(), "op10_minhash_dedup": minhash_dedup.oracle()}
+    return {"op8_secret_scan": secret_scan.oracle(), "op9_suffix_dedup": suffix_dedup.oracle(), "op10_minhash_dedup": minhash_dedup.oracle()}
