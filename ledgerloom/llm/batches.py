@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
@@ -30,8 +31,8 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         yield batch.slice(start)
 
 
-def map_slices(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict[str, list] | None], column: str = "text") -> DataFrame:
-    """``mapInArrow`` over small slices; ``fn`` returns the output columns of a slice."""
+def map_slices(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict[str, list] | None], column: str | None = "text") -> DataFrame:
+    """``mapInArrow`` over small slices by the bytes of ``column`` (None: of 1,000 rows); ``fn`` returns the output columns of a slice."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -39,9 +40,26 @@ def map_slices(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict[s
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, column):
+            for piece in slices(batch, column) if column else (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
                 made = fn(piece)
                 if made is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in out], schema=out)
 
     return df.mapInArrow(run, schema)
+
+
+def grouped(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables of all rows of one key, from batches sorted by it; holds one key's rows at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for a, b in zip(edges, edges[1:]):  # noqa: B905
+            if held and held[-1].column(key)[-1].as_py() != keys[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)

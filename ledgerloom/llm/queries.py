@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, media, minhash_dedup, packing, secret_scan, suffix_dedup, token_count, toxicity
+from . import bpe_codec, embed_dedup, media, minhash_dedup, packing, secret_scan, suffix_dedup, token_count, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_query(_docs(spark, sf_dir))
 
 
+def op2_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -50,6 +54,7 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media": op1_media,
+        "op2_embed_dedup": op2_embed_dedup,
         "op3_token_count": op3_token_count,
         "op4_packing": op4_packing,
         "op5_toxicity": op5_toxicity,
@@ -61,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_secret_scan": secret_scan.oracle(), "op9_suffix_dedup": suffix_dedup.oracle(), "op10_minhash_dedup": minhash_dedup.oracle()}
+    return {"op2_embed_dedup": embed_dedup.oracle(), "op8_secret_scan": secret_scan.oracle(), "op9_suffix_dedup": suffix_dedup.oracle(), "op10_minhash_dedup": minhash_dedup.oracle()}
