@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, embed_dedup, media, minhash_dedup, packing, secret_scan, suffix_dedup, token_count, toxicity
+from . import bpe_codec, embed_dedup, line_dedup, media, minhash_dedup, packing, secret_scan, suffix_dedup, token_count, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.codec_digest(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_query(_docs(spark, sf_dir))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_query(_docs(spark, sf_dir))
 
@@ -59,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_packing": op4_packing,
         "op5_toxicity": op5_toxicity,
         "op6_bpe_codec": op6_bpe_codec,
+        "op7_line_dedup": op7_line_dedup,
         "op8_secret_scan": op8_secret_scan,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_minhash_dedup": op10_minhash_dedup,
