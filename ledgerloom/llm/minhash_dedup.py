@@ -8,8 +8,10 @@ similarity.  Coordinates form bands; documents that share a band are candidates,
 only if 100 * |A and B| >= 75 * |A or B| on the full sets.
 
 Copies (equal sets) are one node.  In a bucket every member is first verified against the smallest
-one; only members that are then in different components are verified against each other, so no
-bucket is expanded into all its pairs and no link between components is lost.
+one, then members outside a bucket's first or last component against a member inside it.  Buckets
+that still hold several components are searched whole, in blocks of bounded size whose set products
+are computed at once; only the connections found leave the task.  So no pairs of a bucket are listed
+and no link between components is lost.
 
 Null, empty and blank texts have an empty set and link with nothing (n_shingles 0, a component of
 their own).  Rows with a null id link with nothing and have a null component.  Rows that repeat an
@@ -26,11 +28,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .batches import map_slices, narrow
-from .components import components, cut
+from .batches import grouped, map_slices, narrow
+from .components import checked, components, cut
 
 BINS, BAND = 128, 4
 WORDS = 5
+#: Members of a block when a bucket is searched whole.
+BLOCK = 512
+
 #: Least similarity in hundredths.
 SIMILAR = 75
 
@@ -196,6 +201,70 @@ def _fitting(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     return pairs.distinct().join(a, "a").join(b, "b").filter(100 * F.least("n_a", "n_b") >= SIMILAR * F.greatest("n_a", "n_b")).select("a", "b")
 
 
+def _apart(crowded: DataFrame, parts: DataFrame) -> DataFrame:
+    """key, node and part of the members of buckets that hold more than one component."""
+    placed = crowded.select("key", F.col("b").alias("node")).join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
+    mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("key")
+    return cut(placed.join(mixed, "key", "left_semi"))
+
+
+def connections(sets: list[np.ndarray], similar: int = SIMILAR) -> list[tuple[int, int]]:
+    """Pairs of positions that connect the same sets as all links among ``sets`` do, at most one per set."""
+    n = len(sets)
+    size = np.array([len(s) for s in sets])
+    row = np.repeat(np.arange(n), size)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = count[column] > 1
+    row, column = row[common], np.unique(column[common], return_inverse=True)[1]
+    both = np.zeros((n, n), np.float32)  # counts: exact below 2 ** 24
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    width = 2048
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [start, start + width])
+        part = np.zeros((n, width), np.float32)
+        part[row[a:b], column[a:b] - start] = 1
+        both += part @ part.T
+    linked = np.empty((n, n), bool)
+    for i in range(n):  # row by row, in integers
+        shared = both[i].astype(np.int64)
+        linked[i] = 100 * shared >= similar * (size[i] + size - shared)
+    label = np.arange(n, dtype=np.int32)
+    while True:
+        new = np.where(linked, label[None, :], np.int32(n)).min(1)
+        new = np.minimum(new, label)
+        if (new == label).all():
+            return [(int(a), i) for i, a in enumerate(label) if a != i]
+        label = new[new]
+
+
+def search_whole(apart: DataFrame, sets: DataFrame) -> DataFrame:
+    """Connections (a, b) within each bucket of ``apart``, as all links in it would make them.
+
+    A bucket of more than BLOCK members is cut into blocks, and every pair of blocks is a task.
+    """
+    kind = apart.schema["node"].dataType.simpleString()
+    count = apart.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = apart.join(count, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    task = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    rows = dealt.select(task.alias("task"), "node").join(sets.select(F.col("id").alias("node"), "items"), "node").select("task", "node", "items")
+
+    def run(batches):
+        for table in grouped(batches, "task"):
+            nodes = table.column("node").to_pylist()
+            found = connections([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("items")])
+            if found:
+                out = pa.table({"a": [nodes[i] for i, _ in found], "b": [nodes[j] for _, j in found]})
+                yield from out.cast(to_arrow_schema(schema)).to_batches()
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    schema = _parse_datatype_string(f"a {kind}, b {kind}")
+    return cut(rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, schema))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id (smallest id reachable by links, itself included) and kept of each row."""
     seen = cut(profile(docs, id_col, text_col))
@@ -207,19 +276,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = cut(members.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count("*").alias("n")).filter("a < b"))
     crowded = cut(members.join(buckets.filter("n > 2").select("key", "a"), "key").select("key", "a", F.col("rep").alias("b")))
     first = cut(_fitting(buckets.filter("n = 2").select("a", "b").union(crowded.filter("a < b").select("a", "b")), reps))
-    touched = first.select(F.col("a").alias("id")).union(first.select("b")).union(crowded.select("b")).distinct()
-    sets = cut(full_sets(docs, touched, id_col, text_col))
+    touched = cut(first.select(F.col("a").alias("id")).union(first.select("b")).union(crowded.select("b")).distinct())
+    sets = cut(full_sets(docs, checked(touched), id_col, text_col))
     links = cut(verify(first, sets))
     parts = components(links)
-    # members of one bucket that are still apart
-    placed = crowded.select("key", F.col("b").alias("node")).join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
-    mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("key")
-    apart = placed.join(mixed, "key", "left_semi")
-    x, y = (apart.select("key", F.col("node").alias(n), F.col("part").alias(f"part_{n}")) for n in "ab")
-    second = x.join(y, "key").filter("part_a < part_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = cut(_fitting(second, reps).join(first, ["a", "b"], "left_anti"))
+    apart = _apart(crowded, parts)
+    # the first and last component of a bucket, each with one member that varies with the bucket
+    ends = apart.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    seat = F.xxhash64("node", "key")
+    placed = apart.join(ends, "key")
+    picks = placed.groupBy("key").agg(
+        F.min_by("node", F.when(F.col("part") == F.col("low"), seat)).alias("in_low"), F.min_by("node", F.when(F.col("part") == F.col("high"), seat)).alias("in_high")
+    )
+    placed = placed.join(picks, "key")
+    tries = [placed.filter(F.col("part") != F.col(end)).select(F.least("node", pick).alias("a"), F.greatest("node", pick).alias("b")) for end, pick in (("low", "in_low"), ("high", "in_high"))]
+    second = cut(_fitting(tries[0].union(tries[1]), reps).join(first, ["a", "b"], "left_anti"))
     if not second.isEmpty():
-        links = links.union(verify(second, sets))
+        links = cut(links.union(verify(second, sets)))
+        parts = components(links)
+        links = links.union(search_whole(_apart(crowded, parts), sets))
         parts = components(links)
     groups = reps.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     out = seen.select("id", "n_shingles", "set_key").join(groups, "set_key", "left")
@@ -232,9 +307,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each group the one with the smallest id; of rows that repeat it, one."""
     found = near_duplicates(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("__id"))
-    kept = docs.join(found.distinct(), docs[id_col].eqNullSafe(F.col("__id")), "left_semi")
-    # rows that repeat the same id and text are copies too
-    return kept.dropDuplicates()
+    kept = docs.join(found.distinct(), F.col(id_col) == F.col("__id"), "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
 
 
 def oracle() -> str:
