@@ -37,6 +37,11 @@ def continuable(work: DataFrame, scopes: DataFrame, authorities: DataFrame, now_
 
 def grant_admissible(requests: DataFrame, work: DataFrame, scopes: DataFrame, now_ms: int) -> DataFrame:
     """Dry run of each request against the state as it is; the draw of sibling revisions is the scope's sum less the own part."""
+    return _judged(requests, work, scopes, now_ms).select(*KEY, "request_digest", "admissible")
+
+
+def _judged(requests: DataFrame, work: DataFrame, scopes: DataFrame, now_ms: int) -> DataFrame:
+    """The requests' rows with their verdict."""
     drawn = F.coalesce("granted_units", F.lit(0))
     total = F.sum(drawn).over(Window.partitionBy("scope_id"))
     own = work.withColumn("own", drawn).withColumn("siblings", total - drawn)
@@ -52,7 +57,7 @@ def grant_admissible(requests: DataFrame, work: DataFrame, scopes: DataFrame, no
         & (F.col("w_own") + F.when(F.coalesce(repeat, F.lit(False)), 0).otherwise(F.col("units")) + F.col("w_siblings") <= F.col("reserved_budget_units"))
         & (F.col("active_plan_digest") == F.col("plan_digest")) & (F.col("scope_epoch") <= F.col("epoch"))
     )
-    return j.select(*KEY, "request_digest", F.coalesce(ok, F.lit(False)).alias("admissible"))
+    return j.select(*(requests[c] if c not in KEY else F.col(c) for c in requests.columns), F.coalesce(ok, F.lit(False)).alias("admissible"))
 
 
 def admit_in_order(requests: DataFrame, work: DataFrame, scopes: DataFrame, now_ms: int, order_col: str) -> DataFrame:
@@ -61,9 +66,8 @@ def admit_in_order(requests: DataFrame, work: DataFrame, scopes: DataFrame, now_
     The greedy draw depends on each verdict before, so a scope's fitting requests (at most those of one
     plan of 1 MiB) are folded as one ordered array; a running sum would count refused ones.
     """
-    fit = grant_admissible(requests, work, scopes, now_ms).filter("admissible")
     budget = scopes.select("scope_id", "reserved_budget_units").join(work.groupBy("scope_id").agg(F.sum(F.coalesce("granted_units", F.lit(0))).alias("drawn")), "scope_id")
-    rows = requests.join(fit.select(*KEY, "request_digest"), [*KEY, "request_digest"])
+    rows = _judged(requests, work, scopes, now_ms).filter("admissible")
     one = F.struct(F.col(order_col).alias("place"), "work_id", "work_revision", "request_digest", "units")
     queues = rows.groupBy("scope_id").agg(F.array_sort(F.collect_list(one)).alias("queue")).join(budget, "scope_id")
 
