@@ -76,7 +76,7 @@ def fit_ordinal(rows: np.ndarray, words: np.ndarray, n_words: int, grades: np.nd
     steps with momentum; the step follows the features' largest weighted sum of squares.
     """
     n = len(grades)
-    share = np.array([(grades > k).mean() for k in range(n_grades - 1)])
+    share = np.array([(grades > k).sum() / max(n, 1) for k in range(n_grades - 1)])
     share = np.clip(share, 0.5 / max(n, 1), 1 - 0.5 / max(n, 1))
     theta = np.log((1 - share) / share)
     target = (grades[:, None] > np.arange(n_grades - 1)[None, :]).astype(float)
