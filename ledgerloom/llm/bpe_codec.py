@@ -90,7 +90,7 @@ def encode_side_by_side(voc: V.Vocabulary, rows: np.ndarray, lengths: np.ndarray
     column = np.arange(full)
     tree = np.full((m, 2 * width), V.NONE)
     if full > 1:
-        rank = voc.ranks(sym[:, :-1].ravel(), sym[:, 1:].ravel()).reshape(m, full - 1)
+        rank = voc.ranks(sym[:, :-1].reshape(-1), sym[:, 1:].reshape(-1)).reshape(m, full - 1)
         rank[column[1:][None, :] >= lengths[:, None]] = V.NONE
         tree[:, width : width + full - 1] = np.where(rank == V.NONE, V.NONE, rank * width + column[:-1])
     for k in range(width - 1, 0, -1):

@@ -163,7 +163,7 @@ def _samples(data: memoryview, box: dict[bytes, tuple[int, int]]) -> tuple[np.nd
         width, count = data[a + 7], struct.unpack_from(">I", data, a + 8)[0]
         if width == 4:
             raw = _table(data, a + 12, b, ">u1", 1, -(-count // 2))[:, 0]
-            sizes = np.stack([raw >> 4, raw & 15], 1).ravel()[:count]
+            sizes = np.stack([raw >> 4, raw & 15], 1).reshape(-1)[:count]
         elif width in (8, 16):
             sizes = _table(data, a + 12, b, f">u{width // 8}", 1, count)[:, 0]
         else:

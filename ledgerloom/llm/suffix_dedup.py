@@ -84,8 +84,8 @@ def _window_minima(key: np.ndarray, width: int) -> np.ndarray:
     padded = np.full(n + -n % width, np.iinfo(np.uint64).max, np.uint64)
     padded[:n] = key
     grid = padded.reshape(-1, width)
-    ahead = np.minimum.accumulate(grid, 1).ravel()
-    back = np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].ravel()
+    ahead = np.minimum.accumulate(grid, 1).reshape(-1)
+    back = np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].reshape(-1)
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
