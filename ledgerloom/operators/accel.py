@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerloom import model as M
@@ -36,19 +35,24 @@ def segments(log: DataFrame, events: int = M.PACK_EVENTS) -> DataFrame:
 
 
 def segments_by_bytes(log: DataFrame, events: int = M.PACK_EVENTS, size: int = M.PACK_BYTES) -> DataFrame:
-    """Packs that close at ``events`` events or before exceeding ``size`` bytes.  Where a pack starts depends on the one before, so each scope (at most MAX_EVENTS events) runs in order."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sequence")
-        pack, n, total, out = 0, 0, 0, []
-        for b in pdf["stored_bytes"]:
-            if n and (n == events or total + b > size):
-                pack, n, total = pack + 1, 0, 0
-            n, total = n + 1, total + int(b)
-            out.append(pack)
-        return pdf.assign(pack=out).groupby("pack", as_index=False).agg(first_sequence=("sequence", "min"), last_sequence=("sequence", "max"), events=("sequence", "size"), bytes=("stored_bytes", "sum")).assign(scope_id=pdf["scope_id"].iloc[0])[["scope_id", "pack", "first_sequence", "last_sequence", "events", "bytes"]]
-
-    return log.select("scope_id", "sequence", "stored_bytes").groupBy("scope_id").applyInPandas(run, "scope_id string, pack long, first_sequence long, last_sequence long, events long, bytes long")
+    """Packs that close at ``events`` events or before exceeding ``size`` bytes.
+
+    Where a pack starts depends on the one before, so a scope's events (at most MAX_EVENTS) are folded
+    as one ordered array; scopes spread over tasks.
+    """
+    queue = log.groupBy("scope_id").agg(F.array_sort(F.collect_list(F.struct("sequence", "stored_bytes"))).alias("queue"))
+
+    def step(s, x):
+        close = (s["n"] > 0) & ((s["n"] == events) | (s["total"] + x["stored_bytes"] > size))
+        pack = s["pack"] + close.cast("long")
+        return F.struct(
+            pack.alias("pack"), (F.when(close, 0).otherwise(s["n"]) + 1).cast("long").alias("n"), (F.when(close, 0).otherwise(s["total"]) + x["stored_bytes"]).cast("long").alias("total"), F.concat(s["packs"], F.array(pack)).alias("packs")
+        )
+
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("pack"), zero.alias("n"), zero.alias("total"), F.array().cast("array<bigint>").alias("packs"))
+    each = queue.select("scope_id", F.explode(F.arrays_zip(F.col("queue").alias("q"), F.aggregate("queue", start, step, lambda s: s["packs"]).alias("p"))).alias("z"))
+    return each.groupBy("scope_id", F.col("z.p").alias("pack")).agg(F.min("z.q.sequence").alias("first_sequence"), F.max("z.q.sequence").alias("last_sequence"), F.count("*").alias("events"), F.sum("z.q.stored_bytes").alias("bytes"))
 
 
 def build_packs(log: DataFrame, payload_col: str) -> DataFrame:

@@ -85,24 +85,24 @@ def equivalence_classes(conclusions: DataFrame, judged: DataFrame) -> DataFrame:
     """Greedy classes by first member, in emission order; of each class the narrowest citation stays.
 
     ``conclusions`` has run_seq, emission and span; ``judged`` the equivalent (run_seq, a, b) with a the
-    class's first member.  Membership depends on the classes before, so each run goes in order.
+    class's first member.  Membership depends on the classes before, so a run's conclusions are folded
+    as one ordered array; runs spread over tasks.
     """
     pairs = judged.groupBy("run_seq").agg(F.collect_set(F.struct("a", "b")).alias("pairs"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        same = {(p["a"], p["b"]) for p in (pdf["pairs"].iloc[0] if pdf["pairs"].iloc[0] is not None else ())}
-        firsts: list[int] = []
-        out = []
-        for e in sorted(pdf["emission"]):
-            k = next((i for i, f in enumerate(firsts) if (f, e) in same), len(firsts))
-            if k == len(firsts):
-                firsts.append(e)
-            out.append((e, k))
-        made = pd.DataFrame(out, columns=["emission", "class_no"]).merge(pdf[["emission", "span"]], on="emission").sort_values(["class_no", "span", "emission"])
-        made["kept"] = ~made["class_no"].duplicated()
-        return made.assign(run_seq=pdf["run_seq"].iloc[0])[["run_seq", "emission", "class_no", "kept"]]
-
-    return conclusions.join(pairs, "run_seq", "left").groupBy("run_seq").applyInPandas(run, "run_seq long, emission long, class_no long, kept boolean")
+    queue = conclusions.groupBy("run_seq").agg(F.array_sort(F.collect_list(F.struct("emission", "span"))).alias("queue")).join(pairs, "run_seq", "left")
+    queue = queue.withColumn("pairs", F.coalesce("pairs", F.array().cast("array<struct<a:bigint,b:bigint>>")))
+
+    def step(s, x):
+        same = F.transform(s["firsts"], lambda f: F.array_contains("pairs", F.struct(f.alias("a"), x["emission"].alias("b"))))
+        at = F.array_position(same, True)
+        new = at == 0
+        return F.struct(F.when(new, F.concat(s["firsts"], F.array(x["emission"]))).otherwise(s["firsts"]).alias("firsts"), F.concat(s["classes"], F.array(F.when(new, F.size(s["firsts"]).cast("long")).otherwise(at - 1))).alias("classes"))
+
+    none = F.array().cast("array<bigint>")
+    judged_rows = queue.select("run_seq", F.explode(F.arrays_zip(F.col("queue").alias("q"), F.aggregate("queue", F.struct(none.alias("firsts"), none.alias("classes")), step, lambda s: s["classes"]).alias("c"))).alias("z"))
+    rows = judged_rows.select("run_seq", F.col("z.q.emission").alias("emission"), F.col("z.c").alias("class_no"), F.col("z.q.span").alias("span"))
+    best = Window.partitionBy("run_seq", "class_no").orderBy("span", "emission")
+    return rows.select("run_seq", "emission", "class_no", (F.row_number().over(best) == 1).alias("kept"))
 
 
 PATH_BYTES, PATH_DEPTH = 180, 10

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ledgerloom import model as M
 from ledgerloom.functions import scalar
 from ledgerloom.operators import accel, audit, fold, graph, intake, lookups, measure, scheduling, verify
+from ledgerloom.sources import sinks
+from ledgerloom.streaming import incremental
 
 from .adapters import NOW_MS, prelude, relation
 
@@ -665,6 +668,140 @@ def _(t):
     return t("texts").select("doc_id", scalar.bounded_text(F.col("text"), 100).alias("text"))
 
 
+# ---------------------------------------------------------------- proposals, commits, queues
+
+_PROPOSALS = """SELECT s.scope_id, SHA[concat('proposal|', s.k)] AS plan_digest, CASE WHEN s.k % 13 = 1 THEN SHA['else'] ELSE s.objective_digest END AS objective_digest, CASE WHEN s.k % 11 = 2 THEN SHA['old'] ELSE s.active_plan_digest END AS parent_plan_digest,
+      CASE WHEN s.k % 17 = 3 THEN 99999999999999999 ELSE 100 END AS reserved_budget_units, CASE WHEN s.k % 7 = 4 THEN 100000 WHEN s.k % 7 = 5 THEN 2 ELSE 1 END AS at, s.k FROM scopes AS s"""
+
+
+def _proposals(t):
+    k = F.col("k")
+    s = t("scopes").withColumn("at", F.when(k % 7 == 4, 100000).when(k % 7 == 5, 2).otherwise(1).cast("long"))
+    facts = t("log").select("scope_id", F.col("sequence").alias("at"), "digest")
+    j = s.join(facts, ["scope_id", "at"], "left")
+    basis = F.struct(F.lit("observation").alias("kind"), F.when(k % 9 == 6, F.sha2(F.lit("stale"), 256)).otherwise(F.coalesce("digest", F.lit("none"))).alias("digest"), F.col("at").alias("sequence"))
+    prior = F.struct(F.lit("prior_revision").alias("kind"), F.coalesce("active_plan_digest", F.lit("none")).alias("digest"), F.lit(None).cast("long").alias("sequence"))
+    return j.select(
+        "scope_id", F.sha2(F.concat(F.lit("proposal|"), k), 256).alias("plan_digest"), F.when(k % 13 == 1, F.sha2(F.lit("else"), 256)).otherwise(F.col("objective_digest")).alias("objective_digest"), F.when(k % 11 == 2, F.sha2(F.lit("old"), 256)).otherwise(F.col("active_plan_digest")).alias("parent_plan_digest"),
+        F.when(k % 17 == 3, 99999999999999999).otherwise(100).alias("reserved_budget_units"), F.when(F.col("active_plan_digest").isNull(), F.array(basis)).otherwise(F.array(prior, basis)).alias("bases"), "k",
+    )
+
+
+def _specs(t):
+    """Per proposal a chain of five items, its last edge turned to the start, to itself, to nowhere, or an item doubled in some."""
+    k = F.col("k")
+    p = _proposals(t).select("plan_digest", "k", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i"))
+    name = F.when((k % 5 == 4) & (F.col("i") == 4), "w0").otherwise(F.concat(F.lit("w"), F.col("i")))
+    before = F.when(F.col("i") > 0, F.array(F.concat(F.lit("w"), F.col("i") - 1))).otherwise(F.array().cast("array<string>"))
+    turned = F.when((k % 5 == 1) & (F.col("i") == 0), F.array(F.lit("w3"))).when((k % 5 == 2) & (F.col("i") == 2), F.array(F.lit("w2"))).when((k % 5 == 3) & (F.col("i") == 1), F.array(F.lit("nowhere"))).otherwise(before)
+    return p.select("plan_digest", name.alias("work_id"), turned.alias("dependencies"))
+
+
+_GRAPH = "CASE k % 5 WHEN 0 THEN 'valid' WHEN 3 THEN 'unknown_dependency' WHEN 4 THEN 'duplicate_work' ELSE 'cyclic_dependency' END"
+
+
+@_query("proposal_graph", f"WITH p AS ({_PROPOSALS}) SELECT plan_digest, {_GRAPH} AS verdict FROM p")
+def _(t):
+    return graph.proposal_graph(_specs(t))
+
+
+@_query(
+    "proposal_gate",
+    f"""WITH p AS ({_PROPOSALS}) SELECT p.plan_digest, p.scope_id, CASE WHEN p.objective_digest <> s.objective_digest THEN 'objective_mismatch' WHEN p.parent_plan_digest IS DISTINCT FROM s.active_plan_digest THEN 'stale_basis'
+        WHEN p.at > s.sequence THEN 'missing_basis' WHEN p.k % 9 = 6 THEN 'stale_basis' WHEN (SELECT payload_type FROM log AS l WHERE l.scope_id = p.scope_id AND l.sequence = p.at) <> 'root_genesis' THEN 'unsupported_planning_input'
+        WHEN p.k % 5 <> 0 THEN CASE p.k % 5 WHEN 3 THEN 'unknown_dependency' WHEN 4 THEN 'duplicate_work' ELSE 'cyclic_dependency' END WHEN p.reserved_budget_units > {M.MAX_INTEGER} THEN 'budget_out_of_range' ELSE 'admissible' END AS verdict
+      FROM p JOIN scopes AS s ON s.scope_id = p.scope_id""",
+)
+def _(t):
+    return graph.proposal_gate(_proposals(t).drop("k"), t("scopes"), t("log"), graph.proposal_graph(_specs(t)))
+
+
+@_query(
+    "head_resolve",
+    """SELECT scope_id, CASE WHEN k % 6 = 0 THEN CASE WHEN k % 12 = 0 THEN 'retry_identically' ELSE 'unresolved' END WHEN k % 6 = 1 THEN CASE WHEN k % 5 = 0 THEN 'unresolved' ELSE 'committed' END WHEN k % 6 = 2 THEN 'retry_identically' WHEN k % 6 = 3 THEN 'unresolved' ELSE 'reconcile' END AS verdict FROM heads""",
+)
+def _(t):
+    k = F.col("k")
+    parent = F.when(k % 12 != 0, F.lit("op-parent"))
+    row = t("heads").select(
+        "scope_id", F.lit("op-mine").alias("operation_id"), F.lit("t").alias("tail"), F.lit("p").alias("plan"), F.lit(3).alias("epoch"), F.when(k % 6 == 1, "op-mine").when(k % 6 == 3, "op-parent").when(k % 6 != 0, "op-other").alias("current_operation"),
+        F.lit("t").alias("current_tail"), F.lit("p").alias("current_plan"), F.when(k % 5 == 0, 2).otherwise(3).alias("current_epoch"), F.lit(True).alias("same_bytes"), parent.alias("parent_operation"), (k % 6 == 2).alias("parent_is_current"),
+    )
+    return intake.resolve_head(row)
+
+
+@_query(
+    "claim_restore",
+    f"""SELECT scope_id, work_id, work_revision, CASE WHEN take THEN claim_fence + 1 ELSE claim_fence END AS claim_fence, CASE WHEN take THEN {NOW_MS} ELSE claim_lease_until END AS claim_lease_until
+      FROM (SELECT *, key % 3 = 0 AND key % 4 <> 1 AND claim_fence IS NOT NULL AS take FROM work)""",
+)
+def _(t):
+    key = F.col("key")
+    claims = t("work").select("scope_id", "work_id", "work_revision", F.when(key % 3 == 0, "active").otherwise("sealed").alias("state"), F.when(key % 4 == 1, "other").otherwise(F.col("plan_digest")).alias("plan_digest"), (F.col("claim_fence") + 1).alias("claim_fence"), F.lit(NOW_MS).alias("lease_until"))
+    return fold.restore_claims(t("work"), claims.filter("claim_fence IS NOT NULL")).select("scope_id", "work_id", "work_revision", "claim_fence", "claim_lease_until")
+
+
+@_query(
+    "write_swap",
+    """WITH a AS (SELECT scope_id AS key, arrival, concat('t', arrival, '-', work_id) AS proposed, fence % 2 = 0 AS fresh, work_id FROM claim_ops)
+      SELECT key, arrival, proposed, CASE WHEN fresh AND row_number() OVER (PARTITION BY key, fresh ORDER BY arrival, work_id) = 1 THEN 'committed' ELSE 'precondition_failed' END AS verdict FROM a""",
+)
+def _(t):
+    o = t("claim_ops")
+    order = F.struct("arrival", "work_id")
+    tries = o.select(F.col("scope_id").alias("key"), F.when(F.col("fence") % 2 == 0, "now").otherwise("then").alias("observed"), order.alias("arrival"), F.concat(F.lit("t"), "arrival", F.lit("-"), "work_id").alias("proposed"))
+    return sinks.compare_and_swap(t("scopes").select(F.col("scope_id").alias("key"), F.lit("now").alias("tag")), tries).select("key", F.col("arrival.arrival").alias("arrival"), "proposed", "verdict")
+
+
+@_query("intake_queue", "SELECT scope_id, sequence, CASE WHEN sequence >= 60 THEN 'stopped' WHEN sequence <= 40 THEN 'accepted' ELSE 'overloaded' END AS verdict FROM log")
+def _(t):
+    q = t("log").select(F.col("scope_id").alias("queue"), F.col("sequence").alias("arrival"))
+    return incremental.intake_queue(q, 40, 60).select(F.col("queue").alias("scope_id"), F.col("arrival").alias("sequence"), "verdict")
+
+
+@_query("shutdown_tally", "SELECT scope_id, count(*) FILTER (sequence >= 60) AS shed, count(*) FILTER (sequence <= 40) AS resolved, count(*) FILTER (sequence > 40 AND sequence < 60) AS unresolved FROM log GROUP BY scope_id")
+def _(t):
+    q = incremental.intake_queue(t("log").select(F.col("scope_id").alias("queue"), F.col("sequence").alias("arrival")), 40, 60)
+    return q.groupBy(F.col("queue").alias("scope_id")).agg(*(F.count_if(F.col("verdict") == v).alias(n) for v, n in (("stopped", "shed"), ("accepted", "resolved"), ("overloaded", "unresolved"))))
+
+
+@_query("measure_invalid", "SELECT run_seq, count(*) AS calls, count(*) FILTER (NOT (flag = 'R' AND item % 2 = 0)) AS slots FROM attempts GROUP BY run_seq")
+def _(t):
+    c = t("attempts").select("run_seq", F.when(F.col("flag") == "R", "rate_limited").otherwise("completed").alias("outcome"), (F.col("item") % 2 == 1).alias("has_content"))
+    return measure.invalid_attempts(c)
+
+
+@_query("equivalence_classes")
+def _(t):
+    a = t("attempts").dropDuplicates(["run_seq", "item"])
+    said = a.select("run_seq", F.col("item").alias("emission"), (F.col("artifact") % 10).alias("span"))
+    same = a.alias("x").join(a.alias("y"), "run_seq").filter("x.item < y.item AND (x.artifact + y.artifact) % 3 = 0").select("run_seq", F.col("x.item").alias("a"), F.col("y.item").alias("b"))
+    return graph.equivalence_classes(said, same)
+
+
+@_query("dedupe_replay", "SELECT scope_id, sequence, digest FROM log WHERE sequence % 9 <> 4")
+def _(t):
+    log = t("log").select("scope_id", "sequence", "digest", "operation_id")
+    again = log.filter("sequence % 3 = 0").unionByName(log.filter("sequence % 9 = 4").withColumn("digest", F.sha2(F.lit("other"), 256)))
+    return fold.idempotent(log.unionByName(again))[0].select("scope_id", "sequence", "digest")
+
+
+@_query("stream_fold", "SELECT scope_id, s.sequence, tail_event_digest AS digest, (SELECT max(writer_epoch) FROM log AS l WHERE l.scope_id = s.scope_id) AS writer_epoch, (SELECT plan_digest FROM log AS l WHERE l.scope_id = s.scope_id AND l.payload_type = 'plan_admitted') AS active_plan_digest FROM scopes AS s")
+def _(t):
+    """The fold as a stream over two deliveries of the log; equals the batch fold."""
+    log = t("log").select("scope_id", "sequence", "digest", "parent_digest", "operation_id", "writer_epoch", "payload_type", "plan_digest")
+    spark = log.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    for part in ("sequence <= 20", "sequence > 17"):  # the second repeats some of the first
+        log.filter(part).repartition(2, "scope_id").write.mode("append").parquet(f"{base}/in")
+    source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    incremental.run_available(source, f"{base}/state", lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(f"{base}/out"))
+    out = spark.read.parquet(f"{base}/out")
+    last = F.max_by(F.struct("sequence", "digest", "writer_epoch", "active_plan_digest"), "batch")
+    return out.groupBy("scope_id").agg(last.alias("s")).select("scope_id", "s.*")
+
+
 def _tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Relations of the registry that are plain tables, or one step above."""
     if name == "texts":
