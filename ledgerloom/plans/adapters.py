@@ -32,7 +32,7 @@ RELATIONS: dict[str, str] = {
             CASE WHEN o_orderstatus <> 'O' OR o_orderkey % 2 = 0 THEN CAST(2 + o_orderkey % 9 AS BIGINT) END AS claim_fence,
             CASE WHEN o_orderstatus <> 'O' OR o_orderkey % 2 = 0 THEN MS[o_orderdate] + 15768000000 END AS claim_lease_until,
             MS[o_orderdate] AS ms, o_orderkey AS key, o_orderstatus AS status
-          FROM orders CROSS JOIN (SELECT max(user_id) + 1 AS n FROM events) AS m) AS a) AS b""",
+          FROM (SELECT *, (SELECT max(user_id) + 1 FROM events) AS n FROM orders) AS o) AS a) AS b""",
     "deps": """SELECT scope_id, work_id, work_revision, depends_on_work_id, CAST(1 AS BIGINT) AS depends_on_work_revision FROM (
           SELECT scope_id, work_id, work_revision, lag(work_id) OVER (PARTITION BY k, plan_digest ORDER BY deadline_unix_ms, work_id) AS depends_on_work_id FROM work) AS a WHERE depends_on_work_id IS NOT NULL""",
     "ranked_work": """SELECT k, work_id, work_revision, grant_digest, key, row_number() OVER (PARTITION BY k ORDER BY key) AS r, count(*) OVER (PARTITION BY k) AS c FROM work""",
@@ -63,8 +63,8 @@ RELATIONS: dict[str, str] = {
           key % 37 <> 0 AS same_binding, key FROM work""",
     "packs": """SELECT scope_id, g AS pack_id, min(sequence) AS first_sequence, max(sequence) AS last_sequence FROM (SELECT *, CAST(floor((sequence - 1) / 16.0) AS BIGINT) AS g FROM raw_log) AS a
         WHERE (k * 5 + g * 3) % 7 <> 0 GROUP BY k, scope_id, g""",
-    "claim_ops": """SELECT scope_id, work_id, work_revision, i AS arrival, CAST(1 + (key * 3 + i * 5) % 6 AS BIGINT) AS fence, 852000000000 + (key * 7 + i * i * 13) % 50 * 1000 AS lease_until, 852000000000 + i * 9000 AS now_ms
-        FROM work CROSS JOIN (SELECT CAST(event_id AS BIGINT) AS i FROM events WHERE event_id BETWEEN 0 AND 5) AS s WHERE key % 3 = 1""",
+    "claim_ops": """SELECT l.scope_id, w.work_id, w.work_revision, l.sequence AS arrival, CAST(1 + (l.event_id * 3 + l.sequence * 5) % 6 AS BIGINT) AS fence, 852000000000 + (l.event_id * 7 + l.sequence * 13) % 90 * 10000 AS lease_until, 852000000000 + l.sequence * 9000 AS now_ms
+        FROM raw_log AS l JOIN ranked_work AS w ON l.k = w.k AND w.r = 1 + l.event_id % (CASE WHEN w.c > 9 THEN 9 ELSE w.c END)""",
     "runs": """SELECT o_orderkey AS run_seq, CASE WHEN o_orderkey % 2 = 0 THEN 'research' ELSE 'change' END AS pilot, CASE o_orderkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS cell, MS[o_orderdate] AS start_ms, o_orderstatus FROM orders""",
     "attempts": """SELECT l_orderkey AS run_seq, CAST(l_linenumber AS BIGINT) AS item, concat('agent-', l_suppkey % 8) AS agent_id, concat('host-', l_suppkey % 3) AS host_id,
           MS[l_shipdate] AS ts_ms, CAST(l_quantity * 1000 AS BIGINT) AS busy_ms, CAST(l_quantity * 1700 AS BIGINT) AS life_ms, CAST(l_partkey % 400 AS BIGINT) * 1000 AS input_tokens, CAST(l_suppkey % 100 AS BIGINT) * 50 AS output_tokens,

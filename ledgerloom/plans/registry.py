@@ -79,11 +79,11 @@ def _(t):
     return scheduling.admit_in_order(t("requests"), t("work"), t("scopes"), NOW_MS, "key")
 
 
-_PROBES = "SELECT scope_id, CASE WHEN sequence % 3 = 0 THEN 'op-none' ELSE operation_id END AS operation_id, CASE WHEN sequence % 4 = 1 THEN SHA['else'] ELSE coalesce(grant_digest, digest) END AS grant_digest FROM log WHERE sequence % 2 = 1"
+_PROBES = "SELECT scope_id, CASE WHEN sequence % 3 = 0 THEN 'op-none' ELSE operation_id END AS operation_id, CASE WHEN sequence % 4 = 1 THEN SHA['else'] ELSE coalesce(grant_digest, digest) END AS grant_digest FROM log"
 
 
 def _probes(t):
-    return t("log").filter("sequence % 2 = 1").select("scope_id", F.when(F.col("sequence") % 3 == 0, "op-none").otherwise(F.col("operation_id")).alias("operation_id"), F.when(F.col("sequence") % 4 == 1, F.sha2(F.lit("else"), 256)).otherwise(F.coalesce("grant_digest", "digest")).alias("grant_digest"))
+    return t("log").select("scope_id", F.when(F.col("sequence") % 3 == 0, "op-none").otherwise(F.col("operation_id")).alias("operation_id"), F.when(F.col("sequence") % 4 == 1, F.sha2(F.lit("else"), 256)).otherwise(F.coalesce("grant_digest", "digest")).alias("grant_digest"))
 
 
 @_query(
@@ -154,11 +154,11 @@ def _(t):
 
 @_query(
     "event_duplicate",
-    """WITH c AS (SELECT scope_id, CASE WHEN sequence % 3 = 0 THEN SHA['new'] ELSE digest END AS digest, CASE WHEN sequence % 2 = 0 THEN 'op-new' ELSE operation_id END AS operation_id FROM log WHERE sequence % 5 = 2)
+    """WITH c AS (SELECT scope_id, CASE WHEN sequence % 3 = 0 THEN SHA['new'] ELSE digest END AS digest, CASE WHEN sequence % 2 = 0 THEN 'op-new' ELSE operation_id END AS operation_id FROM log)
       SELECT scope_id, digest, operation_id, EXISTS (SELECT 1 FROM log AS l WHERE l.scope_id = c.scope_id AND (l.digest = c.digest OR l.operation_id = c.operation_id)) AS duplicate FROM c""",
 )
 def _(t):
-    c = t("log").filter("sequence % 5 = 2").select("scope_id", F.when(F.col("sequence") % 3 == 0, F.sha2(F.lit("new"), 256)).otherwise(F.col("digest")).alias("digest"), F.when(F.col("sequence") % 2 == 0, "op-new").otherwise(F.col("operation_id")).alias("operation_id"))
+    c = t("log").select("scope_id", F.when(F.col("sequence") % 3 == 0, F.sha2(F.lit("new"), 256)).otherwise(F.col("digest")).alias("digest"), F.when(F.col("sequence") % 2 == 0, "op-new").otherwise(F.col("operation_id")).alias("operation_id"))
     return lookups.duplicate_probe(t("log"), c)
 
 
