@@ -15,6 +15,7 @@ toxic label nothing is rejected.  Repeated rows get equal results.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -110,31 +111,47 @@ def fit_ordinal(rows: np.ndarray, words: np.ndarray, n_words: int, grades: np.nd
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fits on the sampled labelled documents; only their words (at most ``sample`` rows) reach the driver."""
+    """Fits on the sampled labelled documents, in one task; only the weights reach the driver."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("__toxic"))
     chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(sample)
     texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # the sample has a fixed bound, so it is the side to broadcast
-    joined = texts.join(F.broadcast(chosen), "__id").select(F.col("__toxic").cast("long").alias("toxic"), "text")
+    joined = texts.join(F.broadcast(chosen), "__id").select(F.xxhash64("__id").alias("place"), F.col("__toxic").cast("long").alias("toxic"), "text")
 
     def words(piece: pa.RecordBatch) -> dict[str, list]:
-        return {"toxic": piece.column("toxic"), "words": [sorted(features(t)) for t in piece.column("text").to_pylist()]}
-
-    table = map_slices(joined, "toxic long, words array<string>", words).toArrow().combine_chunks()
+        return {"place": piece.column("place"), "toxic": piece.column("toxic"), "words": [sorted(features(t)) for t in piece.column("text").to_pylist()]}
+
+    def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            model = fit_words(pa.Table.from_batches(held), min_docs)
+            rows = [(None, t) for t in model.thresholds.tolist()] + sorted(model.weights.items())
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([v for _, v in rows], pa.float64())], ["word", "value"])
+
+    # the sample is small enough for one task, which spares the driver its words
+    found = map_slices(joined, "place long, toxic long, words array<string>", words).coalesce(1).mapInArrow(learn, "word string, value double").collect()
+    thresholds = np.sort([r["value"] for r in found if r["word"] is None])
+    if not len(thresholds):
+        thresholds = np.full(GRADES, 60.0)
+    return Model({r["word"]: r["value"] for r in found if r["word"] is not None}, thresholds)
+
+
+def fit_words(table: pa.Table, min_docs: int = MIN_DOCS) -> Model:
+    """The model of labelled documents: place (an order that doesn't depend on how rows arrived), toxic and words."""
+    table = table.sort_by([("place", "ascending"), ("toxic", "ascending")]).combine_chunks()
     toxic = table.column("toxic").to_numpy()
     lists = table.column("words").combine_chunks()
     rows = np.repeat(np.arange(len(toxic)), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
     coded = lists.flatten().dictionary_encode()
     del table, lists
     code, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
-    # an order of features that doesn't depend on the order in which rows arrived
     order = pc.sort_indices(names).to_numpy()
     counts = np.bincount(code, minlength=len(names))
     order = order[counts[order] >= min_docs]
     rows, code, order = _selected(rows, code, len(names), order)
     strong = marks(rows, code, len(order), toxic)
     rows, code, order = _selected(rows, code, len(order), np.flatnonzero(strong), order)
-    vocabulary = names.take(pa.array(order)).to_pylist()
+    vocabulary = names.take(pa.array(order, pa.int64())).to_pylist()
     w, theta = fit_ordinal(rows, code, len(order), severity_grades(rows, toxic), GRADES + 1)
     if not (toxic > 0).any():
         w[:] = 0
