@@ -3,14 +3,16 @@
 P(grade > k) = sigmoid(score - threshold_k) with one weight per word for all thresholds.  Grade 0
 is not toxic.  The labels say only whether a document is toxic, so the grades above 0 come from the
 text: toxic documents are split at quantiles of how many different words they hold that mark toxic
-documents in the labelled sample; such words (and word beginnings) are the features.  A document is rejected when P(grade > 0) exceeds 0.5.
+documents in the labelled sample; such words (and word beginnings) are the features.  A document is
+rejected when P(grade > 0) exceeds 0.5.
 
 Fitting uses a bounded sample: the ``sample`` labelled rows with the smallest hash of their id, so
 the same rows at every run.  Everything else covers all documents and whole texts.
 
 Null and empty texts have no features and take the baseline score.  Labels that are null or whose
-document is missing are left out; of several labels of a document the highest counts.  Without any
-toxic label nothing is rejected.  Repeated rows get equal results.
+document is missing are left out; of several labels of a document the highest counts, of several
+texts under a labelled id the smallest.  Without any toxic label nothing is rejected.  Repeated rows
+get equal results.
 """
 
 from __future__ import annotations
@@ -116,7 +118,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, min_docs: int
     chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(sample)
     texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # the sample has a fixed bound, so it is the side to broadcast
-    joined = texts.join(F.broadcast(chosen), "__id").select(F.xxhash64("__id").alias("place"), F.col("__toxic").cast("long").alias("toxic"), "text")
+    one = texts.join(F.broadcast(chosen), "__id").groupBy("__id", "__toxic").agg(F.min("text").alias("text"))
+    joined = one.select(F.xxhash64("__id").alias("place"), F.col("__toxic").cast("long").alias("toxic"), "text")
 
     def words(piece: pa.RecordBatch) -> dict[str, list]:
         return {"place": piece.column("place"), "toxic": piece.column("toxic"), "words": [sorted(features(t)) for t in piece.column("text").to_pylist()]}
