@@ -71,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embed_dedup": embed_dedup.oracle(), "op8_secret_scan": secret_scan.oracle(), "op9_suffix_dedup": suffix_dedup.oracle(), "op10_minhash_dedup": minhash_dedup.oracle()}
+    return {"op2_embed_dedup": embed_dedup.oracle(), "op7_line_dedup": line_dedup.oracle(), "op8_secret_scan": secret_scan.oracle(), "op9_suffix_dedup": suffix_dedup.oracle(), "op10_minhash_dedup": minhash_dedup.oracle()}
