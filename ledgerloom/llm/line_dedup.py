@@ -7,7 +7,7 @@ has a Jaccard similarity of at least ``SIMILAR`` hundredths, be that line itself
 Words are ordered by rarity: a fixed-size table of counters over all words of the corpus gives each
 word its frequency class, and the word's hash breaks ties.  Similar sets share a word within their
 prefixes, so prefixes are joined; pairs must also pass the length filter, the positional filter and
-a bound from 64-bit parity signatures before their full sets are compared.
+a bound from parity signatures before their full sets are compared.
 
 Equal sets are one node.  Words in many prefixes are handled apart: lines are first tried against
 single partners of such a word, and only the lines that no partner removes meet all earlier lines
@@ -20,17 +20,21 @@ are compared by 56 bits of hash and their frequency class, sets by 64 bits.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .components import cut
+from .components import checked, cut
 
 #: Least similarity in hundredths.
 SIMILAR = 80
 #: Counters of the frequency table (2 ** BITS bytes): its size doesn't depend on the corpus.
-BITS = 20
+BITS = 18
+#: Lines of more words have signatures of 128 parities, others of 64.
+LONG = 64
 #: Words in more prefixes than this are handled apart.
-CROWD = 32
+CROWD = 256
 #: Partners that lines of such words are tried against.
 TRIES = 4
 
@@ -46,6 +50,11 @@ def rarity_table(docs: DataFrame, text_col: str = "text") -> Column:
     return F.lit(bytearray(out.tobytes()))
 
 
+def _frequency(count: int) -> int:
+    """Frequency class of a count."""
+    return math.floor(4 * math.log2(count + 1))
+
+
 def _slot(h: Column) -> Column:
     return F.shiftrightunsigned(h, 64 - BITS).cast("int")
 
@@ -61,6 +70,23 @@ def word_set(line: Column, rarity: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(line, r"\s+"), ""), code)))
 
 
+def plain_set(line: Column) -> Column:
+    """The different words of a line by their hashes alone, as ``word_set`` holds them below the frequency class."""
+    return F.array_distinct(F.transform(F.array_remove(F.split(line, r"\s+"), ""), lambda w: F.shiftrightunsigned(F.xxhash64(w), 8)))
+
+
+def _signature(words: str, size: Column) -> Column:
+    """Parities of the words that share the low bits of their hash: 64 in ``low``, or for long lines 128 in ``low`` and ``high``.
+
+    A word flips one parity, so two sets differ in at least as many words as parities.  The xor of both
+    halves is the signature of 64.
+    """
+    flip = "shiftleft(1L, cast(x & 63 as int))"
+    fold = F.expr(f"aggregate({words}, 0L, (a, x) -> a ^ {flip})")
+    high = F.when(size > LONG, F.expr(f"aggregate({words}, 0L, (a, x) -> if(x & 64 = 0, a, a ^ {flip}))")).otherwise(F.lit(0).cast("long"))
+    return F.struct(fold.bitwiseXOR(high).alias("low"), high.alias("high"))
+
+
 def _lines(docs: DataFrame, rarity: Column, id_col: str, text_col: str) -> DataFrame:
     """id, line number, set number, size, signature and prefix of each line with words."""
     lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.lower(text_col), "\n")).alias("line", "words"))
@@ -69,37 +95,46 @@ def _lines(docs: DataFrame, rarity: Column, id_col: str, text_col: str) -> DataF
     return (
         lines.select("id", "line", word_set(F.col("words"), rarity).alias("words"))
         .filter(n > 0)
-        .select("id", "line", F.xxhash64("words").alias("sid"), n.alias("n"), F.expr("aggregate(words, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))").alias("sig"), F.slice("words", F.lit(1), prefix).alias("prefix"))
+        .select("id", "line", F.xxhash64("words").alias("sid"), n.alias("n"), _signature("words", n).alias("sig"), F.slice("words", F.lit(1), prefix).alias("prefix"))
     )
 
 
 def _possible(x: str, y: str) -> Column:
-    """Whether the filters let the pair of prefix rows pass; ``x`` is the earlier line."""
+    """Whether the filters let a pair of prefix rows pass."""
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
     # 100 * both >= SIMILAR * (n + m - both)
     least = F.ceil(SIMILAR * (n + m) / (100 + SIMILAR) - F.lit(1e-9))
+    low, high = (F.col(f"{x}.{part}").bitwiseXOR(F.col(f"{y}.{part}")) for part in ("low", "high"))
+    differ = F.when(F.least(n, m) > LONG, F.bit_count(low) + F.bit_count(high)).otherwise(F.bit_count(low.bitwiseXOR(high)))
     return (
-        (F.struct(f"{x}.id", f"{x}.line") < F.struct(f"{y}.id", f"{y}.line"))
-        & (100 * F.least(n, m) >= SIMILAR * F.greatest(n, m))
+        (100 * F.least(n, m) >= SIMILAR * F.greatest(n, m))
         & (F.least(n - F.col(f"{x}.at"), m - F.col(f"{y}.at")) >= least)
-        & (n + m - F.bit_count(F.col(f"{x}.sig").bitwiseXOR(F.col(f"{y}.sig"))) >= 2 * least)
+        & (n + m - differ >= 2 * least)
     )
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The later set (y) of each pair whose full sets are similar enough."""
-    both = pairs.join(sets.withColumnsRenamed({"sid": "x", "words": "of_x"}), "x").join(sets.withColumnsRenamed({"sid": "y", "words": "of_y"}), "y")
-    shared = F.size(F.array_intersect("of_x", "of_y"))
-    return both.filter(100 * shared >= SIMILAR * (F.size("of_x") + F.size("of_y") - shared)).select("y").distinct()
+    """The later set (sid) of each pair (x, y) whose full sets are similar enough."""
+    side = lambda c: sets.select(F.col("sid").alias(c), F.struct("id", "line").alias(f"{c}_at"), F.col("words").alias(f"{c}_words"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y")
+    shared = F.size(F.array_intersect("x_words", "y_words"))
+    ok = both.filter(100 * shared >= SIMILAR * (F.size("x_words") + F.size("y_words") - shared))
+    return ok.select(F.when(F.col("x_at") < F.col("y_at"), F.col("y")).otherwise(F.col("x")).alias("sid")).distinct()
+
 
+def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """sid, first line (id, line) and plain word set of the wanted sets (sid, id, line, n, sig), read again from there.
 
-def _full_sets(docs: DataFrame, wanted: DataFrame, rarity: Column, id_col: str, text_col: str) -> DataFrame:
-    """sid and full word set of the wanted sets (sid, id, line), read again from their first lines."""
-    lists = wanted.groupBy("id").agg(F.collect_list(F.struct("line", "sid")).alias("wanted"))
+    Size and signature have to agree, which tells texts apart that share an id.
+    """
+    lists = checked(cut(wanted.groupBy("id").agg(F.collect_list(F.struct("line", "sid", "n", "sig")).alias("wanted"))), F.size("wanted"))
     source = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("own_text"))
-    found = source.join(lists, F.col("own_id").eqNullSafe(F.col("id"))).select(F.split(F.lower("own_text"), "\n").alias("lines"), F.explode("wanted").alias("w"))
-    made = found.select(F.col("w.sid").alias("sid"), word_set(F.get("lines", F.col("w.line")), rarity).alias("words"))
-    return made.filter(F.xxhash64("words") == F.col("sid")).dropDuplicates(["sid"])
+    lines = F.split(F.lower("own_text"), "\n")
+    found = source.join(lists, F.col("own_id").eqNullSafe(F.col("id"))).withColumn("lines", lines)
+    picked = F.transform("wanted", lambda w: F.struct(w["sid"].alias("sid"), w["line"].alias("line"), w["n"].alias("n"), w["sig"].alias("sig"), F.get("lines", w["line"]).alias("text")))
+    each = found.select("id", F.explode(picked).alias("w"))
+    made = each.select(F.col("w.sid").alias("sid"), "id", F.col("w.line").alias("line"), "w.n", "w.sig", plain_set(F.col("w.text")).alias("words"))
+    return made.filter((F.size("words") == F.col("n")) & (_signature("words", F.size("words")) == F.col("sig"))).select("sid", "id", "line", "words")
 
 
 def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -107,25 +142,32 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rarity = rarity_table(docs, text_col)
     lines = cut(_lines(docs, rarity, id_col, text_col))
     sets = cut(lines.groupBy("sid").agg(F.min(F.struct("id", "line")).alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix")).select("sid", "first.id", "first.line", "n", "sig", "prefix"))
-    posts = sets.select("sid", "id", "line", "n", "sig", F.posexplode("prefix").alias("at", "word"))
-    crowded = cut(posts.groupBy("word").count().filter(F.col("count") > CROWD).select("word"))
+    # a word that stands once in the corpus matches nothing; one that stands CROWD times at most isn't crowded
+    frequency = F.shiftrightunsigned("word", 56)
+    posts = sets.select("sid", "n", "sig.low", "sig.high", F.posexplode("prefix").alias("at", "word")).filter(frequency > _frequency(1))
+    crowded = cut(posts.filter(frequency >= _frequency(CROWD)).groupBy("word").count().filter(F.col("count") > CROWD).select("word"))
     light = posts.join(crowded, "word", "left_anti")
-    pairs = cut(light.alias("x").join(light.alias("y"), "word").filter(_possible("x", "y")).select(F.col("x.sid").alias("x"), F.col("y.sid").alias("y")).distinct())
-    heavy = cut(posts.join(crowded, "word", "left_semi"))
-    touched = pairs.select(F.col("x").alias("sid")).union(pairs.select("y")).union(heavy.select("sid")).distinct()
-    full = cut(_full_sets(docs, sets.join(touched, "sid", "left_semi").select("sid", "id", "line"), rarity, id_col, text_col))
-    gone = cut(_verified(pairs, full))
-    open_ = heavy.join(gone, heavy["sid"] == gone["y"], "left_anti")
-    row = F.struct("id", "line", "sid", "n", "sig", "at")
+    pair = (F.col("x.sid").alias("x"), F.col("y.sid").alias("y"))
+    pairs = cut(light.alias("x").join(light.alias("y"), "word").filter((F.col("x.sid") < F.col("y.sid")) & _possible("x", "y")).select(*pair).distinct())
+    heavy = cut(posts.join(crowded, "word", "left_semi").join(sets.select("sid", "id", "line"), "sid"))
+    row, place = F.struct("id", "line", "sid", "n", "low", "high", "at"), F.struct("id", "line")
+    earlier = F.struct("x.id", "x.line") < F.struct("y.id", "y.line")
     for k in range(TRIES):  # the earliest line of the word, then lines that a hash picks
-        order = F.struct("id", "line") if k == 0 else F.struct(F.xxhash64("sid", "word", F.lit(k)))
-        partner = heavy.groupBy("word").agg(F.min_by(row, order).alias("x")).select("word", "x.*")
-        tries = open_.alias("y").join(partner.alias("x"), "word").filter(_possible("x", "y")).select(F.col("x.sid").alias("x"), F.col("y.sid").alias("y")).distinct()
-        gone = cut(gone.union(_verified(tries, full)).distinct())
-        open_ = heavy.join(gone, heavy["sid"] == gone["y"], "left_anti")
-    rest = heavy.alias("x").join(open_.alias("y"), "word").filter(_possible("x", "y")).select(F.col("x.sid").alias("x"), F.col("y.sid").alias("y")).distinct()
-    gone = cut(gone.union(_verified(rest, full)).distinct())
-    first = sets.select("sid", F.col("id").alias("first_id"), F.col("line").alias("first_line")).join(gone.select(F.col("y").alias("sid"), F.lit(True).alias("gone")), "sid", "left")
+        partner = heavy.groupBy("word").agg(F.min_by(row, place if k == 0 else F.xxhash64("sid", "word", F.lit(k))).alias("x")).select("word", "x.*")
+        pairs = pairs.union(heavy.alias("y").join(partner.alias("x"), "word").filter(earlier & _possible("x", "y")).select(*pair))
+    pairs = cut(pairs.distinct())
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        touched = pairs.select(F.col("x").alias("sid")).union(pairs.select("y")).distinct()
+        wanted = sets.join(touched, "sid", "left_semi").select("sid", "id", "line", "n", "sig")
+        return _verified(pairs, cut(_full_sets(docs, wanted, id_col, text_col)))
+
+    gone = cut(verified(pairs))
+    open_ = heavy.join(gone, "sid", "left_anti")
+    rest = cut(heavy.alias("x").join(open_.alias("y"), "word").filter(earlier & _possible("x", "y")).select(*pair).distinct().join(pairs, ["x", "y"], "left_anti"))
+    if not rest.isEmpty():
+        gone = cut(gone.union(verified(rest)).distinct())
+    first = sets.select("sid", F.col("id").alias("first_id"), F.col("line").alias("first_line")).join(gone.withColumn("gone", F.lit(True)), "sid", "left")
     later = ~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("line") == F.col("first_line")))
     return lines.select("id", "line", "sid"), lines.select("id", "line", "sid").join(first, "sid").filter(F.col("gone").isNotNull() | later).select("id", "line").distinct()
 
@@ -136,7 +178,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A null text stays null.  A column named removed_lines is replaced.
     """
     _, gone = later_matches(docs, id_col, text_col)
-    lists = gone.groupBy(F.col("id").alias("__id")).agg(F.sort_array(F.collect_list("line")).alias("__gone"))
+    lists = checked(cut(gone.groupBy(F.col("id").alias("__id")).agg(F.sort_array(F.collect_list("line")).alias("__gone"))), F.size("__gone"))
     out = docs.join(lists, F.col(id_col).eqNullSafe(F.col("__id")), "left")
     lines = F.split(F.col(text_col), "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
@@ -151,3 +193,22 @@ def line_query(docs: DataFrame) -> DataFrame:
     kept = dedup_lines(docs.select("doc_id", "text", F.size(F.split("text", "\n")).alias("n_lines")))
     text = F.coalesce("text", F.lit(""))
     return kept.select("doc_id", F.greatest(F.coalesce("n_lines", F.lit(0)), F.lit(0)).cast("long").alias("n_lines"), F.size("removed_lines").cast("long").alias("n_removed"), F.octet_length(text).cast("long").alias("kept_bytes"), F.sha2(text, 256).alias("kept_sha256"))
+
+
+def oracle() -> str:
+    """DuckDB SQL with exact word frequencies, a prefix join and list intersections."""
+    share = SIMILAR / 100
+    return rf"""
+      WITH l AS (SELECT doc_id, CAST(unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS INT) AS line, unnest(string_split(coalesce(text, ''), chr(10))) AS raw FROM documents),
+      w AS (SELECT doc_id, line, raw, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(raw), '[ \t\n\x0B\f\r]+'), lambda x: x <> ''))) AS words FROM l),
+      s AS (SELECT words, min(struct_pack(doc_id := doc_id, line := line)) AS first, len(words) AS n FROM w WHERE len(words) > 0 GROUP BY words),
+      e AS (SELECT row_number() OVER (ORDER BY first) AS sid, words, first, n FROM s),
+      t AS (SELECT sid, n, unnest(words) AS word FROM e),
+      f AS (SELECT word, count(*) AS c FROM t GROUP BY word),
+      p AS (SELECT sid, n, t.word, row_number() OVER (PARTITION BY sid ORDER BY c, t.word) AS nth FROM t JOIN f ON t.word = f.word),
+      q AS (SELECT sid, n, word FROM p WHERE nth <= n - ceil(n * {share} - 1e-9) + 1),
+      c AS (SELECT DISTINCT x.sid AS a, y.sid AS b FROM q AS x JOIN q AS y ON x.word = y.word AND x.sid < y.sid AND 100 * least(x.n, y.n) >= {SIMILAR} * greatest(x.n, y.n)),
+      g AS (SELECT DISTINCT c.b AS sid FROM c JOIN e AS x ON x.sid = c.a JOIN e AS y ON y.sid = c.b WHERE 100 * len(list_intersect(x.words, y.words)) >= {SIMILAR} * (x.n + y.n - len(list_intersect(x.words, y.words)))),
+      r AS (SELECT w.doc_id, w.line, w.raw, e.sid IS NOT NULL AND (g.sid IS NOT NULL OR e.first.doc_id <> w.doc_id OR e.first.line <> w.line) AS gone FROM w LEFT JOIN e ON e.words = w.words LEFT JOIN g ON g.sid = e.sid)
+      SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, CAST(strlen(coalesce(string_agg(raw, chr(10) ORDER BY line) FILTER (NOT gone), '')) AS BIGINT) AS kept_bytes, sha256(coalesce(string_agg(raw, chr(10) ORDER BY line) FILTER (NOT gone), '')) AS kept_sha256
+      FROM r GROUP BY doc_id"""
