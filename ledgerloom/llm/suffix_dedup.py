@@ -89,6 +89,11 @@ def _window_minima(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
+def _extent(whole: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Hash of a row's whole extent and of its anchor's distances from the first and last window."""
+    return _mix(whole + lo.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + hi.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
 def anchors(raw: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, ...]:
     """Anchor hash, anchor position, first and last window start and hash of the whole extent, per row of windows in a row."""
     key, _, width = sizes(depth)
@@ -103,11 +108,22 @@ def anchors(raw: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, ...]:
         a = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
         b = np.append(a[1:], len(low)) - 1
         p = (low[a] & _LOW).astype(np.int64)
-        extent = _mix(h(a, b + depth) + (p - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (p - b).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        extent = _extent(h(a, b + depth), p - a, p - b)
         out.append((hashes[p], p + first, a + first, b + first, extent))
     if not out:
         return (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+    return _joined(raw, depth, *(np.concatenate(c) for c in zip(*out, strict=True)))
+
+
+def _joined(raw: np.ndarray, depth: int, h: np.ndarray, p: np.ndarray, a: np.ndarray, b: np.ndarray, extent: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The rows with those that a stretch ends within made one again: an anchor position has one row."""
+    head = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+    last = np.append(head[1:], len(p)) - 1
+    extent = extent.copy()
+    for i, j in zip(head[head < last].tolist(), last[head < last].tolist(), strict=True):
+        whole = Hashes(raw[a[i] : b[j] + depth])(np.zeros(1, np.int64), np.array([b[j] - a[i] + depth]))
+        extent[i] = _extent(whole, p[i : i + 1] - a[i], p[i : i + 1] - b[j])[0]
+    return h[head], p[head], a[head], b[last], extent[head]
 
 
 _PACK = 1 << 16

@@ -163,6 +163,28 @@ def test_suffix_stretches(monkeypatch):
     assert place(whole) == place(parts)
 
 
+@pytest.mark.parametrize("stretch", [5, 64, 128, 301])
+def test_suffix_stretches_join(monkeypatch, stretch):
+    """A stretch boundary leaves no trace: one row per anchor position, extents included."""
+    raw = np.random.default_rng(4).integers(97, 100, 900, np.uint8)
+    whole = suffix_dedup.anchors(raw, 40)
+    monkeypatch.setattr(suffix_dedup, "STRETCH", stretch)
+    parts = suffix_dedup.anchors(raw, 40)
+    assert len(set(parts[1].tolist())) == len(parts[1])
+    assert [c.tolist() for c in parts] == [c.tolist() for c in whole]
+
+
+def test_suffix_long_text(spark):
+    """Workers import STRETCH anew, so a text is made longer than two stretches; what repeats lies at one boundary, and at the other nothing does."""
+    rng, n = np.random.default_rng(6), suffix_dedup.STRETCH
+    text = rng.integers(97, 123, 2 * n + 900, np.uint8).tobytes().decode()
+    other = "".join(rng.permutation(list("0123456789" * 20)))
+    texts = [text, other + text[n - 70 : n + 90] + other[:30]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in suffix_dedup.repeats(docs, 40, with_kept=True).collect()}
+    assert [(rows[i].n_removed, len(rows[i].spans), bytes(rows[i].kept)) for i in range(2)] == _cut(texts, 40)
+
+
 def test_suffix_awkward(awkward, nothing):
     assert len(suffix_dedup.repeat_query(awkward).collect()) == len(AWKWARD)
     assert suffix_dedup.repeat_query(nothing).collect() == []
