@@ -294,7 +294,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not second.isEmpty():
         links = cut(links.union(verify(second, sets)))
         parts = components(links)
-        links = links.union(search_whole(_apart(crowded, parts), sets))
+    apart = _apart(crowded, parts)
+    if not apart.isEmpty():
+        links = links.union(search_whole(apart, sets))
         parts = components(links)
     groups = reps.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     out = seen.select("id", "n_shingles", "set_key").join(groups, "set_key", "left")

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import components as C, embed_dedup, line_dedup, minhash_dedup, suffix_dedup
 from .conftest import AWKWARD
@@ -120,6 +121,17 @@ def test_minhash_awkward(awkward, nothing, spark):
     assert sorted(kept, key=str) == sorted([1, 2, 3, 4, 6, 7, 8, 9, 10, None], key=str)
 
 
+def test_only_mixed_bucket(spark, monkeypatch):
+    """2 and 3 are similar; 1 links with nothing, and 4, the other end of their bucket, is too long for a try."""
+    rng = random.Random(21)
+    common = _words(rng, 40)
+    rows = [(1, " ".join(_words(rng, 40))), (2, " ".join(common)), (3, " ".join([*common, "more"])), (4, " ".join(_words(rng, 400)))]
+    profile = minhash_dedup.profile
+    monkeypatch.setattr(minhash_dedup, "profile", lambda *a: profile(*a).withColumn("bands", F.array(F.lit(7).cast("long"))))
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 2, 4: 4}
+
+
 # ------------------------------------------------------------ suffixes
 
 
