@@ -11,8 +11,8 @@ the same rows at every run.  Everything else covers all documents and whole text
 
 Null and empty texts have no features and take the baseline score.  Labels that are null or whose
 document is missing are left out; of several labels of a document the highest counts, of several
-texts under a labelled id the smallest.  Without any toxic label nothing is rejected.  Repeated rows
-get equal results.
+texts under a labelled id the smallest.  Without any toxic label nothing is rejected, and where all
+labels are toxic everything.  Repeated rows get equal results.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from .batches import map_slices
 SAMPLE = 8_000
 #: Words in fewer sampled documents are no features.
 MIN_DOCS = 6
-#: Features are words that toxic documents hold so many times as often as expected.
+#: Features are words that multiply the odds of a toxic document so many times.
 LIFT = 2.0
 #: Grades of toxic documents.
 GRADES = 3
@@ -171,9 +171,16 @@ def _selected(rows: np.ndarray, code: np.ndarray, n: int, kept: np.ndarray, name
 
 
 def marks(rows: np.ndarray, words: np.ndarray, n_words: int, toxic: np.ndarray, lift: float = LIFT) -> np.ndarray:
-    """Which features stand in toxic documents at least ``lift`` times as often as expected, less 1.5 standard errors."""
+    """Which features multiply the odds that a document is toxic by ``lift`` at least, both counts moved against it by 1.5 standard errors.
+
+    The odds are held against those of all documents, so any share of toxic ones leaves features.  If
+    all documents are toxic or none is, nothing marks.
+    """
     hit, total = np.bincount(words, (toxic[rows] > 0).astype(float), n_words), np.bincount(words, minlength=n_words)
-    return hit - 1.5 * np.sqrt(hit) >= lift * (toxic > 0).mean() * total if len(toxic) else np.zeros(n_words, bool)
+    bad = int((toxic > 0).sum())
+    low, clean = hit - 1.5 * np.sqrt(hit), total - hit
+    high = clean + 1.5 * np.sqrt(np.maximum(clean, 1))
+    return (low > 0) & (low * (len(toxic) - bad) >= lift * high * bad)
 
 
 def severity_grades(rows: np.ndarray, toxic: np.ndarray, grades: int = GRADES) -> np.ndarray:

@@ -4,6 +4,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from ledgerloom.llm import secret_scan as S, toxicity as T
 from .conftest import AWKWARD
@@ -107,6 +109,23 @@ def test_toxicity(spark, awkward, nothing):
     assert again.weights.keys() == model.weights.keys() and np.allclose(again.thresholds, model.thresholds)
 
 
+@pytest.mark.parametrize("share", [0.02, 0.4, 0.6, 0.9])
+def test_any_toxic_share(share):
+    """Marks are found at any share of toxic documents, and clean documents stay."""
+    rows = _labelled(12_000, 2)
+    bad, good = [r for r in rows if r[2]], [r for r in rows if not r[2]]
+    n = round(2000 * share)
+    train, held = bad[:n] + good[: 2000 - n], bad[n:] + good[2000 - n :]
+    model = T.fit_words(pa.table({"place": [r[0] for r in train], "toxic": [r[2] for r in train], "words": [sorted(T.features(r[1])) for r in train]}))
+    verdict = {i: model.above(model.score(t))[0] > 0.5 for i, t, _ in held}
+    assert np.mean([verdict[i] for i, _, t in held if t]) > 0.9 and np.mean([verdict[i] for i, _, t in held if not t]) < 0.05
+
+
+def test_one_class_has_no_marks():
+    rows, words = np.arange(20), np.zeros(20, np.int64)
+    assert not T.marks(rows, words, 1, np.ones(20, np.int64)).any() and not T.marks(rows, words, 1, np.zeros(20, np.int64)).any()
+
+
 def test_no_toxic_labels(spark, nothing):
     docs = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string")
     model = T.fit(docs, spark.createDataFrame([(1, 0)], "doc_id long, toxic int"))
