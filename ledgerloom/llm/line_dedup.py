@@ -13,9 +13,10 @@ Equal sets are one node.  Words in many prefixes are handled apart: lines are fi
 single partners of such a word, and only the lines that no partner removes meet all earlier lines
 of the word.  So a large group of near copies isn't expanded into its pairs, and no match is lost.
 
-Null and empty texts have no lines.  Rows that share an id count as one document: a line number
-that goes in one goes in all, and their lines don't remove each other at equal line numbers.  Words
-are compared by 56 bits of hash and their frequency class, sets by 64 bits.
+Null and empty texts have no lines.  Rows are told apart by id and text (64 bits of hash), and those
+that share an id are ordered by that hash.  Rows that share both count as one document: what goes in
+one goes in all, and their lines don't remove each other at equal line numbers.  Words are compared by
+56 bits of hash and their frequency class, sets by 64 bits.
 """
 
 from __future__ import annotations
@@ -87,9 +88,14 @@ def _signature(words: str, size: Column) -> Column:
     return F.struct(fold.bitwiseXOR(high).alias("low"), high.alias("high"))
 
 
+def _own(id_col: str, text_col: str) -> Column:
+    """What tells rows apart and orders them: id, then hash of the text."""
+    return F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
+
+
 def _lines(docs: DataFrame, rarity: Column, id_col: str, text_col: str) -> DataFrame:
-    """id, line number, set number, size, signature and prefix of each line with words."""
-    lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.lower(text_col), "\n")).alias("line", "words"))
+    """id (of ``_own``), line number, set number, size, signature and prefix of each line with words."""
+    lines = docs.select(_own(id_col, text_col).alias("id"), F.posexplode(F.split(F.lower(text_col), "\n")).alias("line", "words"))
     n = F.size("words")
     prefix = n - F.ceil(n * SIMILAR / 100).cast("int") + 1
     return (
@@ -125,10 +131,10 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """sid, first line (id, line) and plain word set of the wanted sets (sid, id, line, n, sig), read again from there.
 
-    Size and signature have to agree, which tells texts apart that share an id.
+    Size and signature have to agree, which tells texts apart that share an id and a hash.
     """
     lists = checked(cut(wanted.groupBy("id").agg(F.collect_list(F.struct("line", "sid", "n", "sig")).alias("wanted"))), F.size("wanted"))
-    source = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("own_text"))
+    source = docs.select(_own(id_col, text_col).alias("own_id"), F.col(text_col).alias("own_text"))
     lines = F.split(F.lower("own_text"), "\n")
     found = source.join(lists, F.col("own_id").eqNullSafe(F.col("id"))).withColumn("lines", lines)
     picked = F.transform("wanted", lambda w: F.struct(w["sid"].alias("sid"), w["line"].alias("line"), w["n"].alias("n"), w["sig"].alias("sig"), F.get("lines", w["line"]).alias("text")))
@@ -138,7 +144,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -
 
 
 def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """All lines with words (id, line, sid), and those of them (id, line) that an earlier line matches."""
+    """All lines with words (id, line, sid), and those of them (id, line) that an earlier line matches; ids are those of ``_own``."""
     rarity = rarity_table(docs, text_col)
     lines = cut(_lines(docs, rarity, id_col, text_col))
     sets = cut(lines.groupBy("sid").agg(F.min(F.struct("id", "line")).alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix")).select("sid", "first.id", "first.line", "n", "sig", "prefix"))
@@ -179,7 +185,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     _, gone = later_matches(docs, id_col, text_col)
     lists = checked(cut(gone.groupBy(F.col("id").alias("__id")).agg(F.sort_array(F.collect_list("line")).alias("__gone"))), F.size("__gone"))
-    out = docs.join(lists, F.col(id_col).eqNullSafe(F.col("__id")), "left")
+    out = docs.join(lists, _own(id_col, text_col).eqNullSafe(F.col("__id")), "left")
     lines = F.split(F.col(text_col), "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
     split = F.transform(stay, lambda i: F.get("__lines", i))

@@ -268,6 +268,14 @@ def test_lines(spark, monkeypatch, crowd):
     assert got == _later(rows)
 
 
+def test_lines_shared_ids(spark):
+    """A line goes only in the rows that hold it; equal lines at equal numbers of different rows remove each other."""
+    rows = [(None, "one two three\nfour five six"), (None, "seven eight nine\nten eleven twelve"), (None, "thirteen fourteen\nfour five six"), (4, "one two three\nalone here"), (4, "seven eight nine\nnobody else")]
+    got = {r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    rest = {"seven eight nine\nten eleven twelve", "alone here", "nobody else"}
+    assert got in (rest | {rows[0][1], "thirteen fourteen"}, rest | {"one two three", rows[2][1]})
+
+
 def test_lines_awkward(awkward, nothing):
     out = line_dedup.dedup_lines(awkward)
     rows = out.collect()
