@@ -307,10 +307,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each group the one with the smallest id; of rows that repeat it, one."""
-    found = near_duplicates(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("__id"))
-    kept = docs.join(found.distinct(), F.col(id_col) == F.col("__id"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    """The rows of ``docs`` that stay: of each group one with the smallest id; of rows that repeat its id and text, one.
+
+    Different texts under one id are judged apart, each for itself.
+    """
+    own = docs.filter(F.col(id_col).isNotNull()).withColumn("__text", F.xxhash64(text_col))
+    texts = cut(own.select(F.col(id_col).alias("__id"), "__text").distinct())
+    by = id_col
+    if not texts.groupBy("__id").count().filter("count > 1").isEmpty():
+        # numbers in the order of ids take the place of ids
+        places = checked(cut(texts.orderBy("__id", "__text").withColumn("__place", F.monotonically_increasing_id())))
+        by = "__place"
+        own = own.join(places.withColumnRenamed("__text", "__own"), (F.col(id_col) == F.col("__id")) & (F.col("__text") == F.col("__own")))
+    found = near_duplicates(own, by, text_col).filter("kept").select(F.col(by).alias("__found"))
+    kept = own.join(found.distinct(), F.col(by) == F.col("__found"), "left_semi").dropDuplicates([by])
+    return kept.select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
 
 
 def oracle() -> str:

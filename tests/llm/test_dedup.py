@@ -132,6 +132,18 @@ def test_only_mixed_bucket(spark, monkeypatch):
     assert got == {1: 1, 2: 2, 3: 2, 4: 4}
 
 
+def test_keep_one_shared_ids(spark):
+    """Different texts under one id are judged apart: none is lost because another has a near copy."""
+    rng = random.Random(22)
+    x, y, z = (_words(rng, 60) for _ in range(3))
+    near = lambda w, end: " ".join([*w, end])
+    rows = [(3, near(x, "a")), (5, near(x, "b")), (5, near(y, "c")), (5, near(y, "c")), (5, near(z, "d")), (7, near(y, "e")), (None, near(x, "f"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = minhash_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([rows[0], rows[2], rows[4], rows[6]], key=repr)
+
+
 # ------------------------------------------------------------ suffixes
 
 
