@@ -26,7 +26,16 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``cut`` that only later tables of ``cut`` were made from."""
+    for table in tables:
+        jvm, path = table.sparkSession._jvm, table.written_to
+        jvm.org.apache.hadoop.fs.Path(path).getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(jvm.org.apache.hadoop.fs.Path(path), True)
 
 
 def checked(rows: DataFrame, weight: Column | None = None) -> DataFrame:

@@ -209,6 +209,58 @@ def test_suffix_long_text(spark):
     assert [(rows[i].n_removed, len(rows[i].spans), bytes(rows[i].kept)) for i in range(2)] == _cut(texts, 40)
 
 
+def _in_passages(texts, words):
+    """Words of each text that lie in a string of so many words that stands elsewhere too."""
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    seen = collections.Counter(tuple(w[i : i + words]) for w in split for i in range(len(w) - words + 1))
+    return [len({j for i in range(len(w) - words + 1) if seen[tuple(w[i : i + words])] > 1 for j in range(i, i + words)}) for w in split]
+
+
+@pytest.mark.parametrize("chunk", [suffix_dedup.CHUNK, 3])
+def test_suffix_crowded(spark, monkeypatch, chunk):
+    """A passage within different surroundings, near copies of one text, copies of another: groups dealt over parts and crowded keys, for bytes and words."""
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    monkeypatch.setattr(suffix_dedup, "CROWD", 4 if chunk == 3 else 1000)
+    rng = random.Random(7)
+    shared, base = " ".join(_words(rng, 14)), _words(rng, 60)
+    texts = [" ".join(_words(rng, rng.randint(0, 12))) + rng.choice([" ", "\n", "  "]) + shared + " " + " ".join(_words(rng, rng.randint(0, 12))) for _ in range(25)]
+    texts += [" ".join(_edited(rng, base, 3)) for _ in range(20)] + [" ".join(base)] * 9 + [" ".join(_words(rng, 40)) for _ in range(10)] + [None, "", "short"] * 6
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = {r.doc_id: r for r in suffix_dedup.repeats(docs, 60, with_kept=True, passage=9).collect()}
+    assert [(rows[i].n_removed, len(rows[i].spans), bytes(rows[i].kept)) for i in range(len(texts))] == _cut(texts, 60)
+    assert [rows[i].n_passage_words for i in range(len(texts))] == _in_passages(texts, 9)
+
+
+@pytest.mark.parametrize("words", [False, True])
+def test_radix(words):
+    """Groups of equal windows of stretches around one anchor."""
+    rng = random.Random(1)
+    for depth in (8, 9, 21, 40):
+        unit = suffix_dedup.Unit(depth, words)
+        anchor, bodies, place, count = [rng.randint(0, 255) for _ in range(unit.key)], [], [], []
+        for _ in range(12):
+            lo = rng.randint(0, depth - unit.key)
+            hi = rng.randint(0, lo)
+            around = [[2 if rng.random() < 0.05 else 1 for _ in range(n)] for n in (lo, depth - unit.key - hi)]
+            bodies.append(np.array(around[0] + anchor + around[1], np.uint64 if words else np.uint8))
+            place.append(lo)
+            count.append(lo - hi + 1)
+        group, many = suffix_dedup.radix(np.zeros(12, int), np.array(place), bodies, np.array(count), unit)
+        windows = [(place[i] - s, bodies[i][s : s + depth].tobytes()) for i in range(12) for s in range(count[i])]
+        times, names = collections.Counter(windows), {}
+        assert [times[w] > 1 for w in windows] == many.tolist()
+        assert all(names.setdefault(w, g) == g for w, g in zip(windows, group.tolist(), strict=True)) and len(set(names.values())) == len(times)
+
+
+def test_word_hashes(monkeypatch):
+    text = "one two  three\tone\x0btwo " + "x" * 300 + " one " + "y" * 299
+    whole = suffix_dedup.word_hashes(np.frombuffer(text.encode(), np.uint8))
+    assert len(whole) == len(text.split()) and whole[0] == whole[3] == whole[6] and whole[1] == whole[4] and len(set(whole.tolist())) == 5
+    monkeypatch.setattr(suffix_dedup, "STRETCH", 16)
+    parts = suffix_dedup.word_hashes(np.frombuffer(text.encode(), np.uint8))
+    assert parts[0] == parts[3] == parts[6] and len(set(parts.tolist())) == 5
+
+
 def test_suffix_awkward(awkward, nothing):
     assert len(suffix_dedup.repeat_query(awkward).collect()) == len(AWKWARD)
     assert suffix_dedup.repeat_query(nothing).collect() == []
