@@ -66,30 +66,45 @@ def admit_plans(plans: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def fold_claims(operations: DataFrame) -> DataFrame:
-    """Claim state of each revision after its operations in order of arrival.
+    """Claim state and terminal evidence of each revision after its operations in order of arrival.
 
-    A fence never falls: a higher one needs an expired lease, an equal one only extends its own.  Each
-    step depends on the one before, so the operations of one revision are folded as one ordered array;
-    revisions spread over tasks.
+    A fence never falls: a higher one needs an expired lease, an equal one only extends its own.  An
+    operation with terminal_result_digest closes the revision if it names the claim's fence; then no claim
+    is recorded any more, and only the same evidence again.  Each step depends on the one before, so the
+    operations of one revision are folded as one ordered array; revisions spread over tasks.
     """
-    one = F.struct("arrival", "fence", "lease_until", "now_ms")
+    if "terminal_result_digest" not in operations.columns:
+        operations = operations.withColumn("terminal_result_digest", F.lit(None).cast("string"))
+    one = F.struct("arrival", "fence", "lease_until", "now_ms", F.col("terminal_result_digest").alias("result"))
     steps = operations.groupBy(*KEY).agg(F.array_sort(F.collect_list(one)).alias("steps"))
     none = F.lit(None).cast("long")
 
     def step(s, x):
-        ok = s["fence"].isNull() | ((x["fence"] > s["fence"]) & (s["lease"] <= x["now_ms"])) | ((x["fence"] == s["fence"]) & (s["lease"] <= x["lease_until"]))
-        return F.struct(F.when(ok, x["fence"]).otherwise(s["fence"]).alias("fence"), F.when(ok, x["lease_until"]).otherwise(s["lease"]).alias("lease"), (s["refused"] + F.when(ok, 0).otherwise(1)).alias("refused"))
-
-    start = F.struct(none.alias("fence"), none.alias("lease"), F.lit(0).cast("long").alias("refused"))
+        claim = s["result"].isNull() & (s["fence"].isNull() | ((x["fence"] > s["fence"]) & (s["lease"] <= x["now_ms"])) | ((x["fence"] == s["fence"]) & (s["lease"] <= x["lease_until"])))
+        close = F.coalesce(s["fence"] == x["fence"], F.lit(False)) & (s["result"].isNull() | (s["result"] == x["result"]))
+        ends = x["result"].isNotNull()
+        took, refused = claim & ~ends, F.when(ends, ~close).otherwise(~claim)
+        return F.struct(
+            F.when(took, x["fence"]).otherwise(s["fence"]).alias("fence"), F.when(took, x["lease_until"]).otherwise(s["lease"]).alias("lease"),
+            F.when(ends & close, x["result"]).otherwise(s["result"]).alias("result"), (s["refused"] + refused.cast("int")).alias("refused"),
+        )
+
+    start = F.struct(none.alias("fence"), none.alias("lease"), F.lit(None).cast("string").alias("result"), F.lit(0).cast("long").alias("refused"))
     state = steps.select(*KEY, F.aggregate("steps", start, step).alias("s"))
-    return state.select(*KEY, F.col("s.fence").alias("claim_fence"), F.col("s.lease").alias("claim_lease_until"), F.col("s.refused").alias("refused"))
+    return state.select(*KEY, F.col("s.fence").alias("claim_fence"), F.col("s.lease").alias("claim_lease_until"), F.col("s.result").alias("terminal_result_digest"), F.col("s.refused").alias("refused"))
 
 
 def restore_claims(work: DataFrame, claims: DataFrame) -> DataFrame:
-    """Claim objects put back on their rows: sealed ones and those of another plan are skipped, a recorded fence never falls."""
+    """Claim objects put back on their rows: sealed ones, those of another plan and those of rows with terminal evidence are skipped.
+
+    The clock of a restore is 0, so a higher fence over a recorded lease is skipped too; an equal fence extends its lease.
+    """
     c = claims.filter("state = 'active'").select(*KEY, F.col("plan_digest").alias("claim_plan"), F.col("claim_fence").alias("new_fence"), F.col("lease_until").alias("new_lease"))
     j = work.join(c, KEY, "left")
-    take = F.coalesce((F.col("claim_plan") == F.col("plan_digest")) & (F.col("claim_fence").isNull() | (F.col("claim_fence") < F.col("new_fence")) | ((F.col("claim_fence") == F.col("new_fence")) & (F.col("claim_lease_until") <= F.col("new_lease")))), F.lit(False))
+    fresh = F.col("claim_fence").isNull()
+    higher = (F.col("claim_fence") < F.col("new_fence")) & (F.col("claim_lease_until") <= 0)
+    equal = (F.col("claim_fence") == F.col("new_fence")) & (F.col("claim_lease_until") <= F.col("new_lease"))
+    take = F.coalesce((F.col("claim_plan") == F.col("plan_digest")) & F.col("terminal_result_digest").isNull() & (fresh | higher | equal), F.lit(False))
     return j.select(*[F.when(take, F.col(n)).otherwise(F.col(o)).alias(o) if n else F.col(o) for o, n in ((c, {"claim_fence": "new_fence", "claim_lease_until": "new_lease"}.get(c)) for c in work.columns)])
 
 

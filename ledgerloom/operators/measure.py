@@ -8,7 +8,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 AGENTS = {"A": 1, "B": 4, "C": 7}
 # USD per million input and output tokens.
 PRICES = {"model-one": (5, 25), "model-two": (5, 30)}
+# Caps of a run or campaign.
 CALL_CAP = 400
+CAPS = {
+    "calls": 400, "attempts_per_item": 3, "agents": 8, "followups": 24, "depth": 3, "artifact_bytes": 10 << 20, "artifact_bytes_total": 200 << 20,
+    "campaign_usd": 500, "campaign_days": 14, "measurement_usd": 50, "measurement_days": 2,
+}
+RUN_HOURS = {"A": 2, "B": 2, "C": 4}
+#: Total input tokens above which a call is priced at twice the input and one and a half times the output price.
+LONG_CONTEXT = 272_000
+#: Complete and fully measured runs of each cell that a decision takes.
+RUNS_PER_CELL = 5
+# The records that are an agent's own action.
+AGENT_ACTIONS = ("dispatch", "attempt", "model_call", "busy_interval")
 
 
 def ratio(num: Column, den: Column, empty: float | None) -> Column:
@@ -16,12 +28,40 @@ def ratio(num: Column, den: Column, empty: float | None) -> Column:
     return F.when(den == 0, F.lit(empty).cast("double")).otherwise(F.round(num / den, 6))
 
 
-def cost(calls: DataFrame) -> DataFrame:
-    """Cost of each run and phase in micro-dollars (integers), and the calls made; treatment and measurement stay apart."""
-    micro = F.lit(None).cast("long")
+def agents() -> Column:
+    """Agents of the row's cell."""
+    out = F.lit(None).cast("int")
+    for cell, n in AGENTS.items():
+        out = F.when(F.col("cell") == cell, n).otherwise(out)
+    return out
+
+
+def call_cost() -> Column:
+    """Nano-dollars of a call: cached input counts as input, long contexts cost more; null for a model without a price."""
+    taken = F.col("input_tokens") + F.coalesce("cached_input_tokens", F.lit(0))
+    long_context = taken > LONG_CONTEXT
+    nano = F.lit(None).cast("long")
     for model, (i, o) in PRICES.items():
-        micro = F.when(F.col("model") == model, F.col("input_tokens") * i + F.col("output_tokens") * o).otherwise(micro)
-    return calls.groupBy("run_seq", "phase").agg(F.sum(micro).alias("micro_usd"), F.count("*").alias("calls")).withColumn("over_cap", (F.col("phase") == "treatment") & (F.col("calls") > CALL_CAP))
+        price = taken * F.when(long_context, 2000 * i).otherwise(1000 * i) + F.col("output_tokens") * F.when(long_context, 1500 * o).otherwise(1000 * o)
+        nano = F.when(F.col("model") == model, price).otherwise(nano)
+    return nano
+
+
+def cost(calls: DataFrame) -> DataFrame:
+    """Cost of each run and phase in nano-dollars (integers), and the calls made; treatment and measurement stay apart.
+
+    Calls of models without a price are counted, and leave the cost of their run and phase unknown (null).
+    """
+    priced = calls.withColumn("__nano", call_cost())
+    unpriced = F.count_if(F.col("__nano").isNull())
+    out = priced.groupBy("run_seq", "phase").agg(F.when(unpriced == 0, F.sum("__nano")).alias("nano_usd"), unpriced.alias("unpriced"), F.count("*").alias("calls"))
+    return out.withColumn("over_cap", (F.col("phase") == "treatment") & (F.col("calls") > CALL_CAP))
+
+
+def cost_per_resolved(costs: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Whole nano-dollars of all phases per resolved target of each run; undefined (null) without one."""
+    spent = costs.groupBy("run_seq").agg(F.when(F.sum("unpriced") == 0, F.sum("nano_usd")).alias("nano_usd"))
+    return resolved.select("run_seq", "resolved").join(spent, "run_seq", "left").select("run_seq", F.expr("CASE WHEN resolved <> 0 THEN nano_usd DIV resolved END").alias("nano_usd_per_target"))
 
 
 def utilization(intervals: DataFrame) -> DataFrame:
@@ -31,33 +71,108 @@ def utilization(intervals: DataFrame) -> DataFrame:
 
 
 def wall_clock(runs: DataFrame, records: DataFrame) -> DataFrame:
-    """First to last record of each run."""
-    r = records.groupBy("run_seq").agg(F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"))
-    return runs.select("run_seq", "pilot", "cell").join(r, "run_seq").select("run_seq", "pilot", "cell", (F.col("last_ms") - F.col("first_ms")).alias("wall_ms"))
+    """Wall clock of each run: research from the first action of an agent to the end of treatment, change from the start to the end of measurement.
+
+    ``runs`` has start_ms, treatment_end_ms and measurement_end_ms, ``records`` run_seq, record and ts_ms.
+    A research run without any action has none (null).
+    """
+    first = records.filter(F.col("record").isin(*AGENT_ACTIONS)).groupBy("run_seq").agg(F.min("ts_ms").alias("first_ms"))
+    wall = F.when(F.col("pilot") == "research", F.col("treatment_end_ms") - F.col("first_ms")).otherwise(F.col("measurement_end_ms") - F.col("start_ms"))
+    return runs.join(first, "run_seq", "left").select("run_seq", "pilot", "cell", wall.alias("wall_ms"))
+
+
+def efficiency(counts: DataFrame) -> DataFrame:
+    """Outcome of each run against the median of its campaign's single-agent runs, per agent; undefined (null) if that is 0.
+
+    ``counts`` has run_seq, campaign, pilot, cell and outcome (supported conclusions, or resolved targets).
+    """
+    base = counts.filter("cell = 'A'").groupBy("campaign", "pilot").agg(F.median("outcome").alias("base"))
+    j = counts.join(base, ["campaign", "pilot"], "left")
+    return j.select("run_seq", "campaign", "pilot", "cell", F.round(F.when(F.col("base") != 0, F.col("outcome") / F.col("base") / agents()), 6).alias("efficiency"))
 
 
 def scaling(wall: DataFrame) -> DataFrame:
     """Median wall clock per cell against one agent: speedup, and efficiency per agent; a zero median is undefined."""
     m = wall.groupBy("pilot", "cell").agg(F.median("wall_ms").alias("median_ms"), F.count("*").alias("runs"))
     base = m.filter("cell = 'A'").select("pilot", F.col("median_ms").alias("base_ms"))
-    agents = F.lit(None).cast("int")
-    for cell, n in AGENTS.items():
-        agents = F.when(F.col("cell") == cell, n).otherwise(agents)
     speedup = F.when(F.col("median_ms") != 0, F.col("base_ms") / F.col("median_ms"))
-    return m.join(base, "pilot", "left").select("pilot", "cell", "runs", F.round("median_ms", 6).alias("median_ms"), F.round(speedup, 6).alias("speedup"), F.round(speedup / agents, 6).alias("efficiency"))
+    return m.join(base, "pilot", "left").select("pilot", "cell", "runs", F.round("median_ms", 6).alias("median_ms"), F.round(speedup, 6).alias("speedup"), F.round(speedup / agents(), 6).alias("efficiency"))
+
 
+def omission(reference: DataFrame, matched: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """Reference items of each run without a match, and their share; struck items leave the set, and an empty set means 0.
 
-def omission(reference: DataFrame, matched: DataFrame) -> DataFrame:
-    """Reference items of each run without a match, and their share; no reference means 0."""
+    ``reference`` has run_seq, item and, if items can be struck, ``struck``; ``runs`` adds runs without reference items.
+    """
+    kept = reference.filter(~F.coalesce("struck", F.lit(False))) if "struck" in reference.columns else reference
     m = matched.select("run_seq", "item").distinct().withColumn("hit", F.lit(True))
-    return reference.select("run_seq", "item").distinct().join(m, ["run_seq", "item"], "left").groupBy("run_seq").agg(F.count_if(F.col("hit").isNull()).alias("omitted"), F.count("*").alias("reference")).withColumn("rate", ratio(F.col("omitted"), F.col("reference"), 0.0))
+    out = kept.select("run_seq", "item").distinct().join(m, ["run_seq", "item"], "left").groupBy("run_seq").agg(F.count_if(F.col("hit").isNull()).alias("omitted"), F.count("*").alias("reference"))
+    if runs is not None:
+        out = runs.select("run_seq").join(out, "run_seq", "left").na.fill(0, ["omitted", "reference"])
+    return out.withColumn("rate", ratio(F.col("omitted"), F.col("reference"), 0.0))
+
 
+def rates(candidates: DataFrame, integrations: DataFrame) -> DataFrame:
+    """Correction, rejection and conflict rates of each run over what was judged, produced and attempted; without any of these a rate is undefined (null).
+
+    ``candidates`` has run_seq, judged, corrected (revised or rejected on the judge's word) and rejected; ``integrations`` run_seq and outcome.
+    """
+    c = candidates.groupBy("run_seq").agg(F.count_if(F.col("judged") & F.col("corrected")).alias("corrections"), F.count_if("judged").alias("judged"), F.count_if("rejected").alias("rejections"), F.count("*").alias("produced"))
+    i = integrations.groupBy("run_seq").agg(F.count_if(F.col("outcome") == "conflict").alias("conflicts"), F.count("*").alias("attempted"))
+    part = lambda n, d, name: ratio(F.col(n), F.coalesce(d, F.lit(0)), None).alias(name)
+    return c.join(i, "run_seq", "full_outer").select("run_seq", part("corrections", "judged", "correction_rate"), part("rejections", "produced", "rejection_rate"), part("conflicts", "attempted", "conflict_rate"))
+
+
+def resolutions(inventory: DataFrame, evaluations: DataFrame, integrated: DataFrame, runs: DataFrame) -> DataFrame:
+    """Targets of each run that are resolved (the condition holds and every evaluator passes), and targets left out.
+
+    ``inventory`` has campaign, target and exempt, ``evaluations`` run_seq, target, resolved and passed (a row
+    per evaluator), ``integrated`` run_seq and target, ``runs`` run_seq and campaign.
+    """
+    each = evaluations.groupBy("run_seq", "target").agg((F.bool_and("passed") & F.bool_and("resolved")).alias("ok"))
+    good = each.groupBy("run_seq").agg(F.count_if("ok").alias("resolved"))
+    asked = inventory.filter(~F.col("exempt")).select("campaign", "target").distinct()
+    size = asked.groupBy("campaign").agg(F.count("*").alias("targets"))
+    done = integrated.select("run_seq", "target").distinct().join(runs.select("run_seq", "campaign"), "run_seq").join(asked, ["campaign", "target"], "left_semi").groupBy("run_seq").agg(F.count("*").alias("done"))
+    j = runs.select("run_seq", "campaign").join(size, "campaign", "left").join(good, "run_seq", "left").join(done, "run_seq", "left").na.fill(0, ["targets", "resolved", "done"])
+    return j.select("run_seq", "resolved", (F.col("targets") - F.col("done")).alias("omitted"))
 
-def rates(attempts: DataFrame) -> DataFrame:
-    """Correction, rejection and conflict counts of each run over what was judged, produced and attempted."""
-    judged, produced, attempted = F.count_if(F.col("flag") != "N"), F.count_if(F.col("status") == "F"), F.count("*")
-    a = attempts.groupBy("run_seq").agg(F.count_if(F.col("flag") == "R").alias("corrections"), judged.alias("judged"), F.count_if((F.col("flag") == "A") & (F.col("status") == "F")).alias("rejections"), produced.alias("produced"), F.count_if((F.col("flag") == "N") & (F.col("status") == "O")).alias("conflicts"), attempted.alias("attempted"))
-    return a.select("run_seq", ratio(F.col("corrections"), F.col("judged"), 0.0).alias("correction_rate"), ratio(F.col("rejections"), F.col("produced"), 0.0).alias("rejection_rate"), ratio(F.col("conflicts"), F.col("attempted"), 0.0).alias("conflict_rate"))
+
+def rediscovery(found: DataFrame, reports: DataFrame) -> DataFrame:
+    """Whether each run's final rediscovery passes: it has a valid report with the campaign's rule digest, and finds nothing unresolved that isn't exempt.
+
+    ``reports`` has run_seq, rule_digest and expected_digest; ``found`` run_seq and exempt.
+    """
+    left = found.filter(~F.col("exempt")).groupBy("run_seq").agg(F.count("*").alias("left"))
+    ok = F.coalesce(F.col("rule_digest") == F.col("expected_digest"), F.lit(False)) & F.col("left").isNull()
+    return reports.join(left, "run_seq", "left").select("run_seq", F.when(ok, "pass").otherwise("fail").alias("verdict"))
+
+
+def discriminating(followups: DataFrame) -> DataFrame:
+    """Different follow-up investigations of each run whose evidence changed the outcome class of a conclusion.
+
+    ``followups`` has run_seq, followup, class_before and class_after.
+    """
+    changed = ~F.col("class_before").eqNullSafe(F.col("class_after"))
+    return followups.groupBy("run_seq").agg(F.count_distinct(F.when(changed, F.col("followup"))).alias("discriminating"))
+
+
+def duplicate_work(classes: DataFrame) -> DataFrame:
+    """Conclusions of each run that fell to an equal one (``equivalence_classes`` rows that don't stand for their class)."""
+    return classes.groupBy("run_seq").agg(F.count_if(~F.col("kept")).alias("duplicates"))
+
+
+def caps(usage: DataFrame) -> DataFrame:
+    """Which caps each run exceeds (sorted names), and its status: a run beyond a cap is unresolved.
+
+    ``usage`` has run_seq, cell, hours and the columns of CAPS that are known; null means nothing used.
+    """
+    hours = F.lit(None).cast("int")
+    for cell, n in RUN_HOURS.items():
+        hours = F.when(F.col("cell") == cell, n).otherwise(hours)
+    over = [F.when(F.col(c) > n, F.lit(c)) for c, n in sorted(CAPS.items()) if c in usage.columns] + [F.when(F.col("hours") > hours, F.lit("hours"))]
+    names = F.array_sort(F.array_compact(F.array(*over)))
+    return usage.select("run_seq", names.alias("exceeded"), F.when(F.size(names) > 0, "unresolved").otherwise("within").alias("status"))
 
 
 def grades(verdicts: DataFrame) -> DataFrame:
@@ -72,26 +187,43 @@ def wasted(attempts: DataFrame, integrated: DataFrame) -> DataFrame:
     return attempts.join(integrated.select("run_seq", "item").distinct(), ["run_seq", "item"], "left_anti").groupBy("run_seq").agg(F.count("*").alias("wasted"))
 
 
-def idle(spans: DataFrame) -> DataFrame:
-    """Time of each run in which work waits and none is in flight: a sweep over starts and ends.
+def idle(spans: DataFrame, runs: DataFrame) -> DataFrame:
+    """Time of each run in which work waits and none is in flight: a sweep over starts and ends; 0 for cells without a controller (A and B).
 
-    ``spans`` has run_seq, kind (queued or busy), start_ms and end_ms.
+    ``spans`` has run_seq, kind (queued or busy), start_ms and end_ms; ``runs`` run_seq and cell.
     """
-    step = lambda at, n: spans.select("run_seq", F.col(at).alias("ts"), F.when(F.col("kind") == "queued", n).otherwise(0).alias("queued"), F.when(F.col("kind") == "busy", n).otherwise(0).alias("busy"))
+    steered = spans.join(runs.filter("cell = 'C'").select("run_seq"), "run_seq", "left_semi")
+    step = lambda at, n: steered.select("run_seq", F.col(at).alias("ts"), F.when(F.col("kind") == "queued", n).otherwise(0).alias("queued"), F.when(F.col("kind") == "busy", n).otherwise(0).alias("busy"))
     moves = step("start_ms", 1).unionByName(step("end_ms", -1)).groupBy("run_seq", "ts").agg(F.sum("queued").alias("queued"), F.sum("busy").alias("busy"))
     w = Window.partitionBy("run_seq").orderBy("ts")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     state = moves.select("run_seq", F.sum("queued").over(run).alias("queued"), F.sum("busy").over(run).alias("busy"), (F.lead("ts").over(w) - F.col("ts")).alias("span"))
-    return state.groupBy("run_seq").agg(F.coalesce(F.sum(F.when((F.col("queued") > 0) & (F.col("busy") == 0), F.col("span"))), F.lit(0)).cast("long").alias("idle_ms"))
+    waits = state.groupBy("run_seq").agg(F.sum(F.when((F.col("queued") > 0) & (F.col("busy") == 0), F.col("span"))).alias("waits"))
+    return runs.select("run_seq").join(waits, "run_seq", "left").select("run_seq", F.coalesce("waits", F.lit(0)).cast("long").alias("idle_ms"))
 
 
-def decide(measures: DataFrame, least_runs: int = 5) -> DataFrame:
-    """Per pilot, C against A on medians: success if C is not worse in errors and faster, failure if worse in errors, else inconclusive; too few runs stop on budget."""
-    m = measures.groupBy("pilot", "cell").agg(F.median("wall_ms").alias("wall"), F.median("incorrect_rate").alias("wrong"), F.count("*").alias("n"))
-    a, c = (m.filter(F.col("cell") == k).select("pilot", F.col("wall").alias(f"wall_{k}"), F.col("wrong").alias(f"wrong_{k}"), F.col("n").alias(f"n_{k}")) for k in ("A", "C"))
-    j = a.join(c, "pilot", "full_outer")
-    verdict = F.when(F.coalesce(F.least("n_A", "n_C") < least_runs, F.lit(True)) | F.col("n_A").isNull() | F.col("n_C").isNull(), "budget_stopped").when(F.col("wrong_C") > F.col("wrong_A"), "failure").when(F.col("wall_C") < F.col("wall_A"), "success").otherwise("inconclusive")
-    return j.select("pilot", verdict.alias("verdict"))
+def decide(measures: DataFrame, least_runs: int = RUNS_PER_CELL) -> DataFrame:
+    """Per campaign and pilot, C against A on medians over complete and fully measured runs.
+
+    Unless every cell has exactly ``least_runs`` of them the outcome is budget_stopped.  Research succeeds
+    with more supported conclusions and neither rate above A's, and fails with fewer, or with both rates above.
+    Change succeeds with more resolved targets if every C run passes rediscovery, and fails with fewer, or if one doesn't.
+    ``measures`` has campaign, pilot, cell, measured, outcome (supported or resolved), incorrect_rate, omission_rate and passed.
+    """
+    cell = lambda c: F.col("cell") == c
+    middle = lambda c, x, name: F.median(F.when(cell(c), F.col(x))).alias(name)
+    m = measures.filter("measured").groupBy("campaign", "pilot").agg(
+        *(F.count_if(cell(c)).alias(f"n_{c}") for c in AGENTS), *(middle(c, x, f"{x}_{c}") for c in "AC" for x in ("outcome", "incorrect_rate", "omission_rate")), F.bool_and(F.when(cell("C"), F.coalesce("passed", F.lit(False)))).alias("all_pass")
+    )
+    known = measures.select("campaign", "pilot").distinct()
+    wrong, omitted = (F.col(f"{x}_C") > F.col(f"{x}_A") for x in ("incorrect_rate", "omission_rate"))
+    more, fewer = F.col("outcome_C") > F.col("outcome_A"), F.col("outcome_C") < F.col("outcome_A")
+    change = F.col("pilot") == "change"
+    failure = F.when(change, fewer | ~F.col("all_pass")).otherwise(fewer | (wrong & omitted))
+    success = F.when(change, more & F.col("all_pass")).otherwise(more & ~wrong & ~omitted)
+    full = F.coalesce((F.col("n_A") == least_runs) & (F.col("n_B") == least_runs) & (F.col("n_C") == least_runs), F.lit(False))
+    verdict = F.when(~full, "budget_stopped").when(failure, "failure").when(success, "success").otherwise("inconclusive")
+    return known.join(m, ["campaign", "pilot"], "left").select("campaign", "pilot", verdict.alias("verdict"))
 
 
 def escrow(entries: DataFrame) -> DataFrame:

@@ -63,12 +63,16 @@ RELATIONS: dict[str, str] = {
           key % 37 <> 0 AS same_binding, key FROM work""",
     "packs": """SELECT scope_id, g AS pack_id, min(sequence) AS first_sequence, max(sequence) AS last_sequence FROM (SELECT *, CAST(floor((sequence - 1) / 16.0) AS BIGINT) AS g FROM raw_log) AS a
         WHERE (k * 5 + g * 3) % 7 <> 0 GROUP BY k, scope_id, g""",
-    "claim_ops": """SELECT l.scope_id, w.work_id, w.work_revision, l.sequence AS arrival, CAST(1 + (l.event_id * 3 + l.sequence * 5) % 6 AS BIGINT) AS fence, 852000000000 + (l.event_id * 7 + l.sequence * 13) % 90 * 10000 AS lease_until, 852000000000 + l.sequence * 9000 AS now_ms
+    "claim_ops": """SELECT l.scope_id, w.work_id, w.work_revision, l.sequence AS arrival, CAST(1 + (l.event_id * 3 + l.sequence * 5) % 6 AS BIGINT) AS fence, 852000000000 + (l.event_id * 7 + l.sequence * 13) % 90 * 10000 AS lease_until, 852000000000 + l.sequence * 9000 AS now_ms,
+          CASE WHEN (l.event_id + l.sequence) % 8 = 0 THEN SHA[concat('end|', l.event_id % 2)] END AS terminal_result_digest
         FROM raw_log AS l JOIN ranked_work AS w ON l.k = w.k AND w.r = 1 + l.event_id % (CASE WHEN w.c > 9 THEN 9 ELSE w.c END)""",
-    "runs": """SELECT o_orderkey AS run_seq, CASE WHEN o_orderkey % 2 = 0 THEN 'research' ELSE 'change' END AS pilot, CASE o_orderkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS cell, MS[o_orderdate] AS start_ms, o_orderstatus FROM orders""",
+    "runs": """SELECT o_orderkey AS run_seq, CASE WHEN o_orderkey % 2 = 0 THEN 'research' ELSE 'change' END AS pilot, CASE o_orderkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS cell, MS[o_orderdate] AS start_ms, o_orderstatus,
+          CAST(floor(o_orderkey / 30.0) AS BIGINT) AS campaign, MS[o_orderdate] + (100 + o_orderkey % 40) * 86400000 AS treatment_end_ms, MS[o_orderdate] + (101 + o_orderkey % 40 + o_orderkey % 3) * 86400000 AS measurement_end_ms,
+          o_orderkey % 97 <> 0 AS measured FROM orders""",
     "attempts": """SELECT l_orderkey AS run_seq, CAST(l_linenumber AS BIGINT) AS item, concat('agent-', l_suppkey % 8) AS agent_id, concat('host-', l_suppkey % 3) AS host_id,
           MS[l_shipdate] AS ts_ms, CAST(l_quantity * 1000 AS BIGINT) AS busy_ms, CAST(l_quantity * 1700 AS BIGINT) AS life_ms, CAST(l_partkey % 400 AS BIGINT) * 1000 AS input_tokens, CAST(l_suppkey % 100 AS BIGINT) * 50 AS output_tokens,
-          l_returnflag AS flag, l_linestatus AS status, CASE WHEN l_partkey % 2 = 0 THEN 'model-one' ELSE 'model-two' END AS model, CASE WHEN l_linenumber = 7 THEN 'measurement' ELSE 'treatment' END AS phase, l_partkey AS artifact FROM lineitem""",
+          l_returnflag AS flag, l_linestatus AS status, CAST(l_suppkey % 4 AS BIGINT) * 1000 AS cached_input_tokens, CASE WHEN l_partkey % 50 = 49 THEN 'model-three' WHEN l_partkey % 2 = 0 THEN 'model-one' ELSE 'model-two' END AS model,
+          CASE l_linenumber WHEN 1 THEN 'ready' WHEN 2 THEN 'dispatch' WHEN 3 THEN 'attempt' WHEN 4 THEN 'model_call' WHEN 5 THEN 'busy_interval' WHEN 6 THEN 'integration_attempt' ELSE 'final_measurement' END AS record, CASE WHEN l_linenumber = 7 THEN 'measurement' ELSE 'treatment' END AS phase, l_partkey AS artifact FROM lineitem""",
 }
 
 #: Tables of the driver that relations read.

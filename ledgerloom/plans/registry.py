@@ -385,13 +385,16 @@ def _(t):
 @_query(
     "claim_fold",
     """WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY scope_id, work_id ORDER BY arrival) AS n FROM claim_ops),
-      r AS (SELECT scope_id, work_id, work_revision, n, fence AS f, lease_until AS l, 0 AS x FROM o WHERE n = 1
-        UNION ALL SELECT o.scope_id, o.work_id, o.work_revision, o.n, CASE WHEN (o.fence > r.f AND r.l <= o.now_ms) OR (o.fence = r.f AND r.l <= o.lease_until) THEN o.fence ELSE r.f END, CASE WHEN (o.fence > r.f AND r.l <= o.now_ms) OR (o.fence = r.f AND r.l <= o.lease_until) THEN o.lease_until ELSE r.l END,
-          r.x + CASE WHEN (o.fence > r.f AND r.l <= o.now_ms) OR (o.fence = r.f AND r.l <= o.lease_until) THEN 0 ELSE 1 END FROM r JOIN o ON o.scope_id = r.scope_id AND o.work_id = r.work_id AND o.n = r.n + 1)
-      SELECT scope_id, work_id, work_revision, arg_max(f, n) AS claim_fence, arg_max(l, n) AS claim_lease_until, CAST(arg_max(x, n) AS BIGINT) AS refused FROM r GROUP BY scope_id, work_id, work_revision""",
+      r AS (SELECT scope_id, work_id, work_revision, 0 AS n, CAST(NULL AS BIGINT) AS f, CAST(NULL AS BIGINT) AS l, CAST(NULL AS VARCHAR) AS e, 0 AS x FROM o WHERE n = 1
+        UNION ALL SELECT q.scope_id, q.work_id, q.work_revision, q.n, CASE WHEN q.claims THEN q.fence ELSE q.f END, CASE WHEN q.claims THEN q.lease_until ELSE q.l END, CASE WHEN q.closes THEN q.ev ELSE q.e END, q.x + CASE WHEN q.claims OR q.closes THEN 0 ELSE 1 END FROM (
+          SELECT o.scope_id, o.work_id, o.work_revision, o.n, o.fence, o.lease_until, o.terminal_result_digest AS ev, r.f, r.l, r.e, r.x,
+            o.terminal_result_digest IS NULL AND r.e IS NULL AND (r.f IS NULL OR (o.fence > r.f AND r.l <= o.now_ms) OR (o.fence = r.f AND r.l <= o.lease_until)) AS claims,
+            o.terminal_result_digest IS NOT NULL AND coalesce(o.fence = r.f, false) AND coalesce(r.e = o.terminal_result_digest, true) AS closes
+          FROM r JOIN o ON o.scope_id = r.scope_id AND o.work_id = r.work_id AND o.n = r.n + 1) AS q)
+      SELECT scope_id, work_id, work_revision, arg_max(coalesce(f, -1), n) AS claim_fence, arg_max(coalesce(l, -1), n) AS claim_lease_until, arg_max(coalesce(e, ''), n) AS terminal_result_digest, CAST(arg_max(x, n) AS BIGINT) AS refused FROM r GROUP BY scope_id, work_id, work_revision""",
 )
 def _(t):
-    return fold.fold_claims(t("claim_ops"))
+    return fold.fold_claims(t("claim_ops")).na.fill(-1, ["claim_fence", "claim_lease_until"]).na.fill("", ["terminal_result_digest"])
 
 
 @_query("snapshot_sanitize", "SELECT scope_id, work_id, work_revision, plan_digest, CAST(NULL AS BIGINT) AS claim_fence, CAST(NULL AS BIGINT) AS claim_lease_until, grant_fence, granted_units, CAST(NULL AS VARCHAR) AS terminal_result_digest FROM work WHERE k = 3")
@@ -541,20 +544,39 @@ def _(t):
 # ---------------------------------------------------------------- measures
 
 
+_PRICED = """SELECT a.*, p.o IS NULL AS unknown, taken * p.i * CASE WHEN taken > 272000 THEN 2 ELSE 1 END * 1000 + output_tokens * p.o * CASE WHEN taken > 272000 THEN 1500 ELSE 1000 END AS nano
+      FROM (SELECT *, input_tokens + cached_input_tokens AS taken FROM attempts) AS a LEFT JOIN (VALUES ('model-one', 5, 25), ('model-two', 5, 30)) AS p(m, i, o) ON a.model = p.m"""
+
+
 @_query(
     "measure_cost",
-    "SELECT run_seq, phase, CAST(sum(CASE model WHEN 'model-one' THEN 5 * input_tokens + 25 * output_tokens ELSE 5 * input_tokens + 30 * output_tokens END) AS BIGINT) AS micro_usd, count(*) AS calls, phase = 'treatment' AND count(*) > 400 AS over_cap FROM attempts GROUP BY run_seq, phase",
+    f"""SELECT run_seq, phase, CASE WHEN NOT bool_or(unknown) THEN CAST(sum(nano) AS BIGINT) END AS nano_usd, count(*) FILTER (unknown) AS unpriced, count(*) AS calls,
+        phase = 'treatment' AND count(*) > 400 AS over_cap FROM ({_PRICED}) AS p GROUP BY run_seq, phase""",
 )
 def _(t):
     return measure.cost(t("attempts"))
 
 
+@_query(
+    "measure_cost_per_resolved",
+    f"""SELECT r.run_seq, CASE WHEN f <> 0 THEN c.nano // f END AS nano_usd_per_target FROM (SELECT run_seq, count(*) FILTER (status = 'F' AND flag <> 'R') AS f FROM attempts GROUP BY run_seq) AS r
+      LEFT JOIN (SELECT run_seq, CASE WHEN NOT bool_or(unknown) THEN CAST(sum(nano) AS BIGINT) END AS nano FROM ({_PRICED}) AS p GROUP BY run_seq) AS c ON c.run_seq = r.run_seq""",
+)
+def _(t):
+    return measure.cost_per_resolved(measure.cost(t("attempts")), _resolved(t))
+
+
+def _resolved(t):
+    return t("attempts").groupBy("run_seq").agg(F.count_if((F.col("status") == "F") & (F.col("flag") != "R")).alias("resolved"))
+
+
 @_query("measure_utilization", "SELECT run_seq, CAST(sum(busy_ms) AS BIGINT) AS busy_ms, CAST(sum(life_ms) AS BIGINT) AS life_ms, CASE WHEN sum(life_ms) > 0 THEN round(CAST(sum(busy_ms) AS DOUBLE) / CAST(sum(life_ms) AS DOUBLE), 6) END AS utilization FROM attempts GROUP BY run_seq")
 def _(t):
     return measure.utilization(t("attempts"))
 
 
-_WALL = "SELECT r.run_seq, pilot, cell, max(ts_ms) - min(ts_ms) AS wall_ms FROM runs AS r JOIN attempts AS a ON a.run_seq = r.run_seq GROUP BY r.run_seq, pilot, cell"
+_WALL = """SELECT r.run_seq, pilot, cell, CASE pilot WHEN 'research' THEN treatment_end_ms - (SELECT min(ts_ms) FROM attempts AS a WHERE a.run_seq = r.run_seq AND (a.record = 'dispatch' OR a.record = 'attempt' OR a.record = 'model_call' OR a.record = 'busy_interval'))
+      ELSE measurement_end_ms - start_ms END AS wall_ms FROM runs AS r"""
 
 
 @_query("measure_wall_clock", _WALL)
@@ -571,18 +593,29 @@ def _(t):
     return measure.scaling(measure.wall_clock(t("runs"), t("attempts")))
 
 
-@_query("measure_omission", "SELECT run_seq, count(*) FILTER (NOT hit) AS omitted, count(*) AS reference, round(count(*) FILTER (NOT hit) / count(*), 6) AS rate FROM (SELECT run_seq, item, bool_or(flag <> 'R') AS hit FROM attempts GROUP BY run_seq, item) GROUP BY run_seq")
+@_query(
+    "measure_omission",
+    """SELECT r.run_seq, coalesce(omitted, 0) AS omitted, coalesce(reference, 0) AS reference, coalesce(round(omitted / reference, 6), 0) AS rate FROM runs AS r
+      LEFT JOIN (SELECT run_seq, count(*) FILTER (NOT hit) AS omitted, count(*) AS reference FROM (SELECT run_seq, item, bool_or(flag <> 'R') AS hit FROM attempts WHERE item % 6 <> 1 GROUP BY run_seq, item) AS i GROUP BY run_seq) AS o ON o.run_seq = r.run_seq""",
+)
 def _(t):
-    return measure.omission(t("attempts"), t("attempts").filter("flag <> 'R'"))
+    return _omission(t)
+
+
+def _omission(t):
+    return measure.omission(t("attempts").withColumn("struck", F.col("item") % 6 == 1), t("attempts").filter("flag <> 'R'"), t("runs"))
 
 
 @_query(
     "measure_rates",
-    """SELECT run_seq, coalesce(round(count(*) FILTER (flag = 'R') / nullif(count(*) FILTER (flag <> 'N'), 0), 6), 0) AS correction_rate, coalesce(round(count(*) FILTER (flag = 'A' AND status = 'F') / nullif(count(*) FILTER (status = 'F'), 0), 6), 0) AS rejection_rate,
-      round(count(*) FILTER (flag = 'N' AND status = 'O') / count(*), 6) AS conflict_rate FROM attempts GROUP BY run_seq""",
+    """SELECT run_seq, round(count(*) FILTER (flag = 'R') / nullif(count(*) FILTER (flag <> 'N'), 0), 6) AS correction_rate, round(count(*) FILTER (flag = 'A' AND status = 'F') / count(*), 6) AS rejection_rate,
+      round(count(*) FILTER (item = 6 AND status = 'O') / nullif(count(*) FILTER (item = 6), 0), 6) AS conflict_rate FROM attempts GROUP BY run_seq""",
 )
 def _(t):
-    return measure.rates(t("attempts"))
+    flag, status = F.col("flag"), F.col("status")
+    candidates = t("attempts").select("run_seq", (flag != "N").alias("judged"), (flag == "R").alias("corrected"), ((flag == "A") & (status == "F")).alias("rejected"))
+    integrations = t("attempts").filter("record = 'integration_attempt'").select("run_seq", F.when(status == "O", "conflict").otherwise("integrated").alias("outcome"))
+    return measure.rates(candidates, integrations)
 
 
 _JUDGE = ("CASE flag WHEN 'R' THEN 'incorrect' ELSE 'supported' END", "CASE WHEN status = 'O' AND item % 3 = 0 THEN 'unresolved' WHEN flag = 'R' THEN 'incorrect' ELSE 'supported' END")
@@ -612,22 +645,94 @@ _SPANS = "SELECT run_seq, CASE WHEN item % 2 = 0 THEN 'queued' ELSE 'busy' END A
 
 @_query(
     "measure_idle",
-    f"""WITH s AS ({_SPANS}), p AS (SELECT DISTINCT run_seq, ts FROM (SELECT run_seq, start_ms AS ts FROM s UNION ALL SELECT run_seq, end_ms FROM s)), g AS (SELECT run_seq, ts, lead(ts) OVER (PARTITION BY run_seq ORDER BY ts) AS nxt FROM p)
-      SELECT run_seq, CAST(coalesce(sum(CASE WHEN EXISTS (SELECT 1 FROM s WHERE s.run_seq = g.run_seq AND kind = 'queued' AND start_ms <= ts AND end_ms > ts) AND NOT EXISTS (SELECT 1 FROM s WHERE s.run_seq = g.run_seq AND kind = 'busy' AND start_ms <= ts AND end_ms > ts) THEN nxt - ts END), 0) AS BIGINT) AS idle_ms FROM g GROUP BY run_seq""",
+    f"""WITH s AS ({_SPANS}), p AS (SELECT DISTINCT run_seq, ts FROM (SELECT run_seq, start_ms AS ts FROM s UNION ALL SELECT run_seq, end_ms FROM s)), g AS (SELECT run_seq, ts, lead(ts) OVER (PARTITION BY run_seq ORDER BY ts) AS nxt FROM p),
+      w AS (SELECT run_seq, CAST(coalesce(sum(CASE WHEN EXISTS (SELECT 1 FROM s WHERE s.run_seq = g.run_seq AND kind = 'queued' AND start_ms <= ts AND end_ms > ts) AND NOT EXISTS (SELECT 1 FROM s WHERE s.run_seq = g.run_seq AND kind = 'busy' AND start_ms <= ts AND end_ms > ts) THEN nxt - ts END), 0) AS BIGINT) AS idle FROM g GROUP BY run_seq)
+      SELECT r.run_seq, CASE WHEN cell = 'C' THEN coalesce(idle, 0) ELSE 0 END AS idle_ms FROM runs AS r LEFT JOIN w ON w.run_seq = r.run_seq""",
 )
 def _(t):
     s = t("attempts").select("run_seq", F.when(F.col("item") % 2 == 0, "queued").otherwise("busy").alias("kind"), F.col("ts_ms").alias("start_ms"), (F.col("ts_ms") + F.col("busy_ms") * 100000).alias("end_ms"))
-    return measure.idle(s)
+    return measure.idle(s, t("runs"))
+
+
+_GRADED = f"""SELECT run_seq, count(*) FILTER (a = b AND a = 'supported') AS supported, coalesce(round(count(*) FILTER (a = b AND a = 'incorrect') / nullif(count(*) FILTER (a = b), 0), 6), 1) AS wrong,
+        count(*) FILTER (status = 'F' AND flag <> 'R') AS resolved, count(*) FILTER (status = 'O' AND flag = 'N' AND item = 7 AND artifact % 2 = 1) = 0 AND run_seq % 61 <> 0 AS passed
+      FROM (SELECT *, {_JUDGE[0]} AS a, {_JUDGE[1]} AS b FROM attempts) AS v GROUP BY run_seq"""
+_COUNTED = f"SELECT r.run_seq, campaign, pilot, cell, measured, CASE pilot WHEN 'research' THEN supported ELSE resolved END AS outcome, wrong, passed FROM runs AS r JOIN ({_GRADED}) AS g ON g.run_seq = r.run_seq"
+
+
+def _counts(t):
+    outcome = F.when(F.col("pilot") == "research", F.col("supported")).otherwise(F.col("resolved"))
+    return t("runs").join(measure.grades(_verdicts(t)), "run_seq").join(_resolved(t), "run_seq").withColumn("outcome", outcome)
+
+
+@_query(
+    "measure_efficiency",
+    f"""WITH c AS ({_COUNTED}), m AS (SELECT campaign, pilot, median(outcome) AS base FROM c WHERE cell = 'A' GROUP BY campaign, pilot)
+      SELECT c.run_seq, c.campaign, c.pilot, c.cell, round(outcome / nullif(base, 0) / CASE c.cell WHEN 'A' THEN 1 WHEN 'B' THEN 4 ELSE 7 END, 6) AS efficiency FROM c LEFT JOIN m ON m.campaign = c.campaign AND m.pilot = c.pilot""",
+)
+def _(t):
+    return measure.efficiency(_counts(t).select("run_seq", "campaign", "pilot", "cell", "outcome"))
+
+
+def _rediscovery(t):
+    found = t("attempts").filter("status = 'O' AND flag = 'N' AND record = 'final_measurement'").select("run_seq", (F.col("artifact") % 2 == 0).alias("exempt"))
+    reports = t("runs").select("run_seq", F.when(F.col("run_seq") % 61 == 0, "changed").otherwise("rule").alias("rule_digest"), F.lit("rule").alias("expected_digest"))
+    return measure.rediscovery(found, reports)
+
+
+@_query(
+    "measure_rediscovery",
+    """SELECT run_seq, CASE WHEN run_seq % 61 = 0 OR run_seq IN (SELECT run_seq FROM attempts WHERE status = 'O' AND flag = 'N' AND item = 7 AND artifact % 2 = 1) THEN 'fail' ELSE 'pass' END AS verdict FROM runs""",
+)
+def _(t):
+    return _rediscovery(t)
+
+
+@_query(
+    "measure_resolutions",
+    """WITH c AS (SELECT a.*, campaign FROM attempts AS a JOIN runs AS r ON r.run_seq = a.run_seq), i AS (SELECT DISTINCT campaign, artifact % 20 AS target FROM c WHERE artifact % 20 <> 7)
+      SELECT r.run_seq, (SELECT count(*) FROM (SELECT bool_and(status = 'F' AND flag <> 'R') AS ok FROM attempts AS e WHERE e.run_seq = r.run_seq GROUP BY artifact % 20) AS x WHERE ok) AS resolved,
+        (SELECT count(*) FROM i WHERE i.campaign = r.campaign AND NOT EXISTS (SELECT 1 FROM attempts AS d WHERE d.run_seq = r.run_seq AND d.status = 'F' AND d.artifact % 20 = i.target)) AS omitted FROM runs AS r""",
+)
+def _(t):
+    a, target = t("attempts"), (F.col("artifact") % 20).alias("target")
+    inventory = a.join(t("runs").select("run_seq", "campaign"), "run_seq").select("campaign", target, (F.col("artifact") % 20 == 7).alias("exempt"))
+    evaluations = a.select("run_seq", target, (F.col("flag") != "R").alias("resolved"), (F.col("status") == "F").alias("passed"))
+    return measure.resolutions(inventory, evaluations, a.filter("status = 'F'").select("run_seq", target), t("runs"))
+
+
+@_query("measure_discriminating", "SELECT run_seq, count(DISTINCT CASE WHEN (flag = 'R') <> (status = 'O') THEN item % 3 END) AS discriminating FROM attempts GROUP BY run_seq")
+def _(t):
+    grade = lambda bad: F.when(bad, "incorrect").otherwise("supported")
+    return measure.discriminating(t("attempts").select("run_seq", (F.col("item") % 3).alias("followup"), grade(F.col("flag") == "R").alias("class_before"), grade(F.col("status") == "O").alias("class_after")))
+
+
+@_query(
+    "measure_caps",
+    """WITH u AS (SELECT a.run_seq, any_value(cell) AS cell, count(*) * 70 AS calls, count(DISTINCT agent_id) + 3 AS agents, max(item) AS attempts_per_item, sum(busy_ms) / 100000.0 AS hours FROM attempts AS a JOIN runs AS r ON r.run_seq = a.run_seq GROUP BY a.run_seq),
+      x AS (SELECT u.run_seq, list_sort(list_filter([CASE WHEN agents > 8 THEN 'agents' END, CASE WHEN attempts_per_item > 3 THEN 'attempts_per_item' END, CASE WHEN calls > 400 THEN 'calls' END, CASE WHEN hours > CASE cell WHEN 'C' THEN 4 ELSE 2 END THEN 'hours' END], lambda v: v IS NOT NULL)) AS e FROM u)
+      SELECT run_seq, array_to_string(e, ',') AS exceeded, CASE WHEN len(e) > 0 THEN 'unresolved' ELSE 'within' END AS status FROM x""",
+)
+def _(t):
+    usage = t("attempts").join(t("runs").select("run_seq", "cell"), "run_seq").groupBy("run_seq", "cell").agg(
+        (F.count("*") * 70).alias("calls"), (F.count_distinct("agent_id") + 3).alias("agents"), F.max("item").alias("attempts_per_item"), (F.sum("busy_ms") / 100000.0).alias("hours")
+    )
+    return measure.caps(usage).withColumn("exceeded", F.array_join("exceeded", ","))
 
 
 @_query(
     "decision_rule",
-    f"""WITH w AS ({_WALL}), v AS (SELECT run_seq, {_JUDGE[0]} AS a, {_JUDGE[1]} AS b FROM attempts), g AS (SELECT run_seq, coalesce(round(count(*) FILTER (a = b AND a = 'incorrect') / nullif(count(*) FILTER (a = b), 0), 6), 1) AS r FROM v GROUP BY run_seq),
-      m AS (SELECT pilot, cell, median(wall_ms) AS wm, median(r) AS rm, count(*) AS n FROM w JOIN g USING (run_seq) GROUP BY pilot, cell)
-      SELECT pilot, CASE WHEN coalesce(min(n) FILTER (cell IN ('A', 'C')), 0) < 5 THEN 'budget_stopped' WHEN max(rm) FILTER (cell = 'C') > max(rm) FILTER (cell = 'A') THEN 'failure' WHEN max(wm) FILTER (cell = 'C') < max(wm) FILTER (cell = 'A') THEN 'success' ELSE 'inconclusive' END AS verdict FROM m GROUP BY pilot""",
+    f"""WITH o AS (SELECT run_seq, coalesce(round(count(*) FILTER (NOT hit) / count(*), 6), 0) AS omitted FROM (SELECT run_seq, item, bool_or(flag <> 'R') AS hit FROM attempts WHERE item % 6 <> 1 GROUP BY run_seq, item) AS i GROUP BY run_seq),
+      c AS (SELECT x.*, coalesce(omitted, 0) AS omitted FROM ({_COUNTED}) AS x LEFT JOIN o ON o.run_seq = x.run_seq),
+      m AS (SELECT campaign, pilot, cell, median(outcome) FILTER (measured) AS md, median(wrong) FILTER (measured) AS wr, median(omitted) FILTER (measured) AS om, bool_and(passed) FILTER (measured) AS ok, count(*) FILTER (measured) AS n FROM c GROUP BY campaign, pilot, cell),
+      j AS (SELECT k.campaign, k.pilot, a.md AS am, a.wr AS aw, a.om AS ao, b.md AS cm, b.wr AS cw, b.om AS co, b.ok, k.full_cells FROM (SELECT campaign, pilot, count(*) FILTER (n = 5) AS full_cells FROM m GROUP BY campaign, pilot) AS k
+        LEFT JOIN m AS a ON a.campaign = k.campaign AND a.pilot = k.pilot AND a.cell = 'A' LEFT JOIN m AS b ON b.campaign = k.campaign AND b.pilot = k.pilot AND b.cell = 'C')
+      SELECT campaign, pilot, CASE WHEN full_cells < 3 THEN 'budget_stopped' WHEN pilot = 'change' THEN CASE WHEN cm < am OR NOT ok THEN 'failure' WHEN cm > am THEN 'success' ELSE 'inconclusive' END
+        WHEN cm < am OR (cw > aw AND co > ao) THEN 'failure' WHEN cm > am AND cw <= aw AND co <= ao THEN 'success' ELSE 'inconclusive' END AS verdict FROM j""",
 )
 def _(t):
-    return measure.decide(measure.wall_clock(t("runs"), t("attempts")).join(measure.grades(_verdicts(t)).select("run_seq", "incorrect_rate"), "run_seq"))
+    m = _counts(t).join(_omission(t).select("run_seq", F.col("rate").alias("omission_rate")), "run_seq").join(_rediscovery(t), "run_seq").withColumn("passed", F.col("verdict") == "pass")
+    return measure.decide(m.select("campaign", "pilot", "cell", "measured", "outcome", "incorrect_rate", "omission_rate", "passed"))
 
 
 @_query("escrow_conservation", "SELECT scope_id, CAST(sum(CASE WHEN sequence % 4 = 0 THEN units ELSE 0 END) AS BIGINT) AS escrowed, CAST(sum(CASE WHEN sequence % 4 <> 0 THEN units ELSE 0 END) AS BIGINT) AS settled, sum(CASE WHEN sequence % 4 = 0 THEN units ELSE -units END) = 0 AS conserved FROM log WHERE units IS NOT NULL GROUP BY scope_id")
@@ -732,13 +837,15 @@ def _(t):
 
 @_query(
     "claim_restore",
-    f"""SELECT scope_id, work_id, work_revision, CASE WHEN take THEN claim_fence + 1 ELSE claim_fence END AS claim_fence, CASE WHEN take THEN {NOW_MS} ELSE claim_lease_until END AS claim_lease_until
-      FROM (SELECT *, key % 3 = 0 AND key % 4 <> 1 AND claim_fence IS NOT NULL AS take FROM work)""",
+    f"""SELECT scope_id, work_id, work_revision, CASE WHEN take THEN f ELSE claim_fence END AS claim_fence, CASE WHEN take THEN l ELSE claim_lease_until END AS claim_lease_until
+      FROM (SELECT *, key % 3 = 0 AND key % 4 <> 1 AND terminal_result_digest IS NULL AND CASE WHEN claim_fence IS NULL THEN true WHEN f > claim_fence THEN claim_lease_until <= 0 ELSE claim_lease_until <= l END AS take
+        FROM (SELECT *, coalesce(claim_fence + key % 2, 2 + key % 9) AS f, {NOW_MS} - key % 5 * 20000000000 AS l FROM work) AS w) AS x""",
 )
 def _(t):
     key = F.col("key")
-    claims = t("work").select("scope_id", "work_id", "work_revision", F.when(key % 3 == 0, "active").otherwise("sealed").alias("state"), F.when(key % 4 == 1, "other").otherwise(F.col("plan_digest")).alias("plan_digest"), (F.col("claim_fence") + 1).alias("claim_fence"), F.lit(NOW_MS).alias("lease_until"))
-    return fold.restore_claims(t("work"), claims.filter("claim_fence IS NOT NULL")).select("scope_id", "work_id", "work_revision", "claim_fence", "claim_lease_until")
+    fence = F.coalesce(F.col("claim_fence") + key % 2, 2 + key % 9)
+    claims = t("work").select("scope_id", "work_id", "work_revision", F.when(key % 3 == 0, "active").otherwise("sealed").alias("state"), F.when(key % 4 == 1, "other").otherwise(F.col("plan_digest")).alias("plan_digest"), fence.alias("claim_fence"), (F.lit(NOW_MS) - key % 5 * 20000000000).alias("lease_until"))
+    return fold.restore_claims(t("work"), claims).select("scope_id", "work_id", "work_revision", "claim_fence", "claim_lease_until")
 
 
 @_query(

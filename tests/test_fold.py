@@ -63,6 +63,24 @@ def test_claims(spark):
     assert (r.claim_fence, r.claim_lease_until, r.refused) == (4, 300, 4)
 
 
+def test_claims_and_terminal_evidence(spark):
+    """Evidence needs the claim's own fence; afterwards only the same evidence passes, and no claim."""
+    ops = [(0, 3, 100, 0, None), (1, 2, 0, 0, "x"), (2, 3, 0, 0, "x"), (3, 3, 0, 0, "y"), (4, 3, 0, 0, "x"), (5, 3, 500, 0, None), (6, 9, 900, 999, None)]
+    (r,) = fold.fold_claims(spark.createDataFrame([("s", "w", 1, *o) for o in ops], "scope_id string, work_id string, work_revision long, arrival long, fence long, lease_until long, now_ms long, terminal_result_digest string")).collect()
+    assert (r.claim_fence, r.claim_lease_until, r.terminal_result_digest, r.refused) == (3, 100, "x", 4)
+    (r,) = fold.fold_claims(spark.createDataFrame([("s", "w", 1, 0, 3, 0, 0, "x")], "scope_id string, work_id string, work_revision long, arrival long, fence long, lease_until long, now_ms long, terminal_result_digest string")).collect()
+    assert (r.claim_fence, r.terminal_result_digest, r.refused) == (None, None, 1)
+
+
+def test_restore(spark):
+    """Only fresh rows and equal fences with a later lease: a higher fence over a recorded lease, terminal work, other plans and sealed claims are skipped."""
+    rows = [("fresh", None, None, None), ("equal", 4, 50, None), ("longer", 4, 500, None), ("higher", 3, 50, None), ("closed", None, None, "t"), ("plan", None, None, None), ("sealed", None, None, None), ("none", None, None, None)]
+    work = spark.createDataFrame([("s", w, 1, "p", f, l, t) for w, f, l, t in rows], "scope_id string, work_id string, work_revision long, plan_digest string, claim_fence long, claim_lease_until long, terminal_result_digest string")
+    claims = spark.createDataFrame([("s", w, 1, "sealed" if w == "sealed" else "active", "q" if w == "plan" else "p", 4, 100) for w, *_ in rows[:-1]], "scope_id string, work_id string, work_revision long, state string, plan_digest string, claim_fence long, lease_until long")
+    got = {r.work_id: (r.claim_fence, r.claim_lease_until) for r in fold.restore_claims(work, claims).collect()}
+    assert got == {"fresh": (4, 100), "equal": (4, 100), "longer": (4, 500), "higher": (3, 50), "closed": (None, None), "plan": (None, None), "sealed": (None, None), "none": (None, None)}
+
+
 def test_batches_extend_heads(spark):
     rows = chain("a", 8)
     head = heads(spark, rows[:5]).withColumn("scope_epoch", F.lit(rows[5][5]).cast("long"))
@@ -147,11 +165,69 @@ def test_groups_and_classes(spark):
 def test_measures(spark):
     g = spark.createDataFrame([(1, 10, "supported", "supported"), (1, 11, "incorrect", "incorrect"), (1, 12, "supported", "incorrect"), (2, 1, "supported", "unresolved")], "run_seq long, artifact long, judge_one string, judge_two string")
     assert {r.run_seq: (r.supported, r.incorrect, r.unresolved, r.useful_artifacts, r.incorrect_rate) for r in measure.grades(g).collect()} == {1: (1, 1, 1, 1, 0.5), 2: (0, 0, 1, 0, 1.0)}
-    spans = spark.createDataFrame([(1, "queued", 0, 10), (1, "busy", 3, 5), (1, "busy", 4, 6)], "run_seq long, kind string, start_ms long, end_ms long")
-    assert [r.idle_ms for r in measure.idle(spans).collect()] == [7]
-    m = spark.createDataFrame([("p", c, w, e) for c, w, e in [("A", 100, 0.1), ("C", 50, 0.1)] for _ in range(5)] + [("q", "A", 1, 0.0), ("q", "C", 1, 0.0)], "pilot string, cell string, wall_ms long, incorrect_rate double")
-    assert {r.pilot: r.verdict for r in measure.decide(m).collect()} == {"p": "success", "q": "budget_stopped"}
-    assert [r.speedup for r in measure.scaling(m.filter("pilot = 'p'")).orderBy("cell").collect()] == [1.0, 2.0]
+    spans = spark.createDataFrame([(r, *x) for r in (1, 2) for x in [("queued", 0, 10), ("busy", 3, 5), ("busy", 4, 6)]], "run_seq long, kind string, start_ms long, end_ms long")
+    runs = spark.createDataFrame([(1, "C"), (2, "A"), (3, "C")], "run_seq long, cell string")
+    assert sorted(tuple(r) for r in measure.idle(spans, runs).collect()) == [(1, 7), (2, 0), (3, 0)]
+    m = spark.createDataFrame([("p", c, w) for c, w in [("A", 100), ("C", 50)] for _ in range(5)], "pilot string, cell string, wall_ms long")
+    assert [r.speedup for r in measure.scaling(m).orderBy("cell").collect()] == [1.0, 2.0]
+
+
+def test_cost(spark):
+    """Cached input is input; beyond 272,000 input tokens twice the input and one and a half times the output price; unknown models leave the sum unknown."""
+    rows = [(1, "treatment", "model-one", 200_000, 72_000, 10), (2, "treatment", "model-one", 200_000, 72_001, 10), (3, "treatment", "model-two", 1, 0, 1), (3, "measurement", "model-two", 0, None, 2), (4, "treatment", "model-two", 1, 0, 1), (4, "treatment", "other", 1, 0, 1)]
+    calls = spark.createDataFrame(rows, "run_seq long, phase string, model string, input_tokens long, cached_input_tokens long, output_tokens long")
+    costs = measure.cost(calls)
+    assert {(r.run_seq, r.phase): (r.nano_usd, r.unpriced, r.calls) for r in costs.collect()} == {
+        (1, "treatment"): (272_000 * 5000 + 10 * 25_000, 0, 1), (2, "treatment"): (272_001 * 10_000 + 10 * 37_500, 0, 1), (3, "treatment"): (35_000, 0, 1), (3, "measurement"): (60_000, 0, 1), (4, "treatment"): (None, 1, 2),
+    }
+    resolved = spark.createDataFrame([(1, 0), (3, 2), (4, 1), (5, 3)], "run_seq long, resolved long")
+    assert {r.run_seq: r.nano_usd_per_target for r in measure.cost_per_resolved(costs, resolved).collect()} == {1: None, 3: 47_500, 4: None, 5: None}
+
+
+def test_wall_clock(spark):
+    """Research runs from the first action of an agent (not from ready) to the end of treatment, change from start to the end of measurement."""
+    runs = spark.createDataFrame([(1, "research", "A", 0, 100, 130), (2, "change", "A", 5, 100, 130), (3, "research", "C", 0, 100, 130)], "run_seq long, pilot string, cell string, start_ms long, treatment_end_ms long, measurement_end_ms long")
+    records = spark.createDataFrame([(1, "ready", 2), (1, "model_call", 9), (1, "dispatch", 7), (2, "dispatch", 50), (3, "integration_attempt", 1)], "run_seq long, record string, ts_ms long")
+    assert {r.run_seq: r.wall_ms for r in measure.wall_clock(runs, records).collect()} == {1: 93, 2: 125, 3: None}
+
+
+def test_zero_rules(spark):
+    candidates = spark.createDataFrame([(1, False, False, False), (2, True, True, True), (2, True, False, False)], "run_seq long, judged boolean, corrected boolean, rejected boolean")
+    integrations = spark.createDataFrame([(2, "conflict"), (2, "integrated"), (3, "conflict")], "run_seq long, outcome string")
+    assert {r.run_seq: tuple(r)[1:] for r in measure.rates(candidates, integrations).collect()} == {1: (None, 0.0, None), 2: (0.5, 0.5, 0.5), 3: (None, None, 1.0)}
+    reference = spark.createDataFrame([(1, 1, True), (2, 1, False), (2, 2, False), (2, 3, True)], "run_seq long, item long, struck boolean")
+    matched, runs = spark.createDataFrame([(2, 2)], "run_seq long, item long"), spark.createDataFrame([(1,), (2,)], "run_seq long")
+    assert {r.run_seq: tuple(r)[1:] for r in measure.omission(reference, matched, runs).collect()} == {1: (0, 0, 0.0), 2: (1, 2, 0.5)}
+    counts = spark.createDataFrame([(1, 0, "p", "A", 4), (2, 0, "p", "C", 14), (3, 0, "q", "A", 0), (4, 0, "q", "B", 3)], "run_seq long, campaign long, pilot string, cell string, outcome long")
+    assert {r.run_seq: r.efficiency for r in measure.efficiency(counts).collect()} == {1: 1.0, 2: 0.5, 3: None, 4: None}
+
+
+def test_decisions(spark):
+    """A, B and C in turn: outcome, incorrect rate, omission rate, rediscovery."""
+    cases = {
+        "success": ("research", (3, 0.2, 0.2, True), (4, 0.2, 0.2, False), 5), "inconclusive": ("research", (3, 0.2, 0.2, True), (4, 0.3, 0.2, True), 5), "failure": ("research", (3, 0.2, 0.2, True), (4, 0.3, 0.3, True), 5),
+        "fewer": ("research", (3, 0.2, 0.2, True), (2, 0.0, 0.0, True), 5), "change": ("change", (3, 0.2, 0.2, False), (4, 0.9, 0.9, True), 5), "unclean": ("change", (3, 0.0, 0.0, True), (4, 0.0, 0.0, False), 5), "equal": ("change", (3, 0.0, 0.0, True), (3, 0.0, 0.0, True), 5),
+        "short": ("change", (3, 0.0, 0.0, True), (4, 0.0, 0.0, True), 4),
+    }
+    rows = [(name, pilot, cell, k < n or cell != "B", *values) for name, (pilot, a, c, n) in cases.items() for cell, values in (("A", a), ("B", a), ("C", c)) for k in range(5)]
+    m = spark.createDataFrame(rows, "campaign string, pilot string, cell string, measured boolean, outcome long, incorrect_rate double, omission_rate double, passed boolean")
+    want = {"success": "success", "inconclusive": "inconclusive", "failure": "failure", "fewer": "failure", "change": "success", "unclean": "failure", "equal": "inconclusive", "short": "budget_stopped"}
+    assert {r.campaign: r.verdict for r in measure.decide(m).collect()} == want
+
+
+def test_targets_and_caps(spark):
+    runs = spark.createDataFrame([(1, 9), (2, 9), (3, 8)], "run_seq long, campaign long")
+    inventory = spark.createDataFrame([(9, "a", False), (9, "b", False), (9, "c", True)], "campaign long, target string, exempt boolean")
+    checks = spark.createDataFrame([(1, "a", True, True), (1, "a", True, False), (1, "b", True, True), (2, "a", False, True)], "run_seq long, target string, resolved boolean, passed boolean")
+    done = spark.createDataFrame([(1, "a"), (1, "c")], "run_seq long, target string")
+    assert sorted(tuple(r) for r in measure.resolutions(inventory, checks, done, runs).collect()) == [(1, 1, 1), (2, 0, 2), (3, 0, 0)]
+    found = spark.createDataFrame([(1, True), (2, False)], "run_seq long, exempt boolean")
+    reports = spark.createDataFrame([(1, "d", "d"), (2, "d", "d"), (3, "x", "d"), (4, None, "d")], "run_seq long, rule_digest string, expected_digest string")
+    assert {r.run_seq: r.verdict for r in measure.rediscovery(found, reports).collect()} == {1: "pass", 2: "fail", 3: "fail", 4: "fail"}
+    follow = spark.createDataFrame([(1, 1, "a", "b"), (1, 1, "a", "b"), (1, 2, "a", "a"), (2, 3, None, None)], "run_seq long, followup long, class_before string, class_after string")
+    assert {r.run_seq: r.discriminating for r in measure.discriminating(follow).collect()} == {1: 1, 2: 0}
+    usage = spark.createDataFrame([(1, "A", 2.0, 400), (2, "A", 2.5, 401), (3, "C", 2.5, None)], "run_seq long, cell string, hours double, calls long")
+    assert {r.run_seq: (r.exceeded, r.status) for r in measure.caps(usage).collect()} == {1: ([], "within"), 2: (["calls", "hours"], "unresolved"), 3: ([], "within")}
 
 
 def test_null_rules_of_checks(spark):
