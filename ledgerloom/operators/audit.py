@@ -39,26 +39,23 @@ def unregistered(log: DataFrame) -> DataFrame:
     return log.filter(~registered(F.col("payload_type"))).select("payload_type").distinct()
 
 
-def duplicates(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Keys that occur more than once; keys with a null part never collide."""
-    present = F.lit(True)
-    for k in keys:
-        present = present & F.col(k).isNotNull()
-    shown = F.concat_ws("|", *(F.col(k).cast("string") for k in keys))
-    return df.filter(present).groupBy(*keys).agg(F.count("*").alias("rows")).filter("rows > 1").select(F.lit(name).alias("check_id"), shown.alias("key"), "rows")
+def _named(df: DataFrame, constraints: dict[str, list[str]]) -> DataFrame:
+    """check_id and key of each row and constraint; keys with a null part are left out, since they never collide."""
+    shown = lambda keys: F.when(F.forall(F.array(*(F.col(k).isNotNull() for k in keys)), lambda x: x), F.concat_ws("|", *(F.col(k).cast("string") for k in keys)))
+    named = F.array(*(F.struct(F.lit(name).alias("check_id"), shown(keys).alias("key")) for name, keys in constraints.items()))
+    return df.select(F.inline(named)).filter("key IS NOT NULL")
 
 
 def uniques(scopes: DataFrame, log: DataFrame, work: DataFrame, deps: DataFrame) -> DataFrame:
-    """All primary keys and unique constraints."""
+    """Keys of all primary keys and unique constraints that stand more than once; every table is read once, and one aggregate counts all."""
     revision = ["scope_id", "work_id", "work_revision"]
-    parts = [
-        duplicates(scopes, ["scope_id"], "scopes.key"), duplicates(log, ["scope_id", "sequence"], "events.key"), duplicates(log, ["scope_id", "digest"], "events.digest"), duplicates(log, ["scope_id", "operation_id"], "events.operation"),
-        duplicates(log, [*revision, "attempt", "artifact_kind"], "events.artifact"), duplicates(work, revision, "work.key"), duplicates(work, ["scope_id", "work_id", "plan_digest"], "work.plan"), duplicates(deps, [*revision, "depends_on_work_id"], "deps.key"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    keys = (
+        _named(scopes, {"scopes.key": ["scope_id"]})
+        .unionByName(_named(log, {"events.key": ["scope_id", "sequence"], "events.digest": ["scope_id", "digest"], "events.operation": ["scope_id", "operation_id"], "events.artifact": [*revision, "attempt", "artifact_kind"]}))
+        .unionByName(_named(work, {"work.key": revision, "work.plan": ["scope_id", "work_id", "plan_digest"]}))
+        .unionByName(_named(deps, {"deps.key": [*revision, "depends_on_work_id"]}))
+    )
+    return keys.groupBy("check_id", "key").agg(F.count("*").alias("rows")).filter("rows > 1")
 
 
 def foreign_keys(scopes: DataFrame, log: DataFrame, work: DataFrame, deps: DataFrame) -> DataFrame:

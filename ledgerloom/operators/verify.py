@@ -15,14 +15,15 @@ def chain_verdicts(log: DataFrame, heads: DataFrame, after: DataFrame | None = N
     and chain; a scope without failure is ``valid``.
     """
     w = Window.partitionBy("scope_id").orderBy("sequence")
-    back = Window.partitionBy("scope_id").orderBy(F.desc("sequence"))
+    whole = Window.partitionBy("scope_id")
     rows = log if after is None else log.join(after.select("scope_id", F.col("sequence").alias("cursor")), "scope_id", "left").filter(F.col("cursor").isNull() | (F.col("sequence") > F.col("cursor")))
     h = heads.select("scope_id", F.col("scope_epoch").alias("head_epoch"), F.col("operation_id").alias("head_operation"), F.col("sequence").alias("head_sequence"), F.col("tail_event_digest").alias("head_tail"))
     r = rows.join(h, "scope_id")
     r = r.withColumns(
         {
-            "before": F.lag("digest").over(w), "at_before": F.lag("sequence").over(w), "child_epoch": F.lag("writer_epoch").over(back), "child": F.lag("sequence").over(back),
-            "bytes": F.sum("stored_bytes").over(back.rowsBetween(Window.unboundedPreceding, 0)), "events": F.row_number().over(back), "same_operation": F.count("*").over(Window.partitionBy("scope_id", "operation_id")),
+            "before": F.lag("digest").over(w), "at_before": F.lag("sequence").over(w), "child_epoch": F.lead("writer_epoch").over(w), "child": F.lead("sequence").over(w),
+            # from the newest event back to this one: all, less those before it
+            "bytes": F.sum("stored_bytes").over(whole) - F.sum("stored_bytes").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("stored_bytes"), "events": F.count("*").over(whole) - F.row_number().over(w) + 1, "same_operation": F.count("*").over(Window.partitionBy("scope_id", "operation_id")),
         }
     )
     tail = F.col("child").isNull()

@@ -95,8 +95,28 @@ def _uses(sql: str) -> list[str]:
     return [r for r in RELATIONS if re.search(rf"\b(FROM|JOIN)\s+{r}\b", sql)]
 
 
+#: Tables that hold prepared relations, by folder and relation.
+_PREPARED: dict[tuple[str, str], str] = {}
+
+
+def prepare(spark: SparkSession, sf_dir: str, names: list[str] | None = None, buckets: int = 8) -> None:
+    """Writes relations as tables bucketed by scope (or run), which ``relation`` reads from then on.
+
+    A log that is read more than once is worth writing once: its windows, joins and digests are not made
+    again, and work on one scope or run needs no shuffle any more.
+    """
+    for name in names or list(RELATIONS):
+        df = relation(spark, sf_dir, name)
+        key = next(c for c in ("scope_id", "run_seq", "k") if c in df.columns)
+        table = f"prepared_{name}"
+        df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).mode("overwrite").saveAsTable(table)
+        _PREPARED[sf_dir, name] = table
+
+
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One relation over the tables in ``sf_dir``."""
+    if (sf_dir, name) in _PREPARED:
+        return spark.table(_PREPARED[sf_dir, name])
     sql = dialect(RELATIONS[name], "spark")
     parts = {r: relation(spark, sf_dir, r) for r in _uses(sql)}
     parts |= {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b(FROM|JOIN)\s+{t}\b", sql)}
