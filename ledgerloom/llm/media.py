@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .batches import map_slices, narrow
+from .batches import free_name, map_slices, narrow
 
 SIDE = 24
 FRAME = SIDE * SIDE
@@ -32,7 +32,7 @@ TIMESCALE = 25
 CHUNK = 64
 
 # Boxes that hold boxes.
-CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf"}
+CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex"}
 
 
 class Malformed(ValueError):
@@ -157,6 +157,8 @@ def _samples(data: memoryview, box: dict[bytes, tuple[int, int]]) -> tuple[np.nd
     if b"stsz" in box:
         a, b = box[b"stsz"]
         fixed, count = struct.unpack_from(">II", data, a + 4)
+        if fixed and fixed * count > len(data):
+            raise Malformed("more samples than the file can hold")
         sizes = np.full(count, fixed, np.int64) if fixed else _table(data, a + 12, b, ">u4", 1, count)[:, 0]
     elif b"stz2" in box:
         a, b = box[b"stz2"]
@@ -228,15 +230,82 @@ def _track(data: memoryview, start: int, end: int) -> Track:
     return t
 
 
+def _fragments(data: memoryview, top: list[tuple[bytes, int, int]], defaults: dict[int, tuple[int, int, int]], tracks: dict[int, Track]) -> None:
+    """Adds the samples of movie fragments (moof, traf, trun) to their tracks; sync samples are those without the non-sync flag."""
+    for kind, start, end in top:
+        if kind != b"moof":
+            continue
+        for part, a, b in walk(data, start, end):
+            if part != b"traf":
+                continue
+            boxes = list(walk(data, a, b))
+            head = next((x for name, x, _ in boxes if name == b"tfhd"), None)
+            if head is None:
+                raise Malformed("a fragment without header")
+            flags, track_id = struct.unpack_from(">II", data, head)
+            flags &= 0xFFFFFF
+            if track_id not in tracks:
+                raise Malformed("a fragment of no track")
+            at, values = head + 8, {}
+            for bit, name, form in ((1, "base", ">Q"), (2, "entry", ">I"), (8, "duration", ">I"), (16, "size", ">I"), (32, "flags", ">I")):
+                if flags & bit:
+                    values[name] = struct.unpack_from(form, data, at)[0]
+                    at += struct.calcsize(form)
+            duration, size, sample_flags = (values.get(n, d) for n, d in zip(("duration", "size", "flags"), defaults.get(track_id, (0, 0, 0)), strict=True))
+            # without a base, offsets count from the first byte of the moof box
+            base = values.get("base", start - (16 if bytes(data[max(0, start - 16) : start - 8]) == b"\0\0\0\1moof" else 8))
+            nxt = base
+            for name, x, y in boxes:
+                if name == b"trun":
+                    nxt = _run(data, x, y, base, nxt, duration, size, sample_flags, tracks[track_id])
+
+
+def _run(data: memoryview, x: int, y: int, base: int, nxt: int, duration: int, size: int, sample_flags: int, track: Track) -> int:
+    """Adds one run of samples; returns where its bytes end."""
+    flags, count = struct.unpack_from(">II", data, x)
+    flags &= 0xFFFFFF
+    at, first_flags = x + 8, None
+    if flags & 1:
+        nxt, at = base + struct.unpack_from(">i", data, at)[0], at + 4
+    if flags & 4:
+        first_flags, at = struct.unpack_from(">I", data, at)[0], at + 4
+    present = [name for bit, name in ((0x100, "duration"), (0x200, "size"), (0x400, "flags"), (0x800, "shift")) if flags & bit]
+    if not present and size * count > len(data):
+        raise Malformed("more samples than the file can hold")
+    if not present and not size and count > len(data):
+        raise Malformed("more samples than the file can hold")
+    table = dict(zip(present, _table(data, at, y, ">u4", len(present), count).T, strict=True)) if present else {}
+    sizes = table.get("size", np.full(count, size, np.int64))
+    kinds = table.get("flags", np.full(count, sample_flags, np.int64)).copy()
+    if first_flags is not None and count:
+        kinds[0] = first_flags
+    track.sync = np.concatenate([track.sync, len(track.sizes) + np.flatnonzero(kinds & 0x10000 == 0)])
+    track.offsets = np.concatenate([track.offsets, nxt + np.cumsum(sizes) - sizes])
+    track.sizes = np.concatenate([track.sizes, sizes])
+    track.duration += int(table.get("duration", np.full(count, duration, np.int64)).sum())
+    if len(sizes) and (track.offsets[-count:].min() < 0 or (track.offsets[-count:] + sizes).max() > len(data)):
+        raise Malformed("a sample lies outside the file")
+    return nxt + int(sizes.sum())
+
+
 def read_tracks(media: bytes) -> list[Track]:
-    """All tracks of a file with a moov box; raises Malformed otherwise."""
+    """All tracks of a file with a moov box, movie fragments included; raises Malformed otherwise."""
     data = memoryview(media)
     try:
         top = list(walk(data, 0, len(data)))
         moov = [(a, b) for kind, a, b in top if kind == b"moov"]
         if not moov:
             raise Malformed("no moov box")
-        return [_track(data, a, b) for kind, a, b in walk(data, *moov[0]) if kind == b"trak"]
+        tracks = [_track(data, a, b) for kind, a, b in walk(data, *moov[0]) if kind == b"trak"]
+        extends = [(a, b) for kind, a, b in walk(data, *moov[0]) if kind == b"mvex"]
+        defaults = {}
+        for a, b in extends:
+            for kind, x, _ in walk(data, a, b):
+                if kind == b"trex":
+                    track_id, _, duration, size, flags = struct.unpack_from(">5I", data, x + 4)
+                    defaults[track_id] = duration, size, flags
+        _fragments(data, top, defaults, {t.track_id: t for t in tracks})
+        return tracks
     except (struct.error, IndexError, OverflowError, MemoryError) as e:
         raise Malformed(str(e)) from e
 
@@ -279,8 +348,9 @@ def probe_media(df: DataFrame, media_col: str = "media", payload: bool = False)
     """
     added = ["status", "tracks", "media_bytes", "media_sha256"] + ["payload_bytes", "payload_sha256", "tail_crc32"] * payload
     kept = [c for c in df.columns if c not in added and c != media_col]
-    src = df.select(*kept, F.col(media_col).alias("__media"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__media"]
+    held = free_name(df, "__media")
+    src = df.select(*kept, F.col(media_col).alias(held))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != held]
     schema = ", ".join([*fields, "status string", f"tracks array<{TRACK}>", "media_bytes long", "media_sha256 string"] + ["payload_bytes long", "payload_sha256 string", "tail_crc32 long"] * payload)
 
     def one(media: bytes | None) -> tuple:
@@ -302,10 +372,10 @@ def probe_media(df: DataFrame, media_col: str = "media", payload: bool = False)
         return ("ok", rows, *own, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]))
 
     def fn(piece: pa.RecordBatch) -> dict[str, list]:
-        got = list(zip(*(one(x.as_buffer().to_pybytes() if x.is_valid else None) for x in piece.column("__media")), strict=True))
+        got = list(zip(*(one(x.as_buffer().to_pybytes() if x.is_valid else None) for x in piece.column(held)), strict=True))
         return {c: piece.column(c) for c in kept} | dict(zip(added, got, strict=True))
 
-    return map_slices(src, schema, fn, "__media")
+    return map_slices(src, schema, fn, held)
 
 
 def media_query(docs: DataFrame) -> DataFrame:

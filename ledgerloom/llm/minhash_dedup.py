@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .batches import grouped, map_slices, narrow
+from .batches import free_name, grouped, map_slices, narrow
 from .components import checked, components, cut
 
 BINS, BAND = 128, 4
@@ -311,16 +311,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Different texts under one id are judged apart, each for itself.
     """
-    own = docs.filter(F.col(id_col).isNotNull()).withColumn("__text", F.xxhash64(text_col))
-    texts = cut(own.select(F.col(id_col).alias("__id"), "__text").distinct())
+    mark, place = free_name(docs, "__text"), free_name(docs, "__place")
+    own = docs.filter(F.col(id_col).isNotNull()).withColumn(mark, F.xxhash64(text_col))
+    texts = cut(own.select(F.col(id_col).alias("__id"), mark).distinct())
     by = id_col
     if not texts.groupBy("__id").count().filter("count > 1").isEmpty():
         # numbers in the order of ids take the place of ids
-        places = checked(cut(texts.orderBy("__id", "__text").withColumn("__place", F.monotonically_increasing_id())))
-        by = "__place"
-        own = own.join(places.withColumnRenamed("__text", "__own"), (F.col(id_col) == F.col("__id")) & (F.col("__text") == F.col("__own")))
-    found = near_duplicates(own, by, text_col).filter("kept").select(F.col(by).alias("__found"))
-    kept = own.join(found.distinct(), F.col(by) == F.col("__found"), "left_semi").dropDuplicates([by])
+        places = checked(cut(texts.orderBy("__id", mark).withColumn(place, F.monotonically_increasing_id())))
+        by = place
+        p = places.select(F.col("__id").alias(id_col), mark, place)
+        own = own.join(p, [id_col, mark])
+    found = near_duplicates(own, by, text_col).filter("kept").select(by)
+    kept = own.join(found.distinct(), by, "left_semi").dropDuplicates([by])
     return kept.select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
 
 

@@ -17,6 +17,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .batches import free_name
+
 # Base patterns.  Of the last two only matches of the least length count, so the
 # pattern asks for it at once: a run that is too short has no longer match inside it.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -161,7 +163,8 @@ def spans_text(spans: Column) -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text", mask: str = MASK) -> DataFrame:
     """The rows of ``docs`` with each secret in the text replaced by ``mask`` (overlapping spans by one); a null text stays null."""
-    found = scan(docs, text_col, "__base", "__spans")
+    base, spans = free_name(docs, "__base"), free_name(docs, "__spans")
+    found = scan(docs, text_col, base, spans)
     text = F.col(text_col)
 
     def step(acc: Column, s: Column) -> Column:
@@ -169,8 +172,8 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = MASK) -> DataFra
         grown = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, grown).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate(F.col("__spans"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
-    return found.withColumn(text_col, F.when(F.size("__spans") == 0, text).otherwise(clean)).select(*docs.columns)
+    clean = F.aggregate(F.col(spans), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
+    return found.withColumn(text_col, F.when(F.size(spans) == 0, text).otherwise(clean)).select(*docs.columns)
 
 
 def secret_query(docs: DataFrame) -> DataFrame:

@@ -18,6 +18,10 @@ def test_round_trip(awkward):
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-32:])
         assert r.media_sha256 == hashlib.sha256(M.wrap(payload)).hexdigest()
         assert r.feature.startswith(f"codec=uncv;size=24x24;duration={len(payload) // 576}/25;samples={len(payload) // 576};keyframes=")
+        # every frame is a keyframe; together they are the payload, which ends the file
+        stored = M.wrap(payload)
+        spans = [tuple(map(int, x.split("+"))) for x in r.feature.rpartition("=")[2].split(",")]
+        assert spans == [(len(stored) - len(payload) + i, 576) for i in range(0, len(payload), 576)] and b"".join(stored[a : a + n] for a, n in spans) == payload
 
 
 def test_empty(nothing):
@@ -55,3 +59,41 @@ def test_malformed(spark):
     got = {r.i: (r.status, r.tracks, r.kept) for r in M.probe_media(spark.createDataFrame([(i, bytearray(f) if f is not None else None, "x", "y") for i, f in files], "i int, media binary, status string, kept string"), payload=True).collect()}
     assert got[0][0] == "ok" and got[0][1][0].n_samples == 1 and got[1][0] == "missing"
     assert all(got[i][0] == "malformed" and got[i][1] == [] for i in (2, 3, 4, 5, 6)) and got[0][2] == "y"
+
+
+def test_sizes_beyond_the_file():
+    """A fixed sample size with a huge count is refused before anything is allocated."""
+    huge = _stbl([], [0], [(1, 1)]).replace(M._full(b"stsz", struct.pack(">II", 0, 0)), M._full(b"stsz", struct.pack(">II", 7, 2**32 - 1)))
+    with pytest.raises(M.Malformed):
+        M.read_tracks(_file(huge))
+
+
+def _fragmented(base_given: bool, first_flags: int | None) -> tuple[bytes, int]:
+    trex = M._full(b"trex", struct.pack(">5I", 1, 1, 10, 4, 0x10000))
+    mdhd = M._full(b"mdhd", struct.pack(">IIII", 0, 0, 1000, 0), b"\0\0\0\0")
+    stbl = M._full(b"stsd", struct.pack(">I", 1), M._box(b"mp4a", bytes(28))) + M._full(b"stts", struct.pack(">I", 0)) + M._full(b"stsz", struct.pack(">II", 0, 0)) + M._full(b"stss", struct.pack(">I", 0))
+    trak = M._box(b"trak", M._full(b"tkhd", struct.pack(">IIIII", 0, 0, 1, 0, 0)), M._box(b"mdia", mdhd, M._full(b"hdlr", bytes(4), b"soun", bytes(13)), M._box(b"minf", M._box(b"stbl", stbl))))
+    lead = M._FTYP + M._box(b"moov", trak, M._box(b"mvex", trex))
+
+    def moof(offset: int) -> bytes:
+        tfhd = M._full(b"tfhd", struct.pack(">I", 1), struct.pack(">Q", len(lead)) if base_given else b"", flags=1 if base_given else 0x20000)
+        # sizes are listed in the first run, durations in the second, which follows the first
+        one = M._full(b"trun", struct.pack(">Ii", 3, offset), struct.pack(">I", first_flags) if first_flags is not None else b"", struct.pack(">III", 2, 3, 5), flags=0x201 | (4 if first_flags is not None else 0))
+        two = M._full(b"trun", struct.pack(">III", 2, 7, 8), flags=0x100)
+        return M._box(b"moof", M._full(b"mfhd", struct.pack(">I", 1)), M._box(b"traf", tfhd, one, two))
+
+    at = len(moof(0)) + 8
+    return lead + moof(at) + M._box(b"mdat", bytes(range(18))), len(lead) + at
+
+
+@pytest.mark.parametrize("base_given", [False, True])
+@pytest.mark.parametrize("first_flags", [None, 0])
+def test_fragments(base_given, first_flags):
+    """Samples of movie fragments: listed and default sizes, durations and flags, and a second run behind the first."""
+    data, at = _fragmented(base_given, first_flags)
+    (t,) = M.read_tracks(data)
+    assert t.sizes.tolist() == [2, 3, 5, 4, 4] and t.offsets.tolist() == [at, at + 2, at + 5, at + 10, at + 14]
+    assert t.duration == 3 * 10 + 7 + 8 and t.sync.tolist() == ([0] if first_flags == 0 else [])
+    assert M.read_samples(data, t) == bytes(range(18))
+    with pytest.raises(M.Malformed):
+        M.read_tracks(data[:-20] + M._box(b"free", bytes(4)))
