@@ -14,7 +14,8 @@ the windows of ``depth`` tokens that repeat.  Tokens are bytes, or words for pas
    pass are the repeated windows, equal byte by byte.
 
 A group of more than CHUNK stretches is dealt over tasks, each sorts its part, and the parts are
-matched by one digest (128 bits) of each different window of theirs.  Rows are joined back to their
+matched by digests (128 bits): first those of the bytes that a block of neighbouring windows has in
+common, and where these stand in several parts those of the windows.  Rows are joined back to their
 counts by broadcast where a key is crowded (if its keys are few enough) and by shuffle otherwise.
 
 Strings never cross texts; overlapping occurrences count, and the input is judged as it came.  Null
@@ -46,7 +47,7 @@ PASSAGE = 51
 #: Long texts are hashed in stretches of so many windows.
 STRETCH = 1 << 19
 #: Stretches that one task sorts together, at most.
-CHUNK = 2048
+CHUNK = 512
 #: Rows of a key above which it is joined apart.
 CROWD = 1000
 
@@ -82,6 +83,11 @@ class Unit:
         """Tokens of a digit."""
         return 1 if self.words else 8
 
+    @property
+    def block(self) -> int:
+        """Places of a block of windows."""
+        return max(1, self.depth // 16)
+
     @property
     def least_bytes(self) -> int:
         """Bytes of the shortest text that has a window."""
@@ -310,12 +316,17 @@ def _array(values: pa.Array | np.ndarray | list, kind: pa.DataType) -> pa.Array:
 
 
 def _sorted(bodies: DataFrame, unit: Unit) -> DataFrame:
-    """Runs of repeated windows (k, l, first, last), and of groups dealt over parts each different window by its digest.
+    """Runs of repeated windows (k, l, first, last), and of groups dealt over parts the blocks of different windows.
 
-    There ``first`` is null if the window repeats within its part.
+    A block has the digest of what its windows have in common and the digests of the windows; ``first`` of a
+    window is null if it repeats within its part.
     """
-    schema = "k long, l long, first long, last long, h long, place int, digest binary"
-    fields = pa.schema([("k", pa.int64()), ("l", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("h", pa.int64()), ("place", pa.int32()), ("digest", pa.binary())])
+    schema = "k long, l long, first long, last long, h long, block int, digest binary, windows array<struct<place:int,digest:binary,first:long>>"
+    window = pa.struct([("place", pa.int32()), ("digest", pa.binary()), ("first", pa.int64())])
+    fields = pa.schema([(c, pa.int64()) for c in ("k", "l", "first", "last", "h")] + [("block", pa.int32()), ("digest", pa.binary()), ("windows", pa.list_(window))])
+
+    def digest(x: np.ndarray) -> bytes:
+        return hashlib.blake2b(x.tobytes(), digest_size=16).digest()
     kind = np.uint64 if unit.words else np.uint8
 
     def sort(table: pa.Table) -> pa.RecordBatch:
@@ -333,14 +344,25 @@ def _sorted(bodies: DataFrame, unit: Unit) -> DataFrame:
         begin = np.flatnonzero(hit & np.append(True, ~hit[:-1] | (own[1:] != own[:-1])))
         end = np.flatnonzero(hit & np.append(~hit[1:] | (own[1:] != own[:-1]), True))
         o = own[begin]
-        cols = {"k": k[o], "l": n[o], "first": a[o] + shift[begin], "last": a[o] + shift[end], "h": h[o], "place": np.zeros(len(o), np.int32), "digest": [None] * len(o)}
+        none = [None] * len(o)
+        cols = {"k": k[o], "l": n[o], "first": a[o] + shift[begin], "last": a[o] + shift[end], "h": h[o], "block": none, "digest": none, "windows": none}
         split = np.flatnonzero(part[own] >= 0)
         if len(split):
-            w = split[np.unique(group[split], return_index=True)[1]]
-            o, open_ = own[w], ~many[w] & alone[own[w]]
-            digests = [hashlib.blake2b(body[i][s : s + unit.depth].tobytes(), digest_size=16).digest() for i, s in zip(o.tolist(), shift[w].tolist(), strict=True)]
-            first = pa.array(a[o] + shift[w], mask=~open_)
-            more = {"k": k[o], "l": n[o], "first": first, "last": first, "h": h[o], "place": (p[o] - a[o] - shift[w]).astype(np.int32), "digest": digests}
+            w = np.sort(split[np.unique(group[split], return_index=True)[1]])
+            o, at_window = own[w], shift[w]
+            place = (p - a)[o] - at_window
+            block = place // unit.block
+            head = np.flatnonzero(np.append(True, (o[1:] != o[:-1]) | (block[1:] != block[:-1])))
+            own_digest = [digest(body[i][x : x + unit.depth]) for i, x in zip(o.tolist(), at_window.tolist(), strict=True)]
+            first = pa.array(a[o] + at_window, mask=many[w] | ~alone[o])
+            windows = pa.StructArray.from_arrays([pa.array(place, type=pa.int32()), pa.array(own_digest, type=pa.binary()), first], fields=list(window))
+            o, low = o[head], block[head] * unit.block
+            # what windows at places low to low + block - 1 share
+            x, y = (p - a)[o] - low, (p - a)[o] - low - unit.block + 1 + unit.depth
+            common = [digest(body[i][u:v]) for i, u, v in zip(o.tolist(), x.tolist(), y.tolist(), strict=True)]
+            none = [None] * len(o)
+            listed = pa.ListArray.from_arrays(pa.array(np.append(head, len(w)), type=pa.int32()), windows)
+            more = {"k": k[o], "l": n[o], "first": none, "last": none, "h": h[o], "block": block[head], "digest": common, "windows": listed}
             cols = {c: pa.concat_arrays([_array(x[c], fields.field(c).type) for x in (cols, more)]) for c in cols}
         return pa.RecordBatch.from_arrays([_array(cols[f.name], f.type) for f in fields], schema=fields)
 
@@ -386,8 +408,11 @@ def _runs(texts: DataFrame, unit: Unit) -> DataFrame:
     tasks = dispute.groupBy("k", "l").agg(F.collect_list(F.struct("h", "at", "alone", part.alias("part"))).alias("tasks"))
     found = cut(_sorted(_bodies(long_enough.select("k", "l", "z").join(tasks, ["k", "l"]), unit), unit))
     split = found.filter("digest IS NOT NULL")
-    cross = split.groupBy("h", "place", "digest").agg(F.count("*").alias("n")).filter("n > 1")
-    across = join_counted(split.filter("first IS NOT NULL"), cross, ["h", "place", "digest"])
+    blocks = split.groupBy("h", "block", "digest").agg(F.count("*").alias("n")).filter("n > 1")
+    windows = join_counted(split.select("k", "l", "h", "block", "digest", "windows"), blocks, ["h", "block", "digest"]).select("k", "l", "h", F.inline("windows"))
+    windows = cut(windows.select("k", "l", "h", "place", "digest", "first", F.col("first").alias("last")))
+    cross = windows.groupBy("h", "place", "digest").agg(F.count("*").alias("n")).filter("n > 1")
+    across = join_counted(windows.filter("first IS NOT NULL"), cross, ["h", "place", "digest"])
     p, lo, hi = (F.shiftright("at", 32), F.shiftright("at", 16).bitwiseAND(_PACK - 1), F.col("at").bitwiseAND(_PACK - 1))
     runs = full.select("k", "l", (p - lo).alias("first"), (p - hi).alias("last"))
     for more in (found.filter("digest IS NULL"), across):
