@@ -81,6 +81,38 @@ def read_packs(packs: DataFrame) -> DataFrame:
     return each.select("scope_id", (F.col("first_sequence") + F.col("i")).alias("sequence"), "digest", payload.alias("payload")).filter(F.sha2("payload", 256) == F.col("digest"))
 
 
+def pack_status(packs: DataFrame) -> DataFrame:
+    """What reading each pack comes to: bad_section, bad_offsets, bad_slice, or ok.  Unsound packs give no events but keep their row."""
+    rising = F.forall(F.zip_with(F.slice("offsets", 1, F.size("offsets") - 1), F.slice("offsets", 2, F.size("offsets") - 1), lambda a, b: a < b), lambda x: x)
+    framed = (F.size("offsets") == F.size("digests") + 1) & (F.element_at("offsets", 1) == 0) & (F.element_at("offsets", -1) == F.octet_length("events")) & rising
+    place = F.transform("digests", lambda d, i: F.sha2(F.substring(F.col("events"), F.get("offsets", i).cast("int") + 1, (F.get("offsets", i + 1) - F.get("offsets", i)).cast("int")), 256) == d)
+    status = F.when(F.sha2("events", 256) != F.col("events_digest"), "bad_section").when(~F.coalesce(framed, F.lit(False)), "bad_offsets").when(~F.forall(place, lambda x: x), "bad_slice").otherwise("ok")
+    return packs.select("scope_id", "first_sequence", "last_sequence", status.alias("status"))
+
+
+def current_catalogs(pointers: DataFrame, catalogs: DataFrame) -> DataFrame:
+    """State of each scope's current catalogue: absent (no pointer), unusable (pointer or catalogue refused, or no such catalogue), or present.
+
+    Both are decoded records (status and record) of a scope_id; catalogues are found by ``digest``.
+    """
+    c = catalogs.select("scope_id", F.col("digest").alias("named"), F.col("status").alias("catalog_status"), F.col("record").alias("catalog"))
+    j = pointers.withColumn("named", F.col("record.catalog_digest")).join(c, ["scope_id", "named"], "left")
+    state = F.when(F.col("status") == "absent", "absent").when((F.col("status") == "ok") & F.coalesce(F.col("catalog_status") == "ok", F.lit(False)), "present").otherwise("unusable")
+    return j.select("scope_id", state.alias("state"), F.when(state == "present", F.col("catalog")).alias("catalog"))
+
+
+def read_ranges(requests: DataFrame, packs: DataFrame, size: int = M.MAX_REPLAY_BYTES) -> DataFrame:
+    """Events first to last of each request (scope_id, first, last) out of sound packs, in order, as far as they are without a gap and fit the byte budget.
+
+    Events of packs that overlap count once.
+    """
+    events = read_packs(packs).groupBy("scope_id", "sequence").agg(F.min_by(F.struct("digest", "payload"), "digest").alias("e")).select("scope_id", "sequence", "e.digest", F.octet_length("e.payload").cast("long").alias("bytes"))
+    j = requests.join(events, "scope_id").filter((F.col("sequence") >= F.col("first")) & (F.col("sequence") <= F.col("last")))
+    w = Window.partitionBy("scope_id", "first", "last").orderBy("sequence")
+    placed = j.withColumns({"nth": F.row_number().over(w), "running": F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    return placed.filter((F.col("sequence") - F.col("first") + 1 == F.col("nth")) & (F.col("running") <= size)).select("scope_id", "first", "last", "sequence", "digest", F.col("running").alias("running_bytes"))
+
+
 def catalog_valid(catalog: DataFrame) -> DataFrame:
     """Whether each scope's pack ranges are ordered and apart."""
     w = Window.partitionBy("scope_id").orderBy("first_sequence", "last_sequence")

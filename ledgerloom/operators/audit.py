@@ -156,3 +156,13 @@ def snapshot_valid(scopes: DataFrame, covered: DataFrame) -> DataFrame:
     s = scopes.select("scope_id", *(F.col(c).alias(f"own_{c}") for c in ("sequence", "tail_event_digest", "active_plan_digest")))
     ok = (F.col("sequence") == F.col("own_sequence")) & (F.col("tail_event_digest") == F.col("own_tail_event_digest")) & F.col("active_plan_digest").eqNullSafe(F.col("own_active_plan_digest"))
     return covered.join(s, "scope_id", "left").select("scope_id", F.coalesce(ok, F.lit(False)).alias("valid"))
+
+
+def classify_projections(projections: DataFrame) -> DataFrame:
+    """What opening each projection (scope_id, present, application, schema_ok, violations) comes to: missing, foreign, rebuildable, or valid.
+
+    A projection of another application is never touched; one whose schema or content is at fault is built again from the log.
+    """
+    foreign = F.coalesce(F.col("application") != F.lit("projection"), F.lit(True))
+    state = F.when(~F.coalesce("present", F.lit(False)), "missing").when(foreign, "foreign").when(~F.coalesce("schema_ok", F.lit(False)) | (F.coalesce("violations", F.lit(0)) > 0), "rebuildable").otherwise("valid")
+    return projections.select("scope_id", state.alias("state"))

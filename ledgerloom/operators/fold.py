@@ -7,7 +7,7 @@ order per work revision.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 KEY = ["scope_id", "work_id", "work_revision"]
 
@@ -65,6 +65,47 @@ def admit_plans(plans: DataFrame) -> tuple[DataFrame, DataFrame]:
     return work, edges.filter("depends_on_work_id <> work_id")
 
 
+def fold_scopes(log: DataFrame) -> DataFrame:
+    """Scope rows from the log alone: genesis gives campaign and objective, the rest of the log cursor, epoch and plan; reserve comes with the plan's admission.
+
+    ``log`` has, beside its columns, campaign_id and objective_digest at genesis and reserved_budget_units at plan_admitted.
+    Scopes without a genesis event have no row.
+    """
+    at = lambda kind, c: F.max(F.when(F.col("payload_type") == kind, F.col(c))).alias(c)
+    first = log.groupBy("scope_id").agg(at("root_genesis", "campaign_id"), at("root_genesis", "objective_digest"), at("plan_admitted", "reserved_budget_units"))
+    return fold_cursors(log).join(first.filter("campaign_id IS NOT NULL"), "scope_id").withColumn("claims_restored", F.lit(0).cast("long"))
+
+
+def admission_verdicts(plans: DataFrame, work: DataFrame, deps: DataFrame, scopes: DataFrame) -> DataFrame:
+    """Whether each plan (scope_id, plan_digest, revision, work_specs) may be admitted over what is there; one bad row refuses it whole.
+
+    first failing rule: plan_held (another plan is active), self_edge, unknown_dependency, work_conflict (the revision
+    is there under another plan), edge_conflict (the revision is there with other dependencies), or ok.
+    """
+    specs = plans.select("scope_id", "plan_digest", "revision", F.explode("work_specs").alias("s")).select("scope_id", "plan_digest", "revision", F.col("s.work_id").alias("work_id"), F.array_sort(F.array_distinct("s.dependencies")).alias("wanted"))
+    known = plans.select("scope_id", "plan_digest", F.transform("work_specs", lambda s: s["work_id"]).alias("declared"))
+    key = ["scope_id", "work_id", "work_revision"]
+    held = work.select(*key, F.col("plan_digest").alias("held_plan"))
+    edges = deps.groupBy(*key).agg(F.array_sort(F.collect_list("depends_on_work_id")).alias("held_edges"))
+    s = specs.withColumnRenamed("revision", "work_revision").join(known, ["scope_id", "plan_digest"]).join(held, key, "left").join(edges, key, "left")
+    faults = s.groupBy("scope_id", "plan_digest").agg(
+        F.bool_or(F.array_contains("wanted", F.col("work_id"))).alias("self_edge"), F.bool_or(F.size(F.array_except("wanted", "declared")) > 0).alias("unknown"), F.bool_or(F.coalesce(F.col("held_plan") != F.col("plan_digest"), F.lit(False))).alias("other_plan"),
+        F.bool_or(F.col("held_plan").isNotNull() & ~same_dependencies(F.col("wanted"), F.coalesce("held_edges", F.array().cast("array<string>")))).alias("other_edges"),
+    )
+    active = scopes.select("scope_id", F.col("active_plan_digest").alias("active"))
+    j = plans.select("scope_id", "plan_digest").join(active, "scope_id", "left").join(faults, ["scope_id", "plan_digest"], "left")
+    verdict = (
+        F.when(F.col("active").isNotNull() & (F.col("active") != F.col("plan_digest")), "plan_held").when(F.col("self_edge"), "self_edge").when(F.col("unknown"), "unknown_dependency")
+        .when(F.col("other_plan"), "work_conflict").when(F.col("other_edges"), "edge_conflict").otherwise("ok")
+    )
+    return j.select("scope_id", "plan_digest", verdict.alias("verdict"))
+
+
+def same_dependencies(a: Column, b: Column) -> Column:
+    """Whether two lists of dependencies are equal as sets."""
+    return F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b))
+
+
 def fold_claims(operations: DataFrame) -> DataFrame:
     """Claim state and terminal evidence of each revision after its operations in order of arrival.
 

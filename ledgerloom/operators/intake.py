@@ -9,27 +9,71 @@ from .lookups import must_stop
 
 
 def submission_intake(claims: DataFrame) -> DataFrame:
-    """Sealed submissions: claim row, expected binding and evidence body joined beforehand; absent parts are null."""
+    """Sealed submissions: claim row, expected binding and evidence body joined beforehand (``match_submissions`` does); absent parts are null.
+
+    With the columns claim_unavailable and evidence_unavailable, a read that failed is no refusal but ``unavailable``.
+    """
+    failed = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in claims.columns else F.lit(False)
     verdict = (
-        F.when(F.col("record").isNull(), "absent").when(~F.coalesce("decodes", F.lit(False)), "malformed").when(F.col("state") != "sealed", "not_sealed").when(~F.col("plan_digest").eqNullSafe(F.col("expected_plan")), "identity_mismatch")
-        .when(F.col("claim_fence") < F.col("minimum_fence"), "stale_fence").when(F.col("stored_digest").isNull(), "missing_evidence")
+        F.when(failed("claim_unavailable"), "unavailable").when(F.col("record").isNull(), "absent").when(~F.coalesce("decodes", F.lit(False)), "malformed").when(F.col("state") != "sealed", "not_sealed").when(~F.col("plan_digest").eqNullSafe(F.col("expected_plan")), "identity_mismatch")
+        .when(F.col("claim_fence") < F.col("minimum_fence"), "stale_fence").when(failed("evidence_unavailable"), "unavailable").when(F.col("stored_digest").isNull(), "missing_evidence")
         .when((F.col("stored_size") != F.col("evidence_size")) | (F.col("stored_digest") != F.col("evidence_digest")) | ~F.col("same_binding"), "evidence_mismatch").otherwise("sealed")
     )
     return claims.select("scope_id", "work_id", "work_revision", verdict.alias("verdict"))
 
 
+def match_submissions(expected: DataFrame, claims: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Expected bindings with their claim object and the sealed submission it names, side by side for ``submission_intake``.
+
+    ``expected`` has the key, expected_plan and minimum_fence; ``claims`` the key, decodes, unavailable, state,
+    plan_digest, claim_fence, owner_actor, owner_instance, operation_id, evidence_digest and evidence_size;
+    ``evidence`` one row per object: address, unavailable, content, decodes, and the identity that the submission
+    in it states (scope_id, work_id, work_revision, plan_digest, claim_fence, owner_actor, owner_instance, operation_id).
+    """
+    key = ["scope_id", "work_id", "work_revision"]
+    identity = [*key, "plan_digest", "claim_fence", "owner_actor", "owner_instance", "operation_id"]
+    c = claims.withColumnRenamed("unavailable", "claim_unavailable").withColumn("record", F.lit("claim"))
+    said = evidence.select(
+        F.col("address").alias("evidence_digest"), F.col("unavailable").alias("evidence_unavailable"), F.sha2("content", 256).alias("stored_digest"), F.octet_length("content").cast("long").alias("stored_size"),
+        F.coalesce("decodes", F.lit(False)).alias("evidence_decodes"), *(F.col(x).alias(f"said_{x}") for x in identity),
+    )
+    same = F.col("evidence_decodes")
+    for x in identity:
+        same = same & F.col(x).eqNullSafe(F.col(f"said_{x}"))
+    return expected.join(c, key, "left").join(said, "evidence_digest", "left").withColumn("same_binding", F.coalesce(same, F.lit(False)))
+
+
+def match_grants(expected: DataFrame, objects: DataFrame) -> DataFrame:
+    """Expected grants with the object under their key, side by side for ``grant_intake``.
+
+    ``expected`` has the key, fence, plan_digest, action, resource_scope, attempt, operation_id, max_units and
+    max_deadline_unix_ms; ``objects`` the key, fence, unavailable, too_large, content, decodes and what the grant in it states.
+    """
+    key = ["scope_id", "work_id", "work_revision", "fence"]
+    identity = ["plan_digest", "claim_fence", "action", "resource_scope", "attempt", "operation_id"]
+    said = objects.select(*key, "unavailable", "limit_units", "deadline_unix_ms", F.lit(True).alias("there"), (F.coalesce("decodes", F.lit(False)) & ~F.coalesce("too_large", F.lit(False))).alias("readable"), F.sha2("content", 256).alias("object_digest"), *(F.col(x).alias(f"said_{x}") for x in identity))
+    same = F.lit(True)
+    for x in identity:
+        same = same & F.col("fence" if x == "claim_fence" else x).eqNullSafe(F.col(f"said_{x}"))
+    j = expected.join(said, key, "left")
+    return j.select(
+        *key, F.coalesce("unavailable", F.lit(False)).alias("unavailable"), F.col("there").isNotNull().alias("found"), F.coalesce("readable", F.lit(False)).alias("decodes"), same.alias("same_identity"), "deadline_unix_ms", "limit_units", "max_units", "max_deadline_unix_ms", "object_digest"
+    )
+
+
 def grant_intake(grants: DataFrame, continuable: DataFrame, heads: DataFrame, now_ms: int) -> DataFrame:
     """Grant objects against what was expected, the controller's authority and the continuable row.
 
     ``grants`` has scope_id, work_id, work_revision, fence, found, decodes, same_identity, deadline_unix_ms,
     limit_units, max_units, max_deadline_unix_ms and object_digest.  An accepted grant carries the stop
-    time: the shorter lease less the margin.
+    time: the shorter lease less the margin.  With the column ``unavailable``, a read that failed is no refusal.
     """
+    failed = F.coalesce(F.col("unavailable"), F.lit(False)) if "unavailable" in grants.columns else F.lit(False)
     rows = continuable.filter("verdict = 'continuable'").select("scope_id", "work_id", "work_revision", F.col("claim_fence").alias("row_fence"), F.col("grant_digest").alias("row_digest"), F.col("claim_lease_until").alias("row_lease"))
     stale = continuable.filter("verdict = 'stale_authority'").select("scope_id", F.lit(True).alias("stale")).distinct()
     j = grants.join(heads.select("scope_id", "lease_until"), "scope_id", "left").join(rows, ["scope_id", "work_id", "work_revision"], "left").join(stale, "scope_id", "left")
     verdict = (
-        F.when(F.col("lease_until").isNull() | must_stop(F.col("lease_until"), now_ms), "stale_authority").when(~F.col("found"), "absent").when(~F.col("decodes"), "malformed").when(~F.col("same_identity"), "identity_mismatch")
+        F.when(F.col("lease_until").isNull() | must_stop(F.col("lease_until"), now_ms), "stale_authority").when(failed, "unavailable").when(~F.col("found"), "absent").when(~F.col("decodes"), "malformed").when(~F.col("same_identity"), "identity_mismatch")
         .when(F.col("deadline_unix_ms") <= now_ms, "expired").when((F.col("limit_units") > F.col("max_units")) | (F.col("deadline_unix_ms") > F.col("max_deadline_unix_ms")), "wider_than_requested")
         .when(F.col("stale"), "stale_authority").when(F.col("row_fence").isNull() | (F.col("row_lease") <= now_ms), "revoked")
         .when(F.col("row_fence") == F.col("fence"), F.when(F.col("row_digest") == F.col("object_digest"), "accepted").otherwise("identity_mismatch")).when(F.col("row_fence") > F.col("fence"), "stale_fence").otherwise("revoked")

@@ -16,6 +16,11 @@ def cursors(scopes: DataFrame, expected_campaign: DataFrame | None = None) -> Da
     return joined.select("scope_id", F.when(own, F.col("sequence")).otherwise(0).alias("sequence"), F.when(own, F.col("tail_event_digest")).alias("tail_event_digest"))
 
 
+def scope_count(scopes: DataFrame) -> DataFrame:
+    """How many scopes a projection holds."""
+    return scopes.agg(F.count("*").alias("scopes"))
+
+
 def active_plans(scopes: DataFrame) -> DataFrame:
     return scopes.select("scope_id", "active_plan_digest", "scope_epoch", "objective_digest", (F.col("claims_restored") == 1).alias("claims_restored"))
 

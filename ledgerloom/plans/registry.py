@@ -74,7 +74,14 @@ def _(t):
     return scheduling.grant_admissible(t("requests"), t("work"), t("scopes"), NOW_MS)
 
 
-@_query("grant_in_order")
+@_query(
+    "grant_in_order",
+    f"""WITH RECURSIVE a AS ({_ADMISSIBLE}), o AS (SELECT *, row_number() OVER (PARTITION BY scope_id ORDER BY key, work_id, work_revision, request_digest, units) AS n FROM a WHERE admissible),
+      b AS (SELECT s.scope_id, reserved_budget_units AS reserve, (SELECT CAST(sum(coalesce(granted_units, 0)) AS BIGINT) FROM work AS w WHERE w.scope_id = s.scope_id) AS drawn FROM scopes AS s),
+      r AS (SELECT b.scope_id, b.reserve, 0 AS n, b.drawn, CAST(NULL AS VARCHAR) AS work_id, CAST(NULL AS BIGINT) AS work_revision, CAST(NULL AS VARCHAR) AS request_digest, false AS admitted FROM b
+        UNION ALL SELECT r.scope_id, r.reserve, CAST(o.n AS INT), r.drawn + CASE WHEN r.drawn + o.units <= r.reserve THEN o.units ELSE 0 END, o.work_id, o.work_revision, o.request_digest, r.drawn + o.units <= r.reserve FROM r JOIN o ON o.scope_id = r.scope_id AND o.n = r.n + 1)
+      SELECT scope_id, work_id, work_revision, request_digest, admitted FROM r WHERE n > 0""",
+)
 def _(t):
     return scheduling.admit_in_order(t("requests"), t("work"), t("scopes"), NOW_MS, "key")
 
@@ -519,7 +526,14 @@ def _(t):
     return accel.segments(t("log"), 20)
 
 
-@_query("pack_segments_bytes")
+@_query(
+    "pack_segments_bytes",
+    """WITH RECURSIVE o AS (SELECT scope_id, sequence, stored_bytes, row_number() OVER (PARTITION BY scope_id ORDER BY sequence) AS n FROM log),
+      r AS (SELECT scope_id, sequence, n, stored_bytes AS b, CAST(0 AS BIGINT) AS pack, CAST(1 AS BIGINT) AS held, stored_bytes AS total FROM o WHERE n = 1
+        UNION ALL SELECT x.scope_id, x.sequence, x.n, x.stored_bytes, x.pack + CASE WHEN x.full THEN 1 ELSE 0 END, CASE WHEN x.full THEN 1 ELSE x.held + 1 END, CASE WHEN x.full THEN 0 ELSE x.total END + x.stored_bytes
+          FROM (SELECT o.*, r.pack, r.held, r.total, r.held = 20 OR r.total + o.stored_bytes > 8000 AS full FROM r JOIN o ON o.scope_id = r.scope_id AND o.n = r.n + 1) AS x)
+      SELECT scope_id, pack, min(sequence) AS first_sequence, max(sequence) AS last_sequence, count(*) AS events, CAST(sum(b) AS BIGINT) AS bytes FROM r GROUP BY scope_id, pack""",
+)
 def _(t):
     return accel.segments_by_bytes(t("log"), 20, 8_000)
 
@@ -768,7 +782,7 @@ def _(t):
     return t("log").select("scope_id", "sequence", scalar.domain_digest("event", F.col("operation_id")).alias("digest"))
 
 
-@_query("bounded_text")
+@_query("bounded_text", "SELECT doc_id, CASE WHEN text IS NOT NULL THEN substring(text, 1, (SELECT max(i) FROM range(0, 101) AS x(i) WHERE strlen(substring(text, 1, CAST(i AS BIGINT))) <= 100)) END AS text FROM documents")
 def _(t):
     return t("texts").select("doc_id", scalar.bounded_text(F.col("text"), 100).alias("text"))
 
@@ -878,9 +892,16 @@ def _(t):
     return measure.invalid_attempts(c)
 
 
-@_query("equivalence_classes")
+@_query(
+    "equivalence_classes",
+    """WITH RECURSIVE a AS (SELECT run_seq, item, min(artifact) AS artifact FROM attempts GROUP BY run_seq, item), o AS (SELECT *, row_number() OVER (PARTITION BY run_seq ORDER BY item) AS n FROM a),
+      r AS (SELECT run_seq, item, artifact, n, [artifact] AS firsts, CAST(0 AS BIGINT) AS class_no FROM o WHERE n = 1
+        UNION ALL SELECT run_seq, item, artifact, n, CASE WHEN p = 0 THEN list_append(firsts, artifact) ELSE firsts END, CASE WHEN p = 0 THEN len(firsts) ELSE p - 1 END
+          FROM (SELECT o.*, r.firsts, coalesce(list_position(list_transform(r.firsts, lambda f: (f + o.artifact) % 3 = 0), true), 0) AS p FROM r JOIN o ON o.run_seq = r.run_seq AND o.n = r.n + 1) AS x)
+      SELECT run_seq, item AS emission, class_no, row_number() OVER (PARTITION BY run_seq, class_no ORDER BY artifact % 10, item) = 1 AS kept FROM r""",
+)
 def _(t):
-    a = t("attempts").dropDuplicates(["run_seq", "item"])
+    a = t("attempts").groupBy("run_seq", "item").agg(F.min("artifact").alias("artifact"))
     said = a.select("run_seq", F.col("item").alias("emission"), (F.col("artifact") % 10).alias("span"))
     same = a.alias("x").join(a.alias("y"), "run_seq").filter("x.item < y.item AND (x.artifact + y.artifact) % 3 = 0").select("run_seq", F.col("x.item").alias("a"), F.col("y.item").alias("b"))
     return graph.equivalence_classes(said, same)
@@ -923,8 +944,12 @@ def _tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from . import stored  # noqa: F401, registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import stored  # noqa: F401
+
     return dict(_SQL)

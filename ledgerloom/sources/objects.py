@@ -16,13 +16,21 @@ from ledgerloom import model as M
 
 
 def read_objects(spark: SparkSession, path: str, cap: int = M.OBJECT_BYTES, start_after: str | None = None, max_keys: int | None = None) -> DataFrame:
-    """Objects under a prefix in key order: path, length, status (ok or too_large) and content (null beyond the cap)."""
+    """Objects under a prefix in key order: path, length, status (ok or too_large) and content (null beyond the cap).
+
+    A listing of more than ``max_keys`` keys is refused, never cut: every row then has the status
+    over_limit and no content.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     if start_after is not None:
         files = files.filter(F.col("path") > start_after)
     ok = F.col("length") <= cap
     out = files.select("path", "length", F.when(ok, "ok").otherwise("too_large").alias("status"), F.when(ok, F.col("content")).alias("content"))
-    return out if max_keys is None else out.orderBy("path").limit(max_keys)
+    if max_keys is None:
+        return out.orderBy("path")
+    if files.select("path").count() > max_keys:
+        out = out.select("path", "length", F.lit("over_limit").alias("status"), F.lit(None).cast("binary").alias("content"))
+    return out.orderBy("path")
 
 
 def decode_records(df: DataFrame, json_col: str, schema: StructType, canonical: bool = True) -> DataFrame:
@@ -198,7 +206,8 @@ def _event(content: bytes | None):
         row = {"scope_id": e["scope_id"], "sequence": e["sequence"], "parent_sequence": parent and parent["sequence"], "parent_digest": parent and parent["digest"], "writer_epoch": e["writer_epoch"], "operation_id": e["operation_id"], "payload_type": e["payload_type"]}
     except (Refused, KeyError, TypeError):
         return "malformed", None, None
-    return "ok", hashlib.sha256(raw).hexdigest(), row
+    # an event is named by the digest of its stored bytes
+    return "ok", hashlib.sha256(content).hexdigest(), row
 
 
 def listing_dense(keys: DataFrame, key_col: str, tail: Column) -> DataFrame:

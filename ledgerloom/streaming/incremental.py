@@ -12,6 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ledgerloom import model as M
+from ledgerloom.operators import lookups
+
 OUTPUT = "scope_id string, sequence long, digest string, writer_epoch long, active_plan_digest string, applied long, verdict string"
 STATE = "sequence long, digest string, writer_epoch long, active_plan_digest string, operations array<string>, digests array<string>"
 
@@ -20,6 +23,7 @@ def advance(state: tuple | None, events: pd.DataFrame) -> tuple[tuple | None, in
     """State, events applied and verdict after one scope's batch."""
     seq, digest, epoch, plan, operations, digests = state or (0, None, 0, None, [], [])
     operations, digests, applied = list(operations), list(digests), 0
+    known = set(operations)
     for e in events.sort_values(["sequence", "digest"], kind="stable").itertuples(index=False):
         if e.sequence <= seq:
             if digests[int(e.sequence) - 1] != e.digest:
@@ -27,8 +31,10 @@ def advance(state: tuple | None, events: pd.DataFrame) -> tuple[tuple | None, in
             continue
         if e.sequence != seq + 1:
             return state, 0, "gap"
+        if e.sequence > M.MAX_EVENTS:
+            return state, 0, "over_limit"
         parent = None if pd.isna(e.parent_digest) else e.parent_digest
-        if parent != digest or e.writer_epoch < epoch or e.operation_id in operations or (e.payload_type == "root_genesis") != (e.sequence == 1):
+        if parent != digest or e.writer_epoch < epoch or e.operation_id in known or (e.payload_type == "root_genesis") != (e.sequence == 1):
             return state, 0, "conflict"
         if e.payload_type == "plan_admitted":
             if plan is not None:
@@ -36,6 +42,7 @@ def advance(state: tuple | None, events: pd.DataFrame) -> tuple[tuple | None, in
             plan = None if pd.isna(e.plan_digest) else e.plan_digest
         seq, digest, epoch, applied = int(e.sequence), e.digest, int(e.writer_epoch), applied + 1
         operations.append(e.operation_id)
+        known.add(e.operation_id)
         digests.append(e.digest)
     return (seq, digest, epoch, plan, operations, digests), applied, "applied" if applied else "duplicate"
 
@@ -67,6 +74,12 @@ def readiness(cursors: DataFrame, heads: DataFrame) -> DataFrame:
     return heads.join(c, "scope_id", "left").select("scope_id", F.coalesce((F.col("own") == F.col("sequence")) & (F.col("own_digest") == F.col("tail_event_digest")), F.lit(False)).alias("ready"))
 
 
+def ready_scopes(cursors: DataFrame, heads: DataFrame, scopes: DataFrame, log: DataFrame) -> DataFrame:
+    """Scopes whose cursor has reached the head and whose projection agrees with it in campaign, plan, operation and epoch."""
+    agrees = lookups.head_matches(heads, scopes, log)
+    return readiness(cursors, heads).join(agrees, "scope_id", "left").select("scope_id", (F.col("ready") & F.coalesce("matches", F.lit(False))).alias("ready"))
+
+
 def intake_queue(arrivals: DataFrame, capacity: int, stopped_at: int | None = None) -> DataFrame:
     """accepted, overloaded or stopped, for arrivals (queue, arrival) at a bounded queue that nothing drains meanwhile."""
     from pyspark.sql import Window
