@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Different links that one task joins, at most.
 LOCAL = 500_000
-#: Ids that a join may broadcast, at most.
-BROADCAST = 1_000_000
+#: Ids that a join may broadcast, at most, and bytes of their written table.
+BROADCAST, BROADCAST_BYTES = 1_000_000, 16 << 20
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -20,8 +20,7 @@ def cut(df: DataFrame) -> DataFrame:
 
     All executors share that folder, so the loss of one undoes nothing, and the plan starts anew from
     a table of known size.  The tables of an application lie in one folder of its name, which may be
-    deleted when it has ended.  Where the setting is missing, as in tests, a folder of the session's
-    warehouse takes its place.
+    deleted when it has ended.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
@@ -34,18 +33,34 @@ def cut(df: DataFrame) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of ``cut`` that only later tables of ``cut`` were made from."""
     for table in tables:
-        jvm, path = table.sparkSession._jvm, table.written_to
-        jvm.org.apache.hadoop.fs.Path(path).getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(jvm.org.apache.hadoop.fs.Path(path), True)
+        store, path = _store(table)
+        store.delete(path, True)
+
+
+def _store(table: DataFrame) -> tuple:
+    """File system and path of a table of ``cut``."""
+    session = table.sparkSession
+    path = session._jvm.org.apache.hadoop.fs.Path(table.written_to)
+    return path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()), path
 
 
 def checked(rows: DataFrame, weight: Column | None = None) -> DataFrame:
-    """A written table of ids or of lists of ids, marked for broadcast if the ids it holds (rows, or the sum of ``weight``) are few enough; without the mark a join shuffles."""
+    """A table of ``cut`` with ids or lists of ids, marked for broadcast if its bytes and the ids it holds (rows, or the sum of ``weight``) are few enough; without the mark a join shuffles."""
+    store, path = _store(rows)
+    if store.getContentSummary(path).getLength() > BROADCAST_BYTES:
+        return rows
     held = rows.count() if weight is None else rows.agg(F.sum(weight)).first()[0] or 0
     return F.broadcast(rows) if held <= BROADCAST else rows
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    own = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    """The shared folder for written tables.  Without the setting, a local session uses its warehouse; a cluster is refused, since its machines may not share that."""
+    own = spark.conf.get("spark.checkpoint.dir", None)
+    if not own:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     return own.rstrip("/")
 
 

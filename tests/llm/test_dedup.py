@@ -2,6 +2,7 @@ import collections
 import hashlib
 import random
 import re
+import types
 
 import numpy as np
 import pytest
@@ -296,6 +297,41 @@ def test_embeddings(spark, monkeypatch):
     assert embed_dedup.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_planted_recall(spark):
+    """Pairs planted just above the threshold among random vectors: all are found, and what is just below isn't linked."""
+    rng = np.random.default_rng(21)
+    n, dim = 1200, 32
+    base = rng.normal(size=(n, dim))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    other = rng.normal(size=(n, dim))
+    other -= (other * base).sum(1, keepdims=True) * base
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    cosine = np.where(np.arange(n) % 4 == 0, 0.9495, 0.9505)[:, None]
+    near = cosine * base + np.sqrt(1 - cosine**2) * other
+    rows = np.concatenate([base, near])
+    linked = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>").repartition(4)).collect()}
+    exact = (rows @ rows.T >= 0.95).sum(1) - 1
+    # measured recall against brute force: 1.0
+    assert [linked[i] for i in range(2 * n)] == exact.tolist() and sum(exact) >= 2 * n * 3 // 4
+
+
+def test_shared_folder():
+    """Without the setting only a local session falls back to its warehouse."""
+    session = lambda master, **conf: types.SimpleNamespace(conf={"spark.sql.warehouse.dir": "/w/"} | {k.replace("_", "."): v for k, v in conf.items()}, sparkContext=types.SimpleNamespace(master=master))
+    assert C.checkpoint_dir(session("local[4]")) == "/w/_checkpoints" and C.checkpoint_dir(session("spark://host:7077", spark_checkpoint_dir="s3://shared/")) == "s3://shared"
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,3000]"):
+        with pytest.raises(ValueError):
+            C.checkpoint_dir(session(master))
+
+
+def test_large_tables_are_not_broadcast(spark, monkeypatch):
+    table = C.cut(spark.range(1000))
+    marked = lambda: "broadcast" in C.checked(table)._jdf.queryExecution().logical().toString().lower()
+    assert marked()
+    monkeypatch.setattr(C, "BROADCAST_BYTES", 100)
+    assert not marked()
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(1).normal(size=(5, 64))
     y = embed_dedup.hadamard(x)
