@@ -6,8 +6,8 @@ text: toxic documents are split at quantiles of how many different words they ho
 documents in the labelled sample; such words (and word beginnings) are the features.  A document is
 rejected when P(grade > 0) exceeds 0.5.
 
-Fitting uses a bounded sample: the ``sample`` labelled rows with the smallest hash of their id, so
-the same rows at every run.  Everything else covers all documents and whole texts.
+Fitting uses a bounded sample: the ``sample`` labelled rows with the smallest hash of their id, as far
+as their texts have SAMPLE_BYTES together, so the same rows at every run.  Everything else covers all documents and whole texts.
 
 Null and empty texts have no features and take the baseline score.  Labels that are null or whose
 document is missing are left out; of several labels of a document the highest counts, of several
@@ -23,12 +23,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .batches import map_slices
 
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE = 8_000
+#: Bytes of their texts together, at most: rows beyond it, in the order of the sample, are left out.
+SAMPLE_BYTES = 64 << 20
 #: Words in fewer sampled documents are no features.
 MIN_DOCS = 6
 #: Features are words that multiply the odds of a toxic document so many times.
@@ -120,6 +122,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, min_docs: int
     # the sample has a fixed bound, so it is the side to broadcast
     one = texts.join(F.broadcast(chosen), "__id").groupBy("__id", "__toxic").agg(F.min("text").alias("text"))
     joined = one.select(F.xxhash64("__id").alias("place"), F.col("__toxic").cast("long").alias("toxic"), "text")
+    # one task gets the sample anyway, so its bytes are summed there
+    held = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy("place", "toxic").rowsBetween(Window.unboundedPreceding, 0))
+    joined = joined.withColumn("held", held).filter(F.col("held") <= SAMPLE_BYTES).drop("held")
 
     def words(piece: pa.RecordBatch) -> dict[str, list]:
         return {"place": piece.column("place"), "toxic": piece.column("toxic"), "words": [sorted(features(t)) for t in piece.column("text").to_pylist()]}

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -121,6 +122,31 @@ def test_any_toxic_share(share):
     assert np.mean([verdict[i] for i, _, t in held if t]) > 0.9 and np.mean([verdict[i] for i, _, t in held if not t]) < 0.05
 
 
+def test_severity_orders_what_features_do_not_hold():
+    """Half of the offensive words are hidden from fit and score; on held-out toxic documents the expected severity still follows how many of the hidden ones a document has."""
+    bad, rng = [f"vile{i}" for i in range(40)], random.Random(5)
+    hidden = set(bad[::2])
+    rows = []
+    for i in range(6000):
+        words = [f"word{rng.randint(0, 400)}" for _ in range(40)]
+        level = rng.choice([1, 3, 9]) if i % 5 == 0 else 0
+        rows.append((i, words + [rng.choice(bad) for _ in range(2 * level)], int(level > 0)))
+    seen = [(i, " ".join(w for w in words if w not in hidden), t, sum(w in hidden for w in words)) for i, words, t in rows]
+    train, held = seen[:4000], [r for r in seen[4000:] if r[2]]
+    model = T.fit_words(pa.table({"place": [r[0] for r in train], "toxic": [r[2] for r in train], "words": [sorted(T.features(r[1])) for r in train]}))
+    severity = np.array([model.above(model.score(text)).sum() for _, text, _, _ in held])
+    assert pd.Series(severity).corr(pd.Series([r[3] for r in held]), method=lambda x, y: np.corrcoef(pd.Series(x).rank(), pd.Series(y).rank())[0, 1]) > 0.6
+
+
+def test_sample_bytes(spark, monkeypatch):
+    """A sample of very long texts is bounded by its bytes."""
+    docs = spark.createDataFrame([(i, ("vilest " if i % 2 else "plain ") * 50 + f"w{i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    assert T.fit(docs, labels).weights
+    monkeypatch.setattr(T, "SAMPLE_BYTES", 1000)
+    assert not T.fit(docs, labels).weights
+
+
 def test_one_class_has_no_marks():
     rows, words = np.arange(20), np.zeros(20, np.int64)
     assert not T.marks(rows, words, 1, np.ones(20, np.int64)).any() and not T.marks(rows, words, 1, np.zeros(20, np.int64)).any()
