@@ -46,6 +46,15 @@ def _named(df: DataFrame, constraints: dict[str, list[str]]) -> DataFrame:
     return df.select(F.inline(named)).filter("key IS NOT NULL")
 
 
+def _repeated(keys: DataFrame) -> DataFrame:
+    return keys.groupBy("check_id", "key").agg(F.count("*").alias("rows")).filter("rows > 1")
+
+
+def duplicates(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Keys of one constraint that occur more than once; keys with a null part never collide."""
+    return _repeated(_named(df, {name: keys}))
+
+
 def uniques(scopes: DataFrame, log: DataFrame, work: DataFrame, deps: DataFrame) -> DataFrame:
     """Keys of all primary keys and unique constraints that stand more than once; every table is read once, and one aggregate counts all."""
     revision = ["scope_id", "work_id", "work_revision"]
@@ -55,7 +64,7 @@ def uniques(scopes: DataFrame, log: DataFrame, work: DataFrame, deps: DataFrame)
         .unionByName(_named(work, {"work.key": revision, "work.plan": ["scope_id", "work_id", "plan_digest"]}))
         .unionByName(_named(deps, {"deps.key": [*revision, "depends_on_work_id"]}))
     )
-    return keys.groupBy("check_id", "key").agg(F.count("*").alias("rows")).filter("rows > 1")
+    return _repeated(keys)
 
 
 def foreign_keys(scopes: DataFrame, log: DataFrame, work: DataFrame, deps: DataFrame) -> DataFrame:
@@ -68,70 +77,76 @@ def foreign_keys(scopes: DataFrame, log: DataFrame, work: DataFrame, deps: DataF
     return a.unionByName(b).unionByName(c)
 
 
-def _violations(df: DataFrame, key: Column, checks: dict[str, Column]) -> DataFrame:
-    """One row per broken check.  Each check is written so that null fails it; each row is read once."""
-    found = F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()))
-    return df.select(F.explode(F.array_compact(found)).alias("check_id"), key.alias("key"))
+def _violations(df: DataFrame, key: list[str], checks: dict[str, str]) -> DataFrame:
+    """One row per broken check.  Checks are SQL; one that is null fails, and each row is read once."""
+    found = ", ".join(f"CASE WHEN NOT coalesce({ok}, false) THEN '{name}' END" for name, ok in checks.items())
+    return df.select(F.expr(f"explode(array_compact(array({found}))) AS check_id"), F.expr(f"concat_ws('|', {', '.join(key)}) AS key"))
+
+
+def _digest(c: str) -> str:
+    return f"{c} RLIKE '^[0-9a-f]{{64}}$'"
+
+
+def _identity(c: str) -> str:
+    return f"octet_length({c}) BETWEEN 1 AND 128 AND instr({c}, '/') = 0"
 
 
-def _c(name: str) -> Column:
-    return F.col(name)
+def _stored(c: str, least: int = 1) -> str:
+    return f"{c} BETWEEN {least} AND {M.MAX_INTEGER}"
 
 
-def _optional(c: Column, ok: Column) -> Column:
-    return c.isNull() | ok
+def _optional(c: str, ok: str) -> str:
+    return f"{c} IS NULL OR ({ok})"
 
 
 def scope_checks(scopes: DataFrame) -> DataFrame:
-    plan, reserve = _c("active_plan_digest"), _c("reserved_budget_units")
     return _violations(
-        scopes, _c("scope_id"),
+        scopes, ["scope_id"],
         {
-            "scopes.claims_restored": _c("claims_restored").isin(0, 1), "scopes.scope_id": M.is_digest(_c("scope_id")), "scopes.campaign_id": M.is_identity(_c("campaign_id")), "scopes.parent_scope_id": _c("parent_scope_id").isNull(),
-            "scopes.delegation_digest": _c("delegation_digest").isNull(), "scopes.sequence": M.is_stored(_c("sequence")), "scopes.tail": M.is_digest(_c("tail_event_digest")), "scopes.plan": _optional(plan, M.is_digest(plan)),
-            "scopes.epoch": M.is_stored(_c("scope_epoch")), "scopes.objective": M.is_digest(_c("objective_digest")), "scopes.reservation": (plan.isNull() & reserve.isNull()) | (plan.isNotNull() & reserve.isNotNull() & M.is_stored(reserve, 0)),
+            "scopes.claims_restored": "claims_restored IN (0, 1)", "scopes.scope_id": _digest("scope_id"), "scopes.campaign_id": _identity("campaign_id"), "scopes.parent_scope_id": "parent_scope_id IS NULL",
+            "scopes.delegation_digest": "delegation_digest IS NULL", "scopes.sequence": _stored("sequence"), "scopes.tail": _digest("tail_event_digest"), "scopes.plan": _optional("active_plan_digest", _digest("active_plan_digest")),
+            "scopes.epoch": _stored("scope_epoch"), "scopes.objective": _digest("objective_digest"),
+            "scopes.reservation": f"(active_plan_digest IS NULL AND reserved_budget_units IS NULL) OR (active_plan_digest IS NOT NULL AND reserved_budget_units IS NOT NULL AND {_stored('reserved_budget_units', 0)})",
         },
     )
 
 
 def event_checks(log: DataFrame) -> DataFrame:
-    kind, seq, parent = _c("payload_type"), _c("sequence"), _c("parent_digest")
-    named = kind.isin("grant_activated", "artifact_reference")
-    artifact = kind == "artifact_reference"
+    named, artifact = "payload_type IN ('grant_activated', 'artifact_reference')", "payload_type = 'artifact_reference'"
+    agree = lambda kind, present: f"({kind}) = ({present})"
+    kinds = ", ".join(f"'{k}'" for k in M.ARTIFACT_KINDS)
     return _violations(
-        log, F.concat_ws("|", "scope_id", "sequence"),
+        log, ["scope_id", "sequence"],
         {
-            "events.sequence": M.is_stored(seq), "events.digest": M.is_digest(_c("digest")), "events.parent": ((seq == 1) & parent.isNull()) | ((seq > 1) & parent.isNotNull() & M.is_digest(parent)), "events.operation": M.is_identity(_c("operation_id")),
-            "events.epoch": _c("writer_epoch") > 0, "events.payload": M.is_identity(kind),
-            "events.root": ((seq == 1) & (kind == "root_genesis") & (_c("operation_id") == F.concat(F.lit("root-genesis:"), _c("scope_id")))) | ((seq > 1) & (kind != "root_genesis")),
-            "events.grant_named": named == _c("grant_digest").isNotNull(), "events.grant": _optional(_c("grant_digest"), M.is_digest(_c("grant_digest"))),
-            "events.work_named": named == (_c("work_id").isNotNull() & _c("work_revision").isNotNull() & _c("attempt").isNotNull()), "events.work": _optional(_c("work_id"), F.octet_length("work_id").between(1, 128)),
-            "events.revision": _optional(_c("work_revision"), M.is_stored(_c("work_revision"))), "events.attempt": _optional(_c("attempt"), M.is_stored(_c("attempt"))), "events.kind_named": artifact == _c("artifact_kind").isNotNull(),
-            "events.kind": _optional(_c("artifact_kind"), _c("artifact_kind").isin(*M.ARTIFACT_KINDS)), "events.artifact_named": artifact == _c("artifact_digest").isNotNull(), "events.artifact": _optional(_c("artifact_digest"), M.is_digest(_c("artifact_digest"))),
+            "events.sequence": _stored("sequence"), "events.digest": _digest("digest"), "events.parent": f"(sequence = 1 AND parent_digest IS NULL) OR (sequence > 1 AND parent_digest IS NOT NULL AND {_digest('parent_digest')})", "events.operation": _identity("operation_id"),
+            "events.epoch": "writer_epoch > 0", "events.payload": _identity("payload_type"),
+            "events.root": "(sequence = 1 AND payload_type = 'root_genesis' AND operation_id = concat('root-genesis:', scope_id)) OR (sequence > 1 AND payload_type <> 'root_genesis')",
+            "events.grant_named": agree(named, "grant_digest IS NOT NULL"), "events.grant": _optional("grant_digest", _digest("grant_digest")),
+            "events.work_named": agree(named, "work_id IS NOT NULL AND work_revision IS NOT NULL AND attempt IS NOT NULL"), "events.work": _optional("work_id", "octet_length(work_id) BETWEEN 1 AND 128"),
+            "events.revision": _optional("work_revision", _stored("work_revision")), "events.attempt": _optional("attempt", _stored("attempt")), "events.kind_named": agree(artifact, "artifact_kind IS NOT NULL"),
+            "events.kind": _optional("artifact_kind", f"artifact_kind IN ({kinds})"), "events.artifact_named": agree(artifact, "artifact_digest IS NOT NULL"), "events.artifact": _optional("artifact_digest", _digest("artifact_digest")),
         },
     )
 
 
 def work_checks(work: DataFrame) -> DataFrame:
-    claim = [_c("claim_fence"), _c("claim_lease_until")]
-    grant = [_c(c) for c in ("grant_fence", "granted_attempt", "granted_units", "grant_deadline_unix_ms")]
-    none = lambda cols: sum((c.isNull().cast("int") for c in cols), F.lit(0)) == len(cols)
-    every = lambda cols: sum((F.coalesce(M.is_stored(c), F.lit(False)).cast("int") for c in cols), F.lit(0)) == len(cols)
-    digest, terminal = _c("grant_digest"), _c("terminal_result_digest")
+    claim, grant = ["claim_fence", "claim_lease_until"], ["grant_fence", "granted_attempt", "granted_units", "grant_deadline_unix_ms"]
+    none = lambda cols: " AND ".join(f"{c} IS NULL" for c in cols)
+    every = lambda cols: " AND ".join(f"coalesce({_stored(c)}, false)" for c in cols)
     return _violations(
-        work, F.concat_ws("|", "scope_id", "work_id", "work_revision"),
+        work, ["scope_id", "work_id", "work_revision"],
         {
-            "work.work_id": M.is_identity(_c("work_id")), "work.revision": M.is_stored(_c("work_revision"), 0), "work.plan": M.is_digest(_c("plan_digest")), "work.epoch": M.is_stored(_c("admitted_scope_epoch")), "work.attempts": M.is_stored(_c("max_attempts")),
-            "work.deadline": M.is_stored(_c("deadline_unix_ms")), "work.claim": none(claim) | every(claim), "work.grant": (none(grant) & digest.isNull()) | (every(grant) & digest.isNotNull() & M.is_digest(digest)),
-            "work.terminal": terminal.isNull() | (_c("claim_fence").isNotNull() & M.is_digest(terminal)),
+            "work.work_id": _identity("work_id"), "work.revision": _stored("work_revision", 0), "work.plan": _digest("plan_digest"), "work.epoch": _stored("admitted_scope_epoch"), "work.attempts": _stored("max_attempts"),
+            "work.deadline": _stored("deadline_unix_ms"), "work.claim": f"({none(claim)}) OR ({every(claim)})", "work.grant": f"({none(grant)} AND grant_digest IS NULL) OR ({every(grant)} AND grant_digest IS NOT NULL AND {_digest('grant_digest')})",
+            "work.terminal": f"terminal_result_digest IS NULL OR (claim_fence IS NOT NULL AND {_digest('terminal_result_digest')})",
         },
     )
 
 
 def dependency_checks(deps: DataFrame) -> DataFrame:
     return _violations(
-        deps, F.concat_ws("|", "scope_id", "work_id", "work_revision", "depends_on_work_id"),
-        {"deps.depends_on": M.is_identity(_c("depends_on_work_id")), "deps.revision": M.is_stored(_c("depends_on_work_revision"), 0), "deps.self": _c("depends_on_work_id") != _c("work_id")},
+        deps, ["scope_id", "work_id", "work_revision", "depends_on_work_id"],
+        {"deps.depends_on": _identity("depends_on_work_id"), "deps.revision": _stored("depends_on_work_revision", 0), "deps.self": "depends_on_work_id <> work_id"},
     )
 
 

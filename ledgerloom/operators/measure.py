@@ -210,12 +210,11 @@ def decide(measures: DataFrame, least_runs: int = RUNS_PER_CELL) -> DataFrame:
     Change succeeds with more resolved targets if every C run passes rediscovery, and fails with fewer, or if one doesn't.
     ``measures`` has campaign, pilot, cell, measured, outcome (supported or resolved), incorrect_rate, omission_rate and passed.
     """
-    cell = lambda c: F.col("cell") == c
+    cell = lambda c: F.col("measured") & (F.col("cell") == c)
     middle = lambda c, x, name: F.median(F.when(cell(c), F.col(x))).alias(name)
-    m = measures.filter("measured").groupBy("campaign", "pilot").agg(
+    m = measures.groupBy("campaign", "pilot").agg(
         *(F.count_if(cell(c)).alias(f"n_{c}") for c in AGENTS), *(middle(c, x, f"{x}_{c}") for c in "AC" for x in ("outcome", "incorrect_rate", "omission_rate")), F.bool_and(F.when(cell("C"), F.coalesce("passed", F.lit(False)))).alias("all_pass")
     )
-    known = measures.select("campaign", "pilot").distinct()
     wrong, omitted = (F.col(f"{x}_C") > F.col(f"{x}_A") for x in ("incorrect_rate", "omission_rate"))
     more, fewer = F.col("outcome_C") > F.col("outcome_A"), F.col("outcome_C") < F.col("outcome_A")
     change = F.col("pilot") == "change"
@@ -223,7 +222,7 @@ def decide(measures: DataFrame, least_runs: int = RUNS_PER_CELL) -> DataFrame:
     success = F.when(change, more & F.col("all_pass")).otherwise(more & ~wrong & ~omitted)
     full = F.coalesce((F.col("n_A") == least_runs) & (F.col("n_B") == least_runs) & (F.col("n_C") == least_runs), F.lit(False))
     verdict = F.when(~full, "budget_stopped").when(failure, "failure").when(success, "success").otherwise("inconclusive")
-    return known.join(m, ["campaign", "pilot"], "left").select("campaign", "pilot", verdict.alias("verdict"))
+    return m.select("campaign", "pilot", verdict.alias("verdict"))
 
 
 def escrow(entries: DataFrame) -> DataFrame:

@@ -11,7 +11,10 @@ from ledgerloom.streaming import incremental
 
 from .registry import _query
 
-_OTHER = F.sha2(F.lit("other"), 256)
+
+def _other() -> Column:
+    """A digest that nothing has."""
+    return F.sha2(F.lit("other"), 256)
 
 
 def _cut_short(content: Column) -> Column:
@@ -24,8 +27,8 @@ def _cut_short(content: Column) -> Column:
 
 def _payload() -> Column:
     """Payload fields of a log row; what the log doesn't hold is fixed."""
-    fixed = {"campaign_id": F.lit("campaign"), "config_digest": _OTHER, "deadline_unix_ms": F.lit(900_000_000_000), "size": F.lit(7), "media_type": F.lit("text"), "producer_attempt": F.lit("1"), "creation_time_unix_ms": F.lit(1), "version": F.lit(1), "snapshot_digest": _OTHER, "snapshot_length": F.lit(9)}
-    own = {"kind": F.col("artifact_kind"), "digest": F.col("artifact_digest"), "covered_sequence": F.greatest(F.col("sequence") - 1, F.lit(1)), "covered_tail_digest": F.coalesce("parent_digest", _OTHER)}
+    fixed = {"campaign_id": F.lit("campaign"), "config_digest": _other(), "deadline_unix_ms": F.lit(900_000_000_000), "size": F.lit(7), "media_type": F.lit("text"), "producer_attempt": F.lit("1"), "creation_time_unix_ms": F.lit(1), "version": F.lit(1), "snapshot_digest": _other(), "snapshot_length": F.lit(9)}
+    own = {"kind": F.col("artifact_kind"), "digest": F.col("artifact_digest"), "covered_sequence": F.greatest(F.col("sequence") - 1, F.lit(1)), "covered_tail_digest": F.coalesce("parent_digest", _other())}
     held = ("plan_digest", "work_id", "work_revision", "claim_fence", "grant_digest", "attempt", "units")
     return F.struct(*((own | fixed).get(c, F.col(c) if c in held else F.lit(None)).alias(c) for c in records._ALL))
 
@@ -49,8 +52,8 @@ _ROW = "parent_digest, operation_id, writer_epoch, payload_type, work_id, work_r
 def _(t):
     fate = (F.col("sequence") + F.col("k")) % 23
     o = _stored(t).withColumns({"content": F.when(fate == 0, _cut_short(F.col("content"))).otherwise(F.col("content"))})
-    wrong = event_key(F.lit("scopes/one"), F.col("sequence"), _OTHER)
-    o = o.withColumns({"key": F.when(fate == 1, wrong).otherwise(event_key(F.lit("scopes/one"), F.col("sequence"), F.sha2("content", 256))), "asked": F.when(fate == 2, _OTHER).otherwise(F.col("scope_id"))})
+    wrong = event_key(F.lit("scopes/one"), F.col("sequence"), _other())
+    o = o.withColumns({"key": F.when(fate == 1, wrong).otherwise(event_key(F.lit("scopes/one"), F.col("sequence"), F.sha2("content", 256))), "asked": F.when(fate == 2, _other()).otherwise(F.col("scope_id"))})
     # the reader knows what it asked for; the rows say what it got
     asked = o.select("key", "content", "asked", F.col("scope_id").alias("asked_scope"), F.col("sequence").alias("asked_sequence"))
     got = records.decode_log(asked, scope=F.col("asked"), keep=("asked_scope", "asked_sequence"))
@@ -60,7 +63,7 @@ def _(t):
 @_query("event_fetch", "SELECT scope_id, sequence, CASE WHEN sequence % 7 = 3 THEN 'absent' WHEN sequence % 5 = 2 THEN 'reference_mismatch' ELSE 'found' END AS verdict FROM log")
 def _(t):
     o = _stored(t).select("scope_id", "sequence", "content")
-    asked = o.select("scope_id", "sequence", F.when(F.col("sequence") % 5 == 2, _OTHER).otherwise(F.sha2("content", 256)).alias("digest"))
+    asked = o.select("scope_id", "sequence", F.when(F.col("sequence") % 5 == 2, _other()).otherwise(F.sha2("content", 256)).alias("digest"))
     return records.fetch_events(asked, o.filter("sequence % 7 <> 3")).select("scope_id", "sequence", "verdict")
 
 
@@ -92,11 +95,11 @@ def _(t):
     spec = F.struct("work_id", "dependencies", F.struct("max_attempts", "deadline_unix_ms").alias("bounds"))
     p = w.groupBy("scope_id", "plan_digest").agg(F.array_sort(F.collect_list(spec)).alias("specs"), F.first("k").alias("k"))
     none = F.lit(None)
-    bases = F.array(F.struct(F.lit("observation").alias("kind"), F.lit(3).alias("sequence"), _OTHER.alias("digest"), none.cast("string").alias("plan_digest")), F.struct(F.lit("prior_revision").alias("kind"), none.cast("int").alias("sequence"), none.cast("string").alias("digest"), _OTHER.alias("plan_digest")))
+    bases = F.array(F.struct(F.lit("observation").alias("kind"), F.lit(3).alias("sequence"), _other().alias("digest"), none.cast("string").alias("plan_digest")), F.struct(F.lit("prior_revision").alias("kind"), none.cast("int").alias("sequence"), none.cast("string").alias("digest"), _other().alias("plan_digest")))
     order = F.when(F.col("k") % 7 == 4, F.reverse("specs")).otherwise(F.col("specs"))
-    record = F.struct("scope_id", _OTHER.alias("objective_digest"), none.cast("string").alias("parent_plan_digest"), bases.alias("bases"), order.alias("work_specs"), F.lit(100).cast("long").alias("reserved_budget_units"))
-    o = records.encode_records(p.withColumn("r", record), "plan", "r").withColumn("named", F.when(F.col("k") % 7 == 2, _OTHER).otherwise(F.sha2("content", 256)))
-    o = o.withColumns({"content": F.when(F.col("k") % 7 == 1, _cut_short(F.col("content"))).otherwise(F.col("content")), "asked": F.when(F.col("k") % 7 == 3, _OTHER).otherwise(F.col("scope_id"))})
+    record = F.struct("scope_id", _other().alias("objective_digest"), none.cast("string").alias("parent_plan_digest"), bases.alias("bases"), order.alias("work_specs"), F.lit(100).cast("long").alias("reserved_budget_units"))
+    o = records.encode_records(p.withColumn("r", record), "plan", "r").withColumn("named", F.when(F.col("k") % 7 == 2, _other()).otherwise(F.sha2("content", 256)))
+    o = o.withColumns({"content": F.when(F.col("k") % 7 == 1, _cut_short(F.col("content"))).otherwise(F.col("content")), "asked": F.when(F.col("k") % 7 == 3, _other()).otherwise(F.col("scope_id"))})
     got = records.decode_records(o.select("scope_id", "plan_digest", "content", "named", "asked"), "plan", digest=F.col("named"), scope=F.col("asked"))
     specs = F.col("record.work_specs")
     total = lambda f: F.when(F.col("status") == "ok", F.aggregate(F.transform(specs, f), F.lit(0).cast("long"), lambda a, x: a + x))
@@ -115,11 +118,11 @@ def _binding() -> Column:
 def _(t):
     key = F.col("key")
     record = F.struct(
-        _binding().alias("binding"), F.lit("provider").alias("provider"), F.lit("model-one").alias("model_id"), F.lit("profile").alias("configuration_id"), _OTHER.alias("configuration_digest"), _OTHER.alias("request_digest"),
+        _binding().alias("binding"), F.lit("provider").alias("provider"), F.lit("model-one").alias("model_id"), F.lit("profile").alias("configuration_id"), _other().alias("configuration_digest"), _other().alias("request_digest"),
         (100 + key % 7).alias("max_output_tokens"), F.col("grant_deadline_unix_ms").alias("deadline_unix_ms"), F.when(key % 11 == 0, "a/b").otherwise("op").alias("operation_id"),
     )
     o = records.encode_records(t("work").filter("granted_units IS NOT NULL").withColumn("r", record), "manifest", "r")
-    o = o.select("scope_id", "work_id", "content", F.when(key % 13 == 0, _OTHER).otherwise(F.sha2("content", 256)).alias("named"))
+    o = o.select("scope_id", "work_id", "content", F.when(key % 13 == 0, _other()).otherwise(F.sha2("content", 256)).alias("named"))
     got = records.decode_records(o, "manifest", digest=F.col("named"), scope=F.col("scope_id"))
     return got.select("scope_id", "work_id", "status", F.col("record.binding.claim_fence").alias("claim_fence"), F.col("record.binding.grant_digest").alias("grant_digest"), F.col("record.max_output_tokens").alias("max_output_tokens"))
 
@@ -135,11 +138,11 @@ def _(t):
     said = F.concat(F.lit("said "), key.cast("string"))
     text = F.struct(said.alias("retained"), F.octet_length(said).alias("full_bytes"), F.sha2(said, 256).alias("full_digest"))
     record = F.struct(
-        _binding().alias("binding"), _OTHER.alias("manifest_digest"), F.when(key % 11 == 0, "done").when(key % 2 == 0, "success").otherwise("refused").alias("outcome"), F.lit(None).cast("string").alias("provider_request_id"),
+        _binding().alias("binding"), _other().alias("manifest_digest"), F.when(key % 11 == 0, "done").when(key % 2 == 0, "success").otherwise("refused").alias("outcome"), F.lit(None).cast("string").alias("provider_request_id"),
         F.when(key % 3 != 0, use).alias("reported_use"), F.when(key % 2 == 0, text).alias("output"), F.when(key % 2 == 1, text).alias("diagnostic"),
     )
     o = records.encode_records(t("work").filter("granted_units IS NOT NULL").withColumn("r", record), "trace", "r")
-    got = records.decode_records(o.select("scope_id", "work_id", "content", F.when(key % 13 == 0, _OTHER).otherwise(F.col("scope_id")).alias("asked")), "trace", scope=F.col("asked"))
+    got = records.decode_records(o.select("scope_id", "work_id", "content", F.when(key % 13 == 0, _other()).otherwise(F.col("scope_id")).alias("asked")), "trace", scope=F.col("asked"))
     return got.select("scope_id", "work_id", "status", F.col("record.outcome").alias("outcome"), F.col("record.reported_use.input_tokens").alias("input_tokens"), F.col("record.output.retained").alias("retained"))
 
 
@@ -153,14 +156,14 @@ def _(t):
 )
 def _(t):
     k = F.col("k")
-    row = F.struct(F.col("first_sequence").alias("start"), F.col("last_sequence").alias("end"), _OTHER.alias("pack_digest"))
+    row = F.struct(F.col("first_sequence").alias("start"), F.col("last_sequence").alias("end"), _other().alias("pack_digest"))
     lists = t("packs").groupBy("scope_id").agg(F.array_sort(F.collect_list(row)).alias("packs"))
     s = t("scopes").select("scope_id", "k").join(lists, "scope_id", "left").withColumn("packs", F.coalesce("packs", F.array().cast("array<struct<start:bigint,end:bigint,pack_digest:string>>")))
     listed = F.when(k % 6 == 2, F.reverse("packs")).otherwise(F.col("packs"))
     r = F.struct(F.lit(1).alias("version"), "scope_id", listed.alias("packs"), F.array().cast("array<struct<sequence:bigint,digest:string>>").alias("checkpoints"))
     objects = records.encode_records(s.withColumn("r", r), "catalog", "r").withColumn("digest", F.sha2("content", 256))
     catalogs = records.decode_records(objects.select("scope_id", "digest", "content"), "catalog", digest=F.col("digest"), scope=F.col("scope_id"))
-    named = F.struct(F.lit(1).alias("version"), "scope_id", F.when(k % 6 == 1, _OTHER).otherwise(F.col("digest")).alias("catalog_digest"))
+    named = F.struct(F.lit(1).alias("version"), "scope_id", F.when(k % 6 == 1, _other()).otherwise(F.col("digest")).alias("catalog_digest"))
     pointers = records.encode_records(objects.select("scope_id", "k", named.alias("r")), "pointer", "r").withColumn("content", F.when(k % 6 != 0, F.col("content")))
     got = accel.current_catalogs(records.decode_records(pointers.select("scope_id", "content"), "pointer", scope=F.col("scope_id")), catalogs)
     return got.select("scope_id", "state", F.when(F.col("state") == "present", F.size("catalog.packs").cast("long")).alias("packs"))
@@ -191,8 +194,8 @@ def _(t):
     p = _packs(t).filter("first_sequence = 1").join(t("scopes").select("scope_id", "k"), "scope_id")
     damaged = p.withColumns(
         {
-            "events_digest": F.when(k % 5 == 1, _OTHER).otherwise(F.col("events_digest")), "offsets": F.when(k % 5 == 2, F.reverse("offsets")).otherwise(F.col("offsets")),
-            "digests": F.when(k % 5 == 3, F.transform("digests", lambda d, i: F.when(i == 1, _OTHER).otherwise(d))).otherwise(F.col("digests")),
+            "events_digest": F.when(k % 5 == 1, _other()).otherwise(F.col("events_digest")), "offsets": F.when(k % 5 == 2, F.reverse("offsets")).otherwise(F.col("offsets")),
+            "digests": F.when(k % 5 == 3, F.transform("digests", lambda d, i: F.when(i == 1, _other()).otherwise(d))).otherwise(F.col("digests")),
         }
     )
     return accel.pack_status(damaged).select("scope_id", F.col("first_sequence").cast("int").alias("first_sequence"), "status")
@@ -214,7 +217,7 @@ def _suffix(t) -> tuple[DataFrame, DataFrame, DataFrame]:
     new = log.filter("sequence > boundary").join(last, "scope_id").withColumns(
         {
             "payload_type": F.when((k % 4 == 1) & (s == F.col("boundary") + 2), "artifact_reference").otherwise("root_note"), "writer_epoch": F.col("scope_epoch"),
-            "parent_digest": F.when((k % 4 == 2) & (s == F.col("boundary") + 2), _OTHER).otherwise(F.col("parent_digest")),
+            "parent_digest": F.when((k % 4 == 2) & (s == F.col("boundary") + 2), _other()).otherwise(F.col("parent_digest")),
             "operation_id": F.when((k % 4 == 3) & (s == F.col("boundary") + 3), F.concat(F.lit("root-genesis:"), "scope_id")).otherwise(F.col("operation_id")),
         }
     ).select(*t("log").columns)
@@ -238,7 +241,7 @@ def _(t):
 )
 def _(t):
     s = F.col("sequence")
-    c = t("log").filter("payload_type = 'projection_checkpoint_published'").select("scope_id", "sequence", F.when(s % 5 == 0, _OTHER).otherwise(F.col("digest")).alias("digest"), F.when(s % 3 == 0, s - 2).otherwise(s - 1).alias("covered_sequence"))
+    c = t("log").filter("payload_type = 'projection_checkpoint_published'").select("scope_id", "sequence", F.when(s % 5 == 0, _other()).otherwise(F.col("digest")).alias("digest"), F.when(s % 3 == 0, s - 2).otherwise(s - 1).alias("covered_sequence"))
     return publish.certified(c, t("log"))
 
 
@@ -268,7 +271,7 @@ def _(t):
     expected = w.select(*triple, F.col("plan_digest").alias("expected_plan"), (F.col("claim_fence") + F.when(key % 23 == 0, 2).otherwise(0)).alias("minimum_fence"))
     body = F.encode(F.concat(F.lit("body|"), key.cast("string")), "UTF-8")
     owner = F.concat(F.lit("actor-"), (key % 5).cast("string"))
-    plan = F.when(key % 19 == 0, _OTHER).otherwise(F.col("plan_digest"))
+    plan = F.when(key % 19 == 0, _other()).otherwise(F.col("plan_digest"))
     own = (*triple, plan.alias("plan_digest"), (F.col("claim_fence") + 1).alias("claim_fence"), owner.alias("owner_actor"), F.lit("node-1").alias("owner_instance"), F.lit("op").alias("operation_id"))
     claims = w.filter(key % 13 != 0).select(*own, (key % 17 != 0).alias("decodes"), (key % 41 == 0).alias("unavailable"), F.when(key % 3 == 0, "active").otherwise("sealed").alias("state"), F.sha2(body, 256).alias("evidence_digest"), (F.octet_length(body) + F.when(key % 31 == 7, 1).otherwise(0)).alias("evidence_size"))
     stated = [c for c in own if not isinstance(c, Column)] + [plan.alias("plan_digest"), (F.col("claim_fence") + 1).alias("claim_fence"), F.when(key % 37 == 0, "someone").otherwise(owner).alias("owner_actor"), F.lit("node-1").alias("owner_instance"), F.lit("op").alias("operation_id")]
@@ -335,7 +338,7 @@ def _(t):
       AND h.operation_id = (SELECT operation_id FROM log AS l WHERE l.scope_id = s.scope_id AND l.sequence = s.sequence) AS ready FROM heads AS h JOIN scopes AS s ON s.scope_id = h.scope_id""",
 )
 def _(t):
-    cursors = fold.fold_cursors(t("log")).withColumnRenamed("tail_event_digest", "digest").join(t("scopes").select("scope_id", "k"), "scope_id").withColumn("digest", F.when(F.col("k") % 7 == 3, _OTHER).otherwise(F.col("digest")))
+    cursors = fold.fold_cursors(t("log")).withColumnRenamed("tail_event_digest", "digest").join(t("scopes").select("scope_id", "k"), "scope_id").withColumn("digest", F.when(F.col("k") % 7 == 3, _other()).otherwise(F.col("digest")))
     return incremental.ready_scopes(cursors, t("heads"), t("scopes"), t("log"))
 
 
@@ -345,7 +348,7 @@ def _(t):
 )
 def _(t):
     k = F.col("k")
-    broken = t("log").withColumn("parent_digest", F.when(F.col("sequence") % 61 == 0, _OTHER).otherwise(F.col("parent_digest")))
+    broken = t("log").withColumn("parent_digest", F.when(F.col("sequence") % 61 == 0, _other()).otherwise(F.col("parent_digest")))
     faults = audit.broken_parents(broken).groupBy("scope_id").agg(F.count("*").alias("violations"))
     p = t("scopes").join(faults, "scope_id", "left").select("scope_id", (k % 9 != 0).alias("present"), F.when(k % 9 == 1, "other").otherwise("projection").alias("application"), (k % 9 != 2).alias("schema_ok"), "violations")
     return audit.classify_projections(p)
