@@ -164,3 +164,8 @@ def classify_outcome(calls: DataFrame) -> DataFrame:
         .when(reason.isin(*PRECLUDING), "refused").when(unreadable, "malformed_response").when(F.col("text").isNull() | ~credible, "malformed_response").otherwise("completed")
     )
     return calls.select("call_id", reason.alias("terminal_reason"), outcome.alias("outcome"))
+
+
+def shutdown_tally(owned: DataFrame) -> DataFrame:
+    """What a shutdown left of each scope's work (scope_id, fate), in the order of its phases: shed, resolved, unresolved, reaped."""
+    return owned.groupBy("scope_id").agg(*(F.count_if(F.col("fate") == f).alias(f) for f in ("shed", "resolved", "unresolved", "reaped")))

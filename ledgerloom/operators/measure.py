@@ -19,6 +19,8 @@ RUN_HOURS = {"A": 2, "B": 2, "C": 4}
 LONG_CONTEXT = 272_000
 #: Complete and fully measured runs of each cell that a decision takes.
 RUNS_PER_CELL = 5
+# Cells of the blocks of each pilot, in the order of their runs.
+SCHEDULE = {"research": ("CAB", "ACB", "BAC", "CAB", "BCA"), "change": ("CAB", "CAB", "ABC", "CAB", "ABC")}
 # The records that are an agent's own action.
 AGENT_ACTIONS = ("dispatch", "attempt", "model_call", "busy_interval")
 
@@ -225,6 +227,15 @@ def decide(measures: DataFrame, least_runs: int = RUNS_PER_CELL) -> DataFrame:
     return m.select("campaign", "pilot", verdict.alias("verdict"))
 
 
+def schedule_verdicts(runs: DataFrame) -> DataFrame:
+    """Whether each run (campaign, run_no from 1, pilot, cell) is the one that the blocked schedule has at its place: scheduled, misplaced, or beyond."""
+    order = [(pilot, cell) for pilot, blocks in SCHEDULE.items() for block in blocks for cell in block]
+    planned = F.array(*(F.struct(F.lit(p).alias("pilot"), F.lit(c).alias("cell")) for p, c in order))
+    own = F.get(planned, (F.col("run_no") - 1).cast("int"))
+    verdict = F.when(own.isNull(), "beyond").when((own["pilot"] == F.col("pilot")) & (own["cell"] == F.col("cell")), "scheduled").otherwise("misplaced")
+    return runs.select("campaign", "run_no", verdict.alias("verdict"))
+
+
 def escrow(entries: DataFrame) -> DataFrame:
     """Whether what was escrowed equals what was confirmed, returned and quarantined."""
     part = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("units"))), F.lit(0)).cast("long")

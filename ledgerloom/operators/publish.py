@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerloom import model as M
+from ledgerloom.sources import sinks
+
 from . import verify
 
 # Payload types that a batch may not hold; each has a publication of its own.
@@ -55,3 +57,41 @@ def tally_differences(tallies: DataFrame, inventory: DataFrame) -> DataFrame:
     i = inventory.groupBy("path").agg(F.count("*").alias("listed"))
     j = tallies.select("path", F.col("targets").alias("tallied")).join(i, "path", "full_outer").na.fill(0, ["tallied", "listed"])
     return j.filter("tallied <> listed")
+
+
+def publish_artifacts(existing: DataFrame, artifacts: DataFrame, cap: int = 10 << 20) -> DataFrame:
+    """Verdict and witness of each artifact (key, size, digest, content): too_large, unverified, created, already_same or conflict.
+
+    The witness is the size and digest that were read back from the bytes; ``existing`` has key and digest.
+    """
+    own = artifacts.withColumns({"own_size": F.octet_length("content").cast("long"), "own_digest": F.sha2("content", 256)})
+    sound = F.coalesce((F.col("own_size") == F.col("size")) & (F.col("own_digest") == F.col("digest")), F.lit(False))
+    fit = own.filter((F.col("own_size") <= cap) & sound)
+    _, written = sinks.create_only(existing, fit.select("key", "digest"))
+    refused = own.filter(~((F.col("own_size") <= cap) & sound) | F.col("own_size").isNull())
+    verdicts = refused.select("key", "digest", F.when(F.col("own_size") > cap, "too_large").otherwise("unverified").alias("verdict"), F.lit(None).cast("long").alias("witness_size"))
+    sizes = fit.select("key", "digest", F.col("own_size").alias("witness_size")).distinct()
+    return verdicts.unionByName(written.join(sizes, ["key", "digest"]))
+
+
+def install_checkpoints(candidates: DataFrame, heads: DataFrame, log: DataFrame, snapshots: DataFrame, limit: int = M.CHECKPOINT_CANDIDATES) -> DataFrame:
+    """The checkpoint that each scope installs: of its newest ``limit`` candidates at or below the head the newest that the log commits and whose snapshot has the certified length and digest.
+
+    ``candidates`` has scope_id, sequence, digest, covered_sequence, snapshot_digest and snapshot_length; ``snapshots``
+    scope_id, address and content.  A scope without a usable one has nulls and starts from its whole log.
+    """
+    near = candidates.join(heads.select("scope_id", F.col("sequence").alias("tail")), "scope_id").filter(F.col("sequence") <= F.col("tail"))
+    tried = near.withColumn("nth", F.row_number().over(Window.partitionBy("scope_id").orderBy(F.desc("sequence")))).filter(F.col("nth") <= limit)
+    proven = certified(tried, log).filter("verdict = 'certified'").select("scope_id", "sequence").distinct()
+    held = snapshots.select("scope_id", F.col("address").alias("snapshot_digest"), F.octet_length("content").cast("long").alias("length"), F.sha2("content", 256).alias("own"))
+    good = tried.join(proven, ["scope_id", "sequence"], "left_semi").join(held, ["scope_id", "snapshot_digest"]).filter((F.col("length") == F.col("snapshot_length")) & (F.col("own") == F.col("snapshot_digest")))
+    best = good.groupBy("scope_id").agg(F.max("covered_sequence").alias("covered_sequence"))
+    return heads.select("scope_id", "sequence").join(best, "scope_id", "left").select("scope_id", "covered_sequence", (F.col("sequence") - F.coalesce("covered_sequence", F.lit(0))).alias("suffix"))
+
+
+def catalog_records(packs: DataFrame, checkpoints: DataFrame) -> DataFrame:
+    """Catalogue records of each scope, in the order that readers ask for: packs (scope_id, start, end, pack_digest) by start, checkpoints (scope_id, sequence, digest) by sequence."""
+    listed = lambda df, cols, name: df.groupBy("scope_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
+    j = listed(packs, ("start", "end", "pack_digest"), "packs").join(listed(checkpoints, ("sequence", "digest"), "checkpoints"), "scope_id", "full_outer")
+    filled = j.withColumns({"packs": F.coalesce("packs", F.array().cast("array<struct<start:bigint,end:bigint,pack_digest:string>>")), "checkpoints": F.coalesce("checkpoints", F.array().cast("array<struct<sequence:bigint,digest:string>>"))})
+    return filled.select("scope_id", F.struct(F.lit(1).cast("long").alias("version"), "scope_id", "packs", "checkpoints").alias("record"))

@@ -15,6 +15,11 @@ def _plans(scopes: DataFrame) -> DataFrame:
     return scopes.filter(F.col("active_plan_digest").isNotNull()).select("scope_id", F.col("active_plan_digest").alias("plan_digest"))
 
 
+def in_order(rows: DataFrame) -> DataFrame:
+    """Rows by scope and work id, as callers that take the first few want them; the lists themselves are relations without order."""
+    return rows.orderBy("scope_id", "work_id", "work_revision")
+
+
 def claimable(work: DataFrame, deps: DataFrame, scopes: DataFrame, now_ms: int) -> DataFrame:
     """Work that may be claimed: in time, without terminal evidence or live lease, in the active plan, every dependency resolved."""
     open_ = work.filter((F.col("deadline_unix_ms") > now_ms) & F.col("terminal_result_digest").isNull() & (F.col("claim_lease_until").isNull() | (F.col("claim_lease_until") <= now_ms)))

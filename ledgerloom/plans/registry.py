@@ -880,10 +880,11 @@ def _(t):
     return incremental.intake_queue(q, 40, 60).select(F.col("queue").alias("scope_id"), F.col("arrival").alias("sequence"), "verdict")
 
 
-@_query("shutdown_tally", "SELECT scope_id, count(*) FILTER (sequence >= 60) AS shed, count(*) FILTER (sequence <= 40) AS resolved, count(*) FILTER (sequence > 40 AND sequence < 60) AS unresolved FROM log GROUP BY scope_id")
+@_query("shutdown_tally", "SELECT scope_id, count(*) FILTER (sequence >= 60) AS shed, count(*) FILTER (sequence <= 40 AND sequence % 9 <> 2) AS resolved, count(*) FILTER (sequence > 40 AND sequence < 60) AS unresolved, count(*) FILTER (sequence <= 40 AND sequence % 9 = 2) AS reaped FROM log GROUP BY scope_id")
 def _(t):
     q = incremental.intake_queue(t("log").select(F.col("scope_id").alias("queue"), F.col("sequence").alias("arrival")), 40, 60)
-    return q.groupBy(F.col("queue").alias("scope_id")).agg(*(F.count_if(F.col("verdict") == v).alias(n) for v, n in (("stopped", "shed"), ("accepted", "resolved"), ("overloaded", "unresolved"))))
+    fate = F.when(F.col("verdict") == "stopped", "shed").when(F.col("verdict") == "overloaded", "unresolved").when(F.col("arrival") % 9 == 2, "reaped").otherwise("resolved")
+    return intake.shutdown_tally(q.select(F.col("queue").alias("scope_id"), fate.alias("fate")))
 
 
 @_query("measure_invalid", "SELECT run_seq, count(*) AS calls, count(*) FILTER (NOT (flag = 'R' AND item % 2 = 0)) AS slots FROM attempts GROUP BY run_seq")

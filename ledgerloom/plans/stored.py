@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.functions.scalar import event_key
-from ledgerloom.operators import accel, audit, fold, intake, lookups, publish
+from ledgerloom.operators import accel, audit, fold, intake, lookups, measure, publish, scheduling
 from ledgerloom.sources import records
 from ledgerloom.streaming import incremental
 
@@ -352,3 +352,60 @@ def _(t):
     faults = audit.broken_parents(broken).groupBy("scope_id").agg(F.count("*").alias("violations"))
     p = t("scopes").join(faults, "scope_id", "left").select("scope_id", (k % 9 != 0).alias("present"), F.when(k % 9 == 1, "other").otherwise("projection").alias("application"), (k % 9 != 2).alias("schema_ok"), "violations")
     return audit.classify_projections(p)
+
+
+@_query(
+    "artifact_publish",
+    """SELECT concat('a/', key) AS key, CASE WHEN key % 11 = 3 THEN 'too_large' WHEN key % 7 = 1 THEN 'unverified' WHEN key % 5 = 0 THEN 'already_same' WHEN key % 5 = 1 THEN 'conflict' ELSE 'created' END AS verdict,
+      CASE WHEN key % 7 <> 1 AND key % 11 <> 3 THEN strlen(concat('body ', key)) END AS witness_size FROM work""",
+)
+def _(t):
+    key = F.col("key")
+    body = F.encode(F.concat(F.lit("body "), key.cast("string"), F.when(key % 11 == 3, F.repeat(F.lit("x"), 100)).otherwise("")), "UTF-8")
+    a = t("work").select(F.concat(F.lit("a/"), key.cast("string")).alias("key"), F.octet_length(body).alias("size"), F.when(key % 7 == 1, _other()).otherwise(F.sha2(body, 256)).alias("digest"), body.alias("content"), key.alias("n"))
+    held = a.filter("n % 5 < 2").select("key", F.when(F.col("n") % 5 == 1, _other()).otherwise(F.col("digest")).alias("digest"))
+    return publish.publish_artifacts(held, a.drop("n"), 50).select("key", "verdict", "witness_size")
+
+
+@_query(
+    "checkpoint_install",
+    """WITH c AS (SELECT scope_id, k, sequence, row_number() OVER (PARTITION BY scope_id ORDER BY sequence DESC) AS nth FROM log WHERE payload_type = 'projection_checkpoint_published'),
+      g AS (SELECT scope_id, max(sequence - 1) AS covered FROM c WHERE nth <= 4 AND sequence % 3 <> 0 AND sequence % 4 <> 1 GROUP BY scope_id)
+      SELECT s.scope_id, covered AS covered_sequence, s.sequence - coalesce(covered, 0) AS suffix FROM scopes AS s LEFT JOIN g ON g.scope_id = s.scope_id""",
+)
+def _(t):
+    s = F.col("sequence")
+    body = F.encode(F.concat_ws("|", "scope_id", "sequence"), "UTF-8")
+    e = t("log").filter("payload_type = 'projection_checkpoint_published'")
+    c = e.select("scope_id", "sequence", F.when(s % 3 == 0, _other()).otherwise(F.col("digest")).alias("digest"), (s - 1).alias("covered_sequence"), F.sha2(body, 256).alias("snapshot_digest"), F.octet_length(body).cast("long").alias("snapshot_length"))
+    kept = e.select("scope_id", F.sha2(body, 256).alias("address"), F.when(s % 4 == 1, F.concat(body, F.lit(b"!"))).otherwise(body).alias("content"))
+    return publish.install_checkpoints(c, t("scopes"), t("log"), kept)
+
+
+@_query(
+    "catalog_records",
+    """SELECT p.scope_id, n AS packs, first, last, coalesce(c, 0) AS checkpoints FROM (SELECT scope_id, count(*) AS n, min(first_sequence) AS first, max(last_sequence) AS last FROM packs GROUP BY scope_id) AS p
+      LEFT JOIN (SELECT scope_id, count(*) AS c FROM log WHERE payload_type = 'projection_checkpoint_published' GROUP BY scope_id) AS q ON q.scope_id = p.scope_id""",
+)
+def _(t):
+    packs = t("packs").select("scope_id", F.col("first_sequence").alias("start"), F.col("last_sequence").alias("end"), _other().alias("pack_digest"))
+    points = t("log").filter("payload_type = 'projection_checkpoint_published'").select("scope_id", "sequence", "digest").join(packs.select("scope_id").distinct(), "scope_id", "left_semi")
+    made = records.encode_records(publish.catalog_records(packs, points), "catalog", "record")
+    got = records.decode_records(made.select("scope_id", "content"), "catalog", scope=F.col("scope_id")).filter("status = 'ok'")
+    p = F.col("record.packs")
+    return got.select("scope_id", F.size(p).cast("long").alias("packs"), F.element_at(p, 1)["start"].alias("first"), F.element_at(p, -1)["end"].alias("last"), F.size("record.checkpoints").cast("long").alias("checkpoints"))
+
+
+@_query(
+    "run_schedule",
+    """SELECT campaign, run_no, CASE WHEN run_no > 30 THEN 'beyond' WHEN pilot = CASE WHEN run_no <= 15 THEN 'research' ELSE 'change' END AND cell = substring('CABACBBACCABBCACABCABABCCABABC', run_no, 1) THEN 'scheduled' ELSE 'misplaced' END AS verdict
+      FROM (SELECT campaign, run_seq % 30 + 1 + CASE WHEN run_seq % 90 = 89 THEN 1 ELSE 0 END AS run_no, CASE WHEN run_seq % 30 < 15 THEN 'research' ELSE 'change' END AS pilot, cell FROM runs) AS r""",
+)
+def _(t):
+    s = F.col("run_seq")
+    return measure.schedule_verdicts(t("runs").select("campaign", (s % 30 + 1 + F.when(s % 90 == 89, 1).otherwise(0)).alias("run_no"), F.when(s % 30 < 15, "research").otherwise("change").alias("pilot"), "cell"))
+
+
+@_query("work_in_order", "SELECT scope_id, work_id, work_revision, plan_digest FROM work ORDER BY scope_id, work_id, work_revision")
+def _(t):
+    return scheduling.in_order(t("work").select("scope_id", "work_id", "work_revision", "plan_digest"))

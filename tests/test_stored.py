@@ -142,6 +142,23 @@ def test_certificates_and_tallies(spark):
     assert sorted(tuple(r) for r in publish.tally_differences(tallies, inventory).collect()) == [("b", 1, 0), ("c", 0, 1)]
 
 
+def test_artifacts_and_checkpoints(spark):
+    body = b"body"
+    digest = hashlib.sha256(body).hexdigest()
+    rows = [("new", 4, digest, body), ("same", 4, digest, body), ("other", 4, digest, body), ("size", 5, digest, body), ("digest", 4, D, body), ("large", 11, hashlib.sha256(b"x" * 11).hexdigest(), b"x" * 11), ("none", 0, D, None)]
+    artifacts = spark.createDataFrame(rows, "key string, size long, digest string, content binary")
+    held = spark.createDataFrame([("same", digest), ("other", D)], "key string, digest string")
+    got = {r.key: (r.verdict, r.witness_size) for r in publish.publish_artifacts(held, artifacts, 10).collect()}
+    assert got == {"new": ("created", 4), "same": ("already_same", 4), "other": ("conflict", 4), "size": ("unverified", None), "digest": ("unverified", None), "large": ("too_large", None), "none": ("unverified", None)}
+    # of the newest two at or below the head: one beyond the head, one whose snapshot is damaged, one that is good, and a good one that is too old
+    log = spark.createDataFrame([("s", n, f"d{n}", "projection_checkpoint_published") for n in (2, 4, 6, 9)], "scope_id string, sequence long, digest string, payload_type string")
+    candidates = spark.createDataFrame([("s", n, f"d{n}", n - 1, digest if n != 6 else D, 4) for n in (2, 4, 6, 9)], "scope_id string, sequence long, digest string, covered_sequence long, snapshot_digest string, snapshot_length long")
+    heads = spark.createDataFrame([("s", 8), ("t", 3)], "scope_id string, sequence long")
+    snapshots = spark.createDataFrame([("s", digest, body), ("s", D, b"else")], "scope_id string, address string, content binary")
+    install = lambda limit: {r.scope_id: (r.covered_sequence, r.suffix) for r in publish.install_checkpoints(candidates, heads, log, snapshots, limit).collect()}
+    assert install(2) == {"s": (3, 5), "t": (None, 3)} and install(1) == {"s": (None, 8), "t": (None, 3)}
+
+
 def test_stream_limit(monkeypatch):
     """A scope's lifetime is bounded, so is its state: events beyond the bound are refused and change nothing."""
     import pandas as pd
