@@ -26,12 +26,13 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .components import checked, cut
+from .batches import free_name
+from .components import checked, cut, discard
 
 #: Least similarity in hundredths.
 SIMILAR = 80
 #: Counters of the frequency table (2 ** BITS bytes): its size doesn't depend on the corpus.
-BITS = 18
+BITS = 20
 #: Lines of more words have signatures of 128 parities, others of 64.
 LONG = 64
 #: Words in more prefixes than this are handled apart.
@@ -43,9 +44,9 @@ TRIES = 4
 def rarity_table(docs: DataFrame, text_col: str = "text") -> Column:
     """A literal of one byte per counter: the frequency class of the words that fall on it."""
     words = docs.select(F.explode(F.split(F.lower(text_col), r"\s+")).alias("w"))
-    counts = words.groupBy(_slot(F.xxhash64("w")).alias("slot")).count()
-    # classes are quarter powers of two, so the largest count fits 7 bits; at most 2 ** BITS rows
-    table = counts.select("slot", F.floor(4 * F.log2(F.col("count") + 1)).cast("int").alias("c")).toArrow()
+    counts = words.groupBy(_slot(_word("w")).alias("slot")).count()
+    # classes are quarter powers of two within 7 bits; at most 2 ** BITS rows
+    table = counts.select("slot", F.least(F.floor(4 * F.log2(F.col("count") + 1)), F.lit(127)).cast("tinyint").alias("c")).toArrow()
     out = np.zeros(1 << BITS, np.uint8)
     out[table["slot"].to_numpy()] = table["c"].to_numpy()
     return F.lit(bytearray(out.tobytes()))
@@ -56,24 +57,29 @@ def _frequency(count: int) -> int:
     return math.floor(4 * math.log2(count + 1))
 
 
+def _word(w: Column | str) -> Column:
+    """What stands for a word: 56 bits of hash."""
+    return F.shiftrightunsigned(F.xxhash64(w), 8)
+
+
 def _slot(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 64 - BITS).cast("int")
+    return F.shiftrightunsigned(h, 56 - BITS).cast("int")
 
 
 def word_set(line: Column, rarity: Column) -> Column:
     """The different words of a line as longs, rarest first: frequency class above, hash below."""
 
-    def code(w: Column) -> Column:
-        h = F.xxhash64(w)
+    def code(h: Column) -> Column:
         frequency = F.ascii(F.substring(rarity, _slot(h) + 1, F.lit(1)).cast("string")).cast("long")
-        return F.shiftleft(frequency, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+        return F.shiftleft(frequency, 56).bitwiseOR(h)
 
-    return F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(line, r"\s+"), ""), code)))
+    # repeats leave as hashes, before the frequency is looked up
+    return F.sort_array(F.transform(F.array_distinct(F.transform(F.array_remove(F.split(line, r"\s+"), ""), _word)), code))
 
 
 def plain_set(line: Column) -> Column:
     """The different words of a line by their hashes alone, as ``word_set`` holds them below the frequency class."""
-    return F.array_distinct(F.transform(F.array_remove(F.split(line, r"\s+"), ""), lambda w: F.shiftrightunsigned(F.xxhash64(w), 8)))
+    return F.array_distinct(F.transform(F.array_remove(F.split(line, r"\s+"), ""), _word))
 
 
 def _signature(words: str, size: Column) -> Column:
@@ -88,6 +94,11 @@ def _signature(words: str, size: Column) -> Column:
     return F.struct(fold.bitwiseXOR(high).alias("low"), high.alias("high"))
 
 
+def _once(value: Column) -> Column:
+    """A value that is worked out once per row, however often later expressions name it."""
+    return F.explode(F.array(value))
+
+
 def _own(id_col: str, text_col: str) -> Column:
     """What tells rows apart and orders them: id, then hash of the text."""
     return F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
@@ -99,7 +110,7 @@ def _lines(docs: DataFrame, rarity: Column, id_col: str, text_col: str) -> DataF
     n = F.size("words")
     prefix = n - F.ceil(n * SIMILAR / 100).cast("int") + 1
     return (
-        lines.select("id", "line", word_set(F.col("words"), rarity).alias("words"))
+        lines.select("id", "line", _once(word_set(F.col("words"), rarity)).alias("words"))
         .filter(n > 0)
         .select("id", "line", F.xxhash64("words").alias("sid"), n.alias("n"), _signature("words", n).alias("sig"), F.slice("words", F.lit(1), prefix).alias("prefix"))
     )
@@ -139,15 +150,17 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -
     found = source.join(lists, F.col("own_id").eqNullSafe(F.col("id"))).withColumn("lines", lines)
     picked = F.transform("wanted", lambda w: F.struct(w["sid"].alias("sid"), w["line"].alias("line"), w["n"].alias("n"), w["sig"].alias("sig"), F.get("lines", w["line"]).alias("text")))
     each = found.select("id", F.explode(picked).alias("w"))
-    made = each.select(F.col("w.sid").alias("sid"), "id", F.col("w.line").alias("line"), "w.n", "w.sig", plain_set(F.col("w.text")).alias("words"))
+    made = each.select(F.col("w.sid").alias("sid"), "id", F.col("w.line").alias("line"), "w.n", "w.sig", _once(plain_set(F.col("w.text"))).alias("words"))
     return made.filter((F.size("words") == F.col("n")) & (_signature("words", F.size("words")) == F.col("sig"))).select("sid", "id", "line", "words")
 
 
 def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """All lines with words (id, line, sid), and those of them (id, line) that an earlier line matches; ids are those of ``_own``."""
     rarity = rarity_table(docs, text_col)
-    lines = cut(_lines(docs, rarity, id_col, text_col))
-    sets = cut(lines.groupBy("sid").agg(F.min(F.struct("id", "line")).alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix")).select("sid", "first.id", "first.line", "n", "sig", "prefix"))
+    made = cut(_lines(docs, rarity, id_col, text_col))
+    sets = cut(made.groupBy("sid").agg(F.min(F.struct("id", "line")).alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix")).select("sid", "first.id", "first.line", "n", "sig", "prefix"))
+    lines = cut(made.select("id", "line", "sid"))
+    discard(made)
     # a word that stands once in the corpus matches nothing; one that stands CROWD times at most isn't crowded
     frequency = F.shiftrightunsigned("word", 56)
     posts = sets.select("sid", "n", "sig.low", "sig.high", F.posexplode("prefix").alias("at", "word")).filter(frequency > _frequency(1))
@@ -175,7 +188,7 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         gone = cut(gone.union(verified(rest)).distinct())
     first = sets.select("sid", F.col("id").alias("first_id"), F.col("line").alias("first_line")).join(gone.withColumn("gone", F.lit(True)), "sid", "left")
     later = ~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("line") == F.col("first_line")))
-    return lines.select("id", "line", "sid"), lines.select("id", "line", "sid").join(first, "sid").filter(F.col("gone").isNotNull() | later).select("id", "line").distinct()
+    return lines, lines.join(first, "sid").filter(F.col("gone").isNotNull() | later).select("id", "line").distinct()
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,14 +197,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A null text stays null.  A column named removed_lines is replaced.
     """
     _, gone = later_matches(docs, id_col, text_col)
-    lists = checked(cut(gone.groupBy(F.col("id").alias("__id")).agg(F.sort_array(F.collect_list("line")).alias("__gone"))), F.size("__gone"))
-    out = docs.join(lists, _own(id_col, text_col).eqNullSafe(F.col("__id")), "left")
+    own, taken, split_lines, text = (free_name(docs, c) for c in ("__id", "__gone", "__lines", "__kept"))
+    lists = checked(cut(gone.groupBy(F.col("id").alias(own)).agg(F.sort_array(F.collect_list("line")).alias(taken))), F.size(taken))
+    out = docs.join(lists, _own(id_col, text_col).eqNullSafe(F.col(own)), "left")
     lines = F.split(F.col(text_col), "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    split = F.transform(stay, lambda i: F.get("__lines", i))
-    kept = out.withColumn("__lines", F.when(F.col("__gone").isNotNull(), lines)).withColumn("__kept", F.when(F.col("__gone").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.array_join(split, "\n")))
-    removed = F.coalesce("__gone", F.array().cast("array<int>")).alias("removed_lines")
-    return kept.select(*(F.col("__kept").alias(c) if c == text_col else F.col(c) for c in docs.columns if c != "removed_lines"), removed)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(taken))
+    split = F.transform(stay, lambda i: F.get(split_lines, i))
+    kept = out.withColumn(split_lines, F.when(F.col(taken).isNotNull(), lines)).withColumn(text, F.when(F.col(taken).isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.array_join(split, "\n")))
+    removed = F.coalesce(taken, F.array().cast("array<int>")).alias("removed_lines")
+    return kept.select(*(F.col(text).alias(c) if c == text_col else F.col(c) for c in docs.columns if c != "removed_lines"), removed)
 
 
 def line_query(docs: DataFrame) -> DataFrame:
