@@ -42,6 +42,8 @@ MISS = 1e-5
 PROBES = 6
 #: Different vectors that a bucket holds on average, at most.
 CROWD = 16
+#: Tables whose codes are made together when the first shared one of a pair is looked for.
+STEP = 3
 #: Members of a block when a bucket is compared.
 BLOCK = 512
 
@@ -90,13 +92,13 @@ def rotated(unit: np.ndarray, signs: np.ndarray, size: int) -> np.ndarray:
     return x
 
 
-def bucket_codes(unit: np.ndarray, plan: Plan) -> np.ndarray:
-    """Codes (vectors, tables, probes); the first probe is the vector's own bucket."""
+def bucket_codes(unit: np.ndarray, plan: Plan, first: int = 0) -> np.ndarray:
+    """Codes (vectors, tables from ``first`` on, probes); the first probe is the vector's own bucket."""
     n, size = len(unit), plan.size
-    out = np.empty((n, plan.tables, plan.probes), np.int64)
+    out = np.empty((n, plan.tables - first, plan.probes), np.int64)
     signs = plan.signs()
     depth = min(plan.probes, size)
-    for t in range(plan.tables):
+    for t in range(first, plan.tables):
         corners, losses = [], []
         for k in range(plan.parts):
             x = rotated(unit, signs[t * plan.parts + k], size)
@@ -126,7 +128,7 @@ def bucket_codes(unit: np.ndarray, plan: Plan) -> np.ndarray:
         picked = np.take_along_axis(codes, best, 1)
         if picked.shape[1] < plan.probes:  # a plan of few coordinates has fewer probes
             picked = np.concatenate([picked, np.repeat(picked[:, :1], plan.probes - picked.shape[1], 1)], 1)
-        out[:, t] = picked
+        out[:, t - first] = picked
     return out
 
 
@@ -200,16 +202,22 @@ def compare(units: np.ndarray, ids: np.ndarray, copies: np.ndarray, table: int,
         return links, []
     low = ids[a] <= ids[b]
     a, b = np.where(low, a, b), np.where(low, b, a)
-    codes = bucket_codes(units, Plan(plan.dim, plan.parts, table + 1, plan.probes))
-    here = np.ones(len(a), bool)
-    for t in range(table + 1):
-        a_own = (codes[b, t] == codes[a, t, :1]).any(1)  # the bucket of a, which b probes
-        b_own = (codes[a, t] == codes[b, t, :1]).any(1)
-        if t < table:
-            here &= ~(a_own | b_own)
-        else:
-            here &= np.where(a_own, codes[a, t, 0] == code, b_own & (codes[b, t, 0] == code))
-    a, b = a[here], b[here]
+    # most pairs share an early table, so few vectors are rotated for the later ones
+    start = 0
+    while start <= table and len(a):
+        end = min(table + 1, start + STEP)
+        used, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        x, y = np.split(place, 2)
+        codes = bucket_codes(units[used], Plan(plan.dim, plan.parts, end, plan.probes), start)
+        here = np.ones(len(a), bool)
+        for t in range(end - start):
+            a_own = (codes[y, t] == codes[x, t, :1]).any(1)  # the bucket of a, which b probes
+            b_own = (codes[x, t] == codes[y, t, :1]).any(1)
+            if start + t < table:
+                here &= ~(a_own | b_own)
+            else:
+                here &= np.where(a_own, codes[x, t, 0] == code, b_own & (codes[y, t, 0] == code))
+        a, b, start = a[here], b[here], end
     np.add.at(links, a, copies[b])
     np.add.at(links, b, copies[a])
     # connections of the linked pairs, by labels that fall until they agree
