@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, embed_dedup, line_dedup, media, minhash_dedup, packing, secret_scan, suffix_dedup, token_count, toxicity
+from . import bpe_codec, byte_codec, embed_dedup, line_dedup, media, minhash_dedup, packing, resample, secret_scan, suffix_dedup, token_count, toxicity, vector_codes
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,18 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_docs(spark, sf_dir))
 
 
+def op11_byte_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_codec.codec_digest(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_query(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media": op1_media,
@@ -67,8 +79,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_minhash_dedup": op10_minhash_dedup,
+        "op11_byte_codec": op11_byte_codec,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_resample": op13_resample,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embed_dedup": embed_dedup.oracle(), "op7_line_dedup": line_dedup.oracle(), "op8_secret_scan": secret_scan.oracle(), "op9_suffix_dedup": suffix_dedup.oracle(), "op10_minhash_dedup": minhash_dedup.oracle()}
+    return {
+        "op2_embed_dedup": embed_dedup.oracle(),
+        "op7_line_dedup": line_dedup.oracle(),
+        "op8_secret_scan": secret_scan.oracle(),
+        "op9_suffix_dedup": suffix_dedup.oracle(),
+        "op10_minhash_dedup": minhash_dedup.oracle(),
+        "op12_vector_codes": vector_codes.oracle(),
+        "op13_resample": resample.oracle(),
+    }
