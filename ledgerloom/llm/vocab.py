@@ -71,13 +71,19 @@ class Vocabulary:
 
     def words(self, text: str) -> list[str]:
         """Pre-tokens in order; special strings stand alone."""
-        if self._split_special is None or "<|" not in text:
-            return self.pattern.findall(self._normal(text))
+        if not any(map(text.__contains__, self.special)):
+            return self._split(self._normal(text))
         out: list[str] = []
         for k, part in enumerate(self._split_special.split(text)):
-            out += [part] if k % 2 else self.pattern.findall(self._normal(part))
+            out += [part] if k % 2 else self._split(self._normal(part))
         return out
 
+    def _split(self, text: str) -> list[str]:
+        odd = None if text.isascii() else odd_characters(text)
+        if not odd:
+            return self.pattern.findall(text)
+        return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(odd))]
+
     def symbols(self, word: str) -> np.ndarray:
         """Ids of the single bytes of a pre-token, the last with the word-end suffix."""
         raw = np.frombuffer(word.encode(), np.uint8)
@@ -87,6 +93,30 @@ class Vocabulary:
         return ids
 
 
+#: Characters whose class has been looked up; and those that the library puts into another class than the regex module (their tables follow different versions of Unicode), each with a character of its class that both agree on.
+_seen: set[str] = set()
+_odd: dict[int, str] = {}
+#: The classes of the patterns, and a character of each; an exclamation mark stands for all the rest.
+_CLASSES = ((r"\p{L}", "a"), (r"\p{N}", "1"), (r"\p{White_Space}", " "))
+
+
+def odd_characters(text: str) -> dict[int, str] | None:
+    """What to put in place of odd characters so that the pattern splits a text as the library does; None if it has none."""
+    new = set(text) - _seen
+    if new:
+        from tokenizers import Regex, pre_tokenizers
+
+        every = "".join(new)
+        ours, theirs = dict.fromkeys(new, "!"), dict.fromkeys(new, "!")
+        for kind, example in _CLASSES:
+            ours.update(dict.fromkeys(regex.findall(kind, every), example))
+            pieces = pre_tokenizers.Split(Regex(kind.replace("p{White_Space}", "s")), "removed", invert=True).pre_tokenize_str(every)
+            theirs.update(dict.fromkeys("".join(p for p, _ in pieces), example))
+        _odd.update({ord(c): theirs[c] for c in new if ours[c] != theirs[c]})
+        _seen.update(new)
+    return _odd if _odd and any(map(_odd.__contains__, map(ord, set(text)))) else None
+
+
 @functools.cache
 def _normalizer():
     """NFC and lower case exactly as the library does them for texts that are not ASCII."""

@@ -31,6 +31,24 @@ def test_like_library(path):
         assert [bpe_codec.decode_ids(path, i) for i in ids] == [library.decode(i, skip_special_tokens=False) for i in ids]
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_every_character(path):
+    """Each code point between two letters and beside a digit, and random texts over all of Unicode."""
+    rng = random.Random(9)
+    every = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    texts = ["".join(f"a{c}a " for c in every[k : k + 500]) for k in range(0, len(every), 500)]
+    texts += ["".join(f"1{c}'s" for c in every[k : k + 500]) for k in range(0, 0x20000, 500)]
+    odd = sorted(map(chr, vocab.odd_characters("".join(every)))) if path == WORD else []
+    texts += ["".join(rng.choices(every, k=20)) for _ in range(2000)] + ["".join(rng.choice([*odd[::97], *"ab1 '!\n<|"]) for _ in range(30)) for _ in range(1000 if odd else 0)]
+    library = Tokenizer.from_file(path)
+    ids = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert token_count.count_texts(path, texts) == [len(i) for i in ids]
+    assert bpe_codec.encode_texts(path, texts) == ids
+    if path == WORD:
+        assert len(odd) > 10_000
+        assert [np.frombuffer(x, "<u4").tolist() for x in packing.encode_texts(path, texts)] == ids
+
+
 def test_trees_agree():
     voc, rng = vocab.load(WORD), random.Random(5)
     words = ["".join(rng.choice("aeinrst") for _ in range(rng.randint(1, 60))) for _ in range(300)]
