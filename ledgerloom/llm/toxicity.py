@@ -6,12 +6,13 @@ text: toxic documents are split at quantiles of how many different words they ho
 documents in the labelled sample; such words (and word beginnings) are the features.  A document is
 rejected when P(grade > 0) exceeds 0.5.
 
-Fitting uses a bounded sample: the ``sample`` labelled rows with the smallest hash of their id, as far
-as their texts have SAMPLE_BYTES together, so the same rows at every run.  Everything else covers all documents and whole texts.
+Fitting uses a bounded sample: the ``sample`` labelled rows with the smallest hash of their id.  In that
+order a row is taken if its text fits into what is left of SAMPLE_BYTES and skipped if not, so the same
+rows at every run, and one long text never keeps others out.  Everything else covers all documents and whole texts.
 
 Null and empty texts have no features and take the baseline score.  Labels that are null or whose
 document is missing are left out; of several labels of a document the highest counts, of several
-texts under a labelled id the smallest.  Without any toxic label nothing is rejected, and where all
+texts under a labelled id the shortest, of these the smallest.  Without any toxic label nothing is rejected, and where all
 labels are toxic everything.  Repeated rows get equal results.
 """
 
@@ -23,13 +24,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .batches import map_slices
 
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE = 8_000
-#: Bytes of their texts together, at most: rows beyond it, in the order of the sample, are left out.
+#: Bytes of their texts together, at most: a row that doesn't fit any more is skipped.
 SAMPLE_BYTES = 64 << 20
 #: Words in fewer sampled documents are no features.
 MIN_DOCS = 6
@@ -115,16 +116,20 @@ def fit_ordinal(rows: np.ndarray, words: np.ndarray, n_words: int, grades: np.nd
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fits on the sampled labelled documents, in one task; only the weights reach the driver."""
+    """Fits on the sampled labelled documents, in one task; only the sample's lengths and the weights reach the driver."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("__toxic"))
     chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # the sample has a fixed bound, so it is the side to broadcast
-    one = texts.join(F.broadcast(chosen), "__id").groupBy("__id", "__toxic").agg(F.min("text").alias("text"))
+    texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("bytes", F.octet_length("text").cast("long"))
+    # the sample has a fixed bound, so it is the side to broadcast; lengths first, then the texts that fit
+    sizes = texts.join(F.broadcast(chosen), "__id").groupBy("__id", "__toxic").agg(F.min("bytes").alias("bytes"))
+    left, fitting = SAMPLE_BYTES, []
+    for r in sorted(sizes.select("__id", "__toxic", "bytes", F.xxhash64("__id").alias("place")).collect(), key=lambda r: (r["place"], r["__id"])):
+        if r["bytes"] <= left:
+            left -= r["bytes"]
+            fitting.append((r["__id"], r["__toxic"], r["bytes"]))
+    kept = docs.sparkSession.createDataFrame(fitting, sizes.select("__id", "__toxic", "bytes").schema)
+    one = texts.join(F.broadcast(kept), ["__id", "bytes"]).groupBy("__id", "__toxic").agg(F.min("text").alias("text"))
     joined = one.select(F.xxhash64("__id").alias("place"), F.col("__toxic").cast("long").alias("toxic"), "text")
-    # one task gets the sample anyway, so its bytes are summed there
-    held = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy("place", "toxic").rowsBetween(Window.unboundedPreceding, 0))
-    joined = joined.withColumn("held", held).filter(F.col("held") <= SAMPLE_BYTES).drop("held")
 
     def words(piece: pa.RecordBatch) -> dict[str, list]:
         return {"place": piece.column("place"), "toxic": piece.column("toxic"), "words": [sorted(features(t)) for t in piece.column("text").to_pylist()]}

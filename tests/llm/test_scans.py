@@ -8,6 +8,8 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from ledgerloom.llm import secret_scan as S, toxicity as T
 from .conftest import AWKWARD
 
@@ -144,7 +146,39 @@ def test_sample_bytes(spark, monkeypatch):
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
     assert T.fit(docs, labels).weights
     monkeypatch.setattr(T, "SAMPLE_BYTES", 1000)
-    assert not T.fit(docs, labels).weights
+    assert not T.fit(docs, labels).weights  # too few documents for any feature
+
+
+def test_long_text_is_skipped(spark, monkeypatch):
+    """A text beyond the bound, wherever it stands in the sample, leaves the others in it."""
+    rows = _labelled(400, 3)
+    monkeypatch.setattr(T, "SAMPLE_BYTES", 200_000)
+    docs = [r[:2] for r in rows]
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    first = labels.orderBy(F.xxhash64("doc_id"), "doc_id").first().doc_id
+    schema = "doc_id long, text string"
+    without = T.fit(spark.createDataFrame([d for d in docs if d[0] != first], schema), labels)
+    long = T.fit(spark.createDataFrame([(i, t if i != first else "vilest " * 40_000) for i, t in docs], schema), labels)
+    assert long.weights and long.weights == without.weights and np.array_equal(long.thresholds, without.thresholds)
+    scored = T.score(spark.createDataFrame(docs, schema), long).collect()
+    assert sum(r.is_toxic for r in scored) > 40
+
+
+def test_score_by_hand(spark):
+    """The query's columns from weights and thresholds, one document at a time, without arrays."""
+    rows = _labelled(300, 4)
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(900, None), (901, ""), (902, "!! vilest, 'VILESTly'")], "doc_id long, text string")
+    model = T.fit(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    for r in T.score(docs, model).join(docs, "doc_id").collect():
+        found = set()
+        for word in (r.text or "").lower().split():
+            word = word.strip(T.EDGES)
+            found |= {word} | {word[:n] + "*" for n in (4, 5, 7) if len(word) > n}
+        score = sum(model.weights.get(f, 0.0) for f in found)
+        above = [1 / (1 + math.exp(t - score)) for t in model.thresholds]
+        assert r.severity_score == pytest.approx(score) and r.expected_severity == pytest.approx(sum(above))
+        assert r.grade_probabilities == pytest.approx([a - b for a, b in zip([1.0, *above], [*above, 0.0], strict=True)])
+        assert r.severity_grade == sum(a > 0.5 for a in above) and r.is_toxic == (above[0] > 0.5)
 
 
 def test_one_class_has_no_marks():
