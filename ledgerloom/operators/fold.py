@@ -47,22 +47,30 @@ def fold_grants(log: DataFrame) -> DataFrame:
 
 
 def upsert_work(admissions: DataFrame) -> DataFrame:
-    """First admission of each revision stays; a later one under another plan or an older epoch is a conflict, others refresh the epoch.
+    """First admission of each revision stays; a later one under its plan and no older epoch refreshes the epoch, any other is a conflict and changes nothing.
 
-    ``admissions`` has the key, plan_digest, epoch and ``arrival``.
+    ``admissions`` has the key, plan_digest, epoch and ``arrival``, and may have projected_epoch, the scope's
+    epoch at that time: an admission below it comes from superseded authority and is a conflict, even the first.
+    A revision without an accepted admission has its conflicts alone.
     """
     w = Window.partitionBy(*KEY).orderBy("arrival")
-    r = admissions.withColumns({"first_plan": F.first("plan_digest").over(w), "top_before": F.max("epoch").over(w.rowsBetween(Window.unboundedPreceding, -1))})
-    ok = F.col("top_before").isNull() | ((F.col("plan_digest") == F.col("first_plan")) & (F.col("epoch") >= F.col("top_before")))
-    return r.groupBy(*KEY).agg(F.min_by("plan_digest", "arrival").alias("plan_digest"), F.max(F.when(ok, F.col("epoch"))).alias("epoch"), F.count_if(~ok).alias("conflicts"))
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    current = F.col("epoch") >= F.col("projected_epoch") if "projected_epoch" in admissions.columns else F.lit(True)
+    r = admissions.withColumn("current", F.coalesce(current, F.lit(True)))
+    r = r.withColumn("held_plan", F.first(F.when(F.col("current"), F.col("plan_digest")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    own = F.col("current") & (F.col("plan_digest") == F.col("held_plan"))
+    # a refused row of the held plan has an epoch below the stored one, so all rows of that plan give the stored epoch
+    ok = own & (F.col("epoch") >= F.coalesce(F.max(F.when(own, F.col("epoch"))).over(before), F.col("epoch")))
+    a = r.withColumn("ok", ok).groupBy(*KEY).agg(F.min_by("plan_digest", F.when(F.col("ok"), F.col("arrival"))).alias("plan_digest"), F.max(F.when(F.col("ok"), F.col("epoch"))).alias("epoch"), F.count_if(~F.col("ok")).alias("conflicts"))
+    return a.select(*KEY, F.when(F.col("epoch").isNotNull(), F.col("plan_digest")).alias("plan_digest"), "epoch", "conflicts")
 
 
 def admit_plans(plans: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Work rows and edges of plan documents (scope_id, plan_digest, work_specs): canonical, sorted and without repeats."""
+    """Work rows and edges of plan documents (scope_id, plan_digest, work_specs) that ``admission_verdicts`` lets in: canonical, sorted and without repeats."""
     spec = plans.select("scope_id", "plan_digest", F.explode("work_specs").alias("s"))
     work = spec.select("scope_id", F.col("s.work_id").alias("work_id"), F.lit(1).cast("long").alias("work_revision"), "plan_digest", F.col("s.bounds.max_attempts").alias("max_attempts"), F.col("s.bounds.deadline_unix_ms").alias("deadline_unix_ms"))
     edges = spec.select("scope_id", F.col("s.work_id").alias("work_id"), F.lit(1).cast("long").alias("work_revision"), F.explode(F.array_sort(F.array_distinct("s.dependencies"))).alias("depends_on_work_id"), F.lit(1).cast("long").alias("depends_on_work_revision"))
-    return work, edges.filter("depends_on_work_id <> work_id")
+    return work, edges
 
 
 def fold_scopes(log: DataFrame) -> DataFrame:
@@ -80,17 +88,18 @@ def admission_verdicts(plans: DataFrame, work: DataFrame, deps: DataFrame, scope
     """Whether each plan (scope_id, plan_digest, revision, work_specs) may be admitted over what is there; one bad row refuses it whole.
 
     first failing rule: plan_held (another plan is active), self_edge, unknown_dependency, work_conflict (the revision
-    is there under another plan), edge_conflict (the revision is there with other dependencies), or ok.
+    is there under another plan), edge_conflict (the revision is there with other dependencies, or other revisions of them), or ok.
     """
     specs = plans.select("scope_id", "plan_digest", "revision", F.explode("work_specs").alias("s")).select("scope_id", "plan_digest", "revision", F.col("s.work_id").alias("work_id"), F.array_sort(F.array_distinct("s.dependencies")).alias("wanted"))
     known = plans.select("scope_id", "plan_digest", F.transform("work_specs", lambda s: s["work_id"]).alias("declared"))
     key = ["scope_id", "work_id", "work_revision"]
     held = work.select(*key, F.col("plan_digest").alias("held_plan"))
-    edges = deps.groupBy(*key).agg(F.array_sort(F.collect_list("depends_on_work_id")).alias("held_edges"))
+    edges = deps.groupBy(*key).agg(F.collect_list(F.struct(F.col("depends_on_work_id").alias("id"), F.col("depends_on_work_revision").cast("long").alias("revision"))).alias("held_edges"))
+    bound = F.transform("wanted", lambda d: F.struct(d.alias("id"), F.lit(1).cast("long").alias("revision")))  # a plan binds the first revision of each work item
     s = specs.withColumnRenamed("revision", "work_revision").join(known, ["scope_id", "plan_digest"]).join(held, key, "left").join(edges, key, "left")
     faults = s.groupBy("scope_id", "plan_digest").agg(
         F.bool_or(F.array_contains("wanted", F.col("work_id"))).alias("self_edge"), F.bool_or(F.size(F.array_except("wanted", "declared")) > 0).alias("unknown"), F.bool_or(F.coalesce(F.col("held_plan") != F.col("plan_digest"), F.lit(False))).alias("other_plan"),
-        F.bool_or(F.col("held_plan").isNotNull() & ~same_dependencies(F.col("wanted"), F.coalesce("held_edges", F.array().cast("array<string>")))).alias("other_edges"),
+        F.bool_or(F.col("held_plan").isNotNull() & ~same_dependencies(bound, F.coalesce("held_edges", F.array().cast("array<struct<id:string,revision:bigint>>")))).alias("other_edges"),
     )
     active = scopes.select("scope_id", F.col("active_plan_digest").alias("active"))
     j = plans.select("scope_id", "plan_digest").join(active, "scope_id", "left").join(faults, ["scope_id", "plan_digest"], "left")

@@ -13,17 +13,24 @@ from . import verify
 SINGLE = ("grant_activated", "artifact_reference", "projection_checkpoint_published")
 
 
-def append_batches(log: DataFrame, heads: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The log and the heads after all acceptable batches, and a verdict per scope: appended, refused_member, or refused_chain.
-
-    A scope's batch is proven whole before anything of it is written: members of a type of its own, repeats of
-    what the log holds, or one broken link refuse all of it.  ``batch`` has the columns of ``log``.
+def append_batches(log: DataFrame, heads: DataFrame, batch: DataFrame, plans: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The log and the heads after all acceptable batches, and a verdict per scope: appended, refused_member, refused_chain or refused_plan.
+
+    A scope's batch is proven whole before anything of it is written: members of an unregistered type or of one
+    that has a publication of its own, one broken link, or an admission whose plan isn't among the readable
+    ``plans`` (scope_id, plan_digest) of that scope refuse all of it.  ``batch`` has the columns of ``log``.
+    An operation id or digest that the log holds anywhere refuses too; that is stricter than comparing with the
+    head's operation alone, and spares replays a repeated operation that they would refuse.
     """
     chain = verify.batch_verdicts(batch, heads)
-    members = batch.groupBy("scope_id").agg(F.bool_or(F.col("payload_type").isin(*SINGLE)).alias("single"))
-    seen = batch.join(log.select("scope_id", "digest").distinct(), ["scope_id", "digest"], "left_semi").select("scope_id").union(batch.join(log.select("scope_id", "operation_id").distinct(), ["scope_id", "operation_id"], "left_semi").select("scope_id")).distinct().withColumn("seen", F.lit(True))
-    j = chain.join(members, "scope_id").join(seen, "scope_id", "left")
-    verdict = F.when(F.col("single"), "refused_member").when(~F.col("accepted") | F.col("seen").isNotNull(), "refused_chain").otherwise("appended")
+    wrong = ~F.col("payload_type").isin(*M.PAYLOAD_TYPES) | F.col("payload_type").isin(*SINGLE)
+    members = batch.groupBy("scope_id").agg(F.bool_or(F.coalesce(wrong, F.lit(True))).alias("wrong_member"))
+    held = lambda c: batch.join(log.select("scope_id", c), ["scope_id", c], "left_semi").select("scope_id")
+    seen = held("digest").union(held("operation_id")).distinct().withColumn("seen", F.lit(True))
+    admitting = batch.filter("payload_type = 'plan_admitted'").select("scope_id", "plan_digest")
+    unread = admitting.join(plans.select("scope_id", "plan_digest"), ["scope_id", "plan_digest"], "left_anti").select("scope_id").distinct().withColumn("unread", F.lit(True))
+    j = chain.join(members, "scope_id").join(seen, "scope_id", "left").join(unread, "scope_id", "left")
+    verdict = F.when(F.col("wrong_member"), "refused_member").when(~F.col("accepted") | F.col("seen").isNotNull(), "refused_chain").when(F.col("unread").isNotNull(), "refused_plan").otherwise("appended")
     verdicts = j.select("scope_id", verdict.alias("verdict"), "events")
     new = batch.join(verdicts.filter("verdict = 'appended'").select("scope_id"), "scope_id", "left_semi")
     tip = new.groupBy("scope_id").agg(F.max_by(F.struct("sequence", "digest", "operation_id"), "sequence").alias("tip"), F.max(F.when(F.col("payload_type") == "plan_admitted", F.col("plan_digest"))).alias("new_plan"))

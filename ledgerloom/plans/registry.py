@@ -376,17 +376,24 @@ def _(t):
     return fold.plan_as_of(t("log"))
 
 
-_ADMISSIONS = "SELECT scope_id, work_id, work_revision, CASE WHEN fence = 6 THEN SHA['other'] ELSE SHA['plan'] END AS plan_digest, fence AS epoch, arrival FROM claim_ops"
+_ADMISSIONS = """SELECT scope_id, work_id, work_revision, CASE WHEN fence = 6 THEN SHA['other'] ELSE SHA['plan'] END AS plan_digest, fence AS epoch,
+      CAST(1 + floor((arrival - 1) / 40.0) AS BIGINT) AS projected_epoch, arrival FROM claim_ops"""
 
 
 @_query(
     "work_upsert",
-    f"""WITH a AS ({_ADMISSIONS}), b AS (SELECT *, first_value(plan_digest) OVER w AS first_plan, max(epoch) OVER (PARTITION BY scope_id, work_id, work_revision ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM a WINDOW w AS (PARTITION BY scope_id, work_id, work_revision ORDER BY arrival))
-      SELECT scope_id, work_id, work_revision, first(plan_digest ORDER BY arrival) AS plan_digest, max(CASE WHEN top IS NULL OR (plan_digest = first_plan AND epoch >= top) THEN epoch END) AS epoch, count(*) FILTER (NOT (top IS NULL OR (plan_digest = first_plan AND epoch >= top))) AS conflicts FROM b GROUP BY ALL""",
+    f"""WITH RECURSIVE a AS (SELECT *, row_number() OVER (PARTITION BY scope_id, work_id, work_revision ORDER BY arrival) AS n FROM ({_ADMISSIONS}) AS x),
+      r AS (SELECT scope_id, work_id, work_revision, 0 AS n, CAST(NULL AS VARCHAR) AS p, CAST(NULL AS BIGINT) AS e, 0 AS x FROM a WHERE n = 1
+        UNION ALL SELECT q.scope_id, q.work_id, q.work_revision, q.n, CASE WHEN q.ok THEN q.plan_digest ELSE q.p END, CASE WHEN q.ok THEN q.epoch ELSE q.e END, q.x + CASE WHEN q.ok THEN 0 ELSE 1 END FROM (
+          SELECT a.*, r.p, r.e, r.x, a.epoch >= a.projected_epoch AND (r.p IS NULL OR (r.p = a.plan_digest AND r.e <= a.epoch)) AS ok
+          FROM r JOIN a ON a.scope_id = r.scope_id AND a.work_id = r.work_id AND a.work_revision = r.work_revision AND a.n = r.n + 1) AS q)
+      SELECT scope_id, work_id, work_revision, coalesce(p, '') AS plan_digest, coalesce(e, -1) AS epoch, CAST(x AS BIGINT) AS conflicts FROM r QUALIFY n = max(n) OVER (PARTITION BY scope_id, work_id, work_revision)""",
 )
 def _(t):
     plan = F.when(F.col("fence") == 6, F.sha2(F.lit("other"), 256)).otherwise(F.sha2(F.lit("plan"), 256))
-    return fold.upsert_work(t("claim_ops").select("scope_id", "work_id", "work_revision", plan.alias("plan_digest"), F.col("fence").alias("epoch"), "arrival"))
+    projected = (1 + F.floor((F.col("arrival") - 1) / 40)).alias("projected_epoch")
+    admissions = t("claim_ops").select("scope_id", "work_id", "work_revision", plan.alias("plan_digest"), F.col("fence").alias("epoch"), projected, "arrival")
+    return fold.upsert_work(admissions).na.fill("", ["plan_digest"]).na.fill(-1, ["epoch"])
 
 
 @_query(

@@ -204,35 +204,39 @@ def _(t):
 # ---------------------------------------------------------------- publication
 
 
-def _suffix(t) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Each log cut three events before its end: what is there, its heads, and the suffix with another type per scope."""
-    edge = t("scopes").select("scope_id", (F.col("sequence") - 3).alias("boundary"))
-    log = t("log").join(edge, "scope_id")
-    old = log.filter("sequence <= boundary").drop("boundary")
-    plan = old.filter("payload_type = 'plan_admitted'").select("scope_id", F.col("plan_digest").alias("active_plan_digest"))
-    tip = log.filter("sequence = boundary").select("scope_id", "sequence", F.col("digest").alias("tail_event_digest"), "operation_id", "k")
-    last = log.filter("sequence = boundary + 1").select("scope_id", F.col("writer_epoch").alias("scope_epoch"))
-    heads = tip.join(last, "scope_id").join(plan, "scope_id", "left")
-    k, s = F.col("k"), F.col("sequence")
-    new = log.filter("sequence > boundary").join(last, "scope_id").withColumns(
+def _batches(t) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Each log cut behind its genesis: what is there, its heads, a batch of what follows with a fault by scope, and the readable plans."""
+    log, k, s = t("log"), F.col("k"), F.col("sequence")
+    old = log.filter("sequence = 1")
+    heads = old.select("scope_id", "sequence", F.col("digest").alias("tail_event_digest"), "operation_id", F.col("writer_epoch").alias("scope_epoch"), F.lit(None).cast("string").alias("active_plan_digest"))
+    new = log.filter((s == 2) | ((k % 6 == 1) & s.between(2, 4))).withColumns(
         {
-            "payload_type": F.when((k % 4 == 1) & (s == F.col("boundary") + 2), "artifact_reference").otherwise("root_note"), "writer_epoch": F.col("scope_epoch"),
-            "parent_digest": F.when((k % 4 == 2) & (s == F.col("boundary") + 2), _other()).otherwise(F.col("parent_digest")),
-            "operation_id": F.when((k % 4 == 3) & (s == F.col("boundary") + 3), F.concat(F.lit("root-genesis:"), "scope_id")).otherwise(F.col("operation_id")),
+            "parent_digest": F.when(k % 6 == 2, _other()).otherwise(F.col("parent_digest")), "operation_id": F.when(k % 6 == 3, F.concat(F.lit("root-genesis:"), "scope_id")).otherwise(F.col("operation_id")),
+            "payload_type": F.when(k % 6 == 5, "root_note").otherwise(F.col("payload_type")),
         }
-    ).select(*t("log").columns)
-    return old, heads, new
+    )
+    plans = t("scopes").filter("k % 12 <> 4").select(F.when(k % 12 == 10, "elsewhere").otherwise(F.col("scope_id")).alias("scope_id"), F.col("active_plan_digest").alias("plan_digest"))
+    return old, heads, new, plans
 
 
 @_query(
     "batch_append",
-    """SELECT s.scope_id, CASE s.k % 4 WHEN 0 THEN 'appended' WHEN 1 THEN 'refused_member' ELSE 'refused_chain' END AS verdict, CASE WHEN s.k % 4 = 0 THEN s.sequence ELSE s.sequence - 3 END AS head_sequence,
-        (SELECT digest FROM log AS l WHERE l.scope_id = s.scope_id AND l.sequence = CASE WHEN s.k % 4 = 0 THEN s.sequence ELSE s.sequence - 3 END) AS tail, CASE WHEN s.k % 4 = 0 THEN s.sequence ELSE s.sequence - 3 END AS events FROM scopes AS s""",
+    """WITH b AS (SELECT k, scope_id, sequence, writer_epoch, plan_digest, CASE WHEN k % 6 = 2 THEN SHA['other'] ELSE parent_digest END AS parent, CASE WHEN k % 6 = 3 THEN 'root-genesis:' || scope_id ELSE operation_id END AS op,
+        CASE WHEN k % 6 = 5 THEN 'root_note' ELSE payload_type END AS kind, digest FROM log WHERE sequence = 2 OR (k % 6 = 1 AND sequence BETWEEN 2 AND 4)),
+      p AS (SELECT CASE WHEN k % 12 = 10 THEN 'elsewhere' ELSE scope_id END AS scope_id, active_plan_digest FROM scopes WHERE k % 12 <> 4),
+      v AS (SELECT g.scope_id, g.digest, CASE WHEN EXISTS (SELECT 1 FROM b WHERE b.scope_id = g.scope_id AND b.kind NOT IN ('plan_admitted', 'root_genesis')) THEN 'refused_member'
+        WHEN EXISTS (SELECT 1 FROM b WHERE b.scope_id = g.scope_id AND (b.op = g.operation_id OR b.writer_epoch <> g.writer_epoch
+          OR b.parent IS DISTINCT FROM (SELECT l.digest FROM log AS l WHERE l.scope_id = b.scope_id AND l.sequence = b.sequence - 1))) THEN 'refused_chain'
+        WHEN EXISTS (SELECT 1 FROM b WHERE b.scope_id = g.scope_id AND NOT EXISTS (SELECT 1 FROM p WHERE p.scope_id = b.scope_id AND p.active_plan_digest = b.plan_digest)) THEN 'refused_plan' ELSE 'appended' END AS verdict
+        FROM log AS g WHERE g.sequence = 1 AND EXISTS (SELECT 1 FROM b WHERE b.scope_id = g.scope_id))
+      SELECT scope_id, verdict, CASE WHEN verdict = 'appended' THEN 2 ELSE 1 END AS head_sequence, CASE WHEN verdict = 'appended' THEN (SELECT l.digest FROM log AS l WHERE l.scope_id = v.scope_id AND l.sequence = 2) ELSE digest END AS tail,
+        CASE WHEN verdict = 'appended' THEN 2 ELSE 1 END AS events FROM v""",
 )
 def _(t):
-    log, heads, verdicts = publish.append_batches(*_suffix(t))
+    log, heads, verdicts = publish.append_batches(*_batches(t))
     held = log.groupBy("scope_id").agg(F.count("*").alias("events"))
-    return verdicts.select("scope_id", "verdict").join(heads, "scope_id").join(held, "scope_id").select("scope_id", "verdict", F.col("sequence").alias("head_sequence"), F.col("tail_event_digest").alias("tail"), "events")
+    kept = heads.select("scope_id", F.col("sequence").cast("int").alias("head_sequence"), F.col("tail_event_digest").alias("tail"))
+    return verdicts.select("scope_id", "verdict").join(kept, "scope_id").join(held, "scope_id").select("scope_id", "verdict", "head_sequence", "tail", F.col("events").cast("int").alias("events"))
 
 
 @_query(

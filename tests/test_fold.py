@@ -291,3 +291,12 @@ def test_objects(spark, tmp_path):
 def test_queue(spark):
     q = spark.createDataFrame([("q", i) for i in range(5)], "queue string, arrival long")
     assert [r.verdict for r in incremental.intake_queue(q, 2, 4).orderBy("arrival").collect()] == ["accepted", "accepted", "overloaded", "overloaded", "stopped"]
+
+
+def test_upsert_keeps_the_stored_epoch(spark):
+    """A refused admission changes nothing, whatever its epoch; authority below the projected epoch admits nothing."""
+    rows = [("a", 1, "p", 1, 0), ("a", 2, "other", 6, 0), ("a", 3, "p", 3, 0), ("a", 4, "p", 2, 0), ("b", 1, "p", 1, 2), ("b", 2, "q", 4, 2), ("c", 1, "p", 1, 2)]
+    frame = spark.createDataFrame([("s", w, 1, plan, e, pe, at) for w, at, plan, e, pe in rows], "scope_id string, work_id string, work_revision long, plan_digest string, epoch long, projected_epoch long, arrival long")
+    got = {r.work_id: (r.plan_digest, r.epoch, r.conflicts) for r in fold.upsert_work(frame).collect()}
+    assert got == {"a": ("p", 3, 2), "b": ("q", 4, 1), "c": (None, None, 1)}
+    assert {r.work_id: (r.plan_digest, r.epoch, r.conflicts) for r in fold.upsert_work(frame.drop("projected_epoch")).collect()} == {"a": ("p", 3, 2), "b": ("p", 1, 1), "c": ("p", 1, 0)}
