@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -396,17 +395,17 @@ def _(t):
     return fold.upsert_work(admissions).na.fill("", ["plan_digest"]).na.fill(-1, ["epoch"])
 
 
-@_query(
-    "claim_fold",
-    """WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY scope_id, work_id ORDER BY arrival) AS n FROM claim_ops),
+_CLAIMS = """WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY scope_id, work_id ORDER BY arrival) AS n FROM claim_ops),
       r AS (SELECT scope_id, work_id, work_revision, 0 AS n, CAST(NULL AS BIGINT) AS f, CAST(NULL AS BIGINT) AS l, CAST(NULL AS VARCHAR) AS e, 0 AS x FROM o WHERE n = 1
         UNION ALL SELECT q.scope_id, q.work_id, q.work_revision, q.n, CASE WHEN q.claims THEN q.fence ELSE q.f END, CASE WHEN q.claims THEN q.lease_until ELSE q.l END, CASE WHEN q.closes THEN q.ev ELSE q.e END, q.x + CASE WHEN q.claims OR q.closes THEN 0 ELSE 1 END FROM (
           SELECT o.scope_id, o.work_id, o.work_revision, o.n, o.fence, o.lease_until, o.terminal_result_digest AS ev, r.f, r.l, r.e, r.x,
             o.terminal_result_digest IS NULL AND r.e IS NULL AND (r.f IS NULL OR (o.fence > r.f AND r.l <= o.now_ms) OR (o.fence = r.f AND r.l <= o.lease_until)) AS claims,
             o.terminal_result_digest IS NOT NULL AND coalesce(o.fence = r.f, false) AND coalesce(r.e = o.terminal_result_digest, true) AS closes
           FROM r JOIN o ON o.scope_id = r.scope_id AND o.work_id = r.work_id AND o.n = r.n + 1) AS q)
-      SELECT scope_id, work_id, work_revision, arg_max(coalesce(f, -1), n) AS claim_fence, arg_max(coalesce(l, -1), n) AS claim_lease_until, arg_max(coalesce(e, ''), n) AS terminal_result_digest, CAST(arg_max(x, n) AS BIGINT) AS refused FROM r GROUP BY scope_id, work_id, work_revision""",
-)
+      SELECT scope_id, work_id, work_revision, arg_max(coalesce(f, -1), n) AS claim_fence, arg_max(coalesce(l, -1), n) AS claim_lease_until, arg_max(coalesce(e, ''), n) AS terminal_result_digest, CAST(arg_max(x, n) AS BIGINT) AS refused FROM r GROUP BY scope_id, work_id, work_revision"""
+
+
+@_query("claim_fold", _CLAIMS)
 def _(t):
     return fold.fold_claims(t("claim_ops")).na.fill(-1, ["claim_fence", "claim_lease_until"]).na.fill("", ["terminal_result_digest"])
 
@@ -922,13 +921,17 @@ def _(t):
     return fold.idempotent(log.unionByName(again))[0].select("scope_id", "sequence", "digest")
 
 
-@_query("stream_fold", "SELECT scope_id, s.sequence, tail_event_digest AS digest, (SELECT max(writer_epoch) FROM log AS l WHERE l.scope_id = s.scope_id) AS writer_epoch, (SELECT plan_digest FROM log AS l WHERE l.scope_id = s.scope_id AND l.payload_type = 'plan_admitted') AS active_plan_digest FROM scopes AS s")
+_CURSORS = "SELECT scope_id, s.sequence, tail_event_digest AS digest, (SELECT max(writer_epoch) FROM log AS l WHERE l.scope_id = s.scope_id) AS writer_epoch, (SELECT plan_digest FROM log AS l WHERE l.scope_id = s.scope_id AND l.payload_type = 'plan_admitted') AS active_plan_digest FROM scopes AS s"
+
+
+@_query("stream_fold", _CURSORS)
 def _(t):
     """The fold as a stream over two deliveries of the log; equals the batch fold."""
     log = t("log").select("scope_id", "sequence", "digest", "parent_digest", "operation_id", "writer_epoch", "payload_type", "plan_digest")
     spark = log.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    base = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    from .streams import shared_folder
+
+    base = shared_folder(spark)
     for part in ("sequence <= 20", "sequence > 17"):  # the second repeats some of the first
         log.filter(part).repartition(2, "scope_id").write.mode("append").parquet(f"{base}/in")
     source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
@@ -952,12 +955,12 @@ def _tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from . import stored  # noqa: F401, registers its queries
+    from . import stored, streams  # noqa: F401, register their queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import stored  # noqa: F401
+    from . import stored, streams  # noqa: F401
 
     return dict(_SQL)
