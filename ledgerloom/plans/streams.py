@@ -1,4 +1,4 @@
-"""Queries whose operator is a stream with state: the driver's tables delivered in batches, out of order, twice or with faults."""
+"""Queries over streams with state and over stored objects: the driver's tables delivered in batches, out of order, twice or with faults, or written as a log of objects and read by range."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ledgerloom.operators import fold
+from ledgerloom.sources import logstore
 from ledgerloom.streaming import ledger
 
 from . import registry
@@ -91,3 +93,52 @@ def _(t):
     tick = heads.sparkSession.range(1).select(F.lit("clock").alias("scope_id"), F.lit(None).cast("long").alias("lease_until"), at(F.lit(NOW_MS)))
     stream, base = deliver([heads.unionByName(tick)])
     return ledger.run_available(ledger.lease_alarms(stream), f"{base}/state", f"{base}/out").select("scope_id", "what", "due_ms")
+
+
+# ---------------------------------------------------------------- objects
+
+
+def _stored_log(t) -> tuple[SparkSession, str]:
+    """The log's events as objects in a new folder; their bytes are what their digests are made of."""
+    raw = F.encode(F.concat(F.lit("event|"), F.col("event_id").cast("string")), "UTF-8")
+    events = t("raw_log").select("scope_id", "sequence", "digest", raw.alias("content"))
+    spark = events.sparkSession
+    path = f"{shared_folder(spark)}/scopes"
+    logstore.write_log(events, path)
+    return spark, path
+
+
+@_query("log_range_scan", "SELECT scope_id, sequence, digest, strlen(concat('event|', event_id)) AS length FROM raw_log WHERE sequence BETWEEN 11 AND 20")
+def _(t):
+    """A range of sequences out of the stored log: keys outside it are neither opened nor handed to Spark."""
+    found = logstore.read_log(*_stored_log(t)).filter("sequence > 10 AND sequence <= 20 AND status = 'ok'")
+    return found.filter(F.sha2("content", 256) == F.col("digest")).select("scope_id", "sequence", "digest", F.col("length").cast("long").alias("length"))
+
+
+@_query(
+    "log_fetch_budget",
+    """SELECT scope_id, sequence, running_bytes, digest FROM (SELECT scope_id, sequence, digest, CAST(sum(strlen(concat('event|', event_id))) OVER (PARTITION BY scope_id ORDER BY sequence) AS BIGINT) AS running_bytes FROM raw_log WHERE sequence >= 6) AS a WHERE running_bytes <= 200""",
+)
+def _(t):
+    """Events behind the fifth of each scope as far as 200 bytes go: lengths from the listing, then the chosen objects alone."""
+    found = logstore.fetch_within(*_stored_log(t), budget=200, first=6)
+    return found.select("scope_id", "sequence", "running_bytes", F.sha2("content", 256).alias("digest"))
+
+
+@_query("log_dense", "SELECT scope_id, NOT (k % 5 = 2 AND sequence >= 9) AS dense FROM scopes")
+def _(t):
+    """Whether a listing holds every key up to the tail; in some scopes one is missing."""
+    gone = t("scopes").filter("k % 5 = 2").select("scope_id", F.lit(9).cast("long").alias("sequence"))
+    spark, path = _stored_log(t)
+    listing = logstore.read_log(spark, path, content=False).join(gone, ["scope_id", "sequence"], "left_anti")
+    return logstore.dense(listing, t("scopes").select("scope_id", F.lit(0).cast("long").alias("sequence"), F.col("sequence").alias("tail")))
+
+
+@_query("projection_apply", registry._CURSORS)
+def _(t):
+    """Cursors and grants of the first 20 events as one projection, then of all: readers see the newest manifest's tables."""
+    log = t("log")
+    path = f"{shared_folder(log.sparkSession)}/projection"
+    for part in (log.filter("sequence <= 20"), log):
+        logstore.apply_projection(path, {"scopes": fold.fold_cursors(part), "grants": fold.fold_grants(part)})
+    return logstore.read_projection(log.sparkSession, path, "scopes").select("scope_id", "sequence", F.col("tail_event_digest").alias("digest"), "writer_epoch", "active_plan_digest")
