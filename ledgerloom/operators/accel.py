@@ -2,17 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom import model as M
 
 
+#: Sequences of one bin of interval joins; a pack of PACK_EVENTS events lies in two bins at most.
+BIN = M.PACK_EVENTS
+
+
+def _bins(first: Column, last: Column, width: int) -> Column:
+    """Bins that a range touches; a range that ends before it begins lies in the bin of its beginning."""
+    at = lambda c: F.floor(c / width)
+    return F.sequence(at(first), at(F.greatest(first, last)))
+
+
+def overlaps(requests: DataFrame, packs: DataFrame, how: str = "inner", width: int = BIN) -> DataFrame:
+    """Requests (scope_id, first, last) with the packs (scope_id, start, end, ...) that overlap them, each pair once.
+
+    Both sides are cut into bins of ``width`` sequences and meet on (scope, bin), so that a scope with very
+    many packs spreads over its bins and a request meets the packs of its own bins alone; a pair that shares
+    several bins counts in the first of them.  With ``how`` left, bins without a pack keep a row of nulls.
+    """
+    q = requests.withColumn("bin", F.explode(_bins(F.col("first"), F.col("last"), width)))
+    p = packs.withColumnRenamed("scope_id", "pack_scope").withColumn("pack_bin", F.explode(_bins(F.col("start"), F.col("end"), width)))
+    once = F.col("bin") == F.greatest(F.floor(F.col("first") / width), F.floor(F.col("start") / width))
+    on = (F.col("scope_id") == F.col("pack_scope")) & (F.col("bin") == F.col("pack_bin")) & (F.col("start") <= F.col("last")) & (F.col("end") >= F.col("first")) & once
+    return q.join(p, on, how).drop("bin", "pack_scope", "pack_bin")
+
+
 def coverage(requests: DataFrame, packs: DataFrame) -> DataFrame:
     """Whether packs cover each range [first, last] of a scope without a gap, and how many they take: overlap join, then neighbours have to touch."""
     p = packs.select("scope_id", F.col("first_sequence").alias("start"), F.col("last_sequence").alias("end"))
-    j = requests.join(p, (requests["scope_id"] == p["scope_id"]) & (p["start"] <= requests["last"]) & (p["end"] >= requests["first"]), "left").drop(p["scope_id"])
-    w = Window.partitionBy("scope_id", "first", "last").orderBy("start")
-    gap = F.col("start") > F.coalesce(F.lag("end").over(w), F.col("first") - 1) + 1
+    j = overlaps(requests, p, "left")
+    w = Window.partitionBy("scope_id", "first", "last").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    gap = F.col("start") > F.coalesce(F.max("end").over(w), F.col("first") - 1) + 1
     a = j.withColumn("gap", gap).groupBy("scope_id", "first", "last").agg(F.bool_or("gap").alias("gap"), F.max("end").alias("reach"), F.count("start").alias("packs"))
     covered = F.coalesce(~F.col("gap") & (F.col("reach") >= F.col("last")), F.lit(False))
     return a.select("scope_id", "first", "last", covered.alias("covered"), F.when(covered, F.col("packs")).otherwise(0).cast("long").alias("packs"))
@@ -101,13 +125,24 @@ def current_catalogs(pointers: DataFrame, catalogs: DataFrame) -> DataFrame:
     return j.select("scope_id", state.alias("state"), F.when(state == "present", F.col("catalog")).alias("catalog"))
 
 
+def needed_packs(requests: DataFrame, packs: DataFrame) -> DataFrame:
+    """Packs that overlap a request, with their contents; which they are comes from their ranges alone."""
+    ranges = packs.select("scope_id", F.col("first_sequence").alias("start"), F.col("last_sequence").alias("end"))
+    hit = overlaps(requests.select("scope_id", "first", "last"), ranges).select("scope_id", F.col("start").alias("first_sequence"), F.col("end").alias("last_sequence"))
+    return packs.join(hit, ["scope_id", "first_sequence", "last_sequence"], "left_semi")
+
+
 def read_ranges(requests: DataFrame, packs: DataFrame, size: int = M.MAX_REPLAY_BYTES) -> DataFrame:
     """Events first to last of each request (scope_id, first, last) out of sound packs, in order, as far as they are without a gap and fit the byte budget.
 
-    Events of packs that overlap count once.
+    Packs outside all requests aren't opened; events and requests meet on (scope, bin).  Events of packs that
+    overlap count once.
     """
-    events = read_packs(packs).groupBy("scope_id", "sequence").agg(F.min_by(F.struct("digest", "payload"), "digest").alias("e")).select("scope_id", "sequence", "e.digest", F.octet_length("e.payload").cast("long").alias("bytes"))
-    j = requests.join(events, "scope_id").filter((F.col("sequence") >= F.col("first")) & (F.col("sequence") <= F.col("last")))
+    opened = read_packs(needed_packs(requests, packs))
+    events = opened.groupBy("scope_id", "sequence").agg(F.min_by(F.struct("digest", F.octet_length("payload").cast("long").alias("bytes")), "digest").alias("e")).select("scope_id", "sequence", "e.*")
+    at = lambda c: F.floor(c / BIN).alias("bin")
+    asked = requests.select("scope_id", "first", "last", F.explode(_bins(F.col("first"), F.col("last"), BIN)).alias("bin"))
+    j = asked.join(events.select("*", at(F.col("sequence"))), ["scope_id", "bin"]).filter((F.col("sequence") >= F.col("first")) & (F.col("sequence") <= F.col("last")))
     w = Window.partitionBy("scope_id", "first", "last").orderBy("sequence")
     placed = j.withColumns({"nth": F.row_number().over(w), "running": F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, 0))})
     return placed.filter((F.col("sequence") - F.col("first") + 1 == F.col("nth")) & (F.col("running") <= size)).select("scope_id", "first", "last", "sequence", "digest", F.col("running").alias("running_bytes"))

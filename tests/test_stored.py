@@ -192,3 +192,38 @@ def test_segments_by_bytes(spark):
             packs[-1].append((i, b))
         want += [(s, k, p[0][0], p[-1][0], len(p), sum(x for _, x in p)) for k, p in enumerate(packs)]
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_overlaps_meet_in_bins(spark):
+    """Each overlapping pair once, however many bins it shares; ranges that are empty, nested or without a pack keep their row."""
+    rng = random.Random(3)
+    packs = [(rng.choice("ab"), a, a + rng.choice([0, 3, 40])) for a in (rng.randint(1, 300) for _ in range(80))]
+    asks = [(rng.choice("abc"), a, a + rng.choice([-2, 0, 5, 90])) for a in (rng.randint(1, 300) for _ in range(40))]
+    p = spark.createDataFrame(packs, "scope_id string, start long, end long")
+    q = spark.createDataFrame([(i, *a) for i, a in enumerate(asks)], "i int, scope_id string, first long, last long")
+    want = sorted((i, a, b) for i, (s, first, last) in enumerate(asks) for t, a, b in packs if s == t and a <= last and b >= first)
+    for width in (7, 64, 4096):
+        assert sorted((r.i, r.start, r.end) for r in accel.overlaps(q, p, width=width).collect()) == want
+    held = {(s, n) for s, a, b in packs for n in range(a, b + 1)}
+    named = p.withColumnsRenamed({"start": "first_sequence", "end": "last_sequence"})
+    rows = accel.coverage(q.select("scope_id", "first", "last").distinct(), named).collect()
+    assert len(rows) == len(set(asks))
+    for r in rows:
+        if r.first <= r.last:
+            assert r.covered == all((r.scope_id, n) in held for n in range(r.first, r.last + 1)), r
+
+
+def test_packs_outside_the_ranges_stay_closed(spark):
+    """With ten times the packs and the same requests the same packs are opened, and events meet requests through their bins: work grows with the packs, not with packs times requests."""
+    def at(n):
+        log = spark.range(1, n + 1).select(F.lit("s").alias("scope_id"), F.col("id").alias("sequence"), F.sha2(F.col("id").cast("string"), 256).alias("digest"), F.encode(F.col("id").cast("string"), "UTF-8").alias("payload"))
+        packs = accel.build_packs(log, "payload")
+        asks = spark.createDataFrame([("s", 300, 310), ("s", 500, 530), ("t", 1, 4)], "scope_id string, first long, last long")
+        ranges = packs.select("scope_id", F.col("first_sequence").alias("start"), F.col("last_sequence").alias("end"))
+        many = spark.range(0, n, 256).select(F.lit("s").alias("scope_id"), (F.col("id") + 1).alias("first"), (F.col("id") + 2).alias("last"))
+        met = accel.overlaps(many, ranges).count()
+        rows = sorted((r.sequence, r.running_bytes) for r in accel.read_ranges(asks, packs).collect())
+        return sorted(r.first_sequence for r in accel.needed_packs(asks, packs).collect()), rows, met
+
+    (few, rows, met), (more, same, met_more) = at(2_560), at(25_600)
+    assert few == more == [257, 513] and rows == same and len(rows) == 42 and (met, met_more) == (10, 100)
