@@ -66,6 +66,18 @@ RELATIONS: dict[str, str] = {
     "claim_ops": """SELECT l.scope_id, w.work_id, w.work_revision, l.sequence AS arrival, CAST(1 + (l.event_id * 3 + l.sequence * 5) % 6 AS BIGINT) AS fence, 852000000000 + (l.event_id * 7 + l.sequence * 13) % 90 * 10000 AS lease_until, 852000000000 + l.sequence * 9000 AS now_ms,
           CASE WHEN (l.event_id + l.sequence) % 8 = 0 THEN SHA[concat('end|', l.event_id % 2)] END AS terminal_result_digest
         FROM raw_log AS l JOIN ranked_work AS w ON l.k = w.k AND w.r = 1 + l.event_id % (CASE WHEN w.c > 9 THEN 9 ELSE w.c END)""",
+    "claim_docs": """SELECT scope_id, campaign_id, work_id, work_revision, key AS n, concat('workspace/one/campaigns/', campaign_id, '/scopes/', scope_id, '/claims/', work_id, '/', CASE WHEN key % 31 = 4 THEN 2 ELSE work_revision END) AS key,
+          CASE WHEN key % 13 = 0 THEN NULL WHEN key % 17 = 0 THEN substring(doc, 1, length(doc) - 1) WHEN key % 37 = 0 THEN concat(substring(doc, 1, length(doc) - 1), ',"more":1}') WHEN key % 41 = 0 THEN concat(doc, ' ') ELSE doc END AS content
+        FROM (SELECT w.*, campaign_id, concat('{"record":"', CASE WHEN key % 47 = 0 THEN 'sealed_submission' ELSE 'scope_claim' END, '","campaign_id":"', campaign_id, '","scope_id":"', CASE WHEN key % 19 = 0 THEN SHA['elsewhere'] ELSE w.scope_id END, '","plan_digest":"',
+            CASE WHEN key % 23 = 0 THEN 'short' ELSE plan_digest END, '","work_id":"', work_id, '","work_revision":', CASE WHEN key % 43 = 0 THEN '"1"' ELSE '1' END, ',"claim_fence":', CASE WHEN key % 29 = 0 THEN 0 ELSE claim_fence END, ',"owner_actor":"actor-', key % 5,
+            '","owner_instance":"', CASE WHEN key % 53 = 0 THEN 'no/de' ELSE 'node-1' END, '","operation_id":"op-', key, '","state":', CASE WHEN key % 3 = 0 THEN concat('{"state":"active","lease_until":', claim_lease_until, '}')
+            ELSE concat('{"state":"sealed","submission":{"digest":"', SHA[concat('body|', key)], '","size":', key % 31, ',"media_type":"application/json","producer_attempt":"1","creation_time_unix_ms":1,"retention_class":null}}') END, '}') AS doc
+          FROM work AS w JOIN (SELECT scope_id AS own, campaign_id FROM scopes) AS s ON s.own = w.scope_id WHERE claim_fence IS NOT NULL) AS d""",
+    "grant_docs": """SELECT scope_id, campaign_id, work_id, work_revision, key AS n, concat('workspace/one/campaigns/', campaign_id, '/scopes/', scope_id, '/grants/', work_id, '/', work_revision, '/', grant_fence + CASE WHEN key % 31 = 4 THEN 1 ELSE 0 END) AS key,
+          CASE WHEN key % 13 = 0 THEN NULL WHEN key % 17 = 0 THEN substring(doc, 1, length(doc) - 1) WHEN key % 37 = 0 THEN concat(substring(doc, 1, length(doc) - 1), ',"more":1}') WHEN key % 41 = 0 THEN concat(doc, ' ') ELSE doc END AS content
+        FROM (SELECT w.*, campaign_id, concat('{"record":"effect_grant","campaign_id":"', campaign_id, '","scope_id":"', CASE WHEN key % 19 = 0 THEN SHA['elsewhere'] ELSE w.scope_id END, '","plan_digest":"', plan_digest, '","work_id":"', work_id, '","work_revision":1,"claim_fence":', grant_fence,
+            ',"action":"write","resource_scope":"', CASE WHEN key % 53 = 0 THEN 'a/b' ELSE 'repo' END, '","attempt":', CASE WHEN key % 43 = 0 THEN '"1"' ELSE '1' END, ',"limit_units":', key % 11, ',"deadline_unix_ms":', grant_deadline_unix_ms, ',"operation_id":"op-', key, '"}') AS doc
+          FROM work AS w JOIN (SELECT scope_id AS own, campaign_id FROM scopes) AS s ON s.own = w.scope_id WHERE grant_fence IS NOT NULL AND grant_fence > 0) AS d""",
     "runs": """SELECT o_orderkey AS run_seq, CASE WHEN o_orderkey % 2 = 0 THEN 'research' ELSE 'change' END AS pilot, CASE o_orderkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS cell, MS[o_orderdate] AS start_ms, o_orderstatus,
           CAST(floor(o_orderkey / 30.0) AS BIGINT) AS campaign, MS[o_orderdate] + (100 + o_orderkey % 40) * 86400000 AS treatment_end_ms, MS[o_orderdate] + (101 + o_orderkey % 40 + o_orderkey % 3) * 86400000 AS measurement_end_ms,
           o_orderkey % 97 <> 0 AS measured FROM orders""",
@@ -120,6 +132,7 @@ def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = dialect(RELATIONS[name], "spark")
     parts = {r: relation(spark, sf_dir, r) for r in _uses(sql)}
     parts |= {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b(FROM|JOIN)\s+{t}\b", sql)}
+    sql = sql.replace("{", "{{").replace("}", "}}")
     for p in parts:
         sql = re.sub(rf"\b(FROM|JOIN)\s+{p}\b", rf"\1 {{{p}}}", sql)
     return spark.sql(sql, **parts)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.operators import fold
-from ledgerloom.sources import logstore
+from ledgerloom.sources import documents, logstore
 from ledgerloom.streaming import ledger
 
 from . import registry
@@ -142,3 +142,53 @@ def _(t):
     for part in (log.filter("sequence <= 20"), log):
         logstore.apply_projection(path, {"scopes": fold.fold_cursors(part), "grants": fold.fold_grants(part)})
     return logstore.read_projection(log.sparkSession, path, "scopes").select("scope_id", "sequence", F.col("tail_event_digest").alias("digest"), "writer_epoch", "active_plan_digest")
+
+
+# ---------------------------------------------------------------- JSON documents
+
+
+def _status_sql(docs: str, keys: list[str], numbers: list[str], rebuilt: str, record: str, values: str, place: str) -> str:
+    """Status of each document by the other engine's JSON functions: the bytes are compared with the text put together anew from the fields."""
+    listed = ", ".join(f"'{k}'" for k in sorted(keys))
+    typed = " AND ".join(f"json_type(j, '$.{k}') IN ('UBIGINT', 'BIGINT')" for k in numbers) + " AND " + " AND ".join(f"json_type(j, '$.{k}') = 'VARCHAR'" for k in keys if k not in numbers and k != "state")
+    return f"""WITH d AS (SELECT *, CASE WHEN json_valid(content) THEN CAST(content AS JSON) END AS j FROM {docs})
+      SELECT scope_id, work_id, CASE WHEN content IS NULL THEN 'absent' WHEN strlen(content) NOT BETWEEN 1 AND 4096 THEN 'limit_exceeded' WHEN j IS NULL OR list_sort(json_keys(j)) <> [{listed}] OR NOT ({typed}) THEN 'malformed'
+        WHEN {rebuilt} <> content THEN 'not_canonical' WHEN j->>'$.record' <> '{record}' OR j->>'$.scope_id' <> scope_id OR j->>'$.campaign_id' <> campaign_id OR j->>'$.work_id' <> work_id THEN 'unbound'
+        WHEN NOT regexp_full_match(j->>'$.plan_digest', '[0-9a-f]{{64}}') OR CAST(j->>'$.claim_fence' AS BIGINT) < 1 THEN 'invalid_value' WHEN key <> {place} THEN 'reference_mismatch' WHEN {values} THEN 'invalid_value' ELSE 'ok' END AS status FROM d"""
+
+
+def _rebuilt(fields: dict) -> str:
+    """SQL that puts the top fields of a document together again."""
+    one = [f"""'"{n}":' || json_extract(j, '$.{n}')""" for n in fields]
+    return "'{' || " + " || ',' || ".join(one) + " || '}'"
+
+
+@_query(
+    "claim_documents",
+    _status_sql("claim_docs", [*documents.OWNED, "state"], ["work_revision", "claim_fence"], _rebuilt(documents.OWNED | {"state": 0}), documents.CLAIM, "j->>'$.owner_instance' LIKE '%/%'", "'workspace/one/campaigns/' || campaign_id || '/scopes/' || scope_id || '/claims/' || work_id || '/' || work_revision"),
+)
+def _(t):
+    return documents.decode_claims(t("claim_docs").withColumn("workspace_id", F.lit("one"))).select("scope_id", "work_id", "status")
+
+
+@_query(
+    "grant_documents",
+    _status_sql(
+        "grant_docs", list(documents.GRANTED), [n for n, kind in documents.GRANTED.items() if kind == "BIGINT"], _rebuilt(documents.GRANTED), documents.GRANT, "j->>'$.resource_scope' LIKE '%/%' OR CAST(j->>'$.limit_units' AS BIGINT) < 1",
+        "'workspace/one/campaigns/' || campaign_id || '/scopes/' || scope_id || '/grants/' || work_id || '/' || work_revision || '/' || (j->>'$.claim_fence')",
+    ),
+)
+def _(t):
+    return documents.decode_grants(t("grant_docs").withColumn("workspace_id", F.lit("one"))).select("scope_id", "work_id", "status")
+
+
+@_query(
+    "claims_from_documents",
+    f"""WITH d AS (SELECT * FROM claim_docs WHERE n % 13 <> 0 AND n % 17 <> 0 AND n % 37 <> 0 AND n % 41 <> 0 AND n % 43 <> 0 AND n % 47 <> 0 AND n % 19 <> 0 AND n % 23 <> 0 AND n % 29 <> 0 AND n % 31 <> 4 AND n % 53 <> 0 AND content LIKE '%"state":"active"%')
+      SELECT w.scope_id, w.work_id, CASE WHEN d.n IS NOT NULL AND w.terminal_result_digest IS NULL THEN CAST(json_extract_string(d.content, '$.state.lease_until') AS BIGINT) END AS restored_lease FROM work AS w LEFT JOIN d ON d.scope_id = w.scope_id AND d.work_id = w.work_id""",
+)
+def _(t):
+    """Rows without claims get those back that their stored documents state: decoded, then restored."""
+    read = documents.decode_claims(t("claim_docs").withColumn("workspace_id", F.lit("one"))).filter("status = 'ok'").select("record.*")
+    bare = t("work").withColumns({"claim_fence": F.lit(None).cast("long"), "claim_lease_until": F.lit(None).cast("long")})
+    return fold.restore_claims(bare, read).select("scope_id", "work_id", F.col("claim_lease_until").alias("restored_lease"))

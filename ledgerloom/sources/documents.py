@@ -85,9 +85,14 @@ def _claims(objects: DataFrame, record: str, key: Column | None, content_col: st
     values = _all(state, *(M.is_identity(at(n)) for n in ("owner_actor", "owner_instance", "operation_id")))
     placed = F.lit(True) if key is None else F.col("key") == key
     status = F.coalesce(F.col("_early"), F.when(~bound, "unbound").when(~named, "invalid_value").when(~F.coalesce(placed, F.lit(False)), "reference_mismatch").when(~values, "invalid_value").otherwise("ok"))
-    out = d.withColumn("status", status)
     fields = [at(n).alias(n) for n in OWNED] + [F.col("_state").alias("state"), F.when(~sealed_now, lease).alias("lease_until"), F.when(sealed_now, e).alias("submission")]
-    return out.withColumn("record", F.when(F.col("status") == "ok", F.struct(*fields))).drop("_v", "_kind", "_active", "_sealed", "_early", "_state")
+    return _finish(d, objects.columns, status, F.struct(*fields))
+
+
+def _finish(d: DataFrame, columns: list[str], status: Column, record: Column) -> DataFrame:
+    """``columns`` with status and record.  They come out of a generator, through which later filters on them aren't pushed: there each would be replaced by all that it is made of, many times over."""
+    one = d.withColumn("_status", status).select(*columns, F.explode(F.array(F.struct(F.col("_status").alias("status"), record.alias("record")))).alias("_z"))
+    return one.select(*columns, F.col("_z.status").alias("status"), F.when(F.col("_z.status") == "ok", F.col("_z.record")).alias("record"))
 
 
 def _prefix() -> list[Column]:
@@ -113,5 +118,4 @@ def decode_grants(objects: DataFrame, content_col: str = "content") -> DataFrame
     key = F.concat(*_prefix(), F.lit("/grants/"), "work_id", F.lit("/"), F.col("work_revision").cast("string"), F.lit("/"), g["claim_fence"].cast("string"))
     values = _all(*(M.is_identity(g[n]) for n in ("action", "resource_scope", "operation_id")), *(M.is_stored(g[n]) for n in ("attempt", "limit_units", "deadline_unix_ms")))
     late = F.when(~bound, "unbound").when(~named, "invalid_value").when(~F.coalesce(F.col("key") == key, F.lit(False)), "reference_mismatch").when(~values, "invalid_value").otherwise("ok")
-    out = d.withColumn("status", F.coalesce(F.col("_early"), late))
-    return out.withColumn("record", F.when(F.col("status") == "ok", g)).drop("_v", "_kind", "_grant", "_early", "_state")
+    return _finish(d, objects.columns, F.coalesce(F.col("_early"), late), g)
