@@ -247,3 +247,31 @@ def invalid_attempts(calls: DataFrame) -> DataFrame:
     """Calls that count, and slots that they consume: failures without content consume none."""
     free = F.col("outcome").isin("rate_limited", "timed_out", "unknown", "proven_not_sent") & ~F.col("has_content")
     return calls.groupBy("run_seq").agg(F.count("*").alias("calls"), F.count_if(~free).alias("slots"))
+
+
+def ready_latency(claims: DataFrame, evidence: DataFrame, dependencies: DataFrame, start: DataFrame) -> DataFrame:
+    """How long each claim came after its work was ready: ready_ms, latency_ms = at_ms - ready_ms, both null if it wasn't ready.
+
+    Work is ready at the latest of its scope's start and, for each dependency, the last evidence at or before the
+    claim; a dependency without such evidence leaves it unready.  ``claims`` has the key, claim_id and at_ms, ``evidence``
+    the key and at_ms, ``dependencies`` the key and depends_on_work_id and _revision, ``start`` scope_id and start_ms.
+
+    The as-of join is one union sorted by (dependency, time), evidence before claims of the same time, over which
+    the last evidence runs on: each side is shuffled once, and no claim meets evidence but the one it takes.
+    """
+    key = ["scope_id", "work_id", "work_revision"]
+    asks = claims.join(dependencies, key).select("scope_id", F.col("depends_on_work_id").alias("on_id"), F.col("depends_on_work_revision").alias("on_revision"), "at_ms", F.lit(1).alias("side"), "claim_id")
+    gives = evidence.select("scope_id", F.col("work_id").alias("on_id"), F.col("work_revision").alias("on_revision"), "at_ms", F.lit(0).alias("side"), F.lit(None).cast(claims.schema["claim_id"].dataType).alias("claim_id"))
+    w = Window.partitionBy("scope_id", "on_id", "on_revision").orderBy("at_ms", "side").rowsBetween(Window.unboundedPreceding, 0)
+    last = gives.unionByName(asks).withColumn("seen_ms", F.last(F.when(F.col("side") == 0, F.col("at_ms")), ignorenulls=True).over(w)).filter("side = 1")
+    held = last.groupBy("scope_id", "claim_id").agg(F.max("seen_ms").alias("seen_ms"), F.bool_or(F.col("seen_ms").isNull()).alias("open"))
+    j = claims.join(held, ["scope_id", "claim_id"], "left").join(start, "scope_id", "left")
+    ready = F.when(~F.coalesce("open", F.lit(False)), F.greatest("start_ms", "seen_ms"))
+    return j.select(*key, "claim_id", ready.alias("ready_ms"), (F.col("at_ms") - ready).alias("latency_ms"))
+
+
+def claim_collisions(folded: DataFrame, operations: DataFrame) -> DataFrame:
+    """Share of each scope's claim operations that met another's live lease, a lower fence or a closed revision: refused of ``fold_claims`` over all ``operations``; no operation gives no row."""
+    refused = folded.groupBy("scope_id").agg(F.sum("refused").alias("refused"))
+    made = operations.groupBy("scope_id").agg(F.count("*").alias("operations"))
+    return made.join(refused, "scope_id", "left").select("scope_id", "operations", F.coalesce("refused", F.lit(0)).alias("refused"), ratio(F.coalesce("refused", F.lit(0)), F.col("operations"), 0.0).alias("rate"))

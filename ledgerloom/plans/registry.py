@@ -276,10 +276,11 @@ def _(t):
     return audit.checks(t("scopes"), _faulty(t), work, t("deps"))
 
 
-@_query("utf8_audit", """SELECT CAST(doc_id AS VARCHAR) AS key, 'cut' AS column_name FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents) WHERE length(h) > 200 AND substring(h, 201, 1) IN ('8', '9', 'A', 'B')""")
+@_query("utf8_audit", """SELECT CAST(doc_id AS VARCHAR) AS key, 'cut' AS column_name FROM documents WHERE length(text) > 0 AND strlen(substring(text, length(text), 1)) > 1""")
 def _(t):
-    # a cut in the middle of a character makes a text invalid
-    cut = F.substring(F.encode(F.col("text"), "UTF-8"), 1, 100)
+    # the whole text without its last byte: invalid where that byte was part of a longer character
+    raw = F.encode(F.col("text"), "UTF-8")
+    cut = F.substring(raw, F.lit(1), F.greatest(F.octet_length(raw) - 1, F.lit(0)))
     return audit.invalid_text(t("texts").select("doc_id", cut.alias("cut"), "text"), F.col("doc_id").cast("string"), ["cut", "text"])
 
 
@@ -410,9 +411,9 @@ def _(t):
     return fold.fold_claims(t("claim_ops")).na.fill(-1, ["claim_fence", "claim_lease_until"]).na.fill("", ["terminal_result_digest"])
 
 
-@_query("snapshot_sanitize", "SELECT scope_id, work_id, work_revision, plan_digest, CAST(NULL AS BIGINT) AS claim_fence, CAST(NULL AS BIGINT) AS claim_lease_until, grant_fence, granted_units, CAST(NULL AS VARCHAR) AS terminal_result_digest FROM work WHERE k = 3")
+@_query("snapshot_sanitize", "SELECT scope_id, work_id, work_revision, plan_digest, CAST(NULL AS BIGINT) AS claim_fence, CAST(NULL AS BIGINT) AS claim_lease_until, grant_fence, granted_units, CAST(NULL AS VARCHAR) AS terminal_result_digest FROM work")
 def _(t):
-    out = fold.sanitize_snapshot(t("work"), t("scopes").filter("k = 3"))
+    out = fold.sanitize_snapshot(t("work"), t("scopes"))
     return out.select("scope_id", "work_id", "work_revision", "plan_digest", "claim_fence", "claim_lease_until", "grant_fence", "granted_units", "terminal_result_digest")
 
 
@@ -551,9 +552,19 @@ def _(t):
     return accel.read_packs(packs).select("scope_id", "sequence", "digest")
 
 
-@_query("catalog_valid", "SELECT scope_id, true AS valid, count(*) AS packs FROM packs GROUP BY scope_id")
+_CATALOGS = "SELECT scope_id, first_sequence - CASE WHEN pack_id % 5 = 2 AND last_sequence % 7 < 4 THEN 3 ELSE 0 END AS first_sequence, CASE WHEN pack_id % 11 = 4 THEN first_sequence - 4 ELSE last_sequence END AS last_sequence FROM packs"
+
+
+@_query(
+    "catalog_valid",
+    f"""WITH c AS ({_CATALOGS}) SELECT scope_id, NOT EXISTS (SELECT 1 FROM c AS a WHERE a.scope_id = p.scope_id AND a.last_sequence < a.first_sequence)
+        AND NOT EXISTS (SELECT 1 FROM (SELECT *, row_number() OVER (PARTITION BY scope_id ORDER BY first_sequence, last_sequence) AS n FROM c) AS a JOIN (SELECT *, row_number() OVER (PARTITION BY scope_id ORDER BY first_sequence, last_sequence) AS n FROM c) AS b
+          ON a.scope_id = b.scope_id AND b.n = a.n + 1 WHERE a.scope_id = p.scope_id AND b.first_sequence <= a.last_sequence) AS valid, count(*) AS packs FROM c AS p GROUP BY scope_id""",
+)
 def _(t):
-    return accel.catalog_valid(t("packs"))
+    first, last, at = F.col("first_sequence"), F.col("last_sequence"), F.col("pack_id")
+    damaged = t("packs").withColumns({"first_sequence": first - F.when((at % 5 == 2) & (last % 7 < 4), 3).otherwise(0), "last_sequence": F.when(at % 11 == 4, first - 4).otherwise(last)})
+    return accel.catalog_valid(damaged)
 
 
 @_query("running_budget", "SELECT scope_id, sequence, CAST((SELECT sum(stored_bytes) FROM log AS m WHERE m.scope_id = l.scope_id AND m.sequence <= l.sequence) AS BIGINT) AS running_bytes, (SELECT sum(stored_bytes) FROM log AS m WHERE m.scope_id = l.scope_id AND m.sequence <= l.sequence) <= 20000 AS fits FROM log AS l")
@@ -766,9 +777,9 @@ def _(t):
     return graph.target_groups(t("lineitem_rows").select(F.concat(F.lit("src/"), "l_suppkey", F.lit(".rs")).alias("path"), F.col("l_orderkey").alias("line"), F.col("l_linenumber").alias("col")))
 
 
-@_query("path_collisions", "SELECT lower(path) AS key, count(DISTINCT path) AS paths FROM (SELECT concat('dir/', CASE WHEN p_partkey % 3 = 0 THEN upper(substring(p_name, 1, 12)) ELSE substring(p_name, 1, 12) END) AS path FROM part) GROUP BY lower(path) HAVING count(DISTINCT path) > 1")
+@_query("path_collisions", "SELECT lower(path) AS key, count(DISTINCT path) AS paths FROM (SELECT concat('dir/', CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE p_name END) AS path FROM part) GROUP BY lower(path) HAVING count(DISTINCT path) > 1")
 def _(t):
-    name = F.substring("p_name", 1, 12)
+    name = F.col("p_name")
     return graph.path_collisions(t("part_rows").select(F.concat(F.lit("dir/"), F.when(F.col("p_partkey") % 3 == 0, F.upper(name)).otherwise(name)).alias("path")))
 
 

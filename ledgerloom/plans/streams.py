@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.operators import fold
+from ledgerloom.operators import fold, measure
 from ledgerloom.sources import documents, logstore
 from ledgerloom.streaming import ledger
 
@@ -192,3 +192,47 @@ def _(t):
     read = documents.decode_claims(t("claim_docs").withColumn("workspace_id", F.lit("one"))).filter("status = 'ok'").select("record.*")
     bare = t("work").withColumns({"claim_fence": F.lit(None).cast("long"), "claim_lease_until": F.lit(None).cast("long")})
     return fold.restore_claims(bare, read).select("scope_id", "work_id", F.col("claim_lease_until").alias("restored_lease"))
+
+
+# ---------------------------------------------------------------- observability
+
+
+@_query(
+    "ready_latency",
+    """WITH c AS (SELECT *, min(now_ms) OVER (PARTITION BY scope_id) AS start_ms FROM claim_ops WHERE terminal_result_digest IS NULL), e AS (SELECT * FROM claim_ops WHERE terminal_result_digest IS NOT NULL),
+      a AS (SELECT c.scope_id, c.work_id, c.arrival, c.now_ms, c.start_ms, d.depends_on_work_id AS dep, (SELECT max(e.now_ms) FROM e WHERE e.scope_id = c.scope_id AND e.work_id = d.depends_on_work_id AND e.now_ms <= c.now_ms) AS seen
+        FROM c LEFT JOIN deps AS d ON d.scope_id = c.scope_id AND d.work_id = c.work_id)
+      SELECT scope_id, work_id, arrival, CASE WHEN count(dep) = count(seen) THEN greatest(any_value(start_ms), coalesce(max(seen), 0)) END AS ready_ms, CASE WHEN count(dep) = count(seen) THEN any_value(now_ms) - greatest(any_value(start_ms), coalesce(max(seen), 0)) END AS latency_ms
+      FROM a GROUP BY scope_id, work_id, arrival""",
+)
+def _(t):
+    ops = t("claim_ops")
+    key = ("scope_id", "work_id", "work_revision")
+    claims = ops.filter("terminal_result_digest IS NULL").select(*key, F.col("arrival").alias("claim_id"), F.col("now_ms").alias("at_ms"))
+    evidence = ops.filter("terminal_result_digest IS NOT NULL").select(*key, F.col("now_ms").alias("at_ms"))
+    start = claims.groupBy("scope_id").agg(F.min("at_ms").alias("start_ms"))
+    out = measure.ready_latency(claims, evidence, t("deps"), start)
+    return out.select("scope_id", "work_id", F.col("claim_id").alias("arrival"), "ready_ms", "latency_ms")
+
+
+@_query(
+    "claim_collisions",
+    registry._CLAIMS.replace("SELECT scope_id, work_id, work_revision, arg_max(coalesce(f, -1), n)", "SELECT scope_id, sum(n) AS operations, sum(x) AS refused, round(sum(x) / sum(n), 6) AS rate FROM (SELECT scope_id, work_id, work_revision, max(n) AS n, arg_max(x, n) AS x FROM r GROUP BY scope_id, work_id, work_revision) AS z GROUP BY scope_id --"),
+)
+def _(t):
+    return measure.claim_collisions(fold.fold_claims(t("claim_ops")), t("claim_ops"))
+
+
+@_query(
+    "projection_footers",
+    """SELECT 'scope_id' AS column_name, 'string' AS type, count(*) AS "rows", 0 AS nulls, min(scope_id) AS least, max(scope_id) AS greatest FROM scopes UNION ALL SELECT 'sequence', 'int64', count(*), 0, CAST(min(sequence) AS VARCHAR), CAST(max(sequence) AS VARCHAR) FROM scopes
+      UNION ALL SELECT 'active_plan_digest', 'string', count(*), count(*) - count(active_plan_digest), min(active_plan_digest), max(active_plan_digest) FROM scopes""",
+)
+def _(t):
+    """Types, counts and ends of a written projection's columns out of its files' footers alone."""
+    rows = t("scopes").select("scope_id", "sequence", "active_plan_digest")
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/scopes"
+    rows.coalesce(1).write.parquet(path)
+    found = logstore.footers(spark, spark.range(1).select(F.lit(path).alias("folder")))
+    return found.select(F.col("column").alias("column_name"), "type", "rows", F.col("nulls").cast("int").alias("nulls"), "least", "greatest")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 import zstandard
@@ -180,18 +180,24 @@ def ddl(form) -> str:
     return "bigint" if form in ("count", "positive") else "string"
 
 
-def encode(kind: str, row: dict) -> bytes:
-    """The stored bytes of a record."""
+def form_of(kind: str, namespace: bytes = b"") -> Form:
+    """The form of a kind of record whose prefix begins with the ``namespace`` under which a deployment stores its records; kinds without a prefix have none."""
     form = FORMS[kind]
+    return replace(form, domain=namespace + form.domain) if form.domain else form
+
+
+def encode(kind: str, row: dict, namespace: bytes = b"") -> bytes:
+    """The stored bytes of a record."""
+    form = form_of(kind, namespace)
     return form.domain + encode_binary(_bare(form.fields, row))
 
 
-def encode_records(df: DataFrame, kind: str, record_col: str, out_col: str = "content") -> DataFrame:
+def encode_records(df: DataFrame, kind: str, record_col: str, out_col: str = "content", namespace: bytes = b"") -> DataFrame:
     """Adds the stored bytes of a record column of ``ddl(FORMS[kind].fields)``."""
 
     @F.arrow_udf("binary")
     def pack(records: pa.Array) -> pa.Array:
-        return pa.array([encode(kind, r) for r in records.to_pylist()], pa.binary())
+        return pa.array([encode(kind, r, namespace) for r in records.to_pylist()], pa.binary())
 
     return df.withColumn(out_col, pack(F.col(record_col).cast(ddl(FORMS[kind].fields))))
 
@@ -213,13 +219,13 @@ def _decoded(form: Form, content: bytes | None) -> tuple[str, dict | None]:
         return "malformed", None
 
 
-def decode_records(objects: DataFrame, kind: str, content_col: str = "content", digest: Column | None = None, scope: Column | None = None) -> DataFrame:
-    """Adds ``status`` and ``record`` to stored records of a kind.
+def decode_records(objects: DataFrame, kind: str, content_col: str = "content", digest: Column | None = None, scope: Column | None = None, namespace: bytes = b"") -> DataFrame:
+    """Adds ``status`` and ``record`` to stored records of a kind, whose prefix begins with ``namespace``.
 
     Status: absent, too_large (or empty), malformed, not_canonical, reference_mismatch (the bytes don't have the
     ``digest`` they are read for), unbound (another scope than ``scope``), or ok; the record is null unless ok.
     """
-    form = FORMS[kind]
+    form = form_of(kind, namespace)
     out = _parse_datatype_string(f"struct<status:string,record:{ddl(form.fields)}>")
 
     arrow = to_arrow_type(out)

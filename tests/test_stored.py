@@ -227,3 +227,12 @@ def test_packs_outside_the_ranges_stay_closed(spark):
 
     (few, rows, met), (more, same, met_more) = at(2_560), at(25_600)
     assert few == more == [257, 513] and rows == same and len(rows) == 42 and (met, met_more) == (10, 100)
+
+
+def test_namespace_of_stored_records(spark):
+    """Records stored under another namespace decode with it and with no other; kinds without a prefix have none."""
+    raw = R.encode("plan", PLAN, b"house.")
+    assert raw.startswith(b"house.plan.proposal\0") and R.encode("pointer", {"version": 1, "scope_id": D, "catalog_digest": D}, b"house.") == R.encode("pointer", {"version": 1, "scope_id": D, "catalog_digest": D})
+    df = spark.createDataFrame([(raw,)], "content binary")
+    assert R.decode_records(df, "plan", namespace=b"house.").first().status == "ok"
+    assert R.decode_records(df, "plan").first().status == "malformed" == R.decode_records(df, "plan", namespace=b"home.").first().status
