@@ -12,18 +12,20 @@ from ledgerloom.operators import accel, audit, fold, graph, intake, lookups, mea
 from ledgerloom.sources import sinks
 from ledgerloom.streaming import incremental
 
-from .adapters import NOW_MS, prelude, relation
+from .adapters import NOW_MS, dialect, prelude, relation
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
+#: The SQL over relations that are there as tables.
+_BARE: dict[str, str] = {}
 
 
 def _query(name: str, sql: str | None = None) -> Callable[[Callable], Callable]:
     def take(fn: Callable[[Callable[[str], DataFrame]], DataFrame]) -> Callable:
         _QUERIES[name] = lambda spark, sf_dir: fn(lambda r: _tables(spark, sf_dir, r))
         if sql is not None:
-            _SQL[name] = prelude(sql)
+            _SQL[name], _BARE[name] = prelude(sql), dialect(sql, "duckdb")
         return fn
 
     return take
@@ -276,11 +278,15 @@ def _(t):
     return audit.checks(t("scopes"), _faulty(t), work, t("deps"))
 
 
-@_query("utf8_audit", """SELECT CAST(doc_id AS VARCHAR) AS key, 'cut' AS column_name FROM documents WHERE length(text) > 0 AND strlen(substring(text, length(text), 1)) > 1""")
+@_query(
+    "utf8_audit",
+    """SELECT CAST(doc_id AS VARCHAR) AS key, 'cut' AS column_name FROM (SELECT doc_id, hex(encode(text)) AS h, strlen(text) AS n FROM documents WHERE strlen(text) > 0) AS d WHERE substring(h, 2 * ((n - 1) // 2) + 1, 1) >= '8'""",
+)
 def _(t):
-    # the whole text without its last byte: invalid where that byte was part of a longer character
-    raw = F.encode(F.col("text"), "UTF-8")
-    cut = F.substring(raw, F.lit(1), F.greatest(F.octet_length(raw) - 1, F.lit(0)))
+    # the whole text without its middle byte: invalid where that byte was part of a longer character
+    raw, n = F.encode(F.col("text"), "UTF-8"), F.octet_length("text")
+    half = F.floor((n - 1) / 2).cast("int")
+    cut = F.when(n > 0, F.concat(F.substring(raw, F.lit(1), half), F.substring(raw, half + 2, n)))
     return audit.invalid_text(t("texts").select("doc_id", cut.alias("cut"), "text"), F.col("doc_id").cast("string"), ["cut", "text"])
 
 
@@ -975,3 +981,9 @@ def oracle_sql() -> dict[str, str]:
     from . import stored, streams  # noqa: F401
 
     return dict(_SQL)
+
+
+def bare_sql() -> dict[str, str]:
+    """The DuckDB SQL of each query for relations that are there as tables of their names."""
+    oracle_sql()
+    return dict(_BARE)
