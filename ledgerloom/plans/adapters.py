@@ -78,6 +78,19 @@ RELATIONS: dict[str, str] = {
         FROM (SELECT w.*, campaign_id, concat('{"record":"effect_grant","campaign_id":"', campaign_id, '","scope_id":"', CASE WHEN key % 19 = 0 THEN SHA['elsewhere'] ELSE w.scope_id END, '","plan_digest":"', plan_digest, '","work_id":"', work_id, '","work_revision":1,"claim_fence":', grant_fence,
             ',"action":"write","resource_scope":"', CASE WHEN key % 53 = 0 THEN 'a/b' ELSE 'repo' END, '","attempt":', CASE WHEN key % 43 = 0 THEN '"1"' ELSE '1' END, ',"limit_units":', key % 11, ',"deadline_unix_ms":', grant_deadline_unix_ms, ',"operation_id":"op-', key, '"}') AS doc
           FROM work AS w JOIN (SELECT scope_id AS own, campaign_id FROM scopes) AS s ON s.own = w.scope_id WHERE grant_fence IS NOT NULL AND grant_fence > 0) AS d""",
+    "bad_scopes": """SELECT CASE WHEN k % 23 = 1 THEN upper(scope_id) ELSE scope_id END AS scope_id, CASE WHEN k % 23 = 2 THEN 'a/b' ELSE campaign_id END AS campaign_id, CASE WHEN k % 23 = 3 THEN 'p' END AS parent_scope_id, CASE WHEN k % 23 = 4 THEN 'd' END AS delegation_digest,
+          CASE WHEN k % 23 = 5 THEN 0 ELSE sequence END AS sequence, CASE WHEN k % 23 = 6 THEN 'short' ELSE tail_event_digest END AS tail_event_digest, CASE WHEN k % 23 = 7 THEN 'short' ELSE active_plan_digest END AS active_plan_digest, CASE WHEN k % 23 = 8 THEN 0 ELSE scope_epoch END AS scope_epoch,
+          CASE WHEN k % 23 = 9 THEN 'ABC' ELSE objective_digest END AS objective_digest, CASE WHEN k % 23 = 10 THEN NULL WHEN k % 23 = 11 THEN -1 ELSE reserved_budget_units END AS reserved_budget_units, CASE WHEN k % 23 = 12 THEN 2 ELSE claims_restored END AS claims_restored FROM scopes""",
+    "bad_events": """SELECT scope_id, CASE WHEN m = 1 AND sequence > 1 THEN 10000000000000000 + sequence ELSE sequence END AS sequence, CASE WHEN m = 2 THEN 'x' ELSE digest END AS digest, CASE WHEN m = 3 THEN NULL WHEN m = 4 THEN 'y' ELSE parent_digest END AS parent_digest,
+          CASE WHEN m = 5 THEN '' WHEN m = 19 THEN 'a/b' ELSE operation_id END AS operation_id, CASE WHEN m = 6 THEN 0 ELSE writer_epoch END AS writer_epoch, CASE WHEN m = 7 THEN 'a/b' WHEN m = 8 THEN 'root_genesis' ELSE payload_type END AS payload_type,
+          CASE WHEN m = 9 THEN NULL WHEN m = 10 THEN 'g' ELSE grant_digest END AS grant_digest, CASE WHEN m = 11 THEN NULL WHEN m = 12 THEN repeat('w', 130) ELSE work_id END AS work_id, CASE WHEN m = 13 THEN 0 ELSE work_revision END AS work_revision, CASE WHEN m = 14 THEN 0 ELSE attempt END AS attempt,
+          CASE WHEN m = 15 THEN NULL WHEN m = 16 THEN 'odd' ELSE artifact_kind END AS artifact_kind, CASE WHEN m = 17 THEN NULL WHEN m = 18 THEN 'z' ELSE artifact_digest END AS artifact_digest FROM (SELECT *, (sequence * 7 + k * 3) % 29 AS m FROM log) AS l""",
+    "bad_work": """SELECT scope_id, CASE WHEN m = 1 THEN concat('a/', work_id) ELSE work_id END AS work_id, CASE WHEN m = 2 THEN -1 ELSE work_revision END AS work_revision, CASE WHEN m = 3 THEN 'zz' ELSE plan_digest END AS plan_digest, CASE WHEN m = 4 THEN 0 ELSE admitted_scope_epoch END AS admitted_scope_epoch,
+          CASE WHEN m = 5 THEN 0 ELSE max_attempts END AS max_attempts, CASE WHEN m = 6 THEN 10000000000000000 ELSE deadline_unix_ms END AS deadline_unix_ms, CASE WHEN m = 7 THEN 0 WHEN m = 12 THEN NULL ELSE claim_fence END AS claim_fence, CASE WHEN m = 8 OR m = 12 THEN NULL ELSE claim_lease_until END AS claim_lease_until,
+          CASE WHEN m = 9 THEN NULL ELSE grant_fence END AS grant_fence, CASE WHEN m = 10 THEN 'g' ELSE grant_digest END AS grant_digest, granted_attempt, CASE WHEN m = 11 THEN 0 ELSE granted_units END AS granted_units, grant_deadline_unix_ms,
+          CASE WHEN m = 13 THEN 'short' ELSE terminal_result_digest END AS terminal_result_digest FROM (SELECT *, key % 17 AS m FROM work) AS w""",
+    "bad_deps": """SELECT scope_id, work_id, work_revision, CASE WHEN m = 1 THEN 'a/b' WHEN m = 2 THEN '' WHEN m = 3 THEN work_id ELSE depends_on_work_id END AS depends_on_work_id, CASE WHEN m = 4 THEN -1 ELSE depends_on_work_revision END AS depends_on_work_revision
+        FROM (SELECT *, CAST(substring(work_id, 6) AS BIGINT) % 13 AS m FROM deps) AS d""",
     "runs": """SELECT o_orderkey AS run_seq, CASE WHEN o_orderkey % 2 = 0 THEN 'research' ELSE 'change' END AS pilot, CASE o_orderkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS cell, MS[o_orderdate] AS start_ms, o_orderstatus,
           CAST(floor(o_orderkey / 30.0) AS BIGINT) AS campaign, MS[o_orderdate] + (100 + o_orderkey % 40) * 86400000 AS treatment_end_ms, MS[o_orderdate] + (101 + o_orderkey % 40 + o_orderkey % 3) * 86400000 AS measurement_end_ms,
           o_orderkey % 97 <> 0 AS measured FROM orders""",

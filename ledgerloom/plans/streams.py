@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.operators import fold, measure
+from ledgerloom.operators import audit, fold, measure
 from ledgerloom.sources import documents, logstore
 from ledgerloom.streaming import ledger
 
@@ -236,3 +236,49 @@ def _(t):
     rows.coalesce(1).write.parquet(path)
     found = logstore.footers(spark, spark.range(1).select(F.lit(path).alias("folder")))
     return found.select(F.col("column").alias("column_name"), "type", "rows", F.col("nulls").cast("int").alias("nulls"), "least", "greatest")
+
+
+# ---------------------------------------------------------------- every row check, each with planted faults
+
+
+def _no_digest(c: str) -> str:
+    return f"(length({c}) <> 64 OR regexp_matches({c}, '[^0-9a-f]'))"
+
+
+def _no_name(c: str, slash: bool = False) -> str:
+    return f"(strlen({c}) = 0 OR strlen({c}) > 128" + ("" if slash else f" OR contains({c}, '/')") + ")"
+
+
+def _no_number(c: str, least: int = 1) -> str:
+    return f"({c} < {least} OR {c} > 9999999999999999)"
+
+
+#: What breaks each check, as the other engine says it; a comparison with null breaks nothing.
+_BROKEN = {
+    "bad_scopes": {
+        "claims_restored": "claims_restored NOT BETWEEN 0 AND 1", "scope_id": _no_digest("scope_id"), "campaign_id": _no_name("campaign_id"), "parent_scope_id": "parent_scope_id IS NOT NULL", "delegation_digest": "delegation_digest IS NOT NULL", "sequence": _no_number("sequence"),
+        "tail": _no_digest("tail_event_digest"), "plan": _no_digest("active_plan_digest"), "epoch": _no_number("scope_epoch"), "objective": _no_digest("objective_digest"),
+        "reservation": "(active_plan_digest IS NULL) <> (reserved_budget_units IS NULL) OR reserved_budget_units < 0",
+    },
+    "bad_events": {
+        "sequence": _no_number("sequence"), "digest": _no_digest("digest"), "parent": f"CASE WHEN sequence = 1 THEN parent_digest IS NOT NULL ELSE parent_digest IS NULL OR {_no_digest('parent_digest')} END", "operation": _no_name("operation_id"), "epoch": "writer_epoch <= 0", "payload": _no_name("payload_type"),
+        "root": "CASE WHEN sequence = 1 THEN payload_type <> 'root_genesis' OR operation_id <> 'root-genesis:' || scope_id ELSE payload_type = 'root_genesis' END",
+        "grant_named": "payload_type IN ('grant_activated', 'artifact_reference') AND grant_digest IS NULL OR payload_type NOT IN ('grant_activated', 'artifact_reference') AND grant_digest IS NOT NULL", "grant": _no_digest("grant_digest"),
+        "work_named": "payload_type IN ('grant_activated', 'artifact_reference') AND (work_id IS NULL OR work_revision IS NULL OR attempt IS NULL) OR payload_type NOT IN ('grant_activated', 'artifact_reference') AND work_id IS NOT NULL AND work_revision IS NOT NULL AND attempt IS NOT NULL",
+        "work": _no_name("work_id", slash=True), "revision": _no_number("work_revision"), "attempt": _no_number("attempt"), "kind_named": "CASE WHEN payload_type = 'artifact_reference' THEN artifact_kind IS NULL ELSE artifact_kind IS NOT NULL END",
+        "kind": "NOT list_contains(['invocation_manifest', 'invocation_trace'], artifact_kind)", "artifact_named": "CASE WHEN payload_type = 'artifact_reference' THEN artifact_digest IS NULL ELSE artifact_digest IS NOT NULL END", "artifact": _no_digest("artifact_digest"),
+    },
+    "bad_work": {
+        "work_id": _no_name("work_id"), "revision": _no_number("work_revision", 0), "plan": _no_digest("plan_digest"), "epoch": _no_number("admitted_scope_epoch"), "attempts": _no_number("max_attempts"), "deadline": _no_number("deadline_unix_ms"),
+        "claim": f"(claim_fence IS NULL) <> (claim_lease_until IS NULL) OR {_no_number('claim_fence')} OR {_no_number('claim_lease_until')}",
+        "grant": "len(list_filter([grant_fence, granted_attempt, granted_units, grant_deadline_unix_ms], lambda x: x BETWEEN 1 AND 9999999999999999)) + CASE WHEN grant_digest IS NULL THEN 0 WHEN regexp_full_match(grant_digest, '[0-9a-f]{64}') THEN 1 ELSE 9 END NOT IN (0, 5) OR len(list_filter([grant_fence, granted_attempt, granted_units, grant_deadline_unix_ms], lambda x: x IS NOT NULL)) NOT IN (0, 4)",
+        "terminal": f"terminal_result_digest IS NOT NULL AND (claim_fence IS NULL OR {_no_digest('terminal_result_digest')})",
+    },
+    "bad_deps": {"depends_on": _no_name("depends_on_work_id"), "revision": _no_number("depends_on_work_revision", 0), "self": "depends_on_work_id = work_id"},
+}
+_SHOWN = {"bad_scopes": ("scopes", "scope_id"), "bad_events": ("events", "scope_id || '|' || sequence"), "bad_work": ("work", "scope_id || '|' || work_id || '|' || work_revision"), "bad_deps": ("deps", "scope_id || '|' || work_id || '|' || work_revision || '|' || depends_on_work_id")}
+
+
+@_query("audit_every_check", " UNION ALL ".join(f"SELECT '{_SHOWN[table][0]}.{name}' AS check_id, {_SHOWN[table][1]} AS key FROM {table} WHERE {rule}" for table, rules in _BROKEN.items() for name, rule in rules.items()))
+def _(t):
+    return audit.checks(t("bad_scopes"), t("bad_events"), t("bad_work"), t("bad_deps"))

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from ledgerloom.operators import audit
 from ledgerloom.plans import adapters, registry
 
 DATA = "/root/testdata/sf0.001"
@@ -64,3 +65,10 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert entry.oracle_sql().keys() <= entry.queries().keys()
+
+
+def test_every_check_is_broken(spark):
+    """The planted faults break each of the 40 row checks."""
+    found = {r.check_id for r in registry.queries()["audit_every_check"](spark, DATA).select("check_id").distinct().collect()}
+    every = audit.checks(*(adapters.relation(spark, DATA, r) for r in ("scopes", "log", "work", "deps")))
+    assert every.columns == ["check_id", "key"] and len(found) == 40, sorted(found)
