@@ -26,6 +26,12 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def left_join_known(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``left`` with the columns of ``right`` by ``key``; rows without a key match nothing and stay where they are, instead of meeting in one task."""
+    known = F.col(key).isNotNull()
+    return left.filter(known).join(right, key, "left").unionByName(left.filter(~known), allowMissingColumns=True)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that each piece holds few bytes of ``column``, whatever the text lengths are."""
     lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .batches import grouped, map_slices
+from .batches import grouped, left_join_known, map_slices
 from .components import components, cut
 
 SIMILAR = 0.95
@@ -302,7 +302,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     parts = components(found.filter("b IS NOT NULL").select("a", "b"))
     linked = found.filter("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
     labelled = nodes.select("digest", "rep", "copies").join(linked, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    out = rows.select("id", "digest").join(labelled.select("digest", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "digest", "left")
+    found = labelled.select("digest", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    out = left_join_known(rows.select("id", "digest"), found, "digest")
     lone = F.col("n_links").isNull() | F.col("id").isNull()
     return out.select(
         F.col("id").alias(id_col), F.when(lone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"), F.when(F.col("n_links").isNull(), F.col("id")).when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id")

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .batches import free_name, grouped, map_slices, narrow
+from .batches import free_name, grouped, left_join_known, map_slices, narrow
 from .components import checked, components, cut
 
 BINS, BAND = 128, 4
@@ -299,7 +299,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.union(search_whole(apart, sets))
         parts = components(links)
     groups = reps.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    out = seen.select("id", "n_shingles", "set_key").join(groups, "set_key", "left")
+    out = left_join_known(seen.select("id", "n_shingles", "set_key"), groups, "set_key")
     own = F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), own).alias("component_id")).withColumn(
         "kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))
