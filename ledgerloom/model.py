@@ -14,6 +14,7 @@ ARTIFACT_KINDS = ("invocation_manifest", "invocation_trace")
 MAX_INTEGER = 9_999_999_999_999_999
 MAX_EVENTS = 4_096
 MAX_REPLAY_BYTES = 64 * 1024 * 1024
+PLAN_BYTES = 1024 * 1024
 PACK_EVENTS = 256
 PACK_BYTES = 8 * 1024 * 1024
 CHECKPOINT_CANDIDATES = 4

@@ -84,10 +84,11 @@ def fold_scopes(log: DataFrame) -> DataFrame:
     return fold_cursors(log).join(first.filter("campaign_id IS NOT NULL"), "scope_id").withColumn("claims_restored", F.lit(0).cast("long"))
 
 
-def admission_verdicts(plans: DataFrame, work: DataFrame, deps: DataFrame, scopes: DataFrame) -> DataFrame:
+def admission_verdicts(plans: DataFrame, work: DataFrame, deps: DataFrame, scopes: DataFrame, gate: DataFrame | None = None) -> DataFrame:
     """Whether each plan (scope_id, plan_digest, revision, work_specs) may be admitted over what is there; one bad row refuses it whole.
 
-    first failing rule: plan_held (another plan is active), self_edge, unknown_dependency, work_conflict (the revision
+    first failing rule: gate_refused (``gate``, the verdicts of ``graph.proposal_gate`` over the same facts, doesn't admit
+    it), stale_epoch (``plans`` has the column epoch and it is below the scope's), plan_held (another plan is active), self_edge, unknown_dependency, work_conflict (the revision
     is there under another plan), edge_conflict (the revision is there with other dependencies, or other revisions of them), or ok.
     """
     specs = plans.select("scope_id", "plan_digest", "revision", F.explode("work_specs").alias("s")).select("scope_id", "plan_digest", "revision", F.col("s.work_id").alias("work_id"), F.array_sort(F.array_distinct("s.dependencies")).alias("wanted"))
@@ -101,10 +102,17 @@ def admission_verdicts(plans: DataFrame, work: DataFrame, deps: DataFrame, scope
         F.bool_or(F.array_contains("wanted", F.col("work_id"))).alias("self_edge"), F.bool_or(F.size(F.array_except("wanted", "declared")) > 0).alias("unknown"), F.bool_or(F.coalesce(F.col("held_plan") != F.col("plan_digest"), F.lit(False))).alias("other_plan"),
         F.bool_or(F.col("held_plan").isNotNull() & ~same_dependencies(bound, F.coalesce("held_edges", F.array().cast("array<struct<id:string,revision:bigint>>")))).alias("other_edges"),
     )
-    active = scopes.select("scope_id", F.col("active_plan_digest").alias("active"))
-    j = plans.select("scope_id", "plan_digest").join(active, "scope_id", "left").join(faults, ["scope_id", "plan_digest"], "left")
+    active = scopes.select("scope_id", F.col("active_plan_digest").alias("active"), F.col("scope_epoch").alias("projected") if "scope_epoch" in scopes.columns else F.lit(None).cast("long").alias("projected"))
+    epoch = F.col("epoch") if "epoch" in plans.columns else F.lit(None).cast("long")
+    own = plans.select("scope_id", "plan_digest", epoch.cast("long").alias("epoch"))
+    if gate is None:
+        own = own.withColumn("gated", F.lit("admissible"))
+    else:
+        own = own.join(gate.select("scope_id", "plan_digest", F.col("verdict").alias("gated")), ["scope_id", "plan_digest"], "left")
+    j = own.join(active, "scope_id", "left").join(faults, ["scope_id", "plan_digest"], "left")
+    refused = ~F.col("gated").eqNullSafe(F.lit("admissible"))
     verdict = (
-        F.when(F.col("active").isNotNull() & (F.col("active") != F.col("plan_digest")), "plan_held").when(F.col("self_edge"), "self_edge").when(F.col("unknown"), "unknown_dependency")
+        F.when(refused, "gate_refused").when(F.col("epoch") < F.col("projected"), "stale_epoch").when(F.col("active").isNotNull() & (F.col("active") != F.col("plan_digest")), "plan_held").when(F.col("self_edge"), "self_edge").when(F.col("unknown"), "unknown_dependency")
         .when(F.col("other_plan"), "work_conflict").when(F.col("other_edges"), "edge_conflict").otherwise("ok")
     )
     return j.select("scope_id", "plan_digest", verdict.alias("verdict"))

@@ -48,22 +48,29 @@ def proposal_graph(specs: DataFrame) -> DataFrame:
 
 
 def proposal_gate(proposals: DataFrame, scopes: DataFrame, log: DataFrame, graphs: DataFrame) -> DataFrame:
-    """First failing rule of each proposal (scope_id, plan_digest, objective_digest, parent_plan_digest, reserved_budget_units, bases as array<struct<kind, digest, sequence>>): header, bases in order, graph, budget, own address."""
+    """First failing rule of each proposal (scope_id, plan_digest, objective_digest, parent_plan_digest, reserved_budget_units, bases as array<struct<kind, digest, sequence>>): header, bases in order, graph, budget, size, own address.
+
+    With the column ``stored_bytes``, a plan of more than PLAN_BYTES is plan_too_large.  ``log`` holds the facts that
+    bases cite; with the column ``fact_scope_id``, the scope that a fact handed over for scope_id really is of, a fact
+    of another scope is cross_scope_basis.
+    """
     s = scopes.select("scope_id", *(F.col(c).alias(f"own_{c}") for c in ("objective_digest", "active_plan_digest", "sequence")))
     j = proposals.join(s, "scope_id", "left")
     basis = j.select("plan_digest", "scope_id", "own_active_plan_digest", "own_sequence", F.posexplode_outer("bases").alias("i", "b"))
-    facts = log.select("scope_id", F.col("sequence").alias("at"), F.col("digest").alias("fact_digest"), "payload_type")
+    fact_scope = F.col("fact_scope_id") if "fact_scope_id" in log.columns else F.col("scope_id")
+    facts = log.select("scope_id", F.col("sequence").alias("at"), F.col("digest").alias("fact_digest"), "payload_type", (fact_scope == F.col("scope_id")).alias("own_fact"))
     b = basis.join(facts, (basis["scope_id"] == facts["scope_id"]) & (F.col("b.kind") == "observation") & (F.col("b.sequence") == F.col("at")), "left").drop(facts["scope_id"])
     fault = (
         F.when(F.col("b").isNull(), F.lit(None)).when(F.col("b.kind") == "prior_revision", F.when(~F.col("b.digest").eqNullSafe(F.col("own_active_plan_digest")), "stale_basis"))
-        .when((F.col("b.sequence") > F.col("own_sequence")) | F.col("at").isNull(), "missing_basis").when(F.col("fact_digest") != F.col("b.digest"), "stale_basis").when(F.col("payload_type") != "root_genesis", "unsupported_planning_input")
+        .when((F.col("b.sequence") > F.col("own_sequence")) | F.col("at").isNull(), "missing_basis").when(~F.coalesce("own_fact", F.lit(False)), "cross_scope_basis").when(F.col("fact_digest") != F.col("b.digest"), "stale_basis").when(F.col("payload_type") != "root_genesis", "unsupported_planning_input")
     )
     first = b.withColumn("fault", fault).groupBy("plan_digest").agg(F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("i"))).alias("basis_fault"))
     k = j.join(first, "plan_digest", "left").join(graphs.select("plan_digest", F.col("verdict").alias("graph")), "plan_digest", "left")
     cyclic = (F.col("parent_plan_digest") == F.col("plan_digest")) | F.exists("bases", lambda x: (x["kind"] == "prior_revision") & (x["digest"] == F.col("plan_digest")))
+    too_large = F.coalesce(F.col("stored_bytes") > M.PLAN_BYTES, F.lit(False)) if "stored_bytes" in proposals.columns else F.lit(False)
     verdict = (
         F.when(F.col("own_sequence").isNull(), "scope_mismatch").when(F.col("objective_digest") != F.col("own_objective_digest"), "objective_mismatch").when(~F.col("parent_plan_digest").eqNullSafe(F.col("own_active_plan_digest")), "stale_basis")
-        .when(F.col("basis_fault").isNotNull(), F.col("basis_fault")).when(F.col("graph") != "valid", F.col("graph")).when(F.col("reserved_budget_units") > M.MAX_INTEGER, "budget_out_of_range").when(F.coalesce(cyclic, F.lit(False)), "cyclic_basis").otherwise("admissible")
+        .when(F.col("basis_fault").isNotNull(), F.col("basis_fault")).when(F.col("graph") != "valid", F.col("graph")).when(F.col("reserved_budget_units") > M.MAX_INTEGER, "budget_out_of_range").when(too_large, "plan_too_large").when(F.coalesce(cyclic, F.lit(False)), "cyclic_basis").otherwise("admissible")
     )
     return k.select("plan_digest", "scope_id", verdict.alias("verdict"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import model as M
 from ledgerloom.functions import scalar
-from ledgerloom.operators import accel, audit, fold, intake, publish
+from ledgerloom.operators import accel, audit, fold, graph, intake, publish
 from ledgerloom.sources import objects, records as R
 from ledgerloom.streaming import incremental
 
@@ -236,3 +236,21 @@ def test_namespace_of_stored_records(spark):
     df = spark.createDataFrame([(raw,)], "content binary")
     assert R.decode_records(df, "plan", namespace=b"house.").first().status == "ok"
     assert R.decode_records(df, "plan").first().status == "malformed" == R.decode_records(df, "plan", namespace=b"home.").first().status
+
+
+def test_gate_of_size_and_facts(spark):
+    """Size is asked after the budget, facts of another scope before their digest; what the gate refuses isn't admitted, nor what an older epoch admits."""
+    scopes = spark.createDataFrame([("s", "o", None, 3, 5), ("t", "o", None, 3, 5)], "scope_id string, objective_digest string, active_plan_digest string, sequence long, scope_epoch long")
+    log = spark.createDataFrame([("s", 1, "d1", "root_genesis", "s"), ("t", 1, "d1", "root_genesis", "s")], "scope_id string, sequence long, digest string, payload_type string, fact_scope_id string")
+    cases = [("s", "fine", "o", 5, 100, "d1"), ("s", "large", "o", 5, M.PLAN_BYTES + 1, "d1"), ("s", "both", "o", M.MAX_INTEGER + 1, M.PLAN_BYTES + 1, "d1"), ("s", "edge", "o", 5, M.PLAN_BYTES, "d1"), ("t", "cross", "o", 5, 100, "zz"), ("s", "stale", "o", 5, 100, "zz"), ("s", "older", "o", 5, 100, "d1")]
+    proposals = spark.createDataFrame([(s, p, o, None, units, size, [("observation", d, 1)]) for s, p, o, units, size, d in cases], "scope_id string, plan_digest string, objective_digest string, parent_plan_digest string, reserved_budget_units long, stored_bytes long, bases array<struct<kind:string,digest:string,sequence:long>>")
+    graphs = spark.createDataFrame([(c[1], "valid") for c in cases], "plan_digest string, verdict string")
+    gate = graph.proposal_gate(proposals, scopes, log, graphs)
+    want = {"fine": "admissible", "large": "plan_too_large", "both": "budget_out_of_range", "edge": "admissible", "cross": "cross_scope_basis", "stale": "stale_basis", "older": "admissible"}
+    assert {r.plan_digest: r.verdict for r in gate.collect()} == want
+    plans = spark.createDataFrame([(c[0], c[1], 1, 4 if c[1] == "older" else 5, [("w", [])]) for c in cases if c[1] != "edge"], "scope_id string, plan_digest string, revision long, epoch long, work_specs array<struct<work_id:string,dependencies:array<string>>>")
+    work = spark.createDataFrame([], "scope_id string, work_id string, work_revision long, plan_digest string")
+    deps = spark.createDataFrame([], "scope_id string, work_id string, work_revision long, depends_on_work_id string, depends_on_work_revision long")
+    got = {r.plan_digest: r.verdict for r in fold.admission_verdicts(plans, work, deps, scopes, gate).collect()}
+    assert got == {"fine": "ok", "older": "stale_epoch"} | dict.fromkeys(("large", "both", "cross", "stale"), "gate_refused")
+    assert {r.verdict for r in fold.admission_verdicts(plans.drop("epoch"), work, deps, scopes).collect()} == {"ok"}
