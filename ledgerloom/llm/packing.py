@@ -26,7 +26,9 @@ from .batches import narrow, slices
 
 LIMIT = 2048
 #: Encodings of so many different pre-tokens stay in each Python worker; beyond, they are computed anew.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
+#: New pre-tokens that the library encodes at once; what it returns for each is far larger than its ids.
+AT_ONCE = 4096
 
 _known: dict[str, dict[str, bytes]] = {}
 
@@ -51,10 +53,12 @@ def encode_texts(path: str, texts: list[str]) -> list[bytes]:
     known.update({t: np.array([i], "<u4").tobytes() for t, i in voc.special.items()})
     words = [voc.words(t) for t in texts]
     fresh = list(set().union(*words) - known.keys())
-    encoded = [e.ids for e in _library(path).encode_batch_fast(fresh, add_special_tokens=False)]
-    flat = np.fromiter(itertools.chain.from_iterable(encoded), "<u4").tobytes()
-    ends = [4 * n for n in itertools.accumulate(map(len, encoded))]
-    known.update(zip(fresh, [flat[a:b] for a, b in zip([0, *ends[:-1]], ends)]))  # noqa: B905
+    for k in range(0, len(fresh), AT_ONCE):
+        some = fresh[k : k + AT_ONCE]
+        encoded = [e.ids for e in _library(path).encode_batch_fast(some, add_special_tokens=False)]
+        flat = np.fromiter(itertools.chain.from_iterable(encoded), "<u4").tobytes()
+        ends = [4 * n for n in itertools.accumulate(map(len, encoded))]
+        known.update(zip(some, [flat[a:b] for a, b in zip([0, *ends[:-1]], ends)]))  # noqa: B905
     return [b"".join(map(known.__getitem__, ws)) for ws in words]
 
 

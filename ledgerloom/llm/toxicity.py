@@ -229,8 +229,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the model doesn't reject, with all their columns."""
 
-    @F.pandas_udf("boolean")
-    def toxic(texts):
-        return texts.map(lambda t: bool(model.above(model.score(t))[0] > 0.5))
+    @F.arrow_udf("boolean")
+    def toxic(texts: pa.Array) -> pa.Array:  # few texts at a time as Python strings
+        some = (texts.slice(k, 256).to_pylist() for k in range(0, len(texts), 256))
+        return pa.array([bool(model.above(model.score(t))[0] > 0.5) for part in some for t in part], pa.bool_())
 
     return docs.filter(~toxic(F.coalesce(F.col(text_col), F.lit(""))))
