@@ -135,9 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, min_docs: int
         return {"place": piece.column("place"), "toxic": piece.column("toxic"), "words": [sorted(features(t)) for t in piece.column("text").to_pylist()]}
 
     def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if held:
-            model = fit_words(pa.Table.from_batches(held), min_docs)
+        model = fit_batches(batches, min_docs)
+        if model:
             rows = [(None, t) for t in model.thresholds.tolist()] + sorted(model.weights.items())
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([v for _, v in rows], pa.float64())], ["word", "value"])
 
@@ -151,20 +150,35 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, min_docs: int
 
 def fit_words(table: pa.Table, min_docs: int = MIN_DOCS) -> Model:
     """The model of labelled documents: place (an order that doesn't depend on how rows arrived), toxic and words."""
-    table = table.sort_by([("place", "ascending"), ("toxic", "ascending")]).combine_chunks()
-    toxic = table.column("toxic").to_numpy()
-    lists = table.column("words").combine_chunks()
-    rows = np.repeat(np.arange(len(toxic)), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
-    coded = lists.flatten().dictionary_encode()
-    del table, lists
-    code, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
-    order = pc.sort_indices(names).to_numpy()
-    counts = np.bincount(code, minlength=len(names))
-    order = order[counts[order] >= min_docs]
-    rows, code, order = _selected(rows, code, len(names), order)
+    return fit_batches(table.to_batches(), min_docs) or Model({}, np.full(GRADES, 60.0))
+
+
+def fit_batches(batches: Iterable[pa.RecordBatch], min_docs: int = MIN_DOCS) -> Model | None:
+    """As ``fit_words``, None without any document; each batch is left as numbers of its words, and a word is held once."""
+    known: dict[str, int] = {}
+    places, labels, lengths, codes = [], [], [], []
+    for batch in batches:
+        words = batch.column("words")
+        coded = words.flatten().dictionary_encode()
+        numbers = np.array([known.setdefault(w, len(known)) for w in coded.dictionary.to_pylist()], np.int32)
+        codes.append(numbers[coded.indices.to_numpy()])
+        lengths.append(pc.list_value_length(words).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int32))
+        places.append(np.array(batch.column("place").to_pylist(), np.int64))
+        labels.append(np.array(batch.column("toxic").to_pylist(), np.int64))
+    if not places:
+        return None
+    place, toxic, length, code = (np.concatenate(x) for x in (places, labels, lengths, codes))
+    del places, labels, lengths, codes
+    order = np.lexsort((toxic, place))
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order))
+    rows, toxic, names = np.repeat(rank, length), toxic[order], list(known)
+    frequent = np.flatnonzero(np.bincount(code, minlength=len(names)) >= min_docs).tolist()
+    rows, code, order = _selected(rows, code, len(names), np.array(sorted(frequent, key=names.__getitem__), np.int64))
     strong = marks(rows, code, len(order), toxic)
     rows, code, order = _selected(rows, code, len(order), np.flatnonzero(strong), order)
-    vocabulary = names.take(pa.array(order, pa.int64())).to_pylist()
+    by_row = np.argsort(rows, kind="stable")  # sums of doubles run in the order of the sample, not of arrival
+    rows, code, vocabulary = rows[by_row], code[by_row], [names[i] for i in order]
     w, theta = fit_ordinal(rows, code, len(order), severity_grades(rows, toxic), GRADES + 1)
     if not (toxic > 0).any():
         w[:] = 0
@@ -174,7 +188,7 @@ def fit_words(table: pa.Table, min_docs: int = MIN_DOCS) -> Model:
 
 def _selected(rows: np.ndarray, code: np.ndarray, n: int, kept: np.ndarray, names: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Coordinates of the kept features alone, numbered in the order of ``kept``."""
-    new = np.full(n, -1)
+    new = np.full(n, -1, np.int32)
     new[kept] = np.arange(len(kept))
     seen = new[code] >= 0
     return rows[seen], new[code[seen]], kept if names is None else names[kept]
