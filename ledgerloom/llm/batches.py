@@ -43,6 +43,12 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         held += int(n) + 64
     if start < batch.num_rows:
         yield batch.slice(start)
+    release()
+
+
+def release() -> None:
+    """Gives back to the machine what Arrow keeps of freed batches: workers wait, with all they hold, for the next stage."""
+    pa.default_memory_pool().release_unused()
 
 
 def map_slices(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict[str, list] | None], column: str | None = "text") -> DataFrame:

@@ -18,15 +18,16 @@ labels are toxic everything.  Repeated rows get equal results.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .batches import map_slices
+from .batches import map_slices, release
+from .components import cut, discard
 
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE = 8_000
@@ -116,7 +117,11 @@ def fit_ordinal(rows: np.ndarray, words: np.ndarray, n_words: int, grades: np.nd
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fits on the sampled labelled documents, in one task; only the sample's lengths and the weights reach the driver."""
+    """Fits on the sampled labelled documents.
+
+    Their words are counted where they are found; the one task that fits gets a pair of numbers for each mark of a
+    document.  The sample's lengths and labels, the marks and the weights reach the driver.
+    """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("__toxic"))
     chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(sample)
     texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("bytes", F.octet_length("text").cast("long"))
@@ -126,72 +131,66 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, min_docs: int
     for r in sorted(sizes.select("__id", "__toxic", "bytes", F.xxhash64("__id").alias("place")).collect(), key=lambda r: (r["place"], r["__id"])):
         if r["bytes"] <= left:
             left -= r["bytes"]
-            fitting.append((r["__id"], r["__toxic"], r["bytes"]))
-    kept = docs.sparkSession.createDataFrame(fitting, sizes.select("__id", "__toxic", "bytes").schema)
-    one = texts.join(F.broadcast(kept), ["__id", "bytes"]).groupBy("__id", "__toxic").agg(F.min("text").alias("text"))
-    joined = one.select(F.xxhash64("__id").alias("place"), F.col("__toxic").cast("long").alias("toxic"), "text")
+            fitting.append((r["__id"], r["__toxic"], r["bytes"], len(fitting)))
+    if not fitting:
+        return Model({}, np.full(GRADES, 60.0))
+    toxic = np.array([r[1] for r in fitting], np.int64)
+    id_type = sizes.schema["__id"].dataType.simpleString()
+    kept = docs.sparkSession.createDataFrame(fitting, f"__id {id_type}, __toxic int, bytes long, row int")
+    one = texts.join(F.broadcast(kept), ["__id", "bytes"]).groupBy("row", "__toxic").agg(F.min("text").alias("text"))
 
     def words(piece: pa.RecordBatch) -> dict[str, list]:
-        return {"place": piece.column("place"), "toxic": piece.column("toxic"), "words": [sorted(features(t)) for t in piece.column("text").to_pylist()]}
+        found = [sorted(features(t)) for t in piece.column("text").to_pylist()]
+        repeat = np.repeat(np.arange(len(found)), [len(f) for f in found])
+        return {"row": piece.column("row").take(pa.array(repeat)), "bad": piece.column("bad").take(pa.array(repeat)), "word": [w for f in found for w in f]}
+
+    each = cut(map_slices(one.select("row", (F.col("__toxic") > 0).cast("long").alias("bad"), "text"), "row int, bad long, word string", words))
+    counts = each.groupBy("word").agg(F.sum("bad").alias("hit"), F.count("*").alias("total")).filter(F.col("total") >= min_docs)
+    clean = F.col("total") - F.col("hit")
+    names = sorted(r["word"] for r in counts.filter(_marking(F.col("hit"), clean, F.sqrt("hit"), F.sqrt(F.greatest(clean, F.lit(1))), len(toxic), int((toxic > 0).sum()), LIFT)).select("word").collect())
+    n_words = len(names)
+    numbers = docs.sparkSession.createDataFrame(list(zip(names, range(n_words))), "word string, code int")  # noqa: B905
 
     def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = fit_batches(batches, min_docs)
-        if model:
-            rows = [(None, t) for t in model.thresholds.tolist()] + sorted(model.weights.items())
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([v for _, v in rows], pa.float64())], ["word", "value"])
+        held = [(b.column("row").to_numpy(), b.column("code").to_numpy()) for b in batches]
+        if held:
+            weights, theta = _learned(*(np.concatenate(x) for x in zip(*held)), n_words, toxic)  # noqa: B905
+            seen = np.flatnonzero(weights)
+            yield pa.RecordBatch.from_arrays([pa.array([None] * GRADES + seen.tolist(), pa.int32()), pa.array([*theta.tolist(), *weights[seen].tolist()], pa.float64())], ["code", "value"])
 
-    # the sample is small enough for one task, which spares the driver its words
-    found = map_slices(joined, "place long, toxic long, words array<string>", words).coalesce(1).mapInArrow(learn, "word string, value double").collect()
-    thresholds = np.sort([r["value"] for r in found if r["word"] is None])
-    if not len(thresholds):
-        thresholds = np.full(GRADES, 60.0)
-    return Model({r["word"]: r["value"] for r in found if r["word"] is not None}, thresholds)
+    found = each.join(F.broadcast(numbers), "word").select("row", "code").repartition(1).mapInArrow(learn, "code int, value double").collect() if names else []
+    discard(each)
+    if not found:
+        return Model({}, _learned(np.zeros(0, np.int64), np.zeros(0, np.int64), 0, toxic)[1])
+    return Model({names[r["code"]]: r["value"] for r in found if r["code"] is not None}, np.sort([r["value"] for r in found if r["code"] is None]))
 
 
 def fit_words(table: pa.Table, min_docs: int = MIN_DOCS) -> Model:
-    """The model of labelled documents: place (an order that doesn't depend on how rows arrived), toxic and words."""
-    return fit_batches(table.to_batches(), min_docs) or Model({}, np.full(GRADES, 60.0))
-
-
-def fit_batches(batches: Iterable[pa.RecordBatch], min_docs: int = MIN_DOCS) -> Model | None:
-    """As ``fit_words``, None without any document; each batch is left as numbers of its words, and a word is held once."""
-    known: dict[str, int] = {}
-    places, labels, lengths, codes = [], [], [], []
-    for batch in batches:
-        words = batch.column("words")
-        coded = words.flatten().dictionary_encode()
-        numbers = np.array([known.setdefault(w, len(known)) for w in coded.dictionary.to_pylist()], np.int32)
-        codes.append(numbers[coded.indices.to_numpy()])
-        lengths.append(pc.list_value_length(words).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int32))
-        places.append(np.array(batch.column("place").to_pylist(), np.int64))
-        labels.append(np.array(batch.column("toxic").to_pylist(), np.int64))
-    if not places:
-        return None
-    place, toxic, length, code = (np.concatenate(x) for x in (places, labels, lengths, codes))
-    del places, labels, lengths, codes
-    order = np.lexsort((toxic, place))
-    rank = np.empty(len(order), np.int32)
-    rank[order] = np.arange(len(order))
-    rows, toxic, names = np.repeat(rank, length), toxic[order], list(known)
-    frequent = np.flatnonzero(np.bincount(code, minlength=len(names)) >= min_docs).tolist()
-    rows, code, order = _selected(rows, code, len(names), np.array(sorted(frequent, key=names.__getitem__), np.int64))
-    strong = marks(rows, code, len(order), toxic)
-    rows, code, order = _selected(rows, code, len(order), np.flatnonzero(strong), order)
-    by_row = np.argsort(rows, kind="stable")  # sums of doubles run in the order of the sample, not of arrival
-    rows, code, vocabulary = rows[by_row], code[by_row], [names[i] for i in order]
-    w, theta = fit_ordinal(rows, code, len(order), severity_grades(rows, toxic), GRADES + 1)
+    """The model of labelled documents in memory: place (an order that doesn't depend on how rows arrived), toxic and words."""
+    place, toxic, words = (table.column(c).to_pylist() for c in ("place", "toxic", "words"))
+    if not place:
+        return Model({}, np.full(GRADES, 60.0))
+    order = np.lexsort((toxic, place)).tolist()
+    toxic, words = np.array(toxic, np.int64)[order], [words[i] for i in order]
+    counts = Counter(w for ws in words for w in ws)
+    names = sorted(w for w, n in counts.items() if n >= min_docs)
+    for strong in (False, True):
+        number = {w: i for i, w in enumerate(names)}
+        rows, code = np.array([(r, number[w]) for r, ws in enumerate(words) for w in ws if w in number], np.int64).reshape(-1, 2).T
+        if not strong:
+            names = [names[i] for i in np.flatnonzero(marks(rows, code, len(names), toxic))]
+    w, theta = _learned(rows, code, len(names), toxic)
+    return Model({names[i]: float(w[i]) for i in np.flatnonzero(w)}, theta)
+
+
+def _learned(rows: np.ndarray, code: np.ndarray, n_words: int, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds from the marks (code) of documents (rows)."""
+    order = np.lexsort((code, rows))  # sums of doubles run in the order of the sample, not of arrival
+    w, theta = fit_ordinal(rows[order], code[order], n_words, severity_grades(rows, toxic), GRADES + 1)
     if not (toxic > 0).any():
         w[:] = 0
         theta[:] = 60.0
-    return Model({vocabulary[i]: float(w[i]) for i in np.flatnonzero(w)}, theta)
-
-
-def _selected(rows: np.ndarray, code: np.ndarray, n: int, kept: np.ndarray, names: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Coordinates of the kept features alone, numbered in the order of ``kept``."""
-    new = np.full(n, -1, np.int32)
-    new[kept] = np.arange(len(kept))
-    seen = new[code] >= 0
-    return rows[seen], new[code[seen]], kept if names is None else names[kept]
+    return w, theta
 
 
 def marks(rows: np.ndarray, words: np.ndarray, n_words: int, toxic: np.ndarray, lift: float = LIFT) -> np.ndarray:
@@ -201,10 +200,14 @@ def marks(rows: np.ndarray, words: np.ndarray, n_words: int, toxic: np.ndarray,
     all documents are toxic or none is, nothing marks.
     """
     hit, total = np.bincount(words, (toxic[rows] > 0).astype(float), n_words), np.bincount(words, minlength=n_words)
-    bad = int((toxic > 0).sum())
-    low, clean = hit - 1.5 * np.sqrt(hit), total - hit
-    high = clean + 1.5 * np.sqrt(np.maximum(clean, 1))
-    return (low > 0) & (low * (len(toxic) - bad) >= lift * high * bad)
+    clean = total - hit
+    return _marking(hit, clean, np.sqrt(hit), np.sqrt(np.maximum(clean, 1)), len(toxic), int((toxic > 0).sum()), lift)
+
+
+def _marking(hit, clean, hit_error, clean_error, n: int, bad: int, lift: float):
+    """The rule of ``marks`` over arrays or columns: toxic and other documents of a feature, and the standard errors of both."""
+    low, high = hit - 1.5 * hit_error, clean + 1.5 * clean_error
+    return (low > 0) & (low * (n - bad) >= lift * high * bad)
 
 
 def severity_grades(rows: np.ndarray, toxic: np.ndarray, grades: int = GRADES) -> np.ndarray:
@@ -246,6 +249,8 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     @F.arrow_udf("boolean")
     def toxic(texts: pa.Array) -> pa.Array:  # few texts at a time as Python strings
         some = (texts.slice(k, 256).to_pylist() for k in range(0, len(texts), 256))
-        return pa.array([bool(model.above(model.score(t))[0] > 0.5) for part in some for t in part], pa.bool_())
+        out = pa.array([bool(model.above(model.score(t))[0] > 0.5) for part in some for t in part], pa.bool_())
+        release()
+        return out
 
     return docs.filter(~toxic(F.coalesce(F.col(text_col), F.lit(""))))

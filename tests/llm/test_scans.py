@@ -164,6 +164,21 @@ def test_long_text_is_skipped(spark, monkeypatch):
     assert sum(r.is_toxic for r in scored) > 40
 
 
+def test_one_task_gets_numbers(spark, monkeypatch):
+    """No task but those that read texts holds words of the sample: the one that fits gets pairs of numbers, and its model is that of all words in memory."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rows = _labelled(1200, 6)
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(4), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    given, plain = [], DataFrame.mapInArrow
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, *a, **b: given.append(self.schema) or plain(self, *a, **b))
+    model = T.fit(docs, labels)
+    assert len(given) == 2 and [f.dataType.simpleString() for f in given[-1]] == ["int", "int"]
+    place = {r.doc_id: r.place for r in docs.select("doc_id", F.xxhash64("doc_id").alias("place")).collect()}
+    whole = T.fit_words(pa.table({"place": [place[r[0]] for r in rows], "toxic": [r[2] for r in rows], "words": [sorted(T.features(r[1])) for r in rows]}))
+    assert model.weights == whole.weights and np.array_equal(model.thresholds, whole.thresholds) and model.weights
+
+
 def test_score_by_hand(spark):
     """The query's columns from weights and thresholds, one document at a time, without arrays."""
     rows = _labelled(300, 4)
