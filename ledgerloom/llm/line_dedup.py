@@ -41,15 +41,14 @@ CROWD = 256
 TRIES = 4
 
 
-def rarity_table(docs: DataFrame, text_col: str = "text") -> Column:
-    """A literal of one byte per counter: the frequency class of the words that fall on it."""
-    words = docs.select(F.explode(F.split(F.lower(text_col), r"\s+")).alias("w"))
-    counts = words.groupBy(_slot(_word("w")).alias("slot")).count()
+def rarity_table(hashed: DataFrame) -> Column:
+    """An array of one byte per counter: the frequency class of the words that fall on it.  Spark folds it to a literal once a plan."""
+    counts = hashed.select(F.explode("words").alias("w")).groupBy(_slot(F.col("w")).alias("slot")).count()
     # classes are quarter powers of two within 7 bits; at most 2 ** BITS rows
     table = counts.select("slot", F.least(F.floor(4 * F.log2(F.col("count") + 1)), F.lit(127)).cast("tinyint").alias("c")).toArrow()
     out = np.zeros(1 << BITS, np.uint8)
     out[table["slot"].to_numpy()] = table["c"].to_numpy()
-    return F.lit(bytearray(out.tobytes()))
+    return F.split(F.lit(",".join(map(str, out.tolist()))), ",").cast("array<tinyint>")
 
 
 def _frequency(count: int) -> int:
@@ -66,19 +65,19 @@ def _slot(h: Column) -> Column:
     return F.shiftrightunsigned(h, 56 - BITS).cast("int")
 
 
-def word_set(line: Column, rarity: Column) -> Column:
-    """The different words of a line as longs, rarest first: frequency class above, hash below."""
+def rarest_first(words: Column, rarity: Column) -> Column:
+    """A plain set ordered by rarity: frequency class above, hash below."""
 
     def code(h: Column) -> Column:
-        frequency = F.ascii(F.substring(rarity, _slot(h) + 1, F.lit(1)).cast("string")).cast("long")
+        # lambdas are interpreted, so each step counts; without a null the array is sorted as plain longs
+        frequency = F.coalesce(F.get(rarity, _slot(h)), F.lit(0).cast("tinyint")).cast("long")
         return F.shiftleft(frequency, 56).bitwiseOR(h)
 
-    # repeats leave as hashes, before the frequency is looked up
-    return F.sort_array(F.transform(F.array_distinct(F.transform(F.array_remove(F.split(line, r"\s+"), ""), _word)), code))
+    return F.sort_array(F.transform(words, code))
 
 
 def plain_set(line: Column) -> Column:
-    """The different words of a line by their hashes alone, as ``word_set`` holds them below the frequency class."""
+    """The different words of a line by their hashes alone, as ``rarest_first`` holds them below the frequency class."""
     return F.array_distinct(F.transform(F.array_remove(F.split(line, r"\s+"), ""), _word))
 
 
@@ -104,16 +103,18 @@ def _own(id_col: str, text_col: str) -> Column:
     return F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
 
 
-def _lines(docs: DataFrame, rarity: Column, id_col: str, text_col: str) -> DataFrame:
-    """id (of ``_own``), line number, set number, size, signature and prefix of each line with words."""
+def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id (of ``_own``), line number and plain set of each line with words: texts are split once for the counts and the prefixes."""
     lines = docs.select(_own(id_col, text_col).alias("id"), F.posexplode(F.split(F.lower(text_col), "\n")).alias("line", "words"))
+    return lines.select("id", "line", _once(plain_set(F.col("words"))).alias("words")).filter(F.size("words") > 0)
+
+
+def _lines(hashed: DataFrame, rarity: Column) -> DataFrame:
+    """id (of ``_own``), line number, set number, size, signature and prefix of each line with words."""
     n = F.size("words")
     prefix = n - F.ceil(n * SIMILAR / 100).cast("int") + 1
-    return (
-        lines.select("id", "line", _once(word_set(F.col("words"), rarity)).alias("words"))
-        .filter(n > 0)
-        .select("id", "line", F.xxhash64("words").alias("sid"), n.alias("n"), _signature("words", n).alias("sig"), F.slice("words", F.lit(1), prefix).alias("prefix"))
-    )
+    made = hashed.select("id", "line", _once(rarest_first(F.col("words"), rarity)).alias("words"))
+    return made.select("id", "line", F.xxhash64("words").alias("sid"), n.alias("n"), _signature("words", n).alias("sig"), F.slice("words", F.lit(1), prefix).alias("prefix"))
 
 
 def _possible(x: str, y: str) -> Column:
@@ -156,8 +157,9 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -
 
 def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """All lines with words (id, line, sid), and those of them (id, line) that an earlier line matches; ids are those of ``_own``."""
-    rarity = rarity_table(docs, text_col)
-    made = cut(_lines(docs, rarity, id_col, text_col))
+    hashed = cut(_hashed(docs, id_col, text_col))
+    made = cut(_lines(hashed, rarity_table(hashed)))
+    discard(hashed)
     sets = cut(made.groupBy("sid").agg(F.min(F.struct("id", "line")).alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix")).select("sid", "first.id", "first.line", "n", "sig", "prefix"))
     lines = cut(made.select("id", "line", "sid"))
     discard(made)
@@ -200,17 +202,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     own, taken, split_lines, text = (free_name(docs, c) for c in ("__id", "__gone", "__lines", "__kept"))
     lists = checked(cut(gone.groupBy(F.col("id").alias(own)).agg(F.sort_array(F.collect_list("line")).alias(taken))), F.size(taken))
     out = docs.join(lists, _own(id_col, text_col).eqNullSafe(F.col(own)), "left")
-    lines = F.split(F.col(text_col), "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(taken))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(split_lines) - 1), F.col(taken))
     split = F.transform(stay, lambda i: F.get(split_lines, i))
-    kept = out.withColumn(split_lines, F.when(F.col(taken).isNotNull(), lines)).withColumn(text, F.when(F.col(taken).isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.array_join(split, "\n")))
+    kept = out.withColumn(split_lines, _once(F.when(F.col(taken).isNotNull(), F.split(F.col(text_col), "\n")))).withColumn(text, _once(F.when(F.col(split_lines).isNull(), F.col(text_col)).otherwise(F.array_join(split, "\n"))))
     removed = F.coalesce(taken, F.array().cast("array<int>")).alias("removed_lines")
     return kept.select(*(F.col(text).alias(c) if c == text_col else F.col(c) for c in docs.columns if c != "removed_lines"), removed)
 
 
 def line_query(docs: DataFrame) -> DataFrame:
     """The digest of ``documents``: lines, lines removed and the hash of the text that stays."""
-    kept = dedup_lines(docs.select("doc_id", "text", F.size(F.split("text", "\n")).alias("n_lines")))
+    kept = dedup_lines(docs.select("doc_id", "text", (F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("n_lines")))
     text = F.coalesce("text", F.lit(""))
     return kept.select("doc_id", F.greatest(F.coalesce("n_lines", F.lit(0)), F.lit(0)).cast("long").alias("n_lines"), F.size("removed_lines").cast("long").alias("n_removed"), F.octet_length(text).cast("long").alias("kept_bytes"), F.sha2(text, 256).alias("kept_sha256"))
 

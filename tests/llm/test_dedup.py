@@ -368,6 +368,20 @@ def test_lines(spark, monkeypatch, crowd):
     assert got == _later(rows)
 
 
+def test_lines_order(spark):
+    """Rare words come first, each with the class that a count of all lines gives it, and the sets are what the texts hold."""
+    docs = spark.createDataFrame([(i, f"common  Common\t{'often' if i % 4 else 'seldom'} only{i}\n\n") for i in range(40)], "doc_id long, text string")
+    hashed = C.cut(line_dedup._hashed(docs, "doc_id", "text"))
+    code = {w: h for w, h in spark.createDataFrame([(w,) for w in ("common", "often", "seldom", *(f"only{i}" for i in range(40)))], "w string").select("w", line_dedup._word("w")).collect()}
+    assert len({h >> 36 for h in code.values()}) == len(code)  # no two of these words share a counter
+    rows = hashed.select("id.id", line_dedup.rarest_first(F.col("words"), line_dedup.rarity_table(hashed)).alias("words")).collect()
+    counts = {"common": 40, "often": 30, "seldom": 10}
+    for i, words in rows:
+        want = [f"only{i}", "often" if i % 4 else "seldom", "common"]
+        assert words == [line_dedup._frequency(counts.get(w, 1)) << 56 | code[w] for w in want]
+    assert len(rows) == 40
+
+
 def test_lines_shared_ids(spark):
     """A line goes only in the rows that hold it; equal lines at equal numbers of different rows remove each other."""
     rows = [(None, "one two three\nfour five six"), (None, "seven eight nine\nten eleven twelve"), (None, "thirteen fourteen\nfour five six"), (4, "one two three\nalone here"), (4, "seven eight nine\nnobody else")]
