@@ -12,7 +12,6 @@ each on their own and get sequences of their own.
 from __future__ import annotations
 
 import functools
-import itertools
 import os
 import zlib
 from collections.abc import Iterable, Iterator
@@ -27,7 +26,7 @@ from .batches import narrow, slices
 LIMIT = 2048
 #: Encodings of so many different pre-tokens stay in each Python worker; beyond, they are computed anew.
 REMEMBERED = 300_000
-#: New pre-tokens that the library encodes at once; what it returns for each is far larger than its ids.
+#: New pre-tokens that the library encodes at once, as one text; what it returns is far larger than its ids.
 AT_ONCE = 4096
 
 _known: dict[str, dict[str, bytes]] = {}
@@ -35,13 +34,14 @@ _known: dict[str, dict[str, bytes]] = {}
 
 @functools.cache
 def _library(path: str):
-    """The vocabulary's tokenizer for single pre-tokens: normalising and splitting are done before."""
+    """The vocabulary's tokenizer for pre-tokens joined by spaces, and by id whether it closes a pre-token; normalising and splitting are done before."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer, pre_tokenizers
 
     own = Tokenizer(Tokenizer.from_file(path).model)
-    own.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-    return own
+    own.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    voc = V.load(path)
+    return own, np.array([t.endswith(voc.suffix) for t in voc.tokens])
 
 
 def encode_texts(path: str, texts: list[str]) -> list[bytes]:
@@ -55,10 +55,10 @@ def encode_texts(path: str, texts: list[str]) -> list[bytes]:
     fresh = list(set().union(*words) - known.keys())
     for k in range(0, len(fresh), AT_ONCE):
         some = fresh[k : k + AT_ONCE]
-        encoded = [e.ids for e in _library(path).encode_batch_fast(some, add_special_tokens=False)]
-        flat = np.fromiter(itertools.chain.from_iterable(encoded), "<u4").tobytes()
-        ends = [4 * n for n in itertools.accumulate(map(len, encoded))]
-        known.update(zip(some, [flat[a:b] for a, b in zip([0, *ends[:-1]], ends)]))  # noqa: B905
+        library, closing = _library(path)
+        ids = np.array(library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+        flat, ends = ids.tobytes(), (4 * (np.flatnonzero(closing[ids]) + 1)).tolist()
+        known.update(zip(some, [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
     return [b"".join(map(known.__getitem__, ws)) for ws in words]
 
 

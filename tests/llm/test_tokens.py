@@ -49,6 +49,18 @@ def test_every_character(path):
         assert [np.frombuffer(x, "<u4").tolist() for x in packing.encode_texts(path, texts)] == ids
 
 
+def test_joined_pretokens(monkeypatch):
+    """New pre-tokens go to the library as one text and come back each with its own ids."""
+    texts = ["It's 12-fold!", "</w> a</w>b <|ENDOFTEXT|>", "it's\x85it\xa0s\u3000\x1c\x1fé", "ab" * 900]
+    library, inner, calls = Tokenizer.from_file(WORD), packing._library(WORD)[0], []
+    spy = type("Spy", (), {"encode_batch_fast": lambda self, some, **how: calls.append(len(some)) or inner.encode_batch_fast(some, **how)})()
+    closing = packing._library(WORD)[1]
+    monkeypatch.setattr(packing, "_library", lambda path: (spy, closing))
+    monkeypatch.setattr(packing, "_known", {})
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.encode_texts(WORD, texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert calls == [1]
+
+
 def test_trees_agree():
     voc, rng = vocab.load(WORD), random.Random(5)
     words = ["".join(rng.choice("aeinrst") for _ in range(rng.randint(1, 60))) for _ in range(300)]
