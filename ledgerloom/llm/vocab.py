@@ -42,6 +42,7 @@ class Vocabulary:
         self.lower = spec.get("normalizer") is not None
         self._split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pattern = regex.compile(WORD_PATTERN if self.lower else BYTE_PATTERN)
+        self.quick = _quick_words() if self.lower else None
         chars = byte_chars()
         self.byte_ids = np.array([self.ids[c] for c in chars], np.int64)
         self.end_ids = np.array([self.ids[c + self.suffix] for c in chars], np.int64) if self.suffix else self.byte_ids
@@ -81,7 +82,8 @@ class Vocabulary:
     def _split(self, text: str) -> list[str]:
         odd = None if text.isascii() else odd_characters(text)
         if not odd:
-            return self.pattern.findall(text)
+            plain = self.quick and (text.isascii() or len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text))
+            return (self.quick if plain else self.pattern).findall(text)
         return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(odd))]
 
     def symbols(self, word: str) -> np.ndarray:
@@ -117,6 +119,14 @@ def odd_characters(text: str) -> dict[int, str] | None:
     return _odd if _odd and any(map(_odd.__contains__, map(ord, set(text)))) else None
 
 
+@functools.cache
+def _quick_words() -> re.Pattern:
+    """WORD_PATTERN for texts without characters beyond U+FFFF: the re module looks spelled-out classes up in a table, and what begins most pre-tokens is tried first."""
+    every = "".join(map(chr, range(1 << 16)))
+    letter, number, white = ("".join(rf"\u{ord(run[0]):04x}-\u{ord(run[-1]):04x}" for run in regex.findall(kind + "+", every)) for kind, _ in _CLASSES)
+    return re.compile(rf"[{letter}]+|[{number}]|'(?:s|t|re|ve|m|ll|d)|[^{white}{letter}{number}]+")
+
+
 @functools.cache
 def _normalizer():
     """NFC and lower case exactly as the library does them for texts that are not ASCII."""

@@ -49,6 +49,16 @@ def test_every_character(path):
         assert [np.frombuffer(x, "<u4").tolist() for x in packing.encode_texts(path, texts)] == ids
 
 
+def test_quick_words():
+    """The spelled-out classes split as the pattern does: each code point up to U+FFFF between letters, digits and marks; the rest goes to the pattern."""
+    voc, rng = vocab.load(WORD), random.Random(3)
+    every = [chr(i) for i in range(1 << 16) if not 0xD800 <= i < 0xE000]
+    texts = ["".join(f"a{c}a1{c}'s'{c}!{c}" for c in every[k : k + 500]) for k in range(0, len(every), 500)] + ["".join(rng.choices([*every[:300], *"'stremvld "], k=40)) for _ in range(2000)]
+    for text in texts:
+        assert voc.quick.findall(text) == voc.pattern.findall(text)
+    assert voc.words("a\U00010400b 1") == ["a\U00010428b", "1"] and vocab.load(BYTE).quick is None
+
+
 def test_joined_pretokens(monkeypatch):
     """New pre-tokens go to the library as one text and come back each with its own ids."""
     texts = ["It's 12-fold!", "</w> a</w>b <|ENDOFTEXT|>", "it's\x85it\xa0s\u3000\x1c\x1fé", "ab" * 900]
