@@ -21,6 +21,7 @@ one goes in all, and their lines don't remove each other at equal line numbers.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -34,7 +35,7 @@ SIMILAR = 80
 #: Counters of the frequency table (2 ** BITS bytes): its size doesn't depend on the corpus.
 BITS = 20
 #: Lines of more words have signatures of 128 parities, others of 64.
-LONG = 64
+LONG = 96
 #: Words in more prefixes than this are handled apart.
 CROWD = 256
 #: Partners that lines of such words are tried against.
@@ -76,9 +77,14 @@ def rarest_first(words: Column, rarity: Column) -> Column:
     return F.sort_array(F.transform(words, code))
 
 
+def _spaced(text: Column | str) -> Column:
+    """A text in lower case whose white space is spaces and line ends alone: a split at one plain character takes no regular expression."""
+    return functools.reduce(lambda c, white: F.replace(c, F.lit(white), F.lit(" ")), "\t\x0b\f\r", F.lower(text))
+
+
 def plain_set(line: Column) -> Column:
-    """The different words of a line by their hashes alone, as ``rarest_first`` holds them below the frequency class."""
-    return F.array_distinct(F.transform(F.array_remove(F.split(line, r"\s+"), ""), _word))
+    """The different words of a line of ``_spaced`` by their hashes alone, as ``rarest_first`` holds them below the frequency class."""
+    return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), _word)), _word(F.lit("")))
 
 
 def _signature(words: str, size: Column) -> Column:
@@ -105,7 +111,7 @@ def _own(id_col: str, text_col: str) -> Column:
 
 def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id (of ``_own``), line number and plain set of each line with words: texts are split once for the counts and the prefixes."""
-    lines = docs.select(_own(id_col, text_col).alias("id"), F.posexplode(F.split(F.lower(text_col), "\n")).alias("line", "words"))
+    lines = docs.select(_own(id_col, text_col).alias("id"), F.posexplode(F.split(_spaced(text_col), "\n")).alias("line", "words"))
     return lines.select("id", "line", _once(plain_set(F.col("words"))).alias("words")).filter(F.size("words") > 0)
 
 
@@ -117,18 +123,18 @@ def _lines(hashed: DataFrame, rarity: Column) -> DataFrame:
     return made.select("id", "line", F.xxhash64("words").alias("sid"), n.alias("n"), _signature("words", n).alias("sig"), F.slice("words", F.lit(1), prefix).alias("prefix"))
 
 
+def _largest_partner(n: Column, at: Column) -> Column:
+    """Most words of a set that can match one of ``n`` words if they share its word number ``at`` and none before."""
+    # 100 * both >= SIMILAR * (n + m - both), and both <= n - at
+    return F.floor(((100 + SIMILAR) * (n - at).cast("long") - SIMILAR * n.cast("long")) / SIMILAR + F.lit(1e-9)).cast("int")
+
+
 def _possible(x: str, y: str) -> Column:
-    """Whether the filters let a pair of prefix rows pass."""
+    """Whether the filters let a pair of prefix rows pass; the cheap ones, of length and position, stand first."""
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    # 100 * both >= SIMILAR * (n + m - both)
-    least = F.ceil(SIMILAR * (n + m) / (100 + SIMILAR) - F.lit(1e-9))
     low, high = (F.col(f"{x}.{part}").bitwiseXOR(F.col(f"{y}.{part}")) for part in ("low", "high"))
     differ = F.when(F.least(n, m) > LONG, F.bit_count(low) + F.bit_count(high)).otherwise(F.bit_count(low.bitwiseXOR(high)))
-    return (
-        (100 * F.least(n, m) >= SIMILAR * F.greatest(n, m))
-        & (F.least(n - F.col(f"{x}.at"), m - F.col(f"{y}.at")) >= least)
-        & (n + m - differ >= 2 * least)
-    )
+    return (m <= F.col(f"{x}.most")) & (n <= F.col(f"{y}.most")) & ((100 + SIMILAR) * (n + m - differ).cast("long") >= 2 * SIMILAR * (n + m).cast("long"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -147,7 +153,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -
     """
     lists = checked(cut(wanted.groupBy("id").agg(F.collect_list(F.struct("line", "sid", "n", "sig")).alias("wanted"))), F.size("wanted"))
     source = docs.select(_own(id_col, text_col).alias("own_id"), F.col(text_col).alias("own_text"))
-    lines = F.split(F.lower("own_text"), "\n")
+    lines = F.split(_spaced("own_text"), "\n")
     found = source.join(lists, F.col("own_id").eqNullSafe(F.col("id"))).withColumn("lines", lines)
     picked = F.transform("wanted", lambda w: F.struct(w["sid"].alias("sid"), w["line"].alias("line"), w["n"].alias("n"), w["sig"].alias("sig"), F.get("lines", w["line"]).alias("text")))
     each = found.select("id", F.explode(picked).alias("w"))
@@ -165,17 +171,18 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     discard(made)
     # a word that stands once in the corpus matches nothing; one that stands CROWD times at most isn't crowded
     frequency = F.shiftrightunsigned("word", 56)
-    posts = sets.select("sid", "n", "sig.low", "sig.high", F.posexplode("prefix").alias("at", "word")).filter(frequency > _frequency(1))
+    placed = sets.select("sid", "n", "sig.low", "sig.high", F.posexplode("prefix").alias("at", "word")).filter(frequency > _frequency(1))
+    posts = placed.select("sid", "n", "low", "high", _largest_partner(F.col("n"), F.col("at")).alias("most"), "word")
     crowded = cut(posts.filter(frequency >= _frequency(CROWD)).groupBy("word").count().filter(F.col("count") > CROWD).select("word"))
     light = posts.join(crowded, "word", "left_anti")
     pair = (F.col("x.sid").alias("x"), F.col("y.sid").alias("y"))
-    pairs = cut(light.alias("x").join(light.alias("y"), "word").filter((F.col("x.sid") < F.col("y.sid")) & _possible("x", "y")).select(*pair).distinct())
+    pairs = cut(light.alias("x").join(light.alias("y"), "word").filter(_possible("x", "y") & (F.col("x.sid") < F.col("y.sid"))).select(*pair).distinct())
     heavy = cut(posts.join(crowded, "word", "left_semi").join(sets.select("sid", "id", "line"), "sid"))
-    row, place = F.struct("id", "line", "sid", "n", "low", "high", "at"), F.struct("id", "line")
+    row, place = F.struct("id", "line", "sid", "n", "low", "high", "most"), F.struct("id", "line")
     earlier = F.struct("x.id", "x.line") < F.struct("y.id", "y.line")
     for k in range(TRIES):  # the earliest line of the word, then lines that a hash picks
         partner = heavy.groupBy("word").agg(F.min_by(row, place if k == 0 else F.xxhash64("sid", "word", F.lit(k))).alias("x")).select("word", "x.*")
-        pairs = pairs.union(heavy.alias("y").join(partner.alias("x"), "word").filter(earlier & _possible("x", "y")).select(*pair))
+        pairs = pairs.union(heavy.alias("y").join(partner.alias("x"), "word").filter(_possible("x", "y") & earlier).select(*pair))
     pairs = cut(pairs.distinct())
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -185,7 +192,7 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     gone = cut(verified(pairs))
     open_ = heavy.join(gone, "sid", "left_anti")
-    rest = cut(heavy.alias("x").join(open_.alias("y"), "word").filter(earlier & _possible("x", "y")).select(*pair).distinct().join(pairs, ["x", "y"], "left_anti"))
+    rest = cut(heavy.alias("x").join(open_.alias("y"), "word").filter(_possible("x", "y") & earlier).select(*pair).distinct().join(pairs, ["x", "y"], "left_anti"))
     if not rest.isEmpty():
         gone = cut(gone.union(verified(rest)).distinct())
     first = sets.select("sid", F.col("id").alias("first_id"), F.col("line").alias("first_line")).join(gone.withColumn("gone", F.lit(True)), "sid", "left")

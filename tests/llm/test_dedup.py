@@ -382,6 +382,22 @@ def test_lines_order(spark):
     assert len(rows) == 40
 
 
+def test_lines_white_space(spark):
+    """Every kind of white space parts words, without a regular expression."""
+    docs = spark.createDataFrame([(1, "\r b\x0bC\fa\t\tb \n\t \x0b\nb  c a")], "doc_id long, text string")
+    hashed = line_dedup._hashed(docs, "doc_id", "text")
+    assert "\\s" not in hashed._jdf.queryExecution().toString()
+    code = {w: h for w, h in spark.createDataFrame([(w,) for w in "abc"], "w string").select("w", line_dedup._word("w")).collect()}
+    assert {r.line: r.words for r in hashed.collect()} == {0: [code[w] for w in "bca"], 2: [code[w] for w in "bca"]}
+
+
+def test_lines_largest_partner(spark):
+    """The filter by length and position lets through exactly the sizes that can reach the similarity."""
+    rows = spark.range(1, 80).selectExpr("cast(id as int) AS n").selectExpr("n", "explode(sequence(0, n - 1)) AS at")
+    for n, at, most in rows.select("n", "at", line_dedup._largest_partner(F.col("n"), F.col("at")).alias("most")).collect():
+        assert all((m <= most) == (100 * (n - at) >= 80 * m + 80 * at) for m in range(n, 130)), (n, at, most)
+
+
 def test_lines_shared_ids(spark):
     """A line goes only in the rows that hold it; equal lines at equal numbers of different rows remove each other."""
     rows = [(None, "one two three\nfour five six"), (None, "seven eight nine\nten eleven twelve"), (None, "thirteen fourteen\nfour five six"), (4, "one two three\nalone here"), (4, "seven eight nine\nnobody else")]
