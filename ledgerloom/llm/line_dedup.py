@@ -23,8 +23,8 @@ from __future__ import annotations
 
 import functools
 import math
+import uuid
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .batches import free_name
@@ -42,14 +42,23 @@ CROWD = 256
 TRIES = 4
 
 
-def rarity_table(hashed: DataFrame) -> Column:
-    """An array of one byte per counter: the frequency class of the words that fall on it.  Spark folds it to a literal once a plan."""
-    counts = hashed.select(F.explode("words").alias("w")).groupBy(_slot(F.col("w")).alias("slot")).count()
-    # classes are quarter powers of two within 7 bits; at most 2 ** BITS rows
-    table = counts.select("slot", F.least(F.floor(4 * F.log2(F.col("count") + 1)), F.lit(127)).cast("tinyint").alias("c")).toArrow()
-    out = np.zeros(1 << BITS, np.uint8)
-    out[table["slot"].to_numpy()] = table["c"].to_numpy()
-    return F.split(F.lit(",".join(map(str, out.tolist()))), ",").cast("array<tinyint>")
+def rarity_table(hashed: DataFrame, name: str | None = None) -> Column:
+    """An array of one byte per counter: the frequency class of the words that fall on it.
+
+    It is a variable of the session, for the caller to drop: the driver holds its bytes alone, no list of Python and no text in a plan.
+    """
+    spark = hashed.sparkSession
+    word = hashed.select(F.explode("words").alias("w")).select(_slot(F.col("w")).alias("slot"), F.lit(1).alias("seen"))
+    every = spark.range(1 << BITS).select(F.col("id").cast("int").alias("slot"), F.lit(0).alias("seen"))
+    # classes are quarter powers of two within 7 bits
+    rarity = F.least(F.floor(4 * F.log2(F.sum("seen") + 1)), F.lit(127)).cast("tinyint")
+    counters = word.union(every).groupBy("slot").agg(rarity.alias("c"))
+    parts = counters.groupBy(F.shiftright("slot", 10).alias("part")).agg(F.sort_array(F.collect_list(F.struct("slot", "c")))["c"].alias("c"))
+    table = parts.agg(F.flatten(F.sort_array(F.collect_list(F.struct("part", "c")))["c"]))
+    name = name or f"rarity_{uuid.uuid4().hex}"
+    spark.sql(f"DECLARE OR REPLACE VARIABLE {name} ARRAY<TINYINT>")
+    spark.sql(f"SET VARIABLE {name} = (SELECT * FROM {{table}})", table=table)
+    return F.col(name)
 
 
 def _frequency(count: int) -> int:
@@ -164,7 +173,11 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -
 def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """All lines with words (id, line, sid), and those of them (id, line) that an earlier line matches; ids are those of ``_own``."""
     hashed = cut(_hashed(docs, id_col, text_col))
-    made = cut(_lines(hashed, rarity_table(hashed)))
+    rarity = f"rarity_{uuid.uuid4().hex}"
+    try:
+        made = cut(_lines(hashed, rarity_table(hashed, rarity)))
+    finally:
+        docs.sparkSession.sql(f"DROP TEMPORARY VARIABLE IF EXISTS {rarity}")
     discard(hashed)
     sets = cut(made.groupBy("sid").agg(F.min(F.struct("id", "line")).alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix")).select("sid", "first.id", "first.line", "n", "sig", "prefix"))
     lines = cut(made.select("id", "line", "sid"))

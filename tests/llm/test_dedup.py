@@ -382,6 +382,23 @@ def test_lines_order(spark):
     assert len(rows) == 40
 
 
+def test_lines_rarity_outside_the_plan(spark):
+    """The counters are in no plan's text (as a literal they took 8 MB of it, on the driver), and every counter has its class."""
+    docs = spark.createDataFrame([(i, f"common {'often' if i % 4 else 'seldom'} only{i}") for i in range(40)], "doc_id long, text string")
+    hashed = C.cut(line_dedup._hashed(docs, "doc_id", "text"))
+    name = "rarity_of_this_test"
+    try:
+        rarity = line_dedup.rarity_table(hashed, name)
+        lines = line_dedup._lines(hashed, rarity)
+        assert len(lines._jdf.queryExecution().toString()) < 100_000
+        [(table,)] = spark.range(1).select(rarity).collect()
+    finally:
+        spark.sql(f"DROP TEMPORARY VARIABLE IF EXISTS {name}")
+    counts = collections.Counter(w >> (56 - line_dedup.BITS) for r in hashed.collect() for w in r.words)
+    assert len(table) == 1 << line_dedup.BITS
+    assert {k: c for k, c in enumerate(table) if c} == {k: line_dedup._frequency(n) for k, n in counts.items()}
+
+
 def test_lines_white_space(spark):
     """Every kind of white space parts words, without a regular expression."""
     docs = spark.createDataFrame([(1, "\r b\x0bC\fa\t\tb \n\t \x0b\nb  c a")], "doc_id long, text string")
