@@ -79,3 +79,14 @@ def test_rows_as_json_say_the_same():
     packed, _ = _counted(ledger.Packed)
     packed.handleInitialState(("s",), Row("scope_id", "row")("s", json.dumps(start)), None)
     assert packed.cursor.get() == (12, "d", 2, None) and packed.grants["w", 1] == (5, 2, "g", 1, 1) and packed.digests[12,] == "d" and not packed.claims
+
+
+def test_a_snapshot_is_few_messages_to_the_store():
+    own, _ = _counted()
+    events = _events(60)
+    start = Row(sequence=30, digest=events[29].digest, writer_epoch=events[29].writer_epoch, active_plan_digest=events[1].plan_digest, events=[Row(sequence=e.sequence, digest=e.digest, operation_id=e.operation_id) for e in events[:30]], grants=[], claims=[])
+    _Counted.calls = 0
+    own.handleInitialState(("s",), start, None)
+    assert _Counted.calls <= 2
+    (rows,) = _feed(own, events[20:])
+    assert _Counted.calls <= 5 and (rows[0]["sequence"], rows[0]["applied"], rows[0]["duplicates"]) == (60, 30, 10)
