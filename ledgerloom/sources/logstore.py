@@ -1,7 +1,8 @@
 """The event log as objects under scope prefixes, and projections published by one manifest, as Spark data sources.
 
 ``event_log`` lists and opens only what filters on scope and sequence leave: with a scope named no other
-prefix is listed, with a range of sequences no other key is opened.  ``projection`` stages the files of a
+prefix is listed, with a range of sequences no other key is opened.  An event is an object of its own or lies in a
+pack, an object of up to PACK_EVENTS events of one scope behind an index.  ``projection`` stages the files of a
 table; nothing of them is visible before ``publish`` has written one manifest that names all tables.
 """
 
@@ -10,9 +11,11 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -28,6 +31,11 @@ EVENT_BYTES = 256 * 1024
 BATCH_BYTES = 8 << 20
 
 _KEY = re.compile(r"([0-9]{16})-([0-9a-f]{64})\.cbor\.zst")
+#: A pack holds the number of its events, their entries in order of sequences, and their bytes one after the other.
+_PACK = re.compile(r"([0-9]{16})-([0-9]{16})-([0-9a-f]{64})\.pack")
+_COUNT, _ENTRY = struct.Struct(">Q"), struct.Struct(">Q32sQ")
+#: The key of a packed event: its pack, and where its bytes lie there.
+_WITHIN = re.compile(r"(.*\.pack)#([0-9]+)\+([0-9]+)", re.DOTALL)
 LOG_SCHEMA = "scope_id string, sequence long, digest string, key string, length long, status string, content binary"
 
 
@@ -90,6 +98,9 @@ class Wanted:
             return False
         return True
 
+    def meets(self, first: int, last: int) -> bool:
+        return (self.first is None or last >= self.first) and (self.last is None or first <= self.last)
+
     def holds(self, sequence: int | None) -> bool:
         if sequence is None:
             return self.first is None and self.last is None and not self.keyed
@@ -124,24 +135,53 @@ class LogReader(DataSourceReader):
         fs, root = store(self.path)
         rows, held = [], 0
         for scope in partition.scopes:
+            seen: set[tuple] = set()  # an event that several packs hold counts once
             for info in _names(fs, f"{root}/{scope}/events", pafs.FileType.File):
-                key = _KEY.fullmatch(info.base_name)
-                sequence = int(key[1]) if key else None
-                if not self.wanted.holds(sequence):
-                    continue
-                status, raw = ("ok", None) if key else ("unparsed", None)
-                if status == "ok" and not self.content:
-                    status = "listed"
-                elif status == "ok":
-                    status, raw = self._open(fs, info)
-                rows.append((scope, sequence, key and key[2], info.path, info.size, status, raw))
-                held += len(raw or b"") + 256
-                if held > BATCH_BYTES:
-                    yield _batch(rows)
-                    rows, held = [], 0
+                packed = _PACK.fullmatch(info.base_name)
+                for row in self._packed(fs, info, packed) if packed else self._single(fs, info):
+                    if row[0] is not None and row[:2] in seen:
+                        continue
+                    seen.add(row[:2])
+                    rows.append((scope, *row))
+                    held += len(row[-1] or b"") + 256
+                    if held > BATCH_BYTES:
+                        yield _batch(rows)
+                        rows, held = [], 0
         if rows:
             yield _batch(rows)
 
+    def _single(self, fs: pafs.FileSystem, info: pafs.FileInfo) -> Iterator[tuple]:
+        key = _KEY.fullmatch(info.base_name)
+        sequence = int(key[1]) if key else None
+        if not self.wanted.holds(sequence):
+            return
+        status, raw = ("ok", None) if key else ("unparsed", None)
+        if status == "ok" and not self.content:
+            status = "listed"
+        elif status == "ok":
+            status, raw = self._open(fs, info)
+        yield sequence, key and key[2], info.path, info.size, status, raw
+
+    def _packed(self, fs: pafs.FileSystem, info: pafs.FileInfo, name: re.Match) -> Iterator[tuple]:
+        """The events of a pack; one that no filter wants is not opened, and of others only the index and the bytes that are wanted are read."""
+        if not self.wanted.meets(int(name[1]), int(name[2])):
+            return
+        try:
+            with fs.open_input_file(info.path) as f:
+                entries = _index(f)
+                if entries is None:
+                    if self.wanted.holds(None):
+                        yield None, None, info.path, info.size, "unparsed", None
+                    return
+                for sequence, digest, at, length in entries:
+                    if self.wanted.holds(sequence):
+                        fits = length <= self.cap
+                        raw = f.read_at(length, at) if self.content and fits else None
+                        yield sequence, digest, f"{info.path}#{at}+{length}", length, "listed" if not self.content else "ok" if fits else "too_large", raw
+        except FileNotFoundError:
+            if self.wanted.holds(None):
+                yield None, None, info.path, info.size, "not_found", None
+
     def _open(self, fs: pafs.FileSystem, info: pafs.FileInfo) -> tuple[str, bytes | None]:
         if info.size > self.cap:
             return "too_large", None
@@ -160,6 +200,52 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _LOG_ARROW, strict=True)], schema=_LOG_ARROW)
 
 
+def _index(f: pa.NativeFile) -> list[tuple[int, str, int, int]] | None:
+    """Sequence, digest, place and length of each event of a pack; None for bytes that are no pack."""
+    size = f.size()
+    n = _COUNT.unpack(f.read_at(_COUNT.size, 0))[0] if size >= _COUNT.size else 0
+    at = _COUNT.size + n * _ENTRY.size
+    if not n or at > size:
+        return None
+    out = []
+    for sequence, digest, length in _ENTRY.iter_unpack(f.read_at(n * _ENTRY.size, _COUNT.size)):
+        out.append((sequence, digest.hex(), at, length))
+        at += length
+    return out if at == size else None
+
+
+class PackWriter(DataSourceArrowWriter):
+    """Writes the events of one scope that follow one another in a task as packs; bytes that don't hash to their digest fail the task."""
+
+    def __init__(self, options: dict):
+        self.path = options["path"]
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        fs, root = store(self.path)
+        rows = (r for batch in iterator for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for scope, own in groupby(rows, key=lambda r: r[0]):
+            held, size = [], 0
+            for _, sequence, digest, raw in own:
+                if hashlib.sha256(raw).hexdigest() != digest:
+                    raise ValueError(f"event {sequence} of {scope} doesn't hash to its digest")
+                if held and (len(held) >= M.PACK_EVENTS or size + len(raw) > M.PACK_BYTES):
+                    self._put(fs, f"{root}/{scope}/events", held)
+                    held, size = [], 0
+                held.append((sequence, digest, raw))
+                size += len(raw)
+            self._put(fs, f"{root}/{scope}/events", held)
+        return WriterCommitMessage()
+
+    @staticmethod
+    def _put(fs: pafs.FileSystem, folder: str, events: list[tuple[int, str, bytes]]) -> None:
+        events = sorted(events)
+        raw = b"".join((_COUNT.pack(len(events)), *(_ENTRY.pack(s, bytes.fromhex(d), len(r)) for s, d, r in events), *(r for _, _, r in events)))
+        key = f"{folder}/{events[0][0]:016d}-{events[-1][0]:016d}-{hashlib.sha256(raw).hexdigest()}.pack"
+        fs.create_dir(folder, recursive=True)
+        if fs.get_file_info(key).type == pafs.FileType.NotFound:
+            write_whole(fs, key, raw)
+
+
 class LogWriter(DataSourceWriter):
     """Writes each event once under its key; an object that is there is left as it is, bytes that don't hash to their digest fail the task."""
 
@@ -184,7 +270,7 @@ class LogWriter(DataSourceWriter):
 
 
 class LogSource(DataSource):
-    """Events as objects ``<path>/<scope>/events/<sequence>-<digest>.cbor.zst``."""
+    """Events as objects ``<path>/<scope>/events/<sequence>-<digest>.cbor.zst`` or in packs ``<first>-<last>-<digest of the pack>.pack`` beside them."""
 
     @classmethod
     def name(cls) -> str:
@@ -196,10 +282,10 @@ class LogSource(DataSource):
     def reader(self, schema) -> LogReader:
         return LogReader(dict(self.options))
 
-    def writer(self, schema, overwrite: bool) -> LogWriter:
+    def writer(self, schema, overwrite: bool) -> LogWriter | PackWriter:
         if overwrite:
             raise ValueError("events are written once")
-        return LogWriter(dict(self.options))
+        return (PackWriter if self.options.get("packed") == "true" else LogWriter)(dict(self.options))
 
 
 def read_log(spark: SparkSession, path: str, content: bool = True, cap: int = EVENT_BYTES) -> DataFrame:
@@ -209,10 +295,17 @@ def read_log(spark: SparkSession, path: str, content: bool = True, cap: int = EV
     return spark.read.format("event_log").option("path", path).option("content", str(content).lower()).option("cap", cap).load()
 
 
-def write_log(events: DataFrame, path: str) -> None:
-    """Stores events (scope_id, sequence, digest, content)."""
+def write_log(events: DataFrame, path: str, packed: bool = False) -> None:
+    """Stores events (scope_id, sequence, digest, content), each as an object of its own or ``packed``.
+
+    A file system keeps a block, an entry and a name for each object, many times what a small event holds; packs
+    share them.  Events of a scope share a pack if one task has them, so ``events`` should be dealt by scope.
+    """
     events.sparkSession.dataSource.register(LogSource)
-    events.select("scope_id", "sequence", "digest", "content").write.format("event_log").mode("append").option("path", path).save()
+    rows = events.select("scope_id", "sequence", "digest", "content")
+    if packed:
+        rows = rows.sortWithinPartitions("scope_id", "sequence")
+    rows.write.format("event_log").mode("append").option("path", path).option("packed", str(packed).lower()).save()
 
 
 def dense(listing: DataFrame, cursors: DataFrame) -> DataFrame:
@@ -242,14 +335,20 @@ def fetch_within(spark: SparkSession, path: str, budget: int = M.MAX_REPLAY_BYTE
             for i in range(0, batch.num_rows, 32):  # an event has at most EVENT_BYTES
                 piece = batch.slice(i, 32)
                 raw = []
-                for key in piece.column("key").to_pylist():
-                    with fs.open_input_stream(key, compression=None) as f:
-                        raw.append(f.read())
+                for key, parts in groupby(map(_place, piece.column("key").to_pylist()), key=lambda p: p[0]):
+                    with fs.open_input_file(key) as f:
+                        raw += [f.read_at(f.size() if length is None else length, at) for _, at, length in parts]
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(raw, pa.binary())], [*piece.schema.names, "content"])
 
     return chosen.mapInArrow(run, "scope_id string, sequence long, digest string, key string, running_bytes long, content binary")
 
 
+def _place(key: str) -> tuple[str, int, int | None]:
+    """The object that a key names, and where in it the event lies; no length stands for the whole."""
+    within = _WITHIN.fullmatch(key)
+    return (within[1], int(within[2]), int(within[3])) if within else (key, 0, None)
+
+
 # ---------------------------------------------------------------- projections
 
 
