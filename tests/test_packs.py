@@ -4,6 +4,7 @@ import hashlib
 import os
 
 import pytest
+from pyspark.sql.datasource import GreaterThan, LessThanOrEqual
 
 from ledgerloom.plans import streams
 from ledgerloom.sources import logstore as L
@@ -43,6 +44,45 @@ def test_packs_read_as_objects_do(spark, both):
         assert a == b and all(hashlib.sha256(r[3]).hexdigest() in {e[2] for e in _events(9)} for r in b)
 
 
+def test_only_what_is_wanted_is_read(both, monkeypatch):
+    reader = L.LogReader({"path": both[1]})
+    list(reader.pushFilters([GreaterThan(("sequence",), 9)]))
+    monkeypatch.setattr(L, "_index", lambda f: pytest.fail("a pack outside the range is opened"))
+    assert [b for p in reader.partitions() for b in reader.read(p)] == []
+    monkeypatch.undo()
+    file = next(f for f in _files(both[1]) if "/a/" in f)
+    with open(file, "rb") as f:
+        raw = f.read()
+    reader = L.LogReader({"path": both[1]})
+    list(reader.pushFilters([LessThanOrEqual(("sequence",), 2)]))
+    read = []
+
+    class Spy:
+        def __init__(self, f):
+            self.f = f
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.f.close()
+
+        def size(self):
+            return self.f.size()
+
+        def read_at(self, n, at):
+            read.append((at, n))
+            return self.f.read_at(n, at)
+
+    class Files:
+        def open_input_file(self, path):
+            return Spy(L.store(path)[0].open_input_file(path))
+
+    info = L.store(file)[0].get_file_info(file)
+    rows = list(reader._packed(Files(), info, L._PACK.fullmatch(info.base_name)))
+    assert [r[0] for r in rows] == [1, 2] and sum(n for _, n in read) == 8 + 9 * 48 + 2 + 4 < len(raw)
+
+
 def test_damage_is_told(spark, tmp_path):
     with pytest.raises(Exception, match="doesn't hash"):
         L.write_log(spark.createDataFrame([("a", 1, "0" * 64, b"x")], SCHEMA), str(tmp_path), packed=True)
