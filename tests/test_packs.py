@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql.datasource import GreaterThan, LessThanOrEqual
 
+from ledgerloom import model as M
 from ledgerloom.plans import streams
 from ledgerloom.sources import logstore as L
 
@@ -83,6 +84,21 @@ def test_only_what_is_wanted_is_read(both, monkeypatch):
     assert [r[0] for r in rows] == [1, 2] and sum(n for _, n in read) == 8 + 9 * 48 + 2 + 4 < len(raw)
 
 
+def test_packs_beside_objects_count_once(spark, tmp_path, monkeypatch):
+    path, events = str(tmp_path), _events(9)
+    frame = spark.createDataFrame(events, SCHEMA).coalesce(1)
+    L.write_log(frame.filter("sequence <= 4"), path)
+    L.write_log(frame, path, packed=True)
+    L.write_log(frame, path, packed=True)
+    assert len(_files(path)) == 3 * 5
+    monkeypatch.setattr(M, "PACK_EVENTS", 2)
+    L.PackWriter({"path": path}).write(iter(frame.filter("sequence >= 5").toArrow().to_batches()))
+    assert len(_files(path)) == 3 * 8  # 5 and 6, 7 and 8, 9
+    assert [r[:3] for r in _rows(L.read_log(spark, path))] == sorted(e[:3] for e in events)
+    cursors = spark.createDataFrame([("a", 2, 9), ("b", 0, 10), ("zz", 0, 1)], "scope_id string, sequence long, tail long")
+    assert {r.scope_id: r.dense for r in L.dense(L.read_log(spark, path, content=False), cursors).collect()} == {"a": True, "b": False, "zz": False}
+
+
 def test_damage_is_told(spark, tmp_path):
     with pytest.raises(Exception, match="doesn't hash"):
         L.write_log(spark.createDataFrame([("a", 1, "0" * 64, b"x")], SCHEMA), str(tmp_path), packed=True)
